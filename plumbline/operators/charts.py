@@ -34,7 +34,9 @@ def top_and_other(
     kept = F.array_contains(best, F.struct(F.col(category).alias("category")))
     return (
         rows.withColumn("is_other", ~kept)
-        .groupBy(F.when(kept, F.col(category)).otherwise(F.lit(other)).alias("category"), "is_other")
+        .groupBy(
+            F.when(kept, F.col(category).cast("string")).otherwise(other).alias("category"), "is_other"
+        )
         .agg(F.sum(value).alias("value"), F.count(F.lit(1)).alias("categories"))
     )
 

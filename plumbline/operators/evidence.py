@@ -19,8 +19,6 @@ from plumbline.plans.selection import salted_lookup
 from plumbline.plans.spec import AnalysisSpec
 from plumbline.plans.tagged import pivot_windows, tag_windows
 
-FUSED = {"compare_periods"}
-
 
 def evidence_id(spec: AnalysisSpec) -> str:
     """The same request always has the same id, so both sides of a link can compute it."""
@@ -277,14 +275,14 @@ def validate_findings(findings: DataFrame, evidence: DataFrame, fresh: DataFrame
     ).withColumns(
         {"recomputed": same_value(F.col("value"), F.col("fresh_value")), "has_evidence": F.lit(True)}
     )
-    joined = with_evidence(findings.drop("metric"), checked)
+    joined = with_evidence(findings.drop("metric"), checked).withColumn("issues", issue_list(issues))
     phrases = texts.causal_phrases(F.col("claim"))
     status = evidence_status(
         F.col("claim_type"),
         F.coalesce("has_evidence", F.lit(False)),
         F.col("rows_used"),
         F.coalesce("recomputed", F.lit(False)),
-        issue_list(issues),
+        F.col("issues"),
         F.col("query"),
         F.col("metric"),
         F.col("calculation"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -85,7 +86,7 @@ def number_lint(
 
 def band_bound(tolerance: float) -> int:
     """The most rows a band table can have: both signs over the exponent range of a double."""
-    return 2 * math.ceil((math.log(1.8e308) - math.log(4.9e-324)) / _width(tolerance)) + 8
+    return 2 * math.ceil((math.log(sys.float_info.max) - math.log(5e-324)) / _width(tolerance)) + 8
 
 
 def _width(tolerance: float) -> float:

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import fixed_values as fixed
-from plumbline.plans.scalars import one_row
 
 
 @dataclass(frozen=True)
@@ -24,14 +23,19 @@ def requirement_checks(df: DataFrame, dictionary: DataFrame, needs: Requirements
 
     The dictionary has one row per column, so it folds to one row of role and name lists.
     """
-    known = one_row(
-        dictionary.agg(F.collect_set("role").alias("roles"), F.collect_list("column").alias("names"))
-    )
-    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    has_role = lambda role: F.array_contains(known["roles"], role)
-    has_name = lambda name: F.exists(
-        known["names"], lambda c: F.lower(c).contains(name.lower())
-    )
+    known = dictionary.agg(
+        F.collect_set("role").alias("roles"), F.collect_list("column").alias("names")
+    ).withColumn("rows", df.agg(F.count(F.lit(1)).alias("n")).scalar())
+    rows = F.col("rows")
+
+    def has_role(role: str) -> Column:
+        return F.array_contains("roles", role)
+
+    def has_name(name: str) -> Column:
+        return F.exists("names", lambda c: F.lower(c).contains(name.lower()))
+
+    def size(sign: str) -> Column:
+        return F.concat(F.lit("Row count "), rows.cast("string"), F.lit(f" {sign} minimum {needs.min_rows}."))
 
     checks: list[Column] = []
 
@@ -51,9 +55,6 @@ def requirement_checks(df: DataFrame, dictionary: DataFrame, needs: Requirements
         add("presence", role, has_role(role), f"Role '{role}' present.", f"No column with role '{role}' found.")
     for m in needs.metrics:
         add("presence", m, has_name(m), f"Metric '{m}' available.", f"Required metric '{m}' not found.")
-    size = lambda sign: F.concat(
-        F.lit("Row count "), rows.cast("string"), F.lit(f" {sign} minimum {needs.min_rows}.")
-    )
     add("sample_size", "rows", rows >= needs.min_rows, size("≥"), size("<"))
     for d in needs.dimensions:
         add("coverage", d, has_name(d), f"Dimension '{d}' available.", f"Dimension '{d}' not found.")
@@ -62,7 +63,7 @@ def requirement_checks(df: DataFrame, dictionary: DataFrame, needs: Requirements
             "time_span", "date", has_role("date"), "Date column present.",
             "No date column found for time-based analysis.",
         )
-    return df.sparkSession.range(1).select(F.explode(F.array(*checks)).alias("c")).select("c.*")
+    return known.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
 
 
 def sufficiency(checks: DataFrame) -> DataFrame:

@@ -216,7 +216,7 @@ def _safety_sql(name: str, columns: str) -> str:
         left_unique, right_unique, type_mismatch, concat_ws('; ', {texts}) as invariant_failures,
         case when match_rate < 1 then printf('%.1f%% of left keys have no match in the right dataset. Rows will be dropped in an inner join.', round((1 - match_rate) * 100, 1)) else '' end as coverage_caveat,
         round(joined_rows::double / left_rows, 4) as fanout_factor, joined_rows,
-        round(before_0, 2) as before_0, round(after_0, 2) as after_0
+        round(before_0, 0) as before_0, round(after_0, 0) as after_0
       from (with l as (select * from {left}), r as (select * from {right})
         select (select count(*) from l) as left_rows,
           (select count(*) = count(distinct {lk}) from l) as left_unique,
@@ -232,7 +232,7 @@ def _safety(t: Tables, names: list[str], columns: list[str]) -> DataFrame:
     pairs = _pairs(t)
     parts = []
     for name in names:
-        found = rounded(joins.join_safety(*pairs[name]), 2, "before_0", "after_0")
+        found = rounded(joins.join_safety(*pairs[name]), 0, "before_0", "after_0")
         parts.append(found.select(F.lit(name).alias("pair"), *columns))
     return union_all(parts)
 
