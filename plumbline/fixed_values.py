@@ -25,15 +25,16 @@ NUMBER_MATCH_RATE = 0.8
 DATE_PARSE_RATE = 0.7
 AMBIGUOUS_DATE_PATTERN = r"^\d{1,2}/\d{1,2}/\d{4}$"
 AMBIGUOUS_DATE_RATE = 0.5
-DATE_FORMATS = [
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "M/d/yyyy",
-    "yyyy/M/d",
-    "d-MMM-yyyy",
-    "MMM d, yyyy",
-]
+# Date format -> shape of the texts it can parse; other texts are not tried.
+DATE_FORMATS = {
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+}
 
 # --- data dictionary ----------------------------------------------------------
 DATE_NAME_WORDS = ["date", "time", "year", "month", "day", "period"]

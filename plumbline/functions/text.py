@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -24,9 +23,15 @@ NARROW_NUMBER = (
 
 
 def causal_phrases(text: Column) -> Column:
-    """V1: the causal phrases a text contains, in the order of the list."""
-    found = [F.when(text.rlike(_word(p)), F.lit(p)) for p in fixed.CAUSAL_REWRITES]
-    return F.filter(F.array(*found), lambda p: p.isNotNull())
+    """V1: the causal phrases a text contains, in the order of the list.
+
+    A plain search of the lowered text comes first; only its hits are checked for word bounds.
+    """
+    low = F.lower(text)
+    found = [
+        F.when(low.contains(p) & low.rlike(rf"\b{p}\b"), F.lit(p)) for p in fixed.CAUSAL_REWRITES
+    ]
+    return F.array_compact(F.array(*found))
 
 
 def causal_violations(phrases: Column) -> Column:
@@ -40,15 +45,26 @@ def causal_violations(phrases: Column) -> Column:
 
 
 def associational(text: Column) -> Column:
-    """V2: causal phrases replaced in list order, a leading capital kept."""
+    """V2: causal phrases replaced in list order, a leading capital kept.
+
+    The text runs through one step per phrase; a step without its phrase costs a plain search.
+    """
+    steps = F.array(text)
     for phrase, wording in fixed.CAUSAL_REWRITES.items():
-        head, tail = phrase[0], phrase[1:]
-        for first, replacement in (
-            (head.upper(), wording[0].upper() + wording[1:]),
-            (head, wording),
-        ):
-            text = F.regexp_replace(text, rf"\b{first}(?i:{tail})\b", replacement)
-    return text
+        steps = F.transform(steps, _replacement(phrase, wording))
+    return steps[0]
+
+
+def _replacement(phrase: str, wording: str) -> Callable[[Column], Column]:
+    head, tail = phrase[0], phrase[1:]
+    capital = wording[0].upper() + wording[1:]
+
+    def replace(text: Column) -> Column:
+        upper = F.regexp_replace(text, rf"\b{head.upper()}(?i:{tail})\b", capital)
+        both = F.regexp_replace(upper, rf"\b{head}(?i:{tail})\b", wording)
+        return F.when(F.lower(text).contains(phrase), both).otherwise(text)
+
+    return replace
 
 
 def _word(pattern: str) -> str:
@@ -156,8 +172,3 @@ def claim_for_value(metric: Column, value: Column, unit: Column) -> Column:
 
 def _two(value: Column) -> Column:
     return F.coalesce(F.format_string("%.2f", F.round(value, 2)), F.lit("unknown"))
-
-
-def plain_phrase(pattern: str) -> str:
-    """A list pattern without its regex marks."""
-    return re.sub(r"[\\?]", "", pattern)

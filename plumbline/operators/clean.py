@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import fixed_values as fixed
 from plumbline.operators.profile import stacked, string_columns
-from plumbline.operators.quality import duplicate_rows
 
 LOG_SCHEMA = (
     "step int, step_type string, description string, rows_affected long, requires_approval boolean"
@@ -71,26 +70,29 @@ def _stripped(column: str) -> Column:
     return F.trim(bare)
 
 
-def number_formats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """How much of each text column reads as a US, EU or plain number, and the format chosen.
+NUMBER_RATES = {
+    "us_rate": fixed.US_NUMBER_PATTERN,
+    "eu_rate": fixed.EU_NUMBER_PATTERN,
+    "plain_rate": fixed.PLAIN_NUMBER_PATTERN,
+}
 
-    One aggregate over all columns and all rows. The order of the rules is US, EU, plain.
-    """
-    names = list(columns or string_columns(df))
-    patterns = {
-        "us_rate": fixed.US_NUMBER_PATTERN,
-        "eu_rate": fixed.EU_NUMBER_PATTERN,
-        "plain_rate": fixed.PLAIN_NUMBER_PATTERN,
-    }
-    wide = df.agg(
-        *[
-            F.avg(_stripped(c).rlike(p).cast("int")).alias(f"{c}__{r}")
-            for c in names
-            for r, p in patterns.items()
-        ]
-    )
-    rows = stacked(wide, names, {r: "double" for r in patterns}).drop("position")
-    high = {r: F.coalesce(F.col(r) > fixed.NUMBER_MATCH_RATE, F.lit(False)) for r in patterns}
+
+def _bare(columns: Sequence[str]) -> list[Column]:
+    """The texts without blanks and currency signs, computed once for all patterns."""
+    return [_stripped(c).alias(f"{c}__bare") for c in columns]
+
+
+def _number_rates(columns: Sequence[str]) -> list[Column]:
+    return [
+        F.avg(F.col(f"`{c}__bare`").rlike(p).cast("int")).alias(f"{c}__{r}")
+        for c in columns
+        for r, p in NUMBER_RATES.items()
+    ]
+
+
+def _chosen_numbers(rates: DataFrame, columns: Sequence[str]) -> DataFrame:
+    rows = stacked(rates, columns, {r: "double" for r in NUMBER_RATES}).drop("position")
+    high = {r: F.coalesce(F.col(r) > fixed.NUMBER_MATCH_RATE, F.lit(False)) for r in NUMBER_RATES}
     chosen = (
         F.when(high["us_rate"], "us")
         .when(high["eu_rate"] & ~high["plain_rate"], "eu")
@@ -99,6 +101,15 @@ def number_formats(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return rows.withColumn("number_format", chosen)
 
 
+def number_formats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """How much of each text column reads as a US, EU or plain number, and the format chosen.
+
+    One aggregate over all columns and all rows. The order of the rules is US, EU, plain.
+    """
+    names = list(columns or string_columns(df))
+    return _chosen_numbers(df.select(*_bare(names)).agg(*_number_rates(names)), names)
+
+
 def parsed_number(column: str, number_format: str, percent_as_fraction: bool = False) -> Column:
     """The column as a double; text that does not parse becomes NULL."""
     text = F.col(f"`{column}`")
@@ -111,27 +122,29 @@ def parsed_number(column: str, number_format: str, percent_as_fraction: bool = F
     return F.when(text.contains("%"), value / 100).otherwise(value) if percent_as_fraction else value
 
 
-def date_formats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """The format that parses most of each text column, and whether day and month are unclear.
-
-    All formats of all columns are tried in one aggregate. Rates are over all rows.
-    """
-    names = list(columns or string_columns(df))
-    wide = df.agg(
-        *[
-            F.avg(F.try_to_timestamp(F.col(f"`{c}`"), F.lit(f)).isNotNull().cast("int")).alias(f"{c}__f{i}")
-            for c in names
-            for i, f in enumerate(fixed.DATE_FORMATS)
-        ],
-        *[
-            F.avg(F.col(f"`{c}`").rlike(fixed.AMBIGUOUS_DATE_PATTERN).cast("int")).alias(f"{c}__slashed")
-            for c in names
-        ],
-    )
-    rates = {f"f{i}": "double" for i in range(len(fixed.DATE_FORMATS))}
-    rows = stacked(wide, names, {**rates, "slashed": "double"}).drop("position")
-    best = F.greatest(*[F.col(r) for r in rates])
-    chosen = F.coalesce(*[F.when(F.col(r) == best, F.lit(f)) for r, f in zip(rates, fixed.DATE_FORMATS)])
+def _date_rates(columns: Sequence[str]) -> list[Column]:
+    def parses(c: str, date_format: str, shape: str) -> Column:
+        value = F.col(f"`{c}`")
+        ok = F.when(value.rlike(shape), F.try_to_timestamp(value, F.lit(date_format)).isNotNull())
+        return F.when(value.isNotNull(), F.coalesce(ok, F.lit(False)).cast("int"))
+
+    rates = [
+        F.avg(parses(c, f, shape)).alias(f"{c}__f{i}")
+        for c in columns
+        for i, (f, shape) in enumerate(fixed.DATE_FORMATS.items())
+    ]
+    slashed = [
+        F.avg(F.col(f"`{c}`").rlike(fixed.AMBIGUOUS_DATE_PATTERN).cast("int")).alias(f"{c}__slashed")
+        for c in columns
+    ]
+    return rates + slashed
+
+
+def _chosen_dates(rates: DataFrame, columns: Sequence[str]) -> DataFrame:
+    fields = {f"f{i}": "double" for i in range(len(fixed.DATE_FORMATS))}
+    rows = stacked(rates, columns, {**fields, "slashed": "double"}).drop("position")
+    best = F.greatest(*[F.col(r) for r in fields])
+    chosen = F.coalesce(*[F.when(F.col(r) == best, F.lit(f)) for r, f in zip(fields, fixed.DATE_FORMATS)])
     return rows.select(
         "column",
         best.alias("parse_rate"),
@@ -140,6 +153,15 @@ def date_formats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     )
 
 
+def date_formats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The format that parses most of each text column, and whether day and month are unclear.
+
+    All formats of all columns are tried in one aggregate. Rates are over all rows.
+    """
+    names = list(columns or string_columns(df))
+    return _chosen_dates(df.agg(*_date_rates(names)), names)
+
+
 def parsed_date(column: str, date_format: str) -> Column:
     """The column as a timestamp; text that does not parse becomes NULL."""
     return F.try_to_timestamp(F.col(f"`{column}`"), F.lit(date_format)).cast("timestamp_ntz")
@@ -154,80 +176,77 @@ class Cleaned:
 def clean(
     df: DataFrame, remove_totals: bool = True, percent_as_fraction: bool = False
 ) -> Cleaned:
-    """C1-C8 in order. Column types depend on the values, so the format rates of the columns (one
-    row per text column) come back to the driver; the rows themselves never do.
+    """C1-C8 in order, in two passes over the rows.
+
+    Column types depend on the values, so the first pass brings one row of counts and format rates
+    to the driver and the second one row of counts for the log. Table rows never leave Spark.
     """
     raw = trimmed_names(df)
-    empty, total = is_empty_row(raw), is_total_row(raw)
-    seen = raw.agg(
-        F.count_if(empty).alias("empty"),
-        F.count_if(~empty & total).alias("totals"),
-        *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(raw.columns)],
+    texts = string_columns(raw)
+    marked = raw.withColumns({"__empty": is_empty_row(raw), "__total": is_total_row(raw)})
+    dropped = F.col("__empty") | F.col("__total") if remove_totals else F.col("__empty")
+    # Texts of dropped rows are hidden, so that they count for no rate.
+    shown = marked.select(
+        "__empty",
+        "__total",
+        *[F.col(f"`{c}`").isNotNull().alias(f"{c}__set") for c in raw.columns],
+        *[F.when(~dropped, F.col(f"`{c}`")).alias(c) for c in texts],
+    )
+    first = shown.select("*", *_bare(texts)).agg(
+        F.count_if("__empty").alias("empty"),
+        F.count_if(~F.col("__empty") & F.col("__total")).alias("totals"),
+        *[F.count_if(F.col(f"`{c}__set`")).alias(f"{c}__n") for c in raw.columns],
+        *_number_rates(texts),
+        *_date_rates(texts),
+    )
+    seen = first.first()
+    rates = df.sparkSession.createDataFrame([seen], first.schema)
+    kept = [c for c in raw.columns if seen[f"{c}__n"] > 0]
+    found = _chosen_numbers(rates, texts).collect() if texts else []
+    numbers = {r["column"]: r["number_format"] for r in found if r["number_format"]}
+    found = _chosen_dates(rates, texts).collect() if texts else []
+    dates = {r["column"]: r for r in found if r["date_format"] and r["column"] not in numbers}
+
+    def typed_column(c: str) -> Column:
+        if c in numbers:
+            return parsed_number(c, numbers[c], percent_as_fraction).alias(c)
+        if c in dates:
+            return parsed_date(c, dates[c]["date_format"]).alias(c)
+        return F.col(f"`{c}`")
+
+    typed = marked.where(~dropped).select(*[typed_column(c) for c in kept])
+    changed = [c for c in kept if c in numbers or c in dates]
+    copies = typed.groupBy(*[F.col(f"`{c}`") for c in kept]).agg(F.count(F.lit(1)).alias("__copies"))
+    second = copies.agg(
+        F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("__duplicates"),
+        *[
+            F.coalesce(F.sum(F.when(F.col(f"`{c}`").isNotNull(), F.col("__copies"))), F.lit(0)).alias(c)
+            for c in changed
+        ],
     ).first()
-    kept = [c for i, c in enumerate(raw.columns) if seen[f"n{i}"] > 0]
-    rows = raw.where(~empty & ~total if remove_totals else ~empty).select(*[F.col(f"`{c}`") for c in kept])
 
     log = []
     if seen["empty"]:
         log.append(("empty_rows_removed", f"Removed {seen['empty']} fully empty rows.", seen["empty"], False))
     if seen["totals"]:
-        log.append(
-            (
-                "total_rows_detected",
-                f"Detected {seen['totals']} total/subtotal rows. Remove them to avoid double-counting.",
-                seen["totals"],
-                True,
-            )
-        )
-    if period_headers(rows.columns):
-        log.append(
-            (
-                "wide_format_detected",
-                "Dataset appears to be in wide/pivot format. Consider unpivoting for analysis.",
-                0,
-                False,
-            )
-        )
-
-    texts = string_columns(rows)
-    numbers = {
-        r["column"]: r["number_format"]
-        for r in (number_formats(rows, texts).collect() if texts else [])
-        if r["number_format"]
-    }
-    texts = [c for c in texts if c not in numbers]
-    dates = {
-        r["column"]: r
-        for r in (date_formats(rows, texts).collect() if texts else [])
-        if r["date_format"]
-    }
-    typed = rows.select(
-        *[
-            parsed_number(c, numbers[c], percent_as_fraction).alias(c)
-            if c in numbers
-            else parsed_date(c, dates[c]["date_format"]).alias(c)
-            if c in dates
-            else F.col(f"`{c}`")
-            for c in rows.columns
-        ]
-    )
-    changed = [c for c in rows.columns if c in numbers or c in dates]
-    filled = typed.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{c}`")).alias(c) for c in changed]
-    ).first()
+        advice = "total/subtotal rows. Remove them to avoid double-counting."
+        log.append(("total_rows_detected", f"Detected {seen['totals']} {advice}", seen["totals"], True))
+    if period_headers(kept):
+        advice = "Dataset appears to be in wide/pivot format. Consider unpivoting for analysis."
+        log.append(("wide_format_detected", advice, 0, False))
     styles = {
         "us": "US-locale number",
         "eu": "EU-locale number (period as thousands, comma as decimal)",
         "plain": "plain number",
     }
     for c in (c for c in changed if c in numbers):
-        log.append(("numeric_parsed", f"Column '{c}': parsed as {styles[numbers[c]]}.", filled[c], False))
+        log.append(("numeric_parsed", f"Column '{c}': parsed as {styles[numbers[c]]}.", second[c], False))
     for c in (c for c in changed if c in dates):
         unclear = dates[c]["ambiguous"]
         note = " ⚠ Ambiguous MM/DD vs DD/MM format — assumed MM/DD. Verify with data owner." if unclear else ""
-        log.append(("date_parsed", f"Column '{c}': parsed as date.{note}", filled[c], bool(unclear)))
-    copies = duplicate_rows(typed).first()["duplicate_rows"]
-    if copies:
-        log.append(("duplicate_rows_detected", f"{copies} duplicate rows detected.", copies, True))
+        log.append(("date_parsed", f"Column '{c}': parsed as date.{note}", second[c], bool(unclear)))
+    if second["__duplicates"]:
+        n = second["__duplicates"]
+        log.append(("duplicate_rows_detected", f"{n} duplicate rows detected.", n, True))
     steps = [(i + 1, *entry) for i, entry in enumerate(log)]
     return Cleaned(typed, df.sparkSession.createDataFrame(steps, LOG_SCHEMA))

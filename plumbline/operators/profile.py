@@ -69,12 +69,20 @@ def table_profile(df: DataFrame, date_col: str | None = None) -> DataFrame:
     )
 
 
+def has_email(text: Column) -> Column:
+    return text.contains("@") & text.rlike(fixed.EMAIL_PATTERN)
+
+
+def has_phone(text: Column) -> Column:
+    return text.rlike(fixed.PHONE_PATTERN)
+
+
 def pii_rates(texts: Sequence[str]) -> list[Column]:
     """Share of non-null values that look like an e-mail address or a phone number."""
     return [
-        F.avg(F.col(f"`{c}`").rlike(pattern).cast("int")).alias(f"{c}__{kind}")
+        F.avg(check(F.col(f"`{c}`")).cast("int")).alias(f"{c}__{kind}")
         for c in texts
-        for kind, pattern in (("email_rate", fixed.EMAIL_PATTERN), ("phone_rate", fixed.PHONE_PATTERN))
+        for kind, check in (("email_rate", has_email), ("phone_rate", has_phone))
     ]
 
 

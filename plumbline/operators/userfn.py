@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 SALTS = 64
+MERGE_ROWS = 50_000
 Function = Callable[[pd.DataFrame], pd.DataFrame]
 
 
@@ -24,25 +25,36 @@ def map_function(df: DataFrame, function: Function, schema: str) -> DataFrame:
 def grouped_function(
     df: DataFrame, keys: Sequence[str], partial: Function, merge: Function, schema: str
 ) -> DataFrame:
-    """Summarise each group in Python without ever holding a group in memory.
+    """Summarise every group in Python without ever holding a group in memory.
 
     ``partial`` turns a batch of rows into one row per key seen in it. ``merge`` folds rows of
-    ``schema`` that belong to one key into a single row and must be associative. Partial rows are
-    merged per key and salt first, so the rows of a key that holds a third of the table are
-    spread, and batch by batch, so that no task needs more than one batch at a time.
+    ``schema`` to one row per key and must be associative. Rows are folded where they are read,
+    then per key and salt, so that the rows of a key holding a third of the table are spread over
+    many tasks, and last per key, where at most one row per salt is left.
     """
     names = list(keys)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
+    def folded(batches: Iterator[pd.DataFrame], prepare: Function) -> Iterator[pd.DataFrame]:
+        kept, waiting, rows = None, [], 0
         for batch in batches:
-            batch = batch.drop(columns="__salt", errors="ignore")
-            kept = merge(batch if kept is None else pd.concat([kept, batch], ignore_index=True))
+            waiting.append(prepare(batch))
+            rows += len(waiting[-1])
+            # Merging only when as many rows wait as are kept keeps the work linear.
+            if rows >= max(MERGE_ROWS, 0 if kept is None else len(kept)):
+                kept = merge(pd.concat(waiting if kept is None else [kept, *waiting], ignore_index=True))
+                waiting, rows = [], 0
+        if waiting:
+            kept = merge(pd.concat(waiting if kept is None else [kept, *waiting], ignore_index=True))
         if kept is not None:
             yield kept
 
-    fold.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    parts = map_function(df, partial, schema)
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return folded(batches, partial)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return folded(batches, lambda batch: batch)
+
+    parts = df.mapInPandas(read, schema)
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in parts.columns]), F.lit(SALTS))
-    first = parts.withColumn("__salt", salt).groupBy(*names, "__salt").applyInPandas(fold, schema)
-    return first.groupBy(*names).applyInPandas(fold, schema)
+    first = parts.repartition(*names, salt).mapInPandas(fold, schema)
+    return first.repartition(*names).mapInPandas(fold, schema)

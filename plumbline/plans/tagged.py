@@ -21,19 +21,24 @@ def tag_windows(
 ) -> DataFrame:
     """One output row per (input row, window holding it); rows in neither window are not read.
 
-    Overlapping windows are allowed: a row in both is emitted twice.
+    Overlapping windows are allowed: a row in both is emitted twice. Windows without a common day,
+    the usual case, only add a column.
     """
     in_current = window_predicate(date_col, current)
     in_baseline = window_predicate(date_col, baseline)
-    always = F.lit(True)
     either = None if in_current is None or in_baseline is None else in_current | in_baseline
     pred = all_of([either, filter_predicate(df, filters)])
     rows = df if pred is None else df.where(pred)
-    tags = F.array(
-        F.when(always if in_current is None else in_current, F.lit("current")),
-        F.when(always if in_baseline is None else in_baseline, F.lit("baseline")),
-    )
-    return rows.withColumn(WINDOW, F.explode(F.filter(tags, lambda t: t.isNotNull())))
+    now = F.lit("current") if in_current is None else F.when(in_current, "current")
+    then = F.lit("baseline") if in_baseline is None else F.when(in_baseline, "baseline")
+    if disjoint(current, baseline):
+        return rows.withColumn(WINDOW, F.coalesce(now, then))
+    return rows.withColumn(WINDOW, F.explode(F.array(now, then))).where(F.col(WINDOW).isNotNull())
+
+
+def disjoint(a: TimeWindow, b: TimeWindow) -> bool:
+    """No day lies in both windows."""
+    return bool((a.end and b.start and a.end < b.start) or (b.end and a.start and b.end < a.start))
 
 
 def pivot_windows(

@@ -111,8 +111,8 @@ def p6_customer(t: Tables) -> DataFrame:
 def p6_rows(t: Tables) -> DataFrame:
     return t.documents.groupBy("lang").agg(
         F.count(F.lit(1)).alias("documents"),
-        F.count_if(F.col("text").rlike(fixed.EMAIL_PATTERN)).alias("with_email"),
-        F.count_if(F.col("text").rlike(fixed.PHONE_PATTERN)).alias("with_phone"),
+        F.count_if(profile.has_email(F.col("text"))).alias("with_email"),
+        F.count_if(profile.has_phone(F.col("text"))).alias("with_phone"),
     )
 
 
