@@ -146,7 +146,15 @@ def _count(values: DataFrame, brackets: dict[str, _Bracket], holder: dict[str, s
 def _pick(
     values: DataFrame, brackets: dict[str, _Bracket], holder: dict[str, str]
 ) -> dict[str, tuple[int, float, float]]:
-    """Order the distinct values inside each bracket and read off the two ranks."""
+    """Order the distinct values inside each bracket and read off the two ranks.
+
+    A bracket that has closed on one value, as those of much repeated values do, is the answer.
+    """
+    closed = {label: b for label, b in brackets.items() if b.lo is not None and b.lo == b.hi}
+    answers = {label: (b.n, b.lo, b.hi) for label, b in closed.items()}
+    brackets = {label: b for label, b in brackets.items() if label not in closed}
+    if not brackets:
+        return answers
     inside = {label: b.inside_of(F.col(holder[label])) for label, b in brackets.items()}
     entries = [
         F.when(inside[label], F.struct(F.lit(label).alias("label"), F.col(holder[label]).alias("value")))
@@ -175,7 +183,7 @@ def _pick(
         return F.max(F.when((F.col("before") <= rank) & (rank < F.col("through")), F.col("value")))
 
     rows = ranked.groupBy("label").agg(value_at(1).alias("low"), value_at(2).alias("high")).collect()
-    return {r["label"]: (brackets[r["label"]].n, r["low"], r["high"]) for r in rows}
+    return answers | {r["label"]: (brackets[r["label"]].n, r["low"], r["high"]) for r in rows}
 
 
 def exact_quantiles(
