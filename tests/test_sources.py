@@ -110,10 +110,19 @@ def test_grouped_function_folds_a_hot_key(spark, monkeypatch):
     assert got == want and len(want) == 1001
 
 
-def test_shared_folder_is_read_from_the_session(spark, tmp_path):
-    before = shared_folder(spark)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert work_path(spark, "x").startswith(str(tmp_path))
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_shared_folder_is_read_from_the_session(spark):
+    class Session:
+        """A session whose settings are the given ones."""
+
+        def __init__(self, master, **settings):
+            self.conf, self.sparkContext = self, self
+            self.master, self.applicationId, self.settings = master, "app-1", settings
+
+        def get(self, key, default):
+            return self.settings.get(key.replace(".", "_"), default)
+
+    assert work_path(Session("yarn", spark_checkpoint_dir="s3://x/"), "t") == "s3://x/app-1/t"
+    with pytest.raises(RuntimeError):
+        shared_folder(Session("yarn"))
+    assert shared_folder(Session("local[2]")) == shared_folder(Session("local[2]"))
+    assert work_path(spark, "t").endswith(f"{spark.sparkContext.applicationId}/t")
