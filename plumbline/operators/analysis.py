@@ -97,8 +97,12 @@ def contribution(
 
 
 def with_contribution(segments: DataFrame) -> DataFrame:
-    """Delta, baseline share and contribution of rows holding ``current`` and ``baseline``."""
-    totals = one_row(segments.agg(F.sum("current").alias("current"), F.sum("baseline").alias("baseline")))
+    """Delta, baseline share and contribution of rows with ``current, baseline, rows_used``.
+
+    The totals read all three columns, so that they come from the shuffle the segments use and
+    the table is scanned once.
+    """
+    totals = one_row(segments.agg(*[F.sum(c).alias(c) for c in ("current", "baseline", "rows_used")]))
     delta = F.col("current") - F.col("baseline")
     moved = totals["current"] - totals["baseline"]
     return segments.select(
@@ -211,7 +215,11 @@ def daily_values(
 
 
 def anomaly_stats(daily: DataFrame) -> DataFrame:
-    """A5: one row of spread statistics over a daily series."""
+    """A5: one row of spread statistics over a daily series (``period_date, value, rows_used``)."""
+    return _spread(daily).drop("rows_used")
+
+
+def _spread(daily: DataFrame) -> DataFrame:
     quartiles = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
     reach = F.lit(fixed.IQR_FACTOR) * F.col("iqr")
     return (
@@ -220,9 +228,11 @@ def anomaly_stats(daily: DataFrame) -> DataFrame:
             F.avg("value").alias("mean"),
             F.stddev_samp("value").alias("std"),
             quartiles.alias("q"),
+            F.sum("rows_used").alias("rows_used"),
         )
         .select(
             "total_periods",
+            "rows_used",
             "mean",
             "std",
             F.col("q")[0].alias("q1"),
@@ -236,9 +246,10 @@ def anomaly_stats(daily: DataFrame) -> DataFrame:
 def anomalies(daily: DataFrame) -> DataFrame:
     """A5: days outside 1.5 IQR of the quartiles or more than 2.5 standard deviations out.
 
-    The z rule is off where the deviation is unknown or 0 (one day, constant series).
+    The z rule is off where the deviation is unknown or 0 (one day, constant series). Statistics
+    and days come from the same columns of the series, hence from one scan.
     """
-    s = one_row(anomaly_stats(daily))
+    s = one_row(_spread(daily))
     value = F.col("value")
     far = (s["std"] > 0) & (F.abs((value - s["mean"]) / s["std"]) > fixed.Z_THRESHOLD)
     return daily.where(
@@ -265,62 +276,51 @@ def insight_tree(
     dims = list(dimensions)
     sets = [[d] for d in dims] + ([dims] if len(dims) > 1 else [])
     tagged = tag_windows(df, date_col, current, baseline, filters)
+    # The set without dimensions gives the totals, so they need no scan of their own.
     grouped = tagged.groupingSets(
-        [[F.col(WINDOW), *[F.col(f"`{d}`") for d in s]] for s in sets],
+        [[F.col(WINDOW), *[F.col(f"`{d}`") for d in s]] for s in [*sets, []]],
         F.col(WINDOW),
         *[F.col(f"`{d}`") for d in dims],
     ).agg(metric_column(metric, definitions).cast("double").alias("value"), F.grouping_id().alias("level"))
-    moved = (
-        grouped.groupBy("level", *dims)
-        .agg(
-            *[
-                F.coalesce(F.max(F.when(F.col(WINDOW) == w, F.col("value"))), F.lit(0.0)).alias(w)
-                for w in ("current", "baseline")
-            ]
-        )
-        .withColumn("delta", F.col("current") - F.col("baseline"))
-    )
-    totals = one_row(window_totals(tagged, metric, definitions))
-    # grouping_id sets the bit of every dimension that is rolled up
-    names = F.coalesce(
+    moved = grouped.groupBy("level", *dims).agg(
         *[
-            F.when(F.col("level") == _level(dims, s), F.lit(" / ".join(s)))
-            for s in sets
+            F.coalesce(F.max(F.when(F.col(WINDOW) == w, F.col("value"))), F.lit(0.0)).alias(w)
+            for w in ("current", "baseline")
         ]
     )
-    depths = F.coalesce(
-        *[F.when(F.col("level") == _level(dims, s), F.lit(1 if len(s) == 1 else 2)) for s in sets]
-    )
+    delta = F.col("current") - F.col("baseline")
+    whole = F.col("level") == _level(dims, [])
+    at_level = [F.col("level") == _level(dims, s) for s in sets]
+    names = F.coalesce(*[F.when(at, F.lit(" / ".join(s))) for at, s in zip(at_level, sets)])
+    depths = F.coalesce(*[F.when(at, F.lit(1 if len(s) == 1 else 2)) for at, s in zip(at_level, sets)])
     order = W.partitionBy("level").orderBy(
         F.abs(F.col("delta")).desc(), *[F.col(f"`{d}`").asc_nulls_first() for d in dims]
     )
-    moved_total = totals["current"] - totals["baseline"]
-    return (
-        moved.withColumn("place", F.row_number().over(order))
+    best = (
+        moved.withColumn("delta", delta)
+        .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= top)
+    )
+    # What is left has ``top`` rows per level, so the total can reach them over one small window.
+    moved_total = F.max(F.when(whole, F.col("delta"))).over(W.partitionBy(F.lit(1)))
+    return (
+        best.withColumn("moved", moved_total)
+        .where(~whole)
         .select(
             depths.alias("depth"),
             names.alias("split_by"),
             *dims,
-            F.col("place").alias("place"),
+            "place",
             "current",
             "baseline",
             "delta",
-            F.when(moved_total != 0, F.col("delta") / F.abs(moved_total) * 100)
+            F.when(F.col("moved") != 0, F.col("delta") / F.abs("moved") * 100)
             .otherwise(0.0)
             .alias("contribution_pct"),
         )
     )
 
 
-def window_totals(tagged: DataFrame, metric: str, definitions: Definitions) -> DataFrame:
-    """The metric over each whole window, as one row (0 where a window is empty)."""
-    wide = pivot_windows(tagged, {"value": metric_column(metric, definitions).cast("double")})
-    return wide.select(
-        *[F.coalesce(f"value_{w}", F.lit(0.0)).alias(w) for w in ("current", "baseline")]
-    )
-
-
 def _level(dims: Sequence[str], kept: Sequence[str]) -> int:
-    """The grouping_id of a set: window column first (always kept), then the dimensions."""
+    """The grouping_id of a set: a bit for every dimension that is rolled up, the last one lowest."""
     return sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in kept)

@@ -12,8 +12,9 @@ from plumbline.plans.scalars import one_row
 
 def trend_rows(series: DataFrame, period: str, value: str) -> DataFrame:
     """G1: a series with its chart type: bars for a few periods, else a line."""
-    n = series.agg(F.count(F.lit(1)).alias("n")).scalar()
-    kind = F.when(n <= fixed.FEW_PERIODS, "bar").otherwise("line")
+    # Read with its values, the series is counted from the shuffle that made it.
+    facts = one_row(series.agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("top")))
+    kind = F.when(facts["n"] <= fixed.FEW_PERIODS, "bar").otherwise("line")
     return series.select(F.col(period).alias("period"), F.col(value).alias("value"), kind.alias("chart_type"))
 
 

@@ -11,46 +11,102 @@ from plumbline.operators.profile import (
     contains_any,
     numeric_columns,
     sortable_columns,
-    stacked,
     string_columns,
-    union_all,
 )
 from plumbline.plans.selection import exact_quantiles
 
 ALL_COLUMNS = "(all columns)"
-ISSUE = ["column", "issue_type", "severity", "description", "affected_rows"]
+ISSUE_SCHEMA = "column string, issue_type string, severity string, description string, affected_rows long"
+
+
+class _Check:
+    """Aggregates over the table and the issues that follow from their one-row result."""
+
+    def __init__(self) -> None:
+        self.aggregates: list[Column] = []
+        self.issues: list[Column] = []
+
+    def total(self, aggregate: Column) -> Column:
+        name = f"a{len(self.aggregates)}"
+        self.aggregates.append(aggregate.alias(name))
+        return F.col(name)
+
+    def issue(
+        self, column: str, kind: str, severity: Column | str, description: Column, rows: Column, found: Column
+    ) -> None:
+        row = F.struct(
+            F.lit(column).alias("column"),
+            F.lit(kind).alias("issue_type"),
+            (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"),
+            description.alias("description"),
+            rows.cast("long").alias("affected_rows"),
+        )
+        self.issues.append(F.when(found, row))
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        """All issues found, from one pass over the table."""
+        if not self.issues:
+            return df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
+        result = df.agg(*self.aggregates)
+        listed = result.select(F.explode(F.array(*self.issues)).alias("i"))
+        return listed.where(F.col("i").isNotNull()).select("i.*")
+
+
+def _missing(check: _Check, df: DataFrame) -> None:
+    rows = check.total(F.count(F.lit(1)))
+    for c in df.columns:
+        missing = rows - check.total(F.count(F.col(f"`{c}`")))
+        pct = missing / rows * 100
+        check.issue(
+            c,
+            "missing_values",
+            F.when(pct > fixed.MISSING_ERROR_PCT, "error").otherwise("warning"),
+            F.format_string("%d missing values (%.1f%%)", missing, F.round(pct, 1)),
+            missing,
+            missing > 0,
+        )
+
 
+def _outliers(check: _Check, df: DataFrame, measures: Sequence[str]) -> None:
+    wanted = [(f"{c}__{q}", c, p) for c in measures for q, p in (("q1", 0.25), ("q3", 0.75))]
+    found = exact_quantiles(df, wanted)
+    for c in measures:
+        q1, q3 = found[f"{c}__q1"], found[f"{c}__q3"]
+        if q1 is None or q3 is None:
+            continue
+        reach = fixed.EXTREME_IQR_FACTOR * (q3 - q1)
+        lower, upper = F.lit(q1 - reach), F.lit(q3 + reach)
+        value = F.col(f"`{c}`").cast("double")
+        n = check.total(F.count_if((value < lower) | (value > upper)))
+        text = "%d extreme outliers (beyond 3×IQR: [%.2f, %.2f])"
+        description = F.format_string(text, n, F.round(lower, 2), F.round(upper, 2))
+        check.issue(c, "outliers", "warning", description, n, n > 0)
+
+
+def _negatives(check: _Check, measures: Sequence[str]) -> None:
+    for c in measures:
+        if contains_any(c.lower(), fixed.NON_NEGATIVE_WORDS):
+            n = check.total(F.count_if(F.col(f"`{c}`").cast("double") < 0))
+            text = "%d negative values in '%s' — verify if returns/credits are expected."
+            check.issue(c, "suspicious_values", "warning", F.format_string(text, n, F.lit(c)), n, n > 0)
 
-def _issue(column: Column, kind: str, severity: Column, description: Column, rows: Column) -> list[Column]:
-    return [
-        column.alias("column"),
-        F.lit(kind).alias("issue_type"),
-        severity.alias("severity"),
-        description.alias("description"),
-        rows.cast("long").alias("affected_rows"),
-    ]
+
+def _currencies(check: _Check, columns: Sequence[str]) -> None:
+    rows = check.total(F.count(F.lit(1)))
+    for c in columns:
+        marks = [
+            F.when(check.total(F.max(F.col(f"`{c}`").contains(s))), F.lit(s)) for s in fixed.CURRENCY_SYMBOLS
+        ]
+        seen = F.concat_ws(", ", *marks)
+        text = "Mixed currency symbols detected: %s. Values may not be comparable."
+        check.issue(c, "mixed_currency", "error", F.format_string(text, seen), rows, seen.contains(", "))
 
 
 def missing_issues(df: DataFrame) -> DataFrame:
     """Q1: columns with NULLs; more than 20 % is an error."""
-    wide = df.agg(
-        F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(f"`{c}`")).alias(f"{c}__n") for c in df.columns]
-    )
-    wide = wide.select(
-        *[F.col("__rows").alias(f"{c}__total") for c in df.columns],
-        *[(F.col("__rows") - F.col(f"`{c}__n`")).alias(f"{c}__missing") for c in df.columns],
-    )
-    rows = stacked(wide, df.columns, {"total": "long", "missing": "long"}).where("missing > 0")
-    pct = F.col("missing") / F.col("total") * 100
-    return rows.select(
-        *_issue(
-            F.col("column"),
-            "missing_values",
-            F.when(pct > fixed.MISSING_ERROR_PCT, "error").otherwise("warning"),
-            F.format_string("%d missing values (%.1f%%)", "missing", F.round(pct, 1)),
-            F.col("missing"),
-        )
-    )
+    check = _Check()
+    _missing(check, df)
+    return check.rows(df)
 
 
 def outlier_issues(df: DataFrame, measures: Sequence[str]) -> DataFrame:
@@ -58,91 +114,23 @@ def outlier_issues(df: DataFrame, measures: Sequence[str]) -> DataFrame:
 
     Exact quartiles of all measures come from rank selection; one more pass counts against them.
     """
-    wanted = [(f"{c}__{q}", c, p) for c in measures for q, p in (("q1", 0.25), ("q3", 0.75))]
-    found = exact_quantiles(df, wanted)
-    bounds = {}
-    for c in measures:
-        q1, q3 = found[f"{c}__q1"], found[f"{c}__q3"]
-        if q1 is not None and q3 is not None:
-            reach = fixed.EXTREME_IQR_FACTOR * (q3 - q1)
-            bounds[c] = (q1 - reach, q3 + reach)
-    if not bounds:
-        return _no_issues(df)
-    value = {c: F.col(f"`{c}`").cast("double") for c in bounds}
-    wide = df.agg(
-        *[F.count_if((value[c] < lo) | (value[c] > hi)).alias(f"{c}__n") for c, (lo, hi) in bounds.items()]
-    ).select(
-        "*",
-        *[F.lit(b[i]).alias(f"{c}__{n}") for c, b in bounds.items() for i, n in ((0, "lower"), (1, "upper"))],
-    )
-    rows = stacked(wide, list(bounds), {"n": "long", "lower": "double", "upper": "double"}).where("n > 0")
-    return rows.select(
-        *_issue(
-            F.col("column"),
-            "outliers",
-            F.lit("warning"),
-            F.format_string(
-                "%d extreme outliers (beyond 3×IQR: [%.2f, %.2f])", "n", F.round("lower", 2), F.round("upper", 2)
-            ),
-            F.col("n"),
-        )
-    )
+    check = _Check()
+    _outliers(check, df, measures)
+    return check.rows(df)
 
 
 def negative_issues(df: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Q3: negative values in measures whose name says they should not be."""
-    named = [c for c in measures if contains_any(c.lower(), fixed.NON_NEGATIVE_WORDS)]
-    if not named:
-        return _no_issues(df)
-    wide = df.agg(*[F.count_if(F.col(f"`{c}`").cast("double") < 0).alias(f"{c}__n") for c in named])
-    rows = stacked(wide, named, {"n": "long"}).where("n > 0")
-    return rows.select(
-        *_issue(
-            F.col("column"),
-            "suspicious_values",
-            F.lit("warning"),
-            F.format_string(
-                "%d negative values in '%s' — verify if returns/credits are expected.", "n", "column"
-            ),
-            F.col("n"),
-        )
-    )
+    check = _Check()
+    _negatives(check, measures)
+    return check.rows(df)
 
 
 def currency_issues(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Q4: text columns that carry more than one currency symbol, over every row."""
-    names = list(columns or string_columns(df))
-    if not names:
-        return _no_issues(df)
-    wide = df.agg(
-        F.count(F.lit(1)).alias("__rows"),
-        *[
-            F.max(F.col(f"`{c}`").contains(s)).alias(f"{c}__s{i}")
-            for c in names
-            for i, s in enumerate(fixed.CURRENCY_SYMBOLS)
-        ],
-    )
-    seen = {
-        c: F.concat_ws(
-            ", ",
-            *[F.when(F.col(f"`{c}__s{i}`"), F.lit(s)) for i, s in enumerate(fixed.CURRENCY_SYMBOLS)],
-        )
-        for c in names
-    }
-    wide = wide.select(
-        *[F.col("__rows").alias(f"{c}__total") for c in names],
-        *[seen[c].alias(f"{c}__seen") for c in names],
-    )
-    rows = stacked(wide, names, {"total": "long", "seen": "string"}).where(F.col("seen").contains(", "))
-    return rows.select(
-        *_issue(
-            F.col("column"),
-            "mixed_currency",
-            F.lit("error"),
-            F.format_string("Mixed currency symbols detected: %s. Values may not be comparable.", "seen"),
-            F.col("total"),
-        )
-    )
+    check = _Check()
+    _currencies(check, list(columns or string_columns(df)))
+    return check.rows(df)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -159,25 +147,28 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def duplicate_issues(df: DataFrame) -> DataFrame:
-    return duplicate_rows(df).where("duplicate_rows > 0").select(
-        *_issue(
-            F.lit(ALL_COLUMNS),
-            "duplicates",
-            F.lit("warning"),
-            F.format_string("%d duplicate rows detected.", "duplicate_rows"),
-            F.col("duplicate_rows"),
-        )
+    n = F.col("duplicate_rows")
+    return duplicate_rows(df).where(n > 0).select(
+        F.lit(ALL_COLUMNS).alias("column"),
+        F.lit("duplicates").alias("issue_type"),
+        F.lit("warning").alias("severity"),
+        F.format_string("%d duplicate rows detected.", n).alias("description"),
+        n.alias("affected_rows"),
     )
 
 
 def quality_issues(df: DataFrame, measures: Sequence[str] | None = None) -> DataFrame:
-    """Q1-Q5 in one issue table."""
+    """Q1-Q5 in one issue table.
+
+    Apart from the quartiles and the duplicates, all checks share one pass over the table.
+    """
     names = list(measures if measures is not None else numeric_columns(df))
-    parts = [missing_issues(df)]
-    if names:
-        parts += [outlier_issues(df, names), negative_issues(df, names)]
-    parts += [currency_issues(df), duplicate_issues(df)]
-    return union_all(parts)
+    check = _Check()
+    _missing(check, df)
+    _outliers(check, df, names)
+    _negatives(check, names)
+    _currencies(check, string_columns(df))
+    return check.rows(df).unionByName(duplicate_issues(df))
 
 
 def quality_report(df: DataFrame, issues: DataFrame) -> DataFrame:
@@ -197,8 +188,3 @@ def quality_report(df: DataFrame, issues: DataFrame) -> DataFrame:
         "warning_count",
         "passed",
     )
-
-
-def _no_issues(df: DataFrame) -> DataFrame:
-    schema = "column string, issue_type string, severity string, description string, affected_rows long"
-    return df.sparkSession.createDataFrame([], schema)

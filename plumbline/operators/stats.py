@@ -14,6 +14,7 @@ from plumbline.plans.selection import (
     RankTarget,
     cumulative_counts,
     exact_quantiles,
+    null_safe_join,
     salted_lookup,
     select_ranks,
 )
@@ -32,7 +33,7 @@ def benjamini_hochberg(
 
     ``step_up`` rejects every p up to the largest one under its own threshold. ``trailing``
     rejects only the unbroken run of passing p-values at the top of the ranking; equal p-values
-    are ranked by ``hypothesis``.
+    are ranked by ``hypothesis``. A NULL p-value is no test: it takes no rank and is not rejected.
     """
     keys = list(family)
     ranked = cumulative_counts(df, keys, p)
@@ -70,10 +71,11 @@ def benjamini_hochberg(
         *keys, hypothesis, F.col("rows_through").alias("__place")
     )
     return (
-        rows.join(tied, [*keys, hypothesis], "left")
+        null_safe_join(rows, tied, [*keys, hypothesis], "left")
         .withColumn(
             "rejected",
-            F.when(F.col("__edge").isNull(), F.lit(True))
+            F.when(F.col(p).isNull(), F.lit(False))
+            .when(F.col("__edge").isNull(), F.lit(True))
             .when(F.col(p) == F.col("__edge"), F.col("__place") > F.col("__within"))
             .otherwise(F.col(p) > F.col("__edge")),
         )
@@ -117,21 +119,19 @@ def simpsons_paradox(
 ) -> DataFrame:
     """Does the overall monthly trend differ from the trend most segments show?"""
     trends = trends_by_level(df, metric, dimension, date_col, definitions)
-    overall = trends.where(F.col("whole") == 1).agg(F.max("trend").alias("overall_trend"))
-    votes = (
-        trends.where((F.col("whole") == 0) & F.col("segment").isNotNull())
-        .groupBy("trend")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("segment").alias("first_segment"))
+    votes = trends.groupBy("whole", "trend").agg(
+        F.count("segment").alias("n"), F.min("segment").alias("first_segment")
     )
-    majority = votes.agg(
-        F.sum("n").alias("segments"),
-        F.min_by("trend", F.struct(-F.col("n"), F.col("first_segment"))).alias("majority_trend"),
-        F.max("n").alias("majority_segments"),
-    )
-    top = one_row(overall)["overall_trend"]
+    of_segments = (F.col("whole") == 0) & (F.col("n") > 0)
+    ballot = F.when(of_segments, F.struct(-F.col("n"), F.col("first_segment")))
     detected = (F.col("majority_trend") != F.col("overall_trend")) & (F.col("overall_trend") != "flat")
     return (
-        majority.withColumn("overall_trend", top)
+        votes.agg(
+            F.max(F.when(F.col("whole") == 1, F.col("trend"))).alias("overall_trend"),
+            F.min_by("trend", ballot).alias("majority_trend"),
+            F.max(F.when(of_segments, F.col("n"))).alias("majority_segments"),
+            F.sum(F.when(of_segments, F.col("n"))).alias("segments"),
+        )
         .withColumn("detected", F.coalesce(detected, F.lit(False)))
         .withColumn(
             "description",
@@ -170,7 +170,7 @@ def stability(daily: DataFrame) -> DataFrame:
         "value",
         F.row_number().over(W.orderBy("period_date")).alias("place"),
     )
-    n = one_row(daily.agg(F.count(F.lit(1)).alias("n")))["n"]
+    n = one_row(daily.agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top")))["n"]
     middle = F.floor(n / 2)
     first = F.avg(F.when(F.col("place") <= middle, F.col("value")))
     second = F.avg(F.when(F.col("place") > middle, F.col("value")))
@@ -201,7 +201,8 @@ def group_size(
     groups = df.groupBy(F.col(f"`{dimension}`").alias("group")).agg(F.count(F.lit(1)).alias("row_count"))
     total = one_row(groups.agg(F.sum("row_count").alias("n")))["n"]
     return (
-        groups.where(F.col("group").isNotNull())
+        # Asked of the counted groups, so that the total can use the same shuffle.
+        groups.where(F.when(F.col("group").isNotNull(), F.col("row_count")) > 0)
         .withColumn("share", F.col("row_count") / total)
         .withColumn(
             "reason",
@@ -240,10 +241,8 @@ def outlier_sensitivity(
     else:
         # A row is in the full set always, and in the reduced set when it is not an outlier.
         kept = F.col(f"`{column}`").cast("double") <= threshold
-        tagged = df.withColumn(
-            "__set", F.explode(F.filter(F.array(F.lit("all"), F.when(kept, "kept")), lambda s: s.isNotNull()))
-        )
-        sets = tagged.groupBy("__set").agg(full.alias("value"))
+        tagged = df.withColumn("__set", F.explode(F.array(F.lit("all"), F.when(kept, "kept"))))
+        sets = tagged.where(F.col("__set").isNotNull()).groupBy("__set").agg(full.alias("value"))
         both = sets.agg(
             *[
                 F.max(F.when(F.col("__set") == s, F.col("value"))).alias(name)

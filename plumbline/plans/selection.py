@@ -213,33 +213,41 @@ def exact_quantiles(
     return found
 
 
-def cumulative_counts(df: DataFrame, family: Sequence[str], value: str) -> DataFrame:
-    """Per family and distinct value: ``rows``, ``rows_before``, ``rows_through``, ``family_rows``."""
+def cumulative_counts(
+    df: DataFrame, family: Sequence[str], value: str, buckets: int = FAMILY_BUCKETS
+) -> DataFrame:
+    """Per family and distinct value: ``rows``, ``rows_before``, ``rows_through``, ``family_rows``.
+
+    NULL values are left out; NULL is a family like any other.
+    """
     keys = list(family)
-    distinct = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("rows"))
-    cuts = distinct.groupBy(*keys).agg(
-        _sketch(f"`{value}`", FAMILY_BUCKETS).alias("__cuts")
+    counted = df.where(F.col(value).isNotNull())
+    distinct = counted.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("rows"))
+    # The sketch reads the counts too, so that it uses the shuffle that made them.
+    counted_value = distinct.withColumn("__value", F.when(F.col("rows") > 0, F.col(value)))
+    cuts = counted_value.groupBy(*keys).agg(
+        _sketch("__value", buckets).alias("__cuts"), F.sum("rows").alias("family_rows")
     )
     bucketed = salted_lookup(distinct, cuts, keys, spread_by=[value]).select(
         *keys,
         value,
         "rows",
+        "family_rows",
         F.size(F.filter("__cuts", lambda c: c < F.col(value))).alias("__bucket"),
     )
-    of_family = W.partitionBy(*keys)
+    in_order = W.partitionBy(*keys).orderBy("__bucket")
     offsets = (
         bucketed.groupBy(*keys, "__bucket")
         .agg(F.sum("rows").alias("__rows"))
         .select(
             *keys,
             "__bucket",
-            (F.sum("__rows").over(of_family.orderBy("__bucket")) - F.col("__rows")).alias("__offset"),
-            F.sum("__rows").over(of_family).alias("family_rows"),
+            (F.sum("__rows").over(in_order) - F.col("__rows")).alias("__offset"),
         )
     )
     in_bucket = W.partitionBy(*keys, "__bucket").orderBy(value)
     return (
-        bucketed.join(offsets, [*keys, "__bucket"])
+        null_safe_join(bucketed, offsets, [*keys, "__bucket"])
         .withColumn("rows_through", F.col("__offset") + F.sum("rows").over(in_bucket))
         .select(
             *keys,
@@ -252,6 +260,13 @@ def cumulative_counts(df: DataFrame, family: Sequence[str], value: str) -> DataF
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join that pairs NULL keys with NULL keys and keeps the left key columns."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(f"`__right_{k}`")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def salted_lookup(
     big: DataFrame,
     lookup: DataFrame,
@@ -259,7 +274,7 @@ def salted_lookup(
     spread_by: Sequence[str],
     how: str = "left",
 ) -> DataFrame:
-    """Join a one-row-per-key table onto a table whose keys may be skewed.
+    """Join a one-row-per-key table onto a table whose keys may be skewed; NULL keys pair up.
 
     The lookup side is repeated once per salt and each big row picks a salt from its own values,
     so the rows of a hot key are spread over ``SALTS`` tasks. The salt is a hash, not a random
@@ -267,5 +282,5 @@ def salted_lookup(
     """
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread_by]), F.lit(SALTS)).cast("int")
     repeated = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("__salt", salt).join(repeated, [*keys, "__salt"], how).drop("__salt")
-
+    joined = null_safe_join(big.withColumn("__salt", salt), repeated, [*keys, "__salt"], how)
+    return joined.drop("__salt")

@@ -54,7 +54,7 @@ def sniff_delimiters(lines: DataFrame) -> DataFrame:
 
 def sniff_encodings(lines: DataFrame) -> DataFrame:
     """S3: per file the encoding its byte order mark names, else UTF-8 if every line is valid."""
-    raw = F.hex(F.col("line").cast("binary"))
+    raw = F.hex(F.substring(F.col("line").cast("binary"), 1, 3))
     mark = F.lit(None).cast("string")
     for prefix, name in BYTE_ORDER_MARKS.items():
         mark = F.when(raw.startswith(prefix), F.lit(name)).otherwise(mark)
@@ -72,52 +72,45 @@ def cells(line: Column, delimiter: str) -> Column:
 
 
 def header_rows(lines: DataFrame, delimiter: str) -> DataFrame:
-    """Per file the number of lines above the first one that fills over half of the columns.
+    """Per file the number of lines above the first one that fills over half of the columns,
+    and that line.
 
     The width of a file is that of its widest line. Lines fold to one row per file, split and
-    number of filled cells, so nothing but those small counts is brought together.
+    number of filled cells, so nothing but those few counts and lines is brought together.
     """
     parts = cells(F.col("line"), delimiter)
     filled = F.size(F.filter(parts, lambda c: F.trim(c) != ""))
     folded = (
         lines.withColumns({"width": F.size(parts), "filled": filled})
         .groupBy("file", "split", "filled")
-        .agg(F.min("at").alias("first_at"), F.max("width").alias("width"), F.count(F.lit(1)).alias("n"))
-    )
-    of_file = W.partitionBy("file")
-    of_split = W.partitionBy("file", "split")
-    splits = (
-        folded.withColumn("width", F.max("width").over(of_file))
-        .withColumn("split_at", F.min("first_at").over(of_split))
-        .groupBy("file", "split", "width")
         .agg(
-            F.sum("n").alias("n"),
-            F.min(
-                F.when(
-                    F.col("filled") > F.col("width") * fixed.HEADER_MIN_FILLED,
-                    F.col("first_at") - F.col("split_at"),
-                )
-            ).alias("offset"),
+            F.min(F.struct("at", "line")).alias("first"),
+            F.max("width").alias("width"),
+            F.count(F.lit(1)).alias("n"),
         )
     )
+    of_file = W.partitionBy("file")
+    widths = folded.withColumn("width", F.max("width").over(of_file))
+    splits = widths.groupBy("file", "split", "width").agg(
+        F.sum("n").alias("n"),
+        F.min("first").alias("first"),
+        F.min(F.when(F.col("filled") > F.col("width") * fixed.HEADER_MIN_FILLED, F.col("first"))).alias("header"),
+    )
     above = F.sum("n").over(of_file.orderBy("split")) - F.col("n")
-    return (
-        splits.withColumn("header_row", above + F.col("offset"))
-        .groupBy("file")
-        .agg(
-            F.coalesce(F.min("header_row"), F.lit(0)).alias("header_row"),
-            F.max("width").cast("long").alias("columns"),
-            F.sum("n").alias("lines"),
-        )
+    place = above + F.col("header.at") - F.col("first.at")
+    numbered = splits.withColumn("place", place).groupBy("file").agg(
+        F.min(F.when(F.col("place").isNotNull(), F.struct("place", "header.line"))).alias("header"),
+        F.min_by("first.line", "split").alias("first_line"),
+        F.max("width").cast("long").alias("columns"),
+        F.sum("n").alias("lines"),
     )
-
-
-def line_at(lines: DataFrame, header: DataFrame) -> DataFrame:
-    """The header line of each file, from the header row numbers of :func:`header_rows`."""
-    numbered = lines.join(header.select("file", "header_row"), "file").withColumn(
-        "line_no", F.row_number().over(W.partitionBy("file").orderBy("split", "at"))
+    return numbered.select(
+        "file",
+        F.coalesce("header.place", F.lit(0)).alias("header_row"),
+        F.coalesce("header.line", "first_line").alias("line"),
+        "columns",
+        "lines",
     )
-    return numbered.where(F.col("line_no") == F.col("header_row") + 1).select("file", "line")
 
 
 def filled_headers(headers: DataFrame, delimiter: str) -> DataFrame:

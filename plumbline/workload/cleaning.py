@@ -104,8 +104,7 @@ def s4(t: Tables) -> DataFrame:
 
 @query("s5_header_fill")
 def s5(t: Tables) -> DataFrame:
-    lines = _titled_files(t)
-    headers = delimited.line_at(lines, delimited.header_rows(lines, ";"))
+    headers = delimited.header_rows(_titled_files(t), ";")
     return delimited.filled_headers(headers, ";").select("position", "name")
 
 

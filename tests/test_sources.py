@@ -41,7 +41,7 @@ def test_header_row_and_merged_names(spark, tmp_path):
     lines = delimited.file_lines(spark, str(tmp_path))
     rows = delimited.header_rows(lines, ";")
     assert {r["file"][-5:]: r["header_row"] for r in rows.collect()} == {"a.txt": 2, "b.txt": 0}
-    names = delimited.filled_headers(delimited.line_at(lines, rows), ";").orderBy("file", "position").collect()
+    names = delimited.filled_headers(rows, ";").orderBy("file", "position").collect()
     assert [r["name"] for r in names] == ["Region", "Region_2", "Sales", "Cost", "k", "v"]
 
 
@@ -53,7 +53,7 @@ def test_header_row_of_a_file_in_many_splits(spark, tmp_path):
         assert lines.select("split").distinct().count() > 5
         rows = delimited.header_rows(lines, ";")
         assert [(r["header_row"], r["lines"]) for r in rows.collect()] == [(3000, 6001)]
-        assert [r["line"] for r in delimited.line_at(lines, rows).collect()] == ["a;b;c"]
+        assert [r["line"] for r in rows.collect()] == ["a;b;c"]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
