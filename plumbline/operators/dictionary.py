@@ -39,6 +39,25 @@ def propose_dictionary(df: DataFrame, whole_words: bool = False) -> DataFrame:
     return stacked(wide, names, {"role": "string", "currency_symbol": "string"})
 
 
+def with_overrides(proposed: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """The proposal with the rows a user has confirmed (``column, role, currency_symbol``) in place."""
+    theirs = confirmed.select(
+        "column",
+        F.col("role").alias("__role"),
+        F.col("currency_symbol").alias("__currency"),
+        F.lit(True).alias("is_confirmed"),
+    )
+    joined = proposed.join(theirs, "column", "left")
+    known = F.coalesce("is_confirmed", F.lit(False))
+    return joined.select(
+        "position",
+        "column",
+        F.when(known, F.col("__role")).otherwise(F.col("role")).alias("role"),
+        F.when(known, F.col("__currency")).otherwise(F.col("currency_symbol")).alias("currency_symbol"),
+        known.alias("is_confirmed"),
+    )
+
+
 def _named(column: str, words: list[str], whole_words: bool) -> bool:
     if not whole_words:
         return contains_any(column.lower(), words)

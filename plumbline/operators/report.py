@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 ANOMALY_WORD = "anomal"
+KEY_FINDINGS = 10
 
 
 def findings_rollup(findings: DataFrame) -> DataFrame:
@@ -17,3 +18,36 @@ def findings_rollup(findings: DataFrame) -> DataFrame:
 
 def anomaly_findings(findings: DataFrame) -> DataFrame:
     return findings.where(F.lower("claim").contains(ANOMALY_WORD))
+
+
+def report_lines(
+    findings: DataFrame, manifest: DataFrame, assumptions: DataFrame, transformations: DataFrame
+) -> DataFrame:
+    """``(section, line)``: the texts of a report, section by section.
+
+    The summary counts all findings; the key findings are the first ten by id; anomalies,
+    datasets, assumptions and transformations are listed in full.
+    """
+    summary = findings.agg(F.count(F.lit(1)).alias("n")).select(
+        F.format_string("Analysis complete. %d findings identified.", "n").alias("line")
+    )
+    key = findings.orderBy("finding_id").limit(KEY_FINDINGS).select(F.col("claim").alias("line"))
+    datasets = manifest.select(
+        F.format_string(
+            "%s: %d rows, %d columns", F.col("dataset_id").cast("string"), "row_count", "column_count"
+        ).alias("line")
+    )
+    steps = transformations.select(F.concat_ws(": ", "step_type", "description").alias("line"))
+    sections = {
+        "executive_summary": summary,
+        "dataset_overview": datasets,
+        "key_findings": key,
+        "anomalies": anomaly_findings(findings).select(F.col("claim").alias("line")),
+        "assumptions_definitions": assumptions.select(F.col("text").alias("line")),
+        "transformations": steps,
+    }
+    rows = [df.select(F.lit(name).alias("section"), "line") for name, df in sections.items()]
+    lines = rows[0]
+    for more in rows[1:]:
+        lines = lines.unionByName(more)
+    return lines

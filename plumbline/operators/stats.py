@@ -224,9 +224,11 @@ def outlier_sensitivity(
 ) -> DataFrame:
     """The metric with all rows and without the outlying top of ``raw_col``.
 
-    ``top`` leaves out rows above the (1 - top_pct) quantile. ``reference`` cuts at the value
+    ``top`` leaves out rows above the (1 - top_pct) quantile. ``lowest`` cuts at the value
     ``n * (1 - top_pct)`` places from the top, which keeps only the lowest rows.
     """
+    if variant not in ("top", "lowest"):
+        raise ValueError(f"unknown variant {variant!r}")
     named = quoted_columns((definitions or {}).get(metric, f'"{metric}"'))
     column = raw_col or (named[0] if named else None)
     full = metric_column(metric, definitions).cast("double")

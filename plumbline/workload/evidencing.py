@@ -324,3 +324,57 @@ def h1(t: Tables) -> DataFrame:
     return report.findings_rollup(made.join(checked, "finding_id"))
 
 
+
+
+@query(
+    "h1_report_lines",
+    """
+      with f as (select 1000000 + l_suppkey as finding_id, 'Anomalies in supplier ' || l_suppkey || ': ' || count(*)
+              || ' returns.' as claim from lineitem where l_returnflag = 'R' group by l_suppkey
+            union all
+            select o_custkey, 'Customer ' || o_custkey || ' placed ' || count(*) || ' orders.' from orders
+            group by o_custkey)
+      select 'executive_summary' as section, 'Analysis complete. ' || count(*) || ' findings identified.' as line from f
+      union all select 'dataset_overview', 'orders: ' || count(*) || ' rows, 6 columns' from orders
+      union all select 'dataset_overview', 'lineitem: ' || count(*) || ' rows, 11 columns' from lineitem
+      union all select 'key_findings', claim from (select claim from f order by finding_id limit 10)
+      union all select 'anomalies', claim from f where contains(lower(claim), 'anomal')
+      union all select 'assumptions_definitions', 'Priority ' || o_orderpriority || ' is final.' from orders group by
+        o_orderpriority
+      union all select 'transformations', 'empty_rows_removed: status ' || o_orderstatus || ', ' || count(*) || ' rows'
+        from orders group by o_orderstatus""",
+)
+def h1_lines(t: Tables) -> DataFrame:
+    returned = t.lineitem.where("l_returnflag = 'R'").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    placed = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    findings = returned.select(
+        (F.col("l_suppkey") + 1000000).alias("finding_id"),
+        F.format_string("Anomalies in supplier %d: %d returns.", "l_suppkey", "n").alias("claim"),
+    ).unionByName(
+        placed.select(
+            F.col("o_custkey").alias("finding_id"),
+            F.format_string("Customer %d placed %d orders.", "o_custkey", "n").alias("claim"),
+        )
+    )
+    manifest = union_all(
+        [
+            df.agg(F.count(F.lit(1)).alias("row_count")).select(
+                F.lit(name).alias("dataset_id"), "row_count", F.lit(len(df.columns)).alias("column_count")
+            )
+            for name, df in (("orders", t.orders), ("lineitem", t.lineitem))
+        ]
+    )
+    assumptions = (
+        t.orders.select("o_orderpriority")
+        .distinct()
+        .select(F.format_string("Priority %s is final.", "o_orderpriority").alias("text"))
+    )
+    steps = (
+        t.orders.groupBy("o_orderstatus")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(
+            F.lit("empty_rows_removed").alias("step_type"),
+            F.format_string("status %s, %d rows", "o_orderstatus", "n").alias("description"),
+        )
+    )
+    return report.report_lines(findings, manifest, assumptions, steps)

@@ -272,6 +272,31 @@ def d1(t: Tables) -> DataFrame:
     return dictionary.propose_dictionary(t.customer)
 
 
+@query(
+    "d1_confirmed_roles",
+    "select position, \"column\", case when \"column\" = 'c_nationkey' then 'dimension' else role end as role, "
+    "case when \"column\" = 'c_nationkey' then '$' else currency_symbol end as currency_symbol, "
+    "\"column\" = 'c_nationkey' as is_confirmed from ("
+    + _role_sql(
+        "customer",
+        {
+            "c_custkey": "key number",
+            "c_name": "text",
+            "c_nationkey": "key number",
+            "c_acctbal": "number",
+            "c_mktsegment": "text",
+        },
+    )
+    + ")",
+)
+def d1_confirmed(t: Tables) -> DataFrame:
+    proposed = dictionary.propose_dictionary(t.customer)
+    confirmed = proposed.where("column = 'c_nationkey'").select(
+        "column", F.lit("dimension").alias("role"), F.lit("$").alias("currency_symbol")
+    )
+    return dictionary.with_overrides(proposed, confirmed)
+
+
 @query(
     "d1_column_roles_events",
     _role_sql(

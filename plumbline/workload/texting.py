@@ -10,7 +10,7 @@ from plumbline.operators import grounding
 from plumbline.operators.profile import union_all
 from plumbline.workload.evidencing import phrases_sql, rewrite_sql
 from plumbline.workload.inputs import CLAIMS, QUESTIONS, claims, questions
-from plumbline.workload.registry import Tables, query, rounded
+from plumbline.workload.registry import Tables, query
 
 
 @query(
@@ -56,10 +56,10 @@ def _numbers_sql(table: str, key: str, text: str) -> str:
 
 @query(
     "v3_extract_numbers",
-    f"select doc_id, place, token, round(number, 6) as number from {_numbers_sql('documents', 'doc_id', 'text')}",
+    f"select doc_id, place, token, number from {_numbers_sql('documents', 'doc_id', 'text')}",
 )
 def v3(t: Tables) -> DataFrame:
-    return rounded(grounding.number_rows(t.documents, "text", ["doc_id"]), 6, "number")
+    return grounding.number_rows(t.documents, "text", ["doc_id"])
 
 
 @query("v3_narrow_numbers")

@@ -44,6 +44,34 @@ def test_grounding_has_no_pairwise_join(spark, lineitem):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def executed(df):
+    """The plan as it ran, without the plans it started from."""
+    df.collect()
+    kept, hidden = [], None
+    for line in plan(df).splitlines():
+        depth = len(line) - len(line.lstrip(" :|+-"))
+        if hidden is not None and (depth > hidden or (depth == hidden and "==" not in line)):
+            continue
+        hidden = depth if "== Initial Plan ==" in line else None
+        if hidden is None:
+            kept.append(line)
+    return "\n".join(kept)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["a3_contribution_parts", "a5_anomalies", "a7_insight_tree", "t2_simpson", "t4_stability", "t5_group_size",
+     "g1_trend_rows", "g2_topn_other", "g4_composition_suppliers", "a4_price_by_segment", "q1_missing"],
+)
+def test_totals_need_no_second_scan(spark, name):
+    assert executed(QUERIES[name](spark, FOLDER)).count("FileScan") == 1
+
+
+@pytest.mark.parametrize("name", ["a7_insight_tree", "s2_delimiter_sniff"])
+def test_top_rows_are_cut_before_the_shuffle(spark, name):
+    assert plan(QUERIES[name](spark, FOLDER)).count("WindowGroupLimit") >= 2
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_pairwise_joins_and_no_python_rows(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
