@@ -8,8 +8,9 @@ answer is exact whatever the sketch error, because a bracket that does not hold
 again, and the bounds reach the scan as literals, so row groups outside them are skipped.
 
 ``cumulative_counts`` gives every distinct value of a family its exact rank. Values are grouped
-first, so a value holding a third of all rows is one row, and a family is cut at its own quantiles
-into buckets that are ordered separately, so a family holding a third of all values is spread out.
+first, so a value holding a third of all rows is one row. The values of all families are cut at
+common quantiles into buckets of equal size, and each family is ordered bucket by bucket: no group
+is larger than a bucket, however many of the values belong to one family.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from plumbline.plans.scalars import one_row
+
 GRID = 500
 SMALL_BRACKET = 1_000_000
-FAMILY_BUCKETS = 256
+BUCKETS = 256
 SALTS = 16
 
 
@@ -214,35 +217,28 @@ def exact_quantiles(
 
 
 def cumulative_counts(
-    df: DataFrame, family: Sequence[str], value: str, buckets: int = FAMILY_BUCKETS
+    df: DataFrame, family: Sequence[str], value: str, buckets: int = BUCKETS
 ) -> DataFrame:
     """Per family and distinct value: ``rows``, ``rows_before``, ``rows_through``, ``family_rows``.
 
-    NULL values are left out; NULL is a family like any other.
+    NULL values are left out; NULL is a family like any other. ``buckets`` is a power of two.
     """
     keys = list(family)
     counted = df.where(F.col(value).isNotNull())
     distinct = counted.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("rows"))
     # The sketch reads the counts too, so that it uses the shuffle that made them.
-    counted_value = distinct.withColumn("__value", F.when(F.col("rows") > 0, F.col(value)))
-    cuts = counted_value.groupBy(*keys).agg(
-        _sketch("__value", buckets).alias("__cuts"), F.sum("rows").alias("family_rows")
-    )
-    bucketed = salted_lookup(distinct, cuts, keys, spread_by=[value]).select(
-        *keys,
-        value,
-        "rows",
-        "family_rows",
-        F.size(F.filter("__cuts", lambda c: c < F.col(value))).alias("__bucket"),
-    )
-    in_order = W.partitionBy(*keys).orderBy("__bucket")
+    seen = distinct.select(F.when(F.col("rows") > 0, F.col(value)).alias("v"), "rows")
+    cuts = one_row(seen.agg(_sketch("v", buckets).alias("cuts"), F.sum("rows").alias("rows")))["cuts"]
+    bucketed = _with_bucket(distinct.withColumn("__cuts", cuts), value, buckets).drop("__cuts")
+    of_family = W.partitionBy(*keys)
     offsets = (
         bucketed.groupBy(*keys, "__bucket")
         .agg(F.sum("rows").alias("__rows"))
         .select(
             *keys,
             "__bucket",
-            (F.sum("__rows").over(in_order) - F.col("__rows")).alias("__offset"),
+            (F.sum("__rows").over(of_family.orderBy("__bucket")) - F.col("__rows")).alias("__offset"),
+            F.sum("__rows").over(of_family).alias("family_rows"),
         )
     )
     in_bucket = W.partitionBy(*keys, "__bucket").orderBy(value)
@@ -260,6 +256,17 @@ def cumulative_counts(
     )
 
 
+def _with_bucket(df: DataFrame, value: str, buckets: int) -> DataFrame:
+    """Number of inner cut points below the value, found by halving: one comparison per step."""
+    df = df.withColumn("__bucket", F.lit(0))
+    step = buckets // 2
+    while step:
+        above = F.col("__cuts")[F.col("__bucket") + step] < F.col(value)
+        df = df.withColumn("__bucket", F.col("__bucket") + F.when(above, step).otherwise(0))
+        step //= 2
+    return df
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that pairs NULL keys with NULL keys and keeps the left key columns."""
     renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
