@@ -25,13 +25,14 @@ NARROW_NUMBER = (
 def causal_phrases(text: Column) -> Column:
     """V1: the causal phrases a text contains, in the order of the list.
 
-    A plain search of the lowered text comes first; only its hits are checked for word bounds.
+    The text is lowered once and searched plainly; only hits are checked for word bounds.
     """
-    low = F.lower(text)
-    found = [
-        F.when(low.contains(p) & low.rlike(rf"\b{p}\b"), F.lit(p)) for p in fixed.CAUSAL_REWRITES
-    ]
-    return F.array_compact(F.array(*found))
+
+    def found(low: Column) -> Column:
+        hits = [F.when(low.contains(p) & low.rlike(rf"\b{p}\b"), F.lit(p)) for p in fixed.CAUSAL_REWRITES]
+        return F.array_compact(F.array(*hits))
+
+    return F.transform(F.array(F.lower(text)), found)[0]
 
 
 def causal_violations(phrases: Column) -> Column:

@@ -31,14 +31,15 @@ def join_safety(
     """One row of key, coverage, fan-out and measure checks with the verdict."""
     pairs = key_overlap(left, right, left_key, right_key, measures)
     matched = F.col("lk").isNotNull() & F.col("rk").isNotNull()
-    joined_rows = F.col("left_rows") * F.col("right_rows")
+    # As doubles: the rows of a fan-out can outgrow a long.
+    joined_rows = F.col("left_rows").cast("double") * F.col("right_rows")
     facts = pairs.agg(
         F.count("lk").alias("left_keys"),
         F.count("rk").alias("right_keys"),
         F.count_if(matched).alias("matched_keys"),
         F.coalesce(F.sum("left_rows"), F.lit(0)).alias("left_rows"),
         F.coalesce(F.sum("right_rows"), F.lit(0)).alias("right_rows"),
-        F.coalesce(F.sum(F.when(matched, joined_rows)), F.lit(0)).alias("joined_rows"),
+        F.coalesce(F.sum(F.when(matched, joined_rows)), F.lit(0.0)).alias("joined_rows"),
         *[F.sum(f"sum_{i}").alias(f"before_{i}") for i in range(len(measures))],
         *[
             F.sum(F.when(matched, F.col(f"sum_{i}") * F.col("right_rows"))).alias(f"after_{i}")
