@@ -41,7 +41,8 @@ DATE_NAME_WORDS = ["date", "time", "year", "month", "day", "period"]
 IDENTIFIER_NAME_WORDS = ["id", "uuid", "key", "code", "sku", "number"]
 IDENTIFIER_DISTINCT_RATE = 0.8
 MEASURE_DIGIT_RATE = 0.8
-MEASURE_STRIP_CLASS = r"[$€£¥₹,. %]"
+# Digits among currency signs, separators, blanks and percent signs.
+MEASURE_TEXT_PATTERN = r"^[$€£¥₹,. %]*\d[\d$€£¥₹,. %]*$"
 DIMENSION_MAX_DISTINCT = 50
 DIMENSION_MAX_RATE = 0.5
 CURRENCY_RATE = 0.3

@@ -8,30 +8,44 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline import fixed_values as fixed
 from plumbline.operators.profile import contains_any, sortable_columns, stacked, string_columns
-from plumbline.plans.scalars import one_row
 
+# The sketch has 512 registers. Up to 50 distinct values fill at most 50 of them, and it then
+# reports 512 * ln(512 / 462), about 53, at most: more than that is more than 50 for certain.
+SKETCH_ERROR = 0.05
+SKETCH_LIMIT = 100
 _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def propose_dictionary(df: DataFrame, whole_words: bool = False) -> DataFrame:
-    """``(column, role, currency_symbol)``; the rows may be replaced by the user's own.
+    """``(position, column, role, currency_symbol)``; rows may be replaced by the user's own.
 
-    Distinct counts are taken only where a rule asks for one: for names that look like keys and
-    for text columns. Everything else is decided by name and type or by the one wide aggregate.
+    One wide aggregate, whose single row comes back to the driver, settles most columns. Exact
+    distinct counts are taken only where they can decide: of columns named like keys, and of text
+    columns with few values. A sketch tells the others apart for certain (see ``SKETCH_LIMIT``),
+    so long free text is never shuffled.
     """
     names = sortable_columns(df)
-    texts = set(string_columns(df))
+    texts = [c for c in string_columns(df) if c in names]
     kinds = {f.name: f.dataType for f in df.schema.fields}
     by_name = {c: _role_by_name(c, kinds[c], whole_words) for c in names}
-    need = [c for c in names if by_name[c] is None and (_key_like(c, whole_words) or c in texts)]
+    open_texts = [c for c in texts if by_name[c] is None and not _key_like(c, whole_words)]
 
-    wide = df.agg(
+    first = df.agg(
         F.count(F.lit(1)).alias("__rows"),
         *[f.alias(n) for c in texts for n, f in _text_rates(c).items()],
+        *[F.approx_count_distinct(F.col(f"`{c}`"), SKETCH_ERROR).alias(f"{c}__sketch") for c in open_texts],
     )
-    for c in need:
-        distinct = df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        wide = wide.withColumn(f"{c}__distinct", one_row(distinct.agg(F.count("v").alias("n")))["n"])
+    facts = first.first()
+    wide = df.sparkSession.createDataFrame([facts], first.schema)
+    exact = [c for c in names if by_name[c] is None and _key_like(c, whole_words)]
+    exact += [c for c in open_texts if facts[f"{c}__sketch"] <= SKETCH_LIMIT]
+    counts = {}
+    for c in exact:
+        values = df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        counts[f"{c}__distinct"] = values.agg(F.count("v").alias("n")).scalar()
+    for c in open_texts:
+        counts.setdefault(f"{c}__distinct", F.lit(None).cast("long"))
+    wide = wide.withColumns(counts) if counts else wide
     wide = wide.select(
         *[_role(c, by_name[c], kinds[c], c in texts, whole_words).alias(f"{c}__role") for c in names],
         *[_currency(c, c in texts).alias(f"{c}__currency_symbol") for c in names],
@@ -75,8 +89,7 @@ def _key_like(column: str, whole_words: bool) -> bool:
 
 def _text_rates(column: str) -> dict[str, Column]:
     value = F.col(f"`{column}`")
-    digits = F.regexp_replace(value, fixed.MEASURE_STRIP_CLASS, "").rlike(r"^\d+$")
-    rates = {f"{column}__digits": F.avg(digits.cast("int"))}
+    rates = {f"{column}__digits": F.avg(value.rlike(fixed.MEASURE_TEXT_PATTERN).cast("int"))}
     for i, s in enumerate(fixed.CURRENCY_SYMBOLS):
         rates[f"{column}__s{i}"] = F.avg(value.contains(s).cast("int"))
     return rates

@@ -285,6 +285,13 @@ def test_roles(spark):
     assert whole["paid"] == "measure"
 
 
+def test_sketch_never_hides_a_dimension(spark):
+    for n in (1, 10, 49, 50):
+        df = spark.range(5000).select(F.concat(F.lit("v"), (F.col("id") % n).cast("string")).alias("t"))
+        assert df.agg(F.approx_count_distinct("t", dictionary.SKETCH_ERROR)).first()[0] <= 53
+        assert dictionary.propose_dictionary(df).first()["role"] == ("dimension" if n < 50 else "other")
+
+
 def test_quality_of_a_clean_table(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "a int, price double")
     issues = quality.quality_issues(df)
