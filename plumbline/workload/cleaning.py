@@ -253,20 +253,6 @@ def c8_table(t: Tables) -> DataFrame:
     return clean.clean(_raw_table(t)).table
 
 
-def _partial(batch: pd.DataFrame) -> pd.DataFrame:
-    cents = (batch["l_extendedprice"] * 100).round().astype("int64")
-    spread = batch.assign(cents=cents).groupby("l_suppkey")["cents"]
-    return spread.agg(lines="count", lowest="min", highest="max", total="sum").reset_index()
-
-
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    return (
-        rows.groupby("l_suppkey")
-        .agg(lines=("lines", "sum"), lowest=("lowest", "min"), highest=("highest", "max"), total=("total", "sum"))
-        .reset_index()
-    )
-
-
 @query(
     "u1_grouped_function",
     """with c as (select l_suppkey, round(l_extendedprice * 100)::bigint as cents from lineitem)
@@ -274,21 +260,30 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
        from c group by 1""",
 )
 def u1(t: Tables) -> DataFrame:
+    # Inner functions travel to the workers by value, so those need not have this module.
+    def partial(batch: pd.DataFrame) -> pd.DataFrame:
+        cents = (batch["l_extendedprice"] * 100).round().astype("int64")
+        spread = batch.assign(cents=cents).groupby("l_suppkey")["cents"]
+        return spread.agg(lines="count", lowest="min", highest="max", total="sum").reset_index()
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        kinds = {"lines": "sum", "lowest": "min", "highest": "max", "total": "sum"}
+        return rows.groupby("l_suppkey").agg(kinds).reset_index()
+
     schema = "l_suppkey long, lines long, lowest long, highest long, total long"
     return userfn.grouped_function(
-        t.lineitem.select("l_suppkey", "l_extendedprice"), ["l_suppkey"], _partial, _merge, schema
+        t.lineitem.select("l_suppkey", "l_extendedprice"), ["l_suppkey"], partial, merge, schema
     )
 
 
-def _with_net(batch: pd.DataFrame) -> pd.DataFrame:
-    net = (batch["l_extendedprice"] * (1 - batch["l_discount"])).round(4)
-    return pd.DataFrame({"l_orderkey": batch["l_orderkey"], "l_linenumber": batch["l_linenumber"], "net": net})
-
-
 @query(
     "u1_map_function",
     "select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as net from lineitem",
 )
 def u1_map(t: Tables) -> DataFrame:
+    def with_net(batch: pd.DataFrame) -> pd.DataFrame:
+        net = (batch["l_extendedprice"] * (1 - batch["l_discount"])).round(4)
+        return pd.DataFrame({"l_orderkey": batch["l_orderkey"], "l_linenumber": batch["l_linenumber"], "net": net})
+
     columns = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
-    return userfn.map_function(columns, _with_net, "l_orderkey long, l_linenumber int, net double")
+    return userfn.map_function(columns, with_net, "l_orderkey long, l_linenumber int, net double")
