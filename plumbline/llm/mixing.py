@@ -22,7 +22,7 @@ from plumbline.llm.texts import small_side, stored
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-BIN_ROWS = 10_000
+BIN_ROWS = 2_000
 # Fixed value: a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
