@@ -24,7 +24,7 @@ from plumbline.llm.texts import stored
 QUERIES, VECTORS = 2048, 16_384
 EPSILON = 2.5
 PLANES = 6
-AT_ONCE = 64
+AT_ONCE = 16
 SEED = 7
 
 
@@ -61,13 +61,12 @@ class Codes:
         step = np.maximum(turned.max(axis=1, keepdims=True) - low, 1e-300) / ((1 << PLANES) - 1)
         levels = np.rint((turned - low) / step).astype(np.uint8)
         count = np.bitwise_count(self.bits).sum(axis=1, dtype=np.float64)
-        inside = np.zeros((len(queries), len(self.bits)))
+        inside = np.zeros((len(queries), len(self.bits)), dtype=np.uint32)
         for plane in range(PLANES):
             words = pack((levels >> plane) & 1 > 0)
-            common = np.zeros(inside.shape, dtype=np.uint16)
             for w in range(words.shape[1]):
-                common += np.bitwise_count(words[:, w, None] & self.bits[None, :, w])
-            inside += common * float(1 << plane)
+                common = np.bitwise_count(words[:, w, None] & self.bits[None, :, w])
+                inside += np.left_shift(common, plane, dtype=np.uint16)
         # The sum of the query's coordinates where the code has a one.
         ones = inside * step + count * low
         corner = (2 * ones - turned.sum(axis=1, keepdims=True)) / np.sqrt(self.dim)
@@ -87,6 +86,8 @@ def search_block(q_ids, queries, v_ids, vectors, centre, turn, k: int):
     """``(query id, vector id, score)`` arrays: the ``k`` nearest in the block for each query."""
     codes = Codes(vectors, centre, turn)
     found = ([], [], [])
+    norms, dims = np.linalg.norm(queries, axis=1), vectors.shape[1]
+    longest = np.linalg.norm(vectors, axis=1).max()
     for at in range(0, len(queries), AT_ONCE):
         part = queries[at : at + AT_ONCE]
         estimate, error = codes.estimate(part)
@@ -97,9 +98,14 @@ def search_block(q_ids, queries, v_ids, vectors, centre, turn, k: int):
             if not reach:
                 continue
             best = np.argpartition(-score, reach - 1)[:reach]
-            floor = exact(query, vectors[best]).min()
-            chosen = np.flatnonzero(own & (score + error[i] >= floor))
-            chosen = np.union1d(chosen, best)
+            floor = (vectors[best] @ query).min()
+            score += error[i]
+            score[best] = np.inf
+            chosen = np.flatnonzero(score >= floor)
+            # Only what may be among the k is added up in the defined order.
+            close = vectors[chosen] @ query
+            slack = 1e-12 * dims * norms[at + i] * longest
+            chosen = chosen[close >= np.partition(close, len(close) - reach)[len(close) - reach] - slack]
             values = exact(query, vectors[chosen])
             order = np.lexsort((v_ids[chosen], -values))[:k]
             found[0].append(np.full(len(order), q_id))
