@@ -29,14 +29,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.texts import stored, with_columns
+from plumbline.llm.texts import release, stored, with_columns
 
 WINDOW = 35
 PHRASE = 8
 TILE = 18
 FILTER_BITS = 1 << 27
-SHARD_SEGMENTS = 20_000
-PART_ROWS = 20_000
+FILTER_SHARE = 32
+SHARD_SEGMENTS = 8_000
+PART_ROWS = 8_000
+FOLD = 50_000
 #: Ranges of words that may be sent to every task, two numbers each.
 BROADCAST_RANGES = 1_000_000
 _ODD = 0x9E3779B97F4A7C15
@@ -100,7 +102,7 @@ def _filter_of(anchors: DataFrame, limit_bits: int) -> np.ndarray:
     """Bits of the anchors seen twice, gathered word by word: at most ``limit_bits`` / 64 numbers."""
     seen = stored(anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
     bits = 1 << 16
-    while bits < min(limit_bits, 16 * seen.count()):
+    while bits < min(limit_bits, FILTER_SHARE * seen.count()):
         bits *= 2
     place = F.col("anchor").bitwiseAND(F.lit(bits - 1).cast("long"))
     words = seen.groupBy(F.shiftright(place, 6).alias("word")).agg(
@@ -118,20 +120,32 @@ def _passes(bits: np.ndarray, anchors: np.ndarray) -> np.ndarray:
 
 
 def _segments(texts: DataFrame, shared, window: int, phrase: int) -> DataFrame:
-    """``anchor``, ``h`` (hash of the words), ``k1``, ``k2``, ``first`` and ``words`` of every segment that may recur."""
-    names = ["anchor", "h", "k1", "k2", "first", "words"]
+    """Two kinds of rows about segments that may recur, told apart by ``n``.
+
+    Occurrences have ``anchor``, ``h`` (hash of the words), ``k1``, ``k2`` and ``first``. Contents have
+    ``anchor``, ``h``, ``n`` and ``words``: what a task has met ``n`` times, so that a segment's words
+    leave a task once for up to ``FOLD`` segments.
+    """
+    names = ["anchor", "h", "k1", "k2", "first", "n", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in batches:
-            rows = [[] for _ in names]
+        met: dict[tuple[int, int], list] = {}
+
+        def batch_of(columns):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.string() if i == 6 else pa.int64()) for i, c in enumerate(columns)], names=names
+            )
 
-            def ready():
-                out = pa.RecordBatch.from_arrays([*[pa.array(r, pa.int64()) for r in rows[:5]], pa.array(rows[5], pa.string())], names=names)
-                for r in rows:
-                    r.clear()
-                return out
+        def contents():
+            nothing = [None] * len(met)
+            rows = [[k[0] for k in met], [k[1] for k in met], nothing, nothing, nothing]
+            out = batch_of([*rows, [v[0] for v in met.values()], [v[1].decode("utf-8", "surrogatepass") for v in met.values()]])
+            met.clear()
+            return out
 
+        for batch in batches:
+            rows = [[] for _ in range(5)]
             for text, k1, k2 in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = words_of(text)
                 places, phrases = anchors_of(words, window, phrase)
@@ -139,37 +153,37 @@ def _segments(texts: DataFrame, shared, window: int, phrase: int) -> DataFrame:
                     continue
                 starts = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
                 ends = np.concatenate([starts[1:], [len(places)]])
-                kept = np.flatnonzero(_passes(bits, phrases[places[starts]]))
-                for i in kept.tolist():
-                    a, b = int(starts[i]), int(ends[i]) + window - 1
-                    segment = b" ".join(words[a:b])
-                    rows[0].append(int(phrases[places[a]].view(np.int64)))
-                    rows[1].append(int(np.uint64(xxhash.xxh64_intdigest(segment)).view(np.int64)))
-                    rows[2].append(k1)
-                    rows[3].append(k2)
-                    rows[4].append(a)
-                    rows[5].append(segment.decode("utf-8", "surrogatepass"))
-                    if len(rows[0]) >= 20_000:
-                        yield ready()
-            yield ready()
-
-    return texts.mapInArrow(run, "anchor long, h long, k1 long, k2 long, first long, words string")
+                anchors = phrases[places[starts]]
+                kept = np.flatnonzero(_passes(bits, anchors))
+                for a, b, anchor in zip(starts[kept].tolist(), ends[kept].tolist(), anchors[kept].view(np.int64).tolist()):
+                    segment = b" ".join(words[a : b + window - 1])
+                    h = xxhash.xxh64_intdigest(segment)
+                    h = h - (1 << 64) if h >> 63 else h
+                    known = met.setdefault((anchor, h), [0, segment])
+                    known[0] += 1
+                    for column, value in zip(rows, (anchor, h, k1, k2, a)):
+                        column.append(value)
+                if len(met) >= FOLD:
+                    yield contents()
+            nothing = [None] * len(rows[0])
+            yield batch_of([*rows, nothing, nothing])
+        yield contents()
+
+    return texts.mapInArrow(run, "anchor long, h long, k1 long, k2 long, first long, n long, words string")
 
 
 def _window_rows(distinct: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchor, h, n = (batch.column(i).to_numpy() for i in range(3))
-            found = [window_hashes(words_of(t), window) for t in batch.column(3).to_pylist()]
+            sid, n = (batch.column(i).to_numpy() for i in range(2))
+            found = [window_hashes(words_of(t), window) for t in batch.column(2).to_pylist()]
             sizes = np.array([len(f) for f in found], dtype=np.int64)
-            offsets = np.concatenate([np.arange(s) for s in sizes] or [np.zeros(0, np.int64)])
             hashes = np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)
+            columns = [hashes, np.repeat(sid, sizes), np.repeat(n, sizes)]
             for at in range(0, len(hashes), 200_000):
-                part = slice(at, at + 200_000)
-                columns = [hashes[part], *[np.repeat(c, sizes)[part] for c in (anchor, h, n)], offsets[part].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w", "anchor", "h", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 200_000]) for c in columns], names=["w", "sid", "n"])
 
-    return distinct.select("anchor", "h", "n", "words").mapInArrow(run, "w long, anchor long, h long, n long, at int")
+    return distinct.select("sid", "n", "words").mapInArrow(run, "w long, sid long, n long")
 
 
 def runs_of(starts: list[int]) -> list[tuple[int, int]]:
@@ -229,7 +243,7 @@ def repeated_ranges(
     shard_segments: int = SHARD_SEGMENTS,
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """``k1``, ``k2`` (the document, see ``document_keys``) and ``ranges`` of words to remove, flat and unmerged."""
+    """``k1``, ``k2`` (the document, see ``document_keys``) and ``ranges`` of words to remove, flat."""
     tile = min(TILE, (window + 1) // 2)
     phrase = min(phrase, window)
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"), *document_keys(doc_id, text))
@@ -237,16 +251,14 @@ def repeated_ranges(
     shared = context.broadcast(_filter_of(_anchor_rows(texts.select("text"), window, phrase), filter_bits))
     segments = stored(_segments(texts, shared, window, phrase), "segments")
 
-    distinct = segments.groupBy("anchor", "h").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("words"))
-    distinct = stored(distinct, "distinct-segments")
+    contents = segments.where(F.col("n").isNotNull()).groupBy("anchor", "h")
+    distinct = contents.agg(F.sum("n").alias("n"), F.max("words").alias("words"))
+    distinct = stored(distinct.withColumn("sid", F.xxhash64("anchor", "h")), "distinct-segments")
     confirmed = (
-        _window_rows(distinct, window)
-        .groupBy("w")
-        .agg(F.sum("n").alias("n"), F.min(F.struct("anchor", "h", "at")).alias("m"))
-        .where("n > 1")
+        _window_rows(distinct, window).groupBy("w").agg(F.sum("n").alias("n"), F.min("sid").alias("sid")).where("n > 1")
     )
-    witnesses = confirmed.groupBy("m.anchor", "m.h").agg(F.collect_list("m.at").alias("starts"))
-    passages = stored(distinct.join(witnesses, ["anchor", "h"]).select("anchor", "h", "words", "starts"), "passages")
+    witnesses = confirmed.groupBy("sid").agg(F.collect_list("w").alias("windows"))
+    passages = stored(witnesses.join(distinct.select("sid", "anchor", "h"), "sid"), "passages")
 
     total = distinct.count()
     shards = max(1, -(-total // shard_segments))
@@ -264,24 +276,49 @@ def repeated_ranges(
     left = distinct.withColumn("shard", shard).join(plan, "shard")
     left = left.select("shard", own(F.col("cuts")).alias("cut"), every(F.col("parts")).alias("part"), "anchor", "h", "words")
     right = passages.withColumn("shard", shard).join(plan, "shard")
-    right = right.select("shard", every(F.col("cuts")).alias("cut"), own(F.col("parts")).alias("part"), "words", "starts")
+    # In a shard of one part a passage's words are those of a segment beside it.
+    whole = right.where("cuts * parts = 1").withColumn("words", F.lit(None).cast("string"))
+    split = right.where("cuts * parts > 1").join(distinct.select("anchor", "h", "words"), ["anchor", "h"])
+    right = whole.unionByName(split, allowMissingColumns=True).select(
+        "shard", every(F.col("cuts")).alias("cut"), own(F.col("parts")).alias("part"), "anchor", "h", "words", "windows"
+    )
 
     def scan(segs: pa.Table, pats: pa.Table) -> pa.Table:
+        ids = list(zip(segs.column("anchor").to_pylist(), segs.column("h").to_pylist()))
+        texts_here = segs.column("words").to_pylist()
+        here = dict(zip(ids, texts_here))
         stretches = []
-        for words, starts in zip(pats.column("words").to_pylist(), pats.column("starts").to_pylist()):
-            listed = words_of(words)
-            stretches += [listed[a : b + window] for a, b in runs_of(starts)]
-        split = [words_of(w) for w in segs.column("words").to_pylist()]
-        ranges = [[x for r in found for x in r] for found in locate(stretches, split, window, tile)]
-        hit = [i for i, r in enumerate(ranges) if r]
+        for row in pats.to_pylist():
+            listed = words_of(row["words"] or here.get((row["anchor"], row["h"])))
+            hashes = window_hashes(listed, window).view(np.int64)
+            starts = np.flatnonzero(np.isin(hashes, np.array(row["windows"], dtype=np.int64)))
+            stretches += [listed[a : b + window] for a, b in runs_of(starts.tolist())]
+        found = locate(stretches, [words_of(w) for w in texts_here], window, tile)
+        hit = [i for i, r in enumerate(found) if r]
         taken = segs.select(["anchor", "h"]).take(pa.array(hit, pa.int64()))
-        return taken.append_column("ranges", pa.array([ranges[i] for i in hit], pa.list_(pa.int64())))
+        return taken.append_column("ranges", pa.array([[x for r in found[i] for x in r] for i in hit], pa.list_(pa.int64())))
 
     keys = ["shard", "cut", "part"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "anchor long, h long, ranges array<long>")
     shifted = F.transform("ranges", lambda x: x + F.col("first"))
-    of_documents = segments.select("anchor", "h", "k1", "k2", "first").join(found, ["anchor", "h"])
-    return of_documents.groupBy("k1", "k2").agg(F.flatten(F.collect_set(shifted)).alias("ranges"))
+    occurrences = segments.where(F.col("n").isNull()).select("anchor", "h", "k1", "k2", "first")
+    of_documents = occurrences.join(found, ["anchor", "h"]).groupBy("k1", "k2")
+    loose = of_documents.agg(F.flatten(F.collect_set(shifted)).alias("loose"))
+    merged = with_columns(loose, "loose", lambda: lambda rows: [[merge(r) for r in rows]], [("ranges", "array<long>")])
+    merged = stored(merged.drop("loose"), "ranges")
+    release(segments, distinct, passages)
+    return merged
+
+
+def merge(ranges: list[int]) -> list[int]:
+    """Flat ranges, sorted and with overlapping ones as one."""
+    out: list[int] = []
+    for first, end in sorted(zip(ranges[::2], ranges[1::2])):
+        if out and first <= out[-1]:
+            out[-1] = max(end, out[-1])
+        else:
+            out += [first, end]
+    return out
 
 
 def document_keys(doc_id: str, text: str):
@@ -308,7 +345,7 @@ def remove_repeats(
     words than a window keep all. Rows are documents: rows that repeat a text lose all windows of it. Other
     columns are kept unless they carry one of these names; an empty table gives an empty result.
     """
-    ranges = stored(repeated_ranges(docs, doc_id, text, window, **options), "ranges")
+    ranges = repeated_ranges(docs, doc_id, text, window, **options)
     size = ranges.agg(F.sum(F.size("ranges") + 2)).first()[0] or 0
     side = F.broadcast(ranges) if size <= 2 * BROADCAST_RANGES else ranges
     names = ["n_words", "n_removed", "kept_text", "kept_sha256"]
