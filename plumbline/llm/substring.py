@@ -21,6 +21,8 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections import defaultdict
+from itertools import accumulate, groupby
+from operator import itemgetter
 from typing import Iterator
 
 import ahocorasick
@@ -39,6 +41,8 @@ FILTER_SHARE = 32
 SHARD_SEGMENTS = 8_000
 PART_ROWS = 8_000
 FOLD = 50_000
+KNOWN_WORDS = 200_000
+PLACE_BITS, CHUNK = 20, 1 << 19
 #: Ranges of words that may be sent to every task, two numbers each.
 BROADCAST_RANGES = 1_000_000
 _ODD = 0x9E3779B97F4A7C15
@@ -55,13 +59,19 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def window_hashes(words: list[bytes], size: int) -> np.ndarray:
-    """A 64-bit hash of every ``size`` consecutive words, from sums of hashes times powers."""
+def window_hashes(words: list[bytes], size: int, known: dict[bytes, int] | None = None) -> np.ndarray:
+    """A 64-bit hash of every ``size`` consecutive words, from sums of hashes times powers.
+
+    ``known`` keeps the hashes of words between calls, up to a bound.
+    """
     n = len(words)
     if n < size:
         return np.zeros(0, np.uint64)
-    digest, known = xxhash.xxh64_intdigest, {}
-    for w in words:
+    known = {} if known is None else known
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    digest = xxhash.xxh64_intdigest
+    for w in set(words):
         if w not in known:
             known[w] = digest(w)
     hashes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=n)
@@ -73,23 +83,50 @@ def window_hashes(words: list[bytes], size: int) -> np.ndarray:
     return found ^ (found >> np.uint64(32))
 
 
-def anchors_of(words: list[bytes], window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each window's anchor, and the hash of the phrase at every place."""
-    phrases = window_hashes(words, phrase)
-    width = window - phrase + 1
-    if len(words) < window:
+def windows_of_all(lists: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The window hashes of many short lists at once, with the list and the place of each."""
+    sizes = np.array([len(x) for x in lists], dtype=np.int64)
+    found = window_hashes([w for x in lists for w in x], size)
+    counts = np.maximum(sizes - size + 1, 0)
+    owner = np.repeat(np.arange(len(lists)), counts)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return found[(np.cumsum(sizes) - sizes)[owner] + at].view(np.int64), owner, at
+
+
+def anchors_of(
+    words: list[bytes], window: int, phrase: int, known: dict[bytes, int] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each window's anchor, and the hash of the phrase at every place.
+
+    Of equal hashes the leftmost is meant. A place takes the low bits of a hash, chunk by chunk, so the
+    smallest of a window is found by doubling.
+    """
+    phrases = window_hashes(words, phrase, known)
+    width, n = window - phrase + 1, len(words) - window + 1
+    if n < 1:
         return np.zeros(0, np.int64), phrases
-    views = np.lib.stride_tricks.sliding_window_view(phrases, width)
-    within = [views[i : i + 65_536].argmin(axis=1) for i in range(0, len(views), 65_536)]
-    return np.concatenate(within) + np.arange(len(views)), phrases
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    found = []
+    for at in range(0, n, CHUNK):
+        part = phrases[at : at + CHUNK + width - 1]
+        least = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        span = 1
+        while 2 * span <= width:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if span < width:
+            least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+        found.append((least & low).astype(np.int64) + at)
+    return np.concatenate(found), phrases
 
 
 def _anchor_rows(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in batches:
             found = [np.zeros(0, np.uint64)]
             for text in batch.column(0).to_pylist():
-                places, phrases = anchors_of(words_of(text), window, phrase)
+                places, phrases = anchors_of(words_of(text), window, phrase, known)
                 found.append(phrases[np.unique(places)])
             # Counts within a batch travel as one row per anchor.
             anchors, counts = np.unique(np.concatenate(found), return_counts=True)
@@ -131,6 +168,7 @@ def _segments(texts: DataFrame, shared, window: int, phrase: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         met: dict[tuple[int, int], list] = {}
+        known_words: dict[bytes, int] = {}
 
         def batch_of(columns):
             return pa.RecordBatch.from_arrays(
@@ -148,7 +186,7 @@ def _segments(texts: DataFrame, shared, window: int, phrase: int) -> DataFrame:
             rows = [[] for _ in range(5)]
             for text, k1, k2 in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = words_of(text)
-                places, phrases = anchors_of(words, window, phrase)
+                places, phrases = anchors_of(words, window, phrase, known_words)
                 if not len(places):
                     continue
                 starts = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
@@ -176,10 +214,8 @@ def _window_rows(distinct: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sid, n = (batch.column(i).to_numpy() for i in range(2))
-            found = [window_hashes(words_of(t), window) for t in batch.column(2).to_pylist()]
-            sizes = np.array([len(f) for f in found], dtype=np.int64)
-            hashes = np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)
-            columns = [hashes, np.repeat(sid, sizes), np.repeat(n, sizes)]
+            hashes, owner, _ = windows_of_all([words_of(t) for t in batch.column(2).to_pylist()], window)
+            columns = [hashes, sid[owner], n[owner]]
             for at in range(0, len(hashes), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 200_000]) for c in columns], names=["w", "sid", "n"])
 
@@ -197,13 +233,12 @@ def runs_of(starts: list[int]) -> list[tuple[int, int]]:
     return [tuple(r) for r in out]
 
 
-def locate(passages: list[list[bytes]], segments: list[list[bytes]], window: int, tile: int) -> list[list[tuple[int, int]]]:
+def locate(passages: list[list[str]], segments: list[list[str]], window: int, tile: int) -> list[list[tuple[int, int]]]:
     """Per segment the ranges of words that some passage has, too, over at least a window."""
     tiles: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for i, words in enumerate(passages):
         for at in range(0, len(words) - tile + 1, tile):
-            key = b" ".join(words[at : at + tile]).decode("utf-8", "surrogatepass")
-            tiles[f" {key} "].append((i, at))
+            tiles[f" {' '.join(words[at : at + tile])} "].append((i, at))
     automaton = ahocorasick.Automaton()
     for key, owners in tiles.items():
         automaton.add_word(key, owners)
@@ -212,15 +247,14 @@ def locate(passages: list[list[bytes]], segments: list[list[bytes]], window: int
         return found
     automaton.make_automaton()
     for ranges, words in zip(found, segments):
-        text = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
-        places = [i for i, c in enumerate(text) if c == " "]
+        places = list(accumulate((len(w) + 1 for w in words), initial=0))
         covered: set[tuple[int, int]] = set()
-        for last, owners in automaton.iter(text):
+        whole = (0, len(words))
+        for last, owners in automaton.iter(f" {' '.join(words)} "):
             end = bisect_left(places, last)
             start = end - tile
             for i, at in owners:
                 passage = passages[i]
-                # The stretch that would come out is at most what either side holds.
                 left = right = 0
                 while left < min(start, at) and words[start - left - 1] == passage[at - left - 1]:
                     left += 1
@@ -229,6 +263,10 @@ def locate(passages: list[list[bytes]], segments: list[list[bytes]], window: int
                     right += 1
                 if left + tile + right >= window:
                     covered.add((start - left, end + right))
+                if whole in covered:
+                    break
+            if whole in covered:
+                break
         ranges.extend(sorted(covered))
     return found
 
@@ -287,13 +325,16 @@ def repeated_ranges(
         ids = list(zip(segs.column("anchor").to_pylist(), segs.column("h").to_pylist()))
         texts_here = segs.column("words").to_pylist()
         here = dict(zip(ids, texts_here))
+        rows = pats.select(["anchor", "h", "words"]).to_pylist()
+        owned = [row["words"] or here.get((row["anchor"], row["h"]), "") for row in rows]
+        hashes, owner, at = windows_of_all([words_of(t) for t in owned], window)
+        # Any confirmed window counts here, whoever is its witness.
+        recurs = np.isin(hashes, pats.column("windows").combine_chunks().flatten().to_numpy(zero_copy_only=False))
         stretches = []
-        for row in pats.to_pylist():
-            listed = words_of(row["words"] or here.get((row["anchor"], row["h"])))
-            hashes = window_hashes(listed, window).view(np.int64)
-            starts = np.flatnonzero(np.isin(hashes, np.array(row["windows"], dtype=np.int64)))
-            stretches += [listed[a : b + window] for a, b in runs_of(starts.tolist())]
-        found = locate(stretches, [words_of(w) for w in texts_here], window, tile)
+        for i, starts in groupby(zip(owner[recurs].tolist(), at[recurs].tolist()), key=itemgetter(0)):
+            listed = owned[i].split(" ")
+            stretches += [listed[a : b + window] for a, b in runs_of([s for _, s in starts])]
+        found = locate(stretches, [t.split(" ") for t in texts_here], window, tile)
         hit = [i for i, r in enumerate(found) if r]
         taken = segs.select(["anchor", "h"]).take(pa.array(hit, pa.int64()))
         return taken.append_column("ranges", pa.array([[x for r in found[i] for x in r] for i in hit], pa.list_(pa.int64())))
