@@ -184,3 +184,6 @@ OTHER_LABEL = "Other"
 PIE_MAX_SEGMENTS = 5
 MAX_BINS = 20
 MAX_SERIES = 10
+
+# What reads as a number once symbols and separators are gone.
+PLAIN_DOUBLE = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"

@@ -118,7 +118,8 @@ def parsed_number(column: str, number_format: str, percent_as_fraction: bool = F
         bare = F.replace(bare, F.lit(","), F.lit("."))
     else:
         bare = F.regexp_replace(text, r"[$€£¥₹,%]" if number_format == "us" else r"[$€£¥₹%]", "")
-    value = F.trim(bare).try_cast("double")
+    # A cast would also read the suffixes of number literals.
+    value = F.when(F.trim(bare).rlike(fixed.PLAIN_DOUBLE), F.trim(bare).try_cast("double"))
     return F.when(text.contains("%"), value / 100).otherwise(value) if percent_as_fraction else value
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline import fixed_values as fixed
 
@@ -22,7 +22,13 @@ def key_overlap(
         *[F.sum(F.col(f"`{m}`").cast("double")).alias(f"sum_{i}") for i, m in enumerate(measures)],
     )
     rights = right.groupBy(F.col(f"`{right_key}`").alias("rk")).agg(F.count(F.lit(1)).alias("right_rows"))
-    return lefts.join(rights, F.col("lk") == F.col("rk"), "full")
+    return lefts.join(rights, _same_key(lefts.schema["lk"].dataType, rights.schema["rk"].dataType), "full")
+
+
+def _same_key(left: T.DataType, right: T.DataType) -> Column:
+    """Keys of one type, or both numbers, as they are; all others by their text, which never fails."""
+    alike = left == right or (isinstance(left, T.NumericType) and isinstance(right, T.NumericType))
+    return F.col("lk") == F.col("rk") if alike else F.col("lk").cast("string") == F.col("rk").cast("string")
 
 
 def join_safety(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -14,17 +15,16 @@ def resolve_metrics(
     columns: Sequence[str], pack: Mapping[str, Sequence[str]] = fixed.SALES_METRIC_PACK
 ) -> dict[str, str]:
     """M1: for each metric the first expression whose columns all exist, in the table's own case."""
-    real = {c.lower(): c for c in columns}
-    resolved = {}
-    for name, choices in pack.items():
-        for sql in choices:
-            needed = quoted_columns(sql)
-            if all(c.lower() in real for c in needed):
-                for c in needed:
-                    sql = sql.replace(f'"{c}"', f'"{real[c.lower()]}"')
-                resolved[name] = sql
-                break
-    return resolved
+    own = {c.lower(): c for c in columns}
+
+    def renamed(sql: str) -> str:
+        return re.sub('"([^"]*)"', lambda m: f'"{own[m[1].lower()]}"', sql)
+
+    def usable(sql: str) -> bool:
+        return {c.lower() for c in quoted_columns(sql)} <= own.keys()
+
+    first = {name: next(filter(usable, choices), None) for name, choices in pack.items()}
+    return {name: renamed(sql) for name, sql in first.items() if sql is not None}
 
 
 def metric_table(df: DataFrame, definitions: Mapping[str, str]) -> DataFrame:

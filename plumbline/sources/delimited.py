@@ -15,11 +15,16 @@ from plumbline import fixed_values as fixed
 BYTE_ORDER_MARKS = {"EFBBBF": "UTF-8", "FFFE": "UTF-16LE", "FEFF": "UTF-16BE"}
 
 
-def read_text_table(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Every column a string, blanks kept as empty strings."""
-    raw = (
-        spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).csv(path)
-    )
+def read_text_table(
+    spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8", multi_line: bool = False
+) -> DataFrame:
+    """Every column a string, blanks kept as empty strings; a quote in a cell is doubled.
+
+    ``multi_line`` lets quoted cells hold line breaks. A file is then read by one task, so it is off
+    unless asked for.
+    """
+    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
+    raw = reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
     return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
 
 

@@ -332,3 +332,32 @@ def test_histogram_counts_every_row(spark):
     assert sum(r["count"] for r in rows) == 101 and rows[-1]["bin"] == 20 and rows[-1]["bin_end"] == 100.0
     flat = charts.histogram(df.select(F.lit(3.0).alias("v")), "v").collect()
     assert [(r["bin"], r["count"]) for r in flat] == [(1, 101)]
+
+
+def test_metric_names_are_replaced_once():
+    got = semantic.resolve_metrics(["A", "b"], {"m": ['SUM("a" * "B")'], "n": ['SUM("zz")', 'SUM("b")']})
+    assert got == {"m": 'SUM("A" * "b")', "n": 'SUM("b")'}
+
+
+def test_number_suffixes_are_not_numbers(spark):
+    from plumbline.operators import clean
+
+    rows = spark.createDataFrame([("12d",), ("12",), ("1e3",), ("3f",)], "x string")
+    assert [r[0] for r in rows.select(clean.parsed_number("x", "plain")).collect()] == [None, 12.0, 1000.0, None]
+
+
+def test_join_check_of_text_against_numbers(spark):
+    from plumbline.operators import joins
+
+    left = spark.createDataFrame([("1",), ("x",)], "k string")
+    right = spark.createDataFrame([(1,), (2,)], "k bigint")
+    pairs = joins.key_overlap(left, right, "k", "k")
+    assert pairs.where("lk is not null and rk is not null").count() == 1
+
+
+def test_doubled_quotes_stay_in_one_cell(spark, tmp_path):
+    from plumbline.sources import delimited
+
+    (tmp_path / "t.csv").write_text('a,b,c\n1,"say ""hi"", ok",z\n')
+    row = delimited.read_text_table(spark, str(tmp_path / "t.csv")).first()
+    assert tuple(row) == ("1", 'say "hi", ok', "z")
