@@ -38,7 +38,7 @@ PHRASE = 8
 TILE = 18
 FILTER_BITS = 1 << 27
 FILTER_SHARE = 32
-SHARD_SEGMENTS = 8_000
+SHARD_SEGMENTS = 4_000
 PART_ROWS = 8_000
 FOLD = 50_000
 KNOWN_WORDS = 200_000
