@@ -15,7 +15,7 @@ from plumbline.operators import analysis
 from plumbline.operators.profile import union_all
 from plumbline.plans.predicates import matching_rows, metric_column
 from plumbline.plans.scalars import one_row
-from plumbline.plans.selection import salted_lookup
+from plumbline.plans.selection import lookup
 from plumbline.plans.spec import AnalysisSpec
 from plumbline.plans.tagged import pivot_windows, tag_windows
 
@@ -172,7 +172,7 @@ def with_evidence(findings: DataFrame, evidence: DataFrame) -> DataFrame:
 
     Evidence is unique by id. Many findings may share one id, so the findings of an id are spread.
     """
-    return salted_lookup(findings, evidence, ["evidence_id"], ["finding_id"])
+    return lookup(findings, evidence, ["evidence_id"])
 
 
 def stale_by_assumption(findings: DataFrame, evidence: DataFrame, changed: DataFrame) -> DataFrame:
@@ -180,11 +180,11 @@ def stale_by_assumption(findings: DataFrame, evidence: DataFrame, changed: DataF
     used = evidence.select("evidence_id", F.explode("assumption_ids").alias("assumption_id"))
     flags = changed.select("assumption_id").distinct().withColumn("hit", F.lit(True))
     touched = (
-        salted_lookup(used, flags, ["assumption_id"], ["evidence_id"], "inner")
+        lookup(used, flags, ["assumption_id"], "inner")
         .groupBy("evidence_id")
         .agg(F.lit(True).alias("stale"))
     )
-    joined = salted_lookup(findings, touched, ["evidence_id"], ["finding_id"])
+    joined = lookup(findings, touched, ["evidence_id"])
     return joined.withColumn("stale", F.coalesce("stale", F.lit(False)))
 
 
@@ -193,7 +193,7 @@ def stale_by_version(findings: DataFrame, latest: DataFrame) -> DataFrame:
 
     ``latest`` has one row per ``dataset_id`` with ``latest_version``.
     """
-    joined = salted_lookup(findings, latest, ["dataset_id"], ["finding_id"])
+    joined = lookup(findings, latest, ["dataset_id"])
     old = F.col("version_id") != F.col("latest_version")
     return joined.withColumn("stale", F.coalesce(old, F.lit(False))).drop("latest_version")
 

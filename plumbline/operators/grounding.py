@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,12 +13,18 @@ from plumbline.functions.text import number_tokens, number_value
 
 # Largest number of rows the band table may have to be sent to every task.
 BROADCAST_BANDS = 500_000
+NOWHERE = 1 << 50
+SPREAD = 1 << 20
 
 
 def number_rows(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """One row per number of a text: keys, place in the text, token and value."""
-    tokens = df.select(*keys, F.posexplode(number_tokens(F.col(f"`{text}`"))).alias("place", "token"))
-    return tokens.withColumn("number", number_value(F.col("token"))).where(F.col("number").isNotNull())
+    return _token_rows(df, text, keys, F.posexplode).where(F.col("number").isNotNull())
+
+
+def _token_rows(df: DataFrame, text: str, keys: list[str], explode: Callable[[Column], Column]) -> DataFrame:
+    tokens = df.select(*keys, explode(number_tokens(F.col(f"`{text}`"))).alias("place", "token"))
+    return tokens.withColumn("number", number_value(F.col("token")))
 
 
 def evidence_bands(evidence: DataFrame, value: str, tolerance: float = fixed.NUMBER_TOLERANCE) -> DataFrame:
@@ -56,7 +63,14 @@ def grounded_numbers(
 
 
 def _looked_up(numbers: DataFrame, bands: DataFrame, number: Column, tolerance: float, flag: str) -> DataFrame:
-    keyed = numbers.withColumns({"sign": F.signum(number), "band": _band(F.abs(number), tolerance)})
+    # Rows that look nothing up would all meet under NULL; they go to bands that no double has.
+    nowhere = F.lit(NOWHERE) + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in numbers.columns]), F.lit(SPREAD))
+    keyed = numbers.withColumns(
+        {
+            "sign": F.coalesce(F.signum(number), F.lit(0.0)),
+            "band": F.coalesce(_band(F.abs(number), tolerance), nowhere),
+        }
+    )
     same = F.when(number == 0, F.col("same").isNotNull())
     for c in ("below", "same", "above"):
         same = same.when(F.abs(F.abs(number) - F.col(c)) / F.col(c) <= tolerance, True)
@@ -75,12 +89,16 @@ def number_lint(
     value: str,
     tolerance: float = fixed.NUMBER_TOLERANCE,
 ) -> DataFrame:
-    """V4: per text the count of grounded and ungrounded numbers and whether all are grounded."""
-    checked = grounded_numbers(number_rows(df, text, keys), evidence, value, tolerance)
+    """V4: per text the count of grounded and ungrounded numbers and whether all are grounded.
+
+    A text without numbers, or no text at all, passes.
+    """
+    checked = grounded_numbers(_token_rows(df, text, keys, F.posexplode_outer), evidence, value, tolerance)
+    checked = checked.withColumn("grounded", F.when(F.col("number").isNotNull(), F.col("grounded")))
     return checked.groupBy(*keys).agg(
         F.count_if("grounded").alias("grounded"),
         F.count_if(~F.col("grounded")).alias("ungrounded"),
-        F.min("grounded").alias("passed"),
+        F.coalesce(F.min("grounded"), F.lit(True)).alias("passed"),
     )
 
 

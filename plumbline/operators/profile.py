@@ -46,6 +46,15 @@ def sortable_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, nested)]
 
 
+def value_text(df: DataFrame, name: str) -> Column:
+    """A column as text. Nested values are written as JSON, maps by their sorted entries."""
+    column, dtype = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(dtype, T.MapType):
+        column = F.map_entries(column)
+        return F.to_json(F.sort_array(column) if isinstance(dtype.keyType, T.AtomicType) else column)
+    return F.to_json(column) if isinstance(dtype, (T.ArrayType, T.StructType)) else column.cast("string")
+
+
 def contains_any(text: str, words: Sequence[str]) -> bool:
     return any(w in text for w in words)
 

@@ -11,6 +11,7 @@ from plumbline.operators.profile import (
     contains_any,
     numeric_columns,
     sortable_columns,
+    value_text,
     string_columns,
 )
 from plumbline.plans.selection import exact_quantiles
@@ -138,7 +139,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
     Copies fold inside each task before the shuffle, so one row repeated a billion times is cheap.
     """
-    copies = df.groupBy(*[F.col(f"`{c}`") for c in sortable_columns(df)]).agg(F.count(F.lit(1)).alias("__copies"))
+    plain = sortable_columns(df)
+    copies = df.groupBy(*[F.col(f"`{c}`") if c in plain else value_text(df, c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__copies"))
     return copies.agg(
         F.coalesce(F.sum("__copies"), F.lit(0)).alias("total_rows"),
         F.count(F.lit(1)).alias("distinct_rows"),

@@ -15,7 +15,7 @@ from plumbline.plans.selection import (
     cumulative_counts,
     exact_quantiles,
     null_safe_join,
-    salted_lookup,
+    lookup,
     select_ranks,
 )
 from plumbline.plans.spec import AnalysisSpec
@@ -46,7 +46,7 @@ def benjamini_hochberg(
         limits = ranked.where(F.col(p) <= threshold(F.col("rows_through"))).groupBy(*keys).agg(
             F.max(p).alias("__limit")
         )
-        rows = salted_lookup(df, limits, keys, [*keys, hypothesis])
+        rows = lookup(df, limits, keys)
         return rows.withColumn(
             "rejected", F.coalesce(F.col(p) <= F.col("__limit"), F.lit(False))
         ).drop("__limit")
@@ -65,7 +65,7 @@ def benjamini_hochberg(
     edge = fails.groupBy(*keys).agg(
         F.max_by(F.struct(F.col(p).alias("p"), (last_fail - F.col("rows_before")).alias("within")), p).alias("e")
     ).select(*keys, F.col("e.p").alias("__edge"), F.col("e.within").alias("__within"))
-    rows = salted_lookup(df, edge, keys, [*keys, hypothesis])
+    rows = lookup(df, edge, keys)
     # Only hypotheses that share the edge value are ranked among themselves.
     tied = cumulative_counts(rows.where(F.col(p) == F.col("__edge")), keys, hypothesis).select(
         *keys, hypothesis, F.col("rows_through").alias("__place")

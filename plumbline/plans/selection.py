@@ -2,10 +2,11 @@
 
 ``select_ranks`` closes in on a rank with quantile sketches. Each round is one aggregate whose
 single row of sketch points and counts comes back to the driver, the way ``approxQuantile`` does:
-a sketch brackets the wanted value, the rows below and inside the bracket are counted, and the
-bracket is sketched again until it is small. Only the distinct values left in it are ordered. The
-answer is exact whatever the sketch error, because a bracket that does not hold its rank is opened
-again, and the bounds reach the scan as literals, so row groups outside them are skipped.
+a sketch proposes two bounds around the wanted rank, the rows below, on and between them are
+counted, and the counts tell in which of these parts the rank lies. A rank that falls on a bound is
+answered, so a value holding half of a column leaves the search in one round. A rank outside of the
+bounds goes on in the rows on that side. Every part has fewer rows than the one before, whatever
+the sketch said, and at most ``SMALL_BRACKET`` rows are ordered in the end.
 
 ``cumulative_counts`` gives every distinct value of a family its exact rank. Values are grouped
 first, so a value holding a third of all rows is one row. The values of all families are cut at
@@ -15,24 +16,31 @@ is larger than a bucket, however many of the values belong to one family.
 
 from __future__ import annotations
 
+import decimal
 import math
 from dataclasses import dataclass
+from fractions import Fraction
 from functools import reduce
-from typing import Callable, Sequence
+from typing import Any, Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from plumbline.plans.scalars import one_row
 
 GRID = 500
-SMALL_BRACKET = 1_000_000
+SMALL_BRACKET = 200_000
+SAMPLE = 2_000
+# Grid steps that the rank of a sampled point may be off, by about three deviations.
+SAMPLE_MARGIN = 15
 BUCKETS = 256
-SALTS = 16
+# Types without a quantile sketch; their bounds come from a random sample.
+UNSKETCHED = (T.StringType, T.BinaryType, T.BooleanType)
+EXACT_AS_DOUBLE = 1 << 53
 
 
 @dataclass(frozen=True)
 class RankTarget:
-    """Two ranks (0-based, ascending, of the non-null values) wanted from a numeric column.
+    """Two ranks (0-based, ascending, of the non-null values) wanted from a column.
 
     ``low`` and ``high`` compute them from the non-null count; they may be equal.
     """
@@ -44,157 +52,216 @@ class RankTarget:
 
 
 @dataclass
-class _Bracket:
-    n: int
-    low: int
-    high: int
-    lo: float | None = None
-    hi: float | None = None
-    below: int = 0
-    inside: int = 0
+class _Search:
+    """The search for one rank: ``below`` rows are up to ``lo``, ``inside`` rows between ``lo`` and ``hi``."""
 
-    def inside_of(self, column: Column) -> Column:
-        bounds = [column.isNotNull()]
-        bounds += [] if self.lo is None else [column >= self.lo]
-        bounds += [] if self.hi is None else [column <= self.hi]
+    column: str
+    dtype: T.DataType
+    rank: int
+    inside: int
+    least: Any
+    most: Any
+    below: int = 0
+    lo: Any = None
+    hi: Any = None
+    left: Any = None
+    right: Any = None
+    found: Any = None
+
+    def part(self) -> tuple:
+        return (self.column, self.lo, self.hi)
+
+    def rows(self) -> Column:
+        c = F.col(self.column)
+        bounds = [c.isNotNull()]
+        bounds += [] if self.lo is None else [c > literal(self.lo, self.dtype)]
+        bounds += [] if self.hi is None else [c < literal(self.hi, self.dtype)]
         return reduce(lambda a, b: a & b, bounds)
 
-    def below_of(self, column: Column) -> Column:
-        return F.lit(False) if self.lo is None else column < self.lo
-
-    def narrow(self, grid: Sequence[float]) -> None:
-        """Take the sketch points one step outside the two ranks."""
+    def propose(self, grid: Sequence[Any], margin: int) -> None:
+        """Take the grid points ``margin`` steps outside the rank, or the middle where the grid is too coarse."""
         step = max(self.inside - 1, 1) / GRID
-        left = math.floor((self.low - self.below) / step) - 1
-        right = math.ceil((self.high - self.below) / step) + 1
-        if left > 0 and not math.isnan(grid[left]):
-            self.lo = grid[left]
-        if right < GRID and not math.isnan(grid[right]):
-            self.hi = grid[right]
-
-    def open(self) -> None:
-        self.lo = self.hi = None
-        self.below, self.inside = 0, self.n
-
-
-def select_ranks(df: DataFrame, targets: Sequence[RankTarget]) -> dict[str, tuple[int, float, float]]:
+        place = (self.rank - self.below) / step
+        first, last = math.floor(place) - margin, math.ceil(place) + margin
+        self.left = grid[first] if 0 < first <= GRID and self._new(grid[first]) else None
+        self.right = grid[last] if 0 <= last < GRID and self._new(grid[last]) else None
+        if self.left is None and self.right is None:
+            self.left = self.right = self._middle()
+
+    def _new(self, point: Any) -> bool:
+        """Sketches work in doubles, so that a point of a wide number may lie outside of its part."""
+        ends = self.least <= point <= self.most
+        return ends and (self.lo is None or point > self.lo) and (self.hi is None or point < self.hi)
+
+    def _middle(self) -> Any:
+        """A value that has part of the rows on it or on each side: an end that is still open can be it."""
+        low, high = (self.least if self.lo is None else self.lo), (self.most if self.hi is None else self.hi)
+        scale = self.dtype.scale if isinstance(self.dtype, T.DecimalType) else 0
+        unit = Fraction(1, 10**scale)
+        halves = (Fraction(low) + Fraction(high)) / unit / 2
+        whole = math.ceil(halves) if self.hi is None else math.floor(halves)
+        return whole if isinstance(low, int) else decimal.Decimal(whole).scaleb(-scale, decimal.Context(prec=38))
+
+    def counts(self) -> Column:
+        c = F.col(self.column)
+        asked = []
+        for name, bound in (("left", self.left), ("right", self.right)):
+            if bound is not None:
+                at = literal(bound, self.dtype)
+                asked += [F.count_if(c < at).alias(f"{name}_before"), F.count_if(c <= at).alias(f"{name}_through")]
+        return F.struct(*asked)
+
+    def settle(self, counted: Any) -> None:
+        """Go on in the part that has the rank: before, on, between, on or after the two bounds."""
+        end = self.below + self.inside
+        left = (self.below, self.below) if self.left is None else (counted["left_before"], counted["left_through"])
+        right = (end, end) if self.right is None else (counted["right_before"], counted["right_through"])
+        if self.rank < left[0]:
+            self.hi, end = self.left, left[0]
+        elif self.rank < left[1]:
+            self.found = self.left
+        elif self.rank < right[0]:
+            self.lo, self.below = (self.lo, self.below) if self.left is None else (self.left, left[1])
+            self.hi, end = (self.hi, end) if self.right is None else (self.right, right[0])
+        elif self.rank < right[1]:
+            self.found = self.right
+        else:
+            self.lo, self.below = self.right, right[1]
+        self.inside = end - self.below
+
+
+def literal(value: Any, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.lit(value.isoformat(sep=" ")).cast(dtype)
+    return F.lit(value)
+
+
+def ordinal(column: str, dtype: T.DataType) -> tuple[Column, T.DataType]:
+    """A column in the form in which its values are compared: instants as microseconds, the rest as they are."""
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(F.col(f"`{column}`")), T.LongType()
+    return F.col(f"`{column}`"), dtype
+
+
+def select_ranks(df: DataFrame, targets: Sequence[RankTarget]) -> dict[str, tuple[int, Any, Any]]:
     """``label -> (non-null count, value at the low rank, value at the high rank)``.
 
-    Columns without values are left out. Runs a handful of jobs, each returning one row.
+    Values keep their type (instants are microseconds); NaN ranks above all numbers. Columns without values
+    are left out. Runs a handful of jobs, each returning one row.
     """
     columns = list(dict.fromkeys(t.column for t in targets))
-    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    holder = {t.label: f"v{columns.index(t.column)}" for t in targets}
-
-    names = list(dict.fromkeys(holder.values()))
-    first = values.agg(
-        *[F.count(v).alias(f"{v}_n") for v in names],
-        *[_sketch(v).alias(f"{v}_grid") for v in names],
-    ).first()
-    brackets: dict[str, _Bracket] = {}
-    for t in targets:
-        n = first[f"{holder[t.label]}_n"]
-        if n:
-            low, high = (min(max(int(r(n)), 0), n - 1) for r in (t.low, t.high))
-            brackets[t.label] = _Bracket(n, low, high, inside=n)
-            brackets[t.label].narrow(first[f"{holder[t.label]}_grid"])
-    if not brackets:
-        return {}
-
-    pending = list(brackets)
-    while pending:
-        before = {label: brackets[label].inside for label in pending}
-        _count(values, {label: brackets[label] for label in pending}, holder)
-        pending = [
-            label
-            for label in pending
-            if brackets[label].inside > SMALL_BRACKET
-            and brackets[label].lo != brackets[label].hi
-            and brackets[label].inside < before[label] / 2
-        ]
-        if pending:
-            held = {label: F.col(holder[label]) for label in pending}
-            inside = values.select(
-                *[F.when(brackets[label].inside_of(c), c).alias(f"b{i}") for i, (label, c) in enumerate(held.items())]
-            )
-            grids = inside.agg(*[_sketch(f"b{i}").alias(label) for i, label in enumerate(held)]).first()
-            for label in pending:
-                brackets[label].narrow(grids[label])
-    return _pick(values, brackets, holder)
-
-
-def _sketch(column: str, points: int = GRID) -> Column:
-    """The values of ``column`` at evenly spaced quantiles, both ends included."""
-    places = ", ".join(f"{i / points}D" for i in range(points + 1))
-    return F.expr(f"percentile_approx({column}, array({places}), {10 * points})")
-
-
-def _count(values: DataFrame, brackets: dict[str, _Bracket], holder: dict[str, str]) -> None:
-    """Count below and inside every bracket; open the ones that do not hold their ranks."""
-    counts = values.agg(
+    forms = {f"v{i}": ordinal(c, df.schema[c].dataType) for i, c in enumerate(columns)}
+    names = {c: f"v{i}" for i, c in enumerate(columns)}
+    numbers = {v: _number(*form) for v, form in forms.items()}
+    values = df.select(*[c.alias(v) for v, c in numbers.items()])
+    first = df.agg(
         *[
             F.struct(
-                F.count_if(b.below_of(F.col(holder[label]))).alias("below"),
-                F.count_if(b.inside_of(F.col(holder[label]))).alias("inside"),
-            ).alias(label)
-            for label, b in brackets.items()
+                F.count(forms[v][0]).alias("n"),
+                F.count(c).alias("numbers"),
+                F.min(c).alias("least"),
+                F.max(c).alias("most"),
+                *([] if isinstance(forms[v][1], UNSKETCHED) else [_sketch(c).alias("grid")]),
+            ).alias(v)
+            for v, c in numbers.items()
         ]
     ).first()
-    for label, b in brackets.items():
-        b.below, b.inside = counts[label]["below"], counts[label]["inside"]
-        if not (b.below <= b.low and b.high < b.below + b.inside):
-            b.open()
 
+    searches: dict[tuple[str, int], _Search] = {}
+    answers: dict[tuple[str, int], Any] = {}
+    wanted: dict[str, tuple[int, tuple[str, int], tuple[str, int]]] = {}
+    for t in targets:
+        v = names[t.column]
+        n, inside, least, most = (first[v][k] for k in ("n", "numbers", "least", "most"))
+        if not n:
+            continue
+        ranks = [min(max(int(rank(n)), 0), n - 1) for rank in (t.low, t.high)]
+        wanted[t.label] = (n, (v, ranks[0]), (v, ranks[1]))
+        for rank in ranks:
+            if rank >= inside:
+                answers[v, rank] = math.nan
+            else:
+                searches[v, rank] = _Search(v, forms[v][1], rank, inside, least, most)
+
+    grids = {(v, None, None): first[v]["grid"] for v in names.values() if "grid" in first[v]}
+    pending = [s for s in searches.values() if s.inside > SMALL_BRACKET]
+    while pending:
+        # Searches that are in the same part of a column share its sketch.
+        parts = {s.part(): s for s in pending if s.part() not in grids}
+        grids |= zip(parts, _grids(values, list(parts.values())))
+        for s in pending:
+            s.propose(grids[s.part()], SAMPLE_MARGIN if isinstance(s.dtype, UNSKETCHED) else 1)
+        counted = values.agg(*[s.counts().alias(f"c{i}") for i, s in enumerate(pending)]).first()
+        for i, s in enumerate(pending):
+            s.settle(counted[f"c{i}"])
+        pending = [s for s in pending if s.found is None and s.inside > SMALL_BRACKET]
 
-def _pick(
-    values: DataFrame, brackets: dict[str, _Bracket], holder: dict[str, str]
-) -> dict[str, tuple[int, float, float]]:
-    """Order the distinct values inside each bracket and read off the two ranks.
+    answers |= {k: s.found for k, s in searches.items() if s.found is not None}
+    answers |= _pick(values, {k: s for k, s in searches.items() if s.found is None})
+    return {label: (n, answers[low], answers[high]) for label, (n, low, high) in wanted.items()}
 
-    A bracket that has closed on one value, as those of much repeated values do, is the answer.
-    """
-    closed = {label: b for label, b in brackets.items() if b.lo is not None and b.lo == b.hi}
-    answers = {label: (b.n, b.lo, b.hi) for label, b in closed.items()}
-    brackets = {label: b for label, b in brackets.items() if label not in closed}
-    if not brackets:
-        return answers
-    inside = {label: b.inside_of(F.col(holder[label])) for label, b in brackets.items()}
-    entries = [
-        F.when(inside[label], F.struct(F.lit(label).alias("label"), F.col(holder[label]).alias("value")))
-        for label in brackets
-    ]
-    facts = F.create_map(
-        *[
-            x
-            for label, b in brackets.items()
-            for x in (F.lit(label), F.array(*[F.lit(k).cast("long") for k in (b.below, b.low, b.high)]))
-        ]
-    )
-    through = F.sum("rows").over(W.partitionBy("label").orderBy("value"))
-    ranked = (
-        values.where(reduce(lambda a, b: a | b, inside.values()))
-        .select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-        .groupBy(F.col("e.label").alias("label"), F.col("e.value").alias("value"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("fact", facts[F.col("label")])
-        .withColumn("through", through + F.col("fact")[0])
-        .withColumn("before", F.col("through") - F.col("rows"))
-    )
 
-    def value_at(place: int) -> Column:
-        rank = F.col("fact")[place]
-        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("through")), F.col("value")))
+def _number(column: Column, dtype: T.DataType) -> Column:
+    """The column without NaN, which no sketch can place."""
+    return F.when(~F.isnan(column), column) if isinstance(dtype, (T.FloatType, T.DoubleType)) else column
+
 
-    rows = ranked.groupBy("label").agg(value_at(1).alias("low"), value_at(2).alias("high")).collect()
-    return answers | {r["label"]: (brackets[r["label"]].n, r["low"], r["high"]) for r in rows}
+def _sketch(column: str | Column, points: int = GRID) -> Column:
+    """The values of ``column`` at evenly spaced quantiles, both ends included."""
+    return F.percentile_approx(column, [i / points for i in range(points + 1)], 10 * points)
+
+
+def _grids(values: DataFrame, parts: Sequence[_Search]) -> list[Sequence[Any]]:
+    """Per part ``GRID + 1`` of its values, about evenly spaced."""
+    sketched = [i for i, s in enumerate(parts) if not isinstance(s.dtype, UNSKETCHED)]
+    found: dict[int, Sequence[Any]] = {}
+    if sketched:
+        row = values.agg(
+            *[_sketch(F.when(parts[i].rows(), F.col(parts[i].column))).alias(f"g{i}") for i in sketched]
+        ).first()
+        found = {i: row[f"g{i}"] for i in sketched}
+    for i, s in enumerate(parts):
+        if i not in found:
+            rows = values.where(s.rows()).orderBy(F.rand(1)).limit(SAMPLE).select(s.column).collect()
+            sample = sorted(r[0] for r in rows)
+            found[i] = [sample[round(k * (len(sample) - 1) / GRID)] for k in range(GRID + 1)]
+    return [found[i] for i in range(len(parts))]
+
+
+def _pick(values: DataFrame, searches: dict[tuple[str, int], _Search]) -> dict[tuple[str, int], Any]:
+    """Order the distinct values of each remaining part, at most ``SMALL_BRACKET``, and read off the rank."""
+    answers = {}
+    for dtype in {s.dtype for s in searches.values()}:
+        same = {k: s for k, s in searches.items() if s.dtype == dtype}
+        parts = list({s.part(): s for s in same.values()}.items())
+        number = {part: i for i, (part, _) in enumerate(parts)}
+        entries = [
+            F.when(s.rows(), F.struct(F.lit(number[part]).alias("part"), F.col(s.column).alias("value")))
+            for part, s in parts
+        ]
+        ranked = (
+            values.where(reduce(lambda a, b: a | b, [s.rows() for _, s in parts]))
+            .select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+            .groupBy(F.col("e.part").alias("part"), F.col("e.value").alias("value"))
+            .agg(F.count(F.lit(1)).alias("rows"))
+            .withColumn("through", F.sum("rows").over(W.partitionBy("part").orderBy("value")))
+        )
+        reached = {
+            k: (F.col("part") == number[s.part()]) & (F.col("through") > s.rank - s.below) for k, s in same.items()
+        }
+        row = ranked.agg(*[F.min(F.when(r, F.col("value"))).alias(f"a{i}") for i, r in enumerate(reached.values())]).first()
+        answers |= dict(zip(reached, row))
+    return answers
 
 
 def exact_quantiles(
     df: DataFrame, wanted: Sequence[tuple[str, str, float]]
 ) -> dict[str, float | None]:
     """Continuous percentiles of ``(label, column, p)``, interpolated; ``None`` for no values."""
+    columns = list(dict.fromkeys(column for _, column, _ in wanted))
+    numeric = {c: isinstance(df.schema[c].dataType, T.NumericType) for c in columns}
     picked = select_ranks(
-        df,
+        df.select(*[F.col(f"`{c}`") if numeric[c] else F.col(f"`{c}`").cast("double").alias(c) for c in columns]),
         [
             RankTarget(
                 label,
@@ -212,10 +279,17 @@ def exact_quantiles(
             continue
         n, low, high = picked[label]
         place = p * (n - 1)
-        found[label] = low + (high - low) * (place - math.floor(place))
+        found[label] = _between(low, high, place - math.floor(place))
     return found
 
 
+def _between(low: Any, high: Any, share: float) -> float:
+    """The value a ``share`` of the way up; rounded once where a double does not hold the ends."""
+    if isinstance(low, float) or max(abs(low), abs(high)) <= EXACT_AS_DOUBLE:
+        return float(low) + (float(high) - float(low)) * share
+    return float(Fraction(low) + (Fraction(high) - Fraction(low)) * Fraction(share))
+
+
 def cumulative_counts(
     df: DataFrame, family: Sequence[str], value: str, buckets: int = BUCKETS
 ) -> DataFrame:
@@ -274,20 +348,10 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"__right_{k}" for k in keys])
 
 
-def salted_lookup(
-    big: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    spread_by: Sequence[str],
-    how: str = "left",
-) -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join a one-row-per-key table onto a table whose keys may be skewed; NULL keys pair up.
 
-    The lookup side is repeated once per salt and each big row picks a salt from its own values,
-    so the rows of a hot key are spread over ``SALTS`` tasks. The salt is a hash, not a random
-    number: a task run again after a lost executor makes the same choice.
+    No side is repeated: a key that turns out heavy is split at run time by adaptive execution
+    (``spark.sql.adaptive.skewJoin.enabled``), which repeats only the lookup rows of that partition.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread_by]), F.lit(SALTS)).cast("int")
-    repeated = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = null_safe_join(big.withColumn("__salt", salt), repeated, [*keys, "__salt"], how)
-    return joined.drop("__salt")
+    return null_safe_join(big, small, keys, how)

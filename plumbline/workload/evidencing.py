@@ -181,9 +181,9 @@ def s10(t: Tables) -> DataFrame:
 
 @query(
     "s7_content_fingerprint",
-    """with h as (select ('0x' || substr(sha256('=' || o_orderkey || '|=' || o_custkey || '|=' || o_orderstatus
-           || '|=' || cast(o_totalprice as decimal(18,2)) || '|=' || strftime(o_orderdate, '%Y-%m-%d')
-           || '|=' || o_orderpriority), 1, 15))::bigint as h from orders)
+    """with h as (select ('0x' || substr(sha256(array_to_string(list_transform([o_orderkey::varchar, o_custkey::varchar,
+           o_orderstatus, cast(o_totalprice as decimal(18,2))::varchar, strftime(o_orderdate, '%Y-%m-%d'),
+           o_orderpriority], lambda x: coalesce(length(x) || '=' || x, '~')), '|')), 1, 15))::bigint as h from orders)
        select count(*) as row_count, 6::bigint as column_count, bit_xor(h) as hash_xor,
          sum(h)::varchar as hash_sum from h""",
 )

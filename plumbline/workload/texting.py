@@ -77,8 +77,10 @@ def v3_narrow(t: Tables) -> DataFrame:
           d as (select distinct number as x from n union select number * 100 from n where token like '%\\%' escape '\\'),
           g as (select x from d where exists (select 1 from v where (v = 0 and x = 0)
                   or (v <> 0 and abs(x - v) / abs(v) <= 0.01)))
-        select doc_id, count(*) filter (ok) as grounded, count(*) filter (not ok) as ungrounded, bool_and(ok) as passed
-        from (select doc_id, number in (select x from g)
+        select doc_id, count(*) filter (ok) as grounded, count(*) filter (not ok) as ungrounded,
+          coalesce(bool_and(ok), true) as passed
+        from (select doc_id, null::boolean as ok from documents
+              union all select doc_id, number in (select x from g)
                 or (token like '%\\%' escape '\\' and number * 100 in (select x from g)) as ok from n) group by 1""",
 )
 def v4(t: Tables) -> DataFrame:
