@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import combinations
 from typing import Any, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -268,13 +269,13 @@ def insight_tree(
     filters: Filters = None,
     top: int = 2,
 ) -> DataFrame:
-    """The ``top`` segments that moved the metric most, for each dimension and for all together.
+    """The ``top`` segments that moved the metric most, for each dimension and each pair of them.
 
-    Depth 1 splits by one dimension, depth 2 by all of them. All levels are grouping sets of one
+    Depth 1 splits by one dimension, depth 2 by two. All levels are grouping sets of one
     scan; each level keeps its ``top`` rows before they are shuffled for ranking.
     """
     dims = list(dimensions)
-    sets = [[d] for d in dims] + ([dims] if len(dims) > 1 else [])
+    sets = [list(s) for depth in (1, 2) for s in combinations(dims, depth)]
     tagged = tag_windows(df, date_col, current, baseline, filters)
     # The set without dimensions gives the totals, so they need no scan of their own.
     grouped = tagged.groupingSets(
@@ -292,7 +293,7 @@ def insight_tree(
     whole = F.col("level") == _level(dims, [])
     at_level = [F.col("level") == _level(dims, s) for s in sets]
     names = F.coalesce(*[F.when(at, F.lit(" / ".join(s))) for at, s in zip(at_level, sets)])
-    depths = F.coalesce(*[F.when(at, F.lit(1 if len(s) == 1 else 2)) for at, s in zip(at_level, sets)])
+    depths = F.coalesce(*[F.when(at, F.lit(len(s))) for at, s in zip(at_level, sets)])
     order = W.partitionBy("level").orderBy(
         F.abs(F.col("delta")).desc(), *[F.col(f"`{d}`").asc_nulls_first() for d in dims]
     )

@@ -21,17 +21,21 @@ def anomaly_findings(findings: DataFrame) -> DataFrame:
 
 
 def report_lines(
-    findings: DataFrame, manifest: DataFrame, assumptions: DataFrame, transformations: DataFrame
+    findings: DataFrame,
+    manifest: DataFrame,
+    assumptions: DataFrame,
+    transformations: DataFrame,
+    key_findings: int = KEY_FINDINGS,
 ) -> DataFrame:
     """``(section, line)``: the texts of a report, section by section.
 
-    The summary counts all findings; the key findings are the first ten by id; anomalies,
+    The summary counts all findings; the key findings are the first ``key_findings`` by id; anomalies,
     datasets, assumptions and transformations are listed in full.
     """
     summary = findings.agg(F.count(F.lit(1)).alias("n")).select(
         F.format_string("Analysis complete. %d findings identified.", "n").alias("line")
     )
-    key = findings.orderBy("finding_id").limit(KEY_FINDINGS).select(F.col("claim").alias("line"))
+    key = findings.orderBy("finding_id").limit(key_findings).select(F.col("claim").alias("line"))
     datasets = manifest.select(
         F.format_string(
             "%s: %d rows, %d columns", F.col("dataset_id").cast("string"), "row_count", "column_count"

@@ -274,6 +274,32 @@ def a7(t: Tables) -> DataFrame:
     return rounded(tree, 6, "contribution_pct")
 
 
+TREE_DIMS = ["l_returnflag", "l_linestatus", "l_linenumber"]
+TREE_SETS = [[d] for d in TREE_DIMS] + [TREE_DIMS[:2], TREE_DIMS[::2], TREE_DIMS[1:]]
+TREE_LEVELS_SQL = " union all ".join(
+    f"""select {len(s)} as depth, '{" / ".join(s)}' as split_by,
+          {", ".join(d if d in s else f"null as {d}" for d in TREE_DIMS)},
+          coalesce(sum(l_quantity) filter ({IN_1997}), 0) as c, coalesce(sum(l_quantity) filter ({IN_1996}), 0) as b
+        from w group by {", ".join(s)}"""
+    for s in TREE_SETS
+)
+
+
+@query(
+    "a7_insight_pairs",
+    f"""
+      with w as (select * from lineitem where {IN_1996} or {IN_1997}), g as ({TREE_LEVELS_SQL}),
+      r as (select *, row_number() over (partition by split_by order by abs(c - b) desc,
+              {", ".join(f"{d} asc nulls first" for d in TREE_DIMS)}) as place from g),
+      m as (select sum(c) - sum(b) as moved from g where split_by = 'l_returnflag')
+      select depth, split_by, {", ".join(TREE_DIMS)}, place, c as current, b as baseline, c - b as delta,
+        round((c - b) / abs(moved) * 100, 6) as contribution_pct from r, m where place <= 2""",
+)
+def a7_pairs(t: Tables) -> DataFrame:
+    tree = analysis.insight_tree(t.lineitem, "units", "l_shipdate", Y1997, Y1996, TREE_DIMS, LINE_METRICS)
+    return rounded(tree, 6, "contribution_pct")
+
+
 ORDER_LINE_PACK = {
     "revenue": ['SUM("net_sales")', 'SUM(CAST("O_TOTALPRICE" AS DECIMAL(18,2)))'],
     "orders": ['COUNT(DISTINCT "order_id")', 'COUNT(DISTINCT "o_orderkey")', "COUNT(*)"],

@@ -188,10 +188,20 @@ def q4(t: Tables) -> DataFrame:
 @query(
     "q5_duplicates",
     """select sum(n)::bigint as total_rows, count(*) as distinct_rows, sum(n - 1)::bigint as duplicate_rows
-       from (select count(*) as n from lineitem group by l_orderkey, l_returnflag, l_linestatus)""",
+       from (select count(*) as n from (select * from lineitem union all
+         select * from lineitem where l_returnflag = 'A') l group by l)""",
 )
 def q5(t: Tables) -> DataFrame:
-    return quality.duplicate_rows(t.lineitem.select("l_orderkey", "l_returnflag", "l_linestatus"))
+    return quality.duplicate_rows(t.lineitem.unionByName(t.lineitem.where("l_returnflag = 'A'")))
+
+
+@query(
+    "q5_duplicate_vectors",
+    """select sum(n)::bigint as total_rows, count(*) as distinct_rows, sum(n - 1)::bigint as duplicate_rows
+       from (select count(*) as n from (select * from embeddings union all select * from embeddings) e group by e)""",
+)
+def q5_vectors(t: Tables) -> DataFrame:
+    return quality.duplicate_rows(t.embeddings.unionByName(t.embeddings))
 
 
 @query(
