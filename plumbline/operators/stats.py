@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from plumbline import fixed_values as fixed
 from plumbline.operators.analysis import Definitions, generic_metric
@@ -33,7 +33,7 @@ def benjamini_hochberg(
 
     ``step_up`` rejects every p up to the largest one under its own threshold. ``trailing``
     rejects only the unbroken run of passing p-values at the top of the ranking; equal p-values
-    are ranked by ``hypothesis``. A NULL p-value is no test: it takes no rank and is not rejected.
+    are ranked by ``hypothesis``, or by its hash if it is not a number. A NULL p-value is no test: it takes no rank and is not rejected.
     """
     keys = list(family)
     ranked = cumulative_counts(df, keys, p)
@@ -65,13 +65,15 @@ def benjamini_hochberg(
     edge = fails.groupBy(*keys).agg(
         F.max_by(F.struct(F.col(p).alias("p"), (last_fail - F.col("rows_before")).alias("within")), p).alias("e")
     ).select(*keys, F.col("e.p").alias("__edge"), F.col("e.within").alias("__within"))
-    rows = lookup(df, edge, keys)
+    numeric = isinstance(df.schema[hypothesis].dataType, T.NumericType)
+    place = F.col(f"`{hypothesis}`") if numeric else F.xxhash64(F.col(f"`{hypothesis}`"))
+    rows = lookup(df, edge, keys).withColumn("__id", place)
     # Only hypotheses that share the edge value are ranked among themselves.
-    tied = cumulative_counts(rows.where(F.col(p) == F.col("__edge")), keys, hypothesis).select(
-        *keys, hypothesis, F.col("rows_through").alias("__place")
+    tied = cumulative_counts(rows.where(F.col(p) == F.col("__edge")), keys, "__id").select(
+        *keys, "__id", F.col("rows_through").alias("__place")
     )
     return (
-        null_safe_join(rows, tied, [*keys, hypothesis], "left")
+        null_safe_join(rows, tied, [*keys, "__id"], "left")
         .withColumn(
             "rejected",
             F.when(F.col(p).isNull(), F.lit(False))
@@ -79,7 +81,7 @@ def benjamini_hochberg(
             .when(F.col(p) == F.col("__edge"), F.col("__place") > F.col("__within"))
             .otherwise(F.col(p) > F.col("__edge")),
         )
-        .drop("__edge", "__within", "__place")
+        .drop("__edge", "__within", "__place", "__id")
     )
 
 

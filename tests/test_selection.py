@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import grounding
+from plumbline.operators import grounding, stats
 from plumbline.plans import selection
 from plumbline.sources import tables
 
@@ -174,3 +174,16 @@ def test_texts_without_numbers_pass(spark):
     for tolerance in (0.01, 0.001):
         got = {r["id"]: (r["ungrounded"], r["passed"]) for r in grounding.number_lint(df, "t", ["id"], store, "v", tolerance).collect()}
         assert got == {1: (0, True), 2: (0, True), 3: (0, True), 4: (1, False)}
+
+
+def test_trailing_run_with_text_ids(spark):
+    """Of equal p-values at the edge some may pass, whatever the type of their ids."""
+    rows = [("f", f"id{i}", 0.04 if i < 6 else 0.9 if i == 6 else 0.001) for i in range(10)]
+    df = spark.createDataFrame(rows, "f string, h string, p double")
+    got = stats.benjamini_hochberg(df, "p", ["f"], "h", variant="trailing").collect()
+    assert sorted(r["h"] for r in got) == sorted(h for _, h, _ in rows) and set(got[0].asDict()) == {"f", "h", "p", "rejected"}
+    ranked = sorted(p for _, _, p in rows)
+    run = 0
+    while run < 10 and ranked[9 - run] <= (10 - run) / 10 * 0.05:
+        run += 1
+    assert sum(r["rejected"] for r in got) == run
