@@ -225,3 +225,76 @@ def test_pipeline_takes_out_what_it_should(spark):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+# Columns that bear the names of what the operators add or use inside.
+CLASHES = [
+    "score", "predicted", "held_out", "spans", "n_words", "n_hit", "hit_words", "kept_text", "size", "target", "taken",
+    "copies", "bits", "component_id", "n_tokens", "over_limit", "k1", "anchor", "tag", "g", "key", "id", "rank", "rule",
+]
+
+
+def awkward(spark):
+    """NULL in every column, empty and long texts, repeated rows, clashing names."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    texts = [None, "", " \t\n", "one", passage, passage, f"{passage} mail a@b.cc token=abcdef12", "é ü " * 20_000, "7 " * 50_000, passage]
+    rows = [(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[4], (None, None, None, None, None), (None, passage, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({c: F.lit("mine") for c in CLASHES}), len(rows)
+
+
+def labels_of(spark):
+    return spark.createDataFrame([(i, i % 2, "x") for i in range(10)] + [(None, None, None), (1, None, "x")], "doc_id long, toxic int, score string")
+
+
+ITEMS = [(1, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13", "x"), (1, "one", "x"), (None, None, None), (2, "", "x")]
+WHOLE_TABLE = {
+    "op2": lambda s, d: simhash.near_duplicates(d),
+    "op4": lambda s, d: tokens.token_counts(d, __import__("public_tokenizers").path(queries.TOKENIZER)),
+    "op6": lambda s, d: toxicity.toxicity_scores(d, labels_of(s)),
+    "op7": lambda s, d: substring.remove_repeats(d),
+    "op8": lambda s, d: decontaminate.digest(
+        decontaminate.contamination(d, s.createDataFrame(ITEMS, "item_id long, text string, hit_words string"))
+    ),
+    "op9": lambda s, d: secrets.find_secrets(d),
+    "op10": lambda s, d: pii.find_pii(d, redact=True),
+    "op1": lambda s, d: mixing.mix(d.withColumn("size", mixing.word_count("text"))),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE_TABLE)
+def test_awkward_tables_keep_every_row(spark, name):
+    docs, n = awkward(spark)
+    found = WHOLE_TABLE[name](spark, docs)
+    assert len(found.columns) == len(set(found.columns))
+    rows = found.collect()
+    assert len(rows) == n
+    # Repeated rows have one result.
+    twins = [r for r in rows if r.doc_id == 4]
+    assert len(twins) == 2 and twins[0] == twins[1]
+    if "lang" in found.columns:
+        assert {r.lang for r in rows} == {"en", None} and {r.anchor for r in rows} == {"mine"}
+    assert WHOLE_TABLE[name](spark, docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
+def test_stages_take_awkward_tables(spark, stage):
+    docs, n = awkward(spark)
+    kept = stage(spark, docs, SF)
+    rows = kept.collect()
+    assert 0 < len(rows) <= n
+    assert len(kept.columns) == len(set(kept.columns))
+    if stage is not corpus_pipeline.STAGES[-1][1]:
+        assert kept.columns == docs.columns
+        assert {r.anchor for r in rows} == {"mine"}
+
+
+def test_selection_of_spans_in_a_text_full_of_them():
+    text = " ".join(f"user{i}@host{i}.example.com +1 555 01{i % 90 + 10} 4{i % 10}77" for i in range(5000))
+    strict = pii.strict_spans(text)
+    taken = pii.Ranges(strict)
+    step = max(1, len(strict) // 300)
+    for span in pii.proposals(text)[::step]:
+        assert taken.meets(span) == any(span[1] < b and a < span[2] for _, a, b in strict)
+    assert all(a < b for a, b in zip(taken.ends, taken.starts[1:]))
