@@ -9,7 +9,7 @@
 3. Automata. Runs of confirmed windows of a witness are passages. Segments and passages are dealt by
    anchor to shards, and within a shard to parts of bounded size, so that a phrase that a third of the
    documents share fills many parts. Each part compiles the tiles of its passages, pieces so short that
-   every window holds one whole, into an Aho-Corasick automaton and streams its segments through it; a
+   every window holds one whole, into an Aho-Corasick automaton and streams its segments through it; the
    hit is compared word by word to both sides, and a common stretch of at least a window is an occurrence.
 4. Occurrences go back to documents as ranges of words.
 
@@ -41,12 +41,14 @@ FILTER_SHARE = 32
 SHARD_SEGMENTS = 4_000
 PART_ROWS = 8_000
 FOLD = 50_000
-KNOWN_WORDS = 200_000
+GROUP_WORDS = 50_000
+GROUP_BYTES = 1 << 18
 PLACE_BITS, CHUNK = 20, 1 << 19
 #: Ranges of words that may be sent to every task, two numbers each.
 BROADCAST_RANGES = 1_000_000
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
+_IN_WORD = np.array([c not in b" \t\n\v\f\r" for c in range(256)], dtype=np.int8)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -59,28 +61,44 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def window_hashes(words: list[bytes], size: int, known: dict[bytes, int] | None = None) -> np.ndarray:
-    """A 64-bit hash of every ``size`` consecutive words, from sums of hashes times powers.
+def window_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """A 64-bit hash of every ``size`` consecutive words."""
+    known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    return sequence_hashes(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)), size)
 
-    ``known`` keeps the hashes of words between calls, up to a bound.
-    """
-    n = len(words)
+
+def _mixed(found: np.ndarray) -> np.ndarray:
+    found ^= found >> np.uint64(29)
+    found *= np.uint64(0xBF58476D1CE4E5B9)
+    return found ^ (found >> np.uint64(32))
+
+
+def sequence_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` consecutive hashes, from sums of hashes times powers."""
+    n = len(hashes)
     if n < size:
         return np.zeros(0, np.uint64)
-    known = {} if known is None else known
-    if len(known) > KNOWN_WORDS:
-        known.clear()
-    digest = xxhash.xxh64_intdigest
-    for w in set(words):
-        if w not in known:
-            known[w] = digest(w)
-    hashes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=n)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(hashes * _powers(_ODD, n), out=sums[1:])
-    found = (sums[size:] - sums[:-size]) * _powers(_INVERSE, n - size + 1)
-    found ^= found >> np.uint64(29)
-    found *= np.uint64(0xBF58476D1CE4E5B9)
-    return found ^ (found >> np.uint64(32))
+    return _mixed((sums[size:] - sums[:-size]) * _powers(_INVERSE, n - size + 1))
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of ``text`` start and end, and a hash of each, from sums of bytes times powers."""
+    buffer = np.frombuffer(text, dtype=np.uint8)
+    inside = np.zeros(len(buffer) + 2, dtype=np.int8)
+    inside[1:-1] = _IN_WORD[buffer]
+    edges = np.flatnonzero(np.diff(inside))
+    starts, ends = edges[::2], edges[1::2]
+    found = [np.zeros(0, np.uint64)]
+    for at in range(0, len(starts), GROUP_WORDS):
+        first, last = starts[at : at + GROUP_WORDS], ends[at : at + GROUP_WORDS]
+        part = buffer[first[0] : last[-1]]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum((part + np.uint64(1)) * _powers(_ODD, len(part)), out=sums[1:])
+        a, b = first - first[0], last - first[0]
+        found.append(_mixed((sums[b] - sums[a]) * _powers(_INVERSE, len(part))[a]))
+    return starts, ends, np.concatenate(found)
 
 
 def windows_of_all(lists: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,20 +111,16 @@ def windows_of_all(lists: list[list[bytes]], size: int) -> tuple[np.ndarray, np.
     return found[(np.cumsum(sizes) - sizes)[owner] + at].view(np.int64), owner, at
 
 
-def anchors_of(
-    words: list[bytes], window: int, phrase: int, known: dict[bytes, int] | None = None
-) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each window's anchor, and the hash of the phrase at every place.
+def anchors_of(phrases: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """The place of each window's anchor, from the hash of the phrase at every place.
 
     Of equal hashes the leftmost is meant. A place takes the low bits of a hash, chunk by chunk, so the
     smallest of a window is found by doubling.
     """
-    phrases = window_hashes(words, phrase, known)
-    width, n = window - phrase + 1, len(words) - window + 1
-    if n < 1:
-        return np.zeros(0, np.int64), phrases
+    width = window - phrase + 1
+    n = len(phrases) - width + 1
     low = np.uint64((1 << PLACE_BITS) - 1)
-    found = []
+    found = [np.zeros(0, np.int64)]
     for at in range(0, n, CHUNK):
         part = phrases[at : at + CHUNK + width - 1]
         least = (part & ~low) | np.arange(len(part), dtype=np.uint64)
@@ -117,17 +131,56 @@ def anchors_of(
         if span < width:
             least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
         found.append((least & low).astype(np.int64) + at)
-    return np.concatenate(found), phrases
+    return np.concatenate(found)
+
+
+def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts as bytes, in runs of about ``GROUP_BYTES``, each with the number of its first text."""
+    first, group, size = 0, [], 0
+    for i, text in enumerate(texts):
+        group.append(text.encode("utf-8", "surrogatepass") if text else b"")
+        size += len(group[-1])
+        if size >= GROUP_BYTES:
+            yield first, group
+            first, group, size = i + 1, [], 0
+    if group:
+        yield first, group
+
+
+class Segments:
+    """Runs of windows that share an anchor, of many texts at once. No run goes on into the next text.
+
+    ``owner`` is the text, ``first`` and ``last`` are the places of a run's windows in it, ``anchors`` the
+    hashes of the anchors.
+    """
+
+    def __init__(self, texts: list[bytes], window: int, phrase: int):
+        self.joined, self.window = b"\n".join(texts), window
+        self.starts, self.ends, hashes = word_hashes(self.joined)
+        to = np.searchsorted(self.starts, np.cumsum([len(t) + 1 for t in texts]))
+        sizes = np.diff(to, prepend=0)
+        phrases = sequence_hashes(hashes, phrase)
+        places = anchors_of(phrases, window, phrase)
+        whole = np.flatnonzero(np.repeat(to, sizes)[: len(places)] - np.arange(len(places)) >= window)
+        places = places[whole]
+        new = np.flatnonzero(places[1:] != places[:-1]) + 1
+        self.from_word = whole[np.concatenate([[0], new])] if len(whole) else whole
+        self.to_word = whole[np.concatenate([new - 1, [len(whole) - 1]])] + window if len(whole) else whole
+        self.anchors = phrases[places[np.concatenate([[0], new])]] if len(whole) else np.zeros(0, np.uint64)
+        self.owner = np.searchsorted(to, self.from_word, side="right")
+        before = (to - sizes)[self.owner]
+        self.first, self.last = self.from_word - before, self.to_word - window - before
+
+    def words(self, i: int) -> bytes:
+        """The words of a run's windows, joined by one space."""
+        return b" ".join(self.joined[self.starts[self.from_word[i]] : self.ends[self.to_word[i] - 1]].split())
 
 
 def _anchor_rows(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in batches:
             found = [np.zeros(0, np.uint64)]
-            for text in batch.column(0).to_pylist():
-                places, phrases = anchors_of(words_of(text), window, phrase, known)
-                found.append(phrases[np.unique(places)])
+            found += [Segments(group, window, phrase).anchors for _, group in _groups(batch.column(0).to_pylist())]
             # Counts within a batch travel as one row per anchor.
             anchors, counts = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(counts)], names=["anchor", "n"])
@@ -168,7 +221,6 @@ def _segments(texts: DataFrame, shared, window: int, phrase: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         met: dict[tuple[int, int], list] = {}
-        known_words: dict[bytes, int] = {}
 
         def batch_of(columns):
             return pa.RecordBatch.from_arrays(
@@ -184,22 +236,18 @@ def _segments(texts: DataFrame, shared, window: int, phrase: int) -> DataFrame:
 
         for batch in batches:
             rows = [[] for _ in range(5)]
-            for text, k1, k2 in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = words_of(text)
-                places, phrases = anchors_of(words, window, phrase, known_words)
-                if not len(places):
-                    continue
-                starts = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
-                ends = np.concatenate([starts[1:], [len(places)]])
-                anchors = phrases[places[starts]]
-                kept = np.flatnonzero(_passes(bits, anchors))
-                for a, b, anchor in zip(starts[kept].tolist(), ends[kept].tolist(), anchors[kept].view(np.int64).tolist()):
-                    segment = b" ".join(words[a : b + window - 1])
+            k1, k2 = (batch.column(i).to_pylist() for i in (1, 2))
+            for place, group in _groups(batch.column(0).to_pylist()):
+                found = Segments(group, window, phrase)
+                kept = np.flatnonzero(_passes(bits, found.anchors))
+                owners, starts = found.owner[kept].tolist(), found.first[kept].tolist()
+                for at, i, a, anchor in zip(kept.tolist(), owners, starts, found.anchors[kept].view(np.int64).tolist()):
+                    segment = found.words(at)
                     h = xxhash.xxh64_intdigest(segment)
                     h = h - (1 << 64) if h >> 63 else h
                     known = met.setdefault((anchor, h), [0, segment])
                     known[0] += 1
-                    for column, value in zip(rows, (anchor, h, k1, k2, a)):
+                    for column, value in zip(rows, (anchor, h, k1[place + i], k2[place + i], a)):
                         column.append(value)
                 if len(met) >= FOLD:
                     yield contents()

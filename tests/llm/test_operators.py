@@ -298,3 +298,16 @@ def test_selection_of_spans_in_a_text_full_of_them():
     for span in pii.proposals(text)[::step]:
         assert taken.meets(span) == any(span[1] < b and a < span[2] for _, a, b in strict)
     assert all(a < b for a, b in zip(taken.ends, taken.starts[1:]))
+
+
+def test_anchors_of_many_texts_are_those_of_each():
+    rng = random.Random(9)
+    texts = [words(rng, n, ["ab", "c", "é", "\t x\n"]).encode() for n in [0, 3, 60, 35, 34, 0, 200, 36, 1]]
+    whole = substring.Segments(texts, 35, 8)
+    for i, text in enumerate(texts):
+        mine, alone = np.flatnonzero(whole.owner == i), substring.Segments([text], 35, 8)
+        listed = text.split()
+        windows = [p for s in mine for p in range(whole.first[s], whole.last[s] + 1)]
+        assert windows == list(range(max(0, len(listed) - 34)))
+        assert whole.anchors[mine].tolist() == alone.anchors.tolist()
+        assert [whole.words(s) for s in mine] == [b" ".join(listed[whole.first[s] : whole.last[s] + 35]) for s in mine]
