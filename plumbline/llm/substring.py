@@ -10,7 +10,7 @@
    anchor to shards, and within a shard to parts of bounded size, so that a phrase that a third of the
    documents share fills many parts. Each part compiles the tiles of its passages, pieces so short that
    every window holds one whole, into an Aho-Corasick automaton and streams its segments through it; the
-   hit is compared word by word to both sides, and a common stretch of at least a window is an occurrence.
+   windows around a hit are compared word by word with the passage that has a window of that hash.
 4. Occurrences go back to documents as ranges of words.
 
 Ranges are compared as text; hashes only choose what is compared and count it.
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections import defaultdict
 from itertools import accumulate, groupby
 from operator import itemgetter
 from typing import Iterator
@@ -281,41 +280,55 @@ def runs_of(starts: list[int]) -> list[tuple[int, int]]:
     return [tuple(r) for r in out]
 
 
-def locate(passages: list[list[str]], segments: list[list[str]], window: int, tile: int) -> list[list[tuple[int, int]]]:
-    """Per segment the ranges of words that some passage has, too, over at least a window."""
-    tiles: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for i, words in enumerate(passages):
-        for at in range(0, len(words) - tile + 1, tile):
-            tiles[f" {' '.join(words[at : at + tile])} "].append((i, at))
-    automaton = ahocorasick.Automaton()
-    for key, owners in tiles.items():
-        automaton.add_word(key, owners)
+def locate(sources: list[str], confirmed: np.ndarray, segments: list[str], window: int, tile: int) -> list[list[tuple[int, int]]]:
+    """Per segment the ranges of words whose windows are among the ``confirmed`` ones that ``sources`` hold.
+
+    Of equal windows one is kept, and runs of those are the passages whose tiles the automaton holds.
+    What a hit tells is which windows to look up and compare, so its cost does not depend on how many
+    passages share a tile.
+    """
     found: list[list[tuple[int, int]]] = [[] for _ in segments]
-    if not tiles:
+    listed = [words_of(t) for t in sources]
+    hashes, owner, at = windows_of_all(listed, window)
+    recurs = np.flatnonzero(np.isin(hashes, confirmed))
+    known, first = np.unique(hashes[recurs], return_index=True)
+    if not len(known):
         return found
+    owner, at = owner[recurs[first]], at[recurs[first]]
+    automaton = ahocorasick.Automaton()
+    for i, starts in groupby(sorted(zip(owner.tolist(), at.tolist())), key=itemgetter(0)):
+        for a, b in runs_of([s for _, s in starts]):
+            for p in range(a, b + window - tile + 1, tile):
+                automaton.add_word(f" {b' '.join(listed[i][p : p + tile]).decode('utf-8', 'surrogatepass')} ", True)
     automaton.make_automaton()
-    for ranges, words in zip(found, segments):
-        places = list(accumulate((len(w) + 1 for w in words), initial=0))
-        covered: set[tuple[int, int]] = set()
-        whole = (0, len(words))
-        for last, owners in automaton.iter(f" {' '.join(words)} "):
-            end = bisect_left(places, last)
-            start = end - tile
-            for i, at in owners:
-                passage = passages[i]
-                left = right = 0
-                while left < min(start, at) and words[start - left - 1] == passage[at - left - 1]:
-                    left += 1
-                room = min(len(words) - end, len(passage) - at - tile)
-                while right < room and words[end + right] == passage[at + tile + right]:
-                    right += 1
-                if left + tile + right >= window:
-                    covered.add((start - left, end + right))
-                if whole in covered:
-                    break
-            if whole in covered:
-                break
-        ranges.extend(sorted(covered))
+
+    words = [words_of(t) for t in segments]
+    theirs, of, _ = windows_of_all(words, window)
+    place = np.minimum(np.searchsorted(known, theirs), len(known) - 1)
+    alike = known[place] == theirs
+    bounds = np.searchsorted(of, np.arange(len(segments) + 1)).tolist()
+    for i, text in enumerate(segments):
+        a, b = bounds[i], bounds[i + 1]
+        if not alike[a:b].any():
+            continue
+        ends = list(accumulate((len(w) + 1 for w in text.split(" ")), initial=0))
+        hit = np.zeros(b - a, dtype=bool)
+        for last, _ in automaton.iter(f" {text} "):
+            end = bisect_left(ends, last)
+            hit[max(0, end - window) : end - tile + 1] = True
+        here = np.flatnonzero(hit & alike[a:b])
+        source, start = owner[place[a + here]], at[place[a + here]]
+        cuts = np.flatnonzero((np.diff(here) != 1) | (np.diff(source) != 0) | (np.diff(start) != 1)) + 1
+        for run in np.split(np.arange(len(here)), cuts):
+            if len(run):
+                left, right = int(here[run[0]]), int(here[run[-1]]) + window
+                other, s = listed[source[run[0]]], int(start[run[0]])
+                if words[i][left:right] == other[s : s + right - left]:
+                    found[i].append((left, right))
+                else:
+                    places = range(right - left - window + 1)
+                    same = (p for p in places if words[i][left + p : left + p + window] == other[s + p : s + p + window])
+                    found[i] += [(left + p, left + p + window) for p in same]
     return found
 
 
@@ -375,14 +388,9 @@ def repeated_ranges(
         here = dict(zip(ids, texts_here))
         rows = pats.select(["anchor", "h", "words"]).to_pylist()
         owned = [row["words"] or here.get((row["anchor"], row["h"]), "") for row in rows]
-        hashes, owner, at = windows_of_all([words_of(t) for t in owned], window)
         # Any confirmed window counts here, whoever is its witness.
-        recurs = np.isin(hashes, pats.column("windows").combine_chunks().flatten().to_numpy(zero_copy_only=False))
-        stretches = []
-        for i, starts in groupby(zip(owner[recurs].tolist(), at[recurs].tolist()), key=itemgetter(0)):
-            listed = owned[i].split(" ")
-            stretches += [listed[a : b + window] for a, b in runs_of([s for _, s in starts])]
-        found = locate(stretches, [t.split(" ") for t in texts_here], window, tile)
+        confirmed = pats.column("windows").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        found = locate(owned, confirmed, texts_here, window, tile)
         hit = [i for i, r in enumerate(found) if r]
         taken = segs.select(["anchor", "h"]).take(pa.array(hit, pa.int64()))
         return taken.append_column("ranges", pa.array([[x for r in found[i] for x in r] for i in hit], pa.list_(pa.int64())))
