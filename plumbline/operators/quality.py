@@ -92,15 +92,20 @@ def _negatives(check: _Check, measures: Sequence[str]) -> None:
             check.issue(c, "suspicious_values", "warning", F.format_string(text, n, F.lit(c)), n, n > 0)
 
 
-def _currencies(check: _Check, columns: Sequence[str]) -> None:
+def _currencies(check: _Check, columns: Sequence[str], amounts_only: bool = False) -> None:
+    """With ``amounts_only`` a column counts if most of its values read as numbers; prose may name any currency."""
     rows = check.total(F.count(F.lit(1)))
     for c in columns:
+        amounts = F.lit(True)
+        if amounts_only:
+            digits = F.col(f"`{c}`").rlike(fixed.MEASURE_TEXT_PATTERN).cast("int")
+            amounts = check.total(F.avg(digits)) > fixed.MEASURE_DIGIT_RATE
         marks = [
             F.when(check.total(F.max(F.col(f"`{c}`").contains(s))), F.lit(s)) for s in fixed.CURRENCY_SYMBOLS
         ]
         seen = F.concat_ws(", ", *marks)
         text = "Mixed currency symbols detected: %s. Values may not be comparable."
-        check.issue(c, "mixed_currency", "error", F.format_string(text, seen), rows, seen.contains(", "))
+        check.issue(c, "mixed_currency", "error", F.format_string(text, seen), rows, amounts & seen.contains(", "))
 
 
 def missing_issues(df: DataFrame) -> DataFrame:
@@ -159,17 +164,28 @@ def duplicate_issues(df: DataFrame) -> DataFrame:
     )
 
 
-def quality_issues(df: DataFrame, measures: Sequence[str] | None = None) -> DataFrame:
+def quality_issues(
+    df: DataFrame, measures: Sequence[str] | None = None, dictionary: DataFrame | None = None
+) -> DataFrame:
     """Q1-Q5 in one issue table.
 
-    Apart from the quartiles and the duplicates, all checks share one pass over the table.
+    ``dictionary`` (``column, role, currency_symbol``, one row per column) says which columns are measures,
+    unless ``measures`` does, and which of those have a currency declared: only the others are looked at for
+    mixed symbols. Without it, texts are that mostly read as numbers. Apart from the quartiles and the
+    duplicates, all checks share one pass over the table.
     """
-    names = list(measures if measures is not None else numeric_columns(df))
+    texts, numbers = string_columns(df), numeric_columns(df)
+    if dictionary is not None:
+        rows = dictionary.where("role = 'measure'").select("column", "currency_symbol").collect()
+        symbols = {r["column"]: r["currency_symbol"] for r in rows}
+        numbers = [c for c in numbers if c in symbols]
+        texts = [c for c in texts if c in symbols and symbols[c] is None]
+    names = list(measures if measures is not None else numbers)
     check = _Check()
     _missing(check, df)
     _outliers(check, df, names)
     _negatives(check, names)
-    _currencies(check, string_columns(df))
+    _currencies(check, texts, amounts_only=dictionary is None)
     return check.rows(df).unionByName(duplicate_issues(df))
 
 

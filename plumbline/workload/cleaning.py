@@ -46,7 +46,12 @@ def s1(t: Tables) -> DataFrame:
     return delimited.read_text_table(t.spark, path)
 
 
-@query("s2_delimiter_sniff")
+@query(
+    "s2_delimiter_sniff",
+    """select distinct 'comma' as dialect, ',' as delimiter from orders union all
+       select distinct 'semicolon', ';' from lineitem union all
+       select distinct 'bar', '|' from customer union all select distinct 'tab', chr(9) from part""",
+)
 def s2(t: Tables) -> DataFrame:
     """One folder of files per delimiter; a file's folder says which one it was written with."""
     root = work_path(t.spark, "s2")
@@ -59,14 +64,21 @@ def s2(t: Tables) -> DataFrame:
             .csv(f"{root}/dialect={name}")
         )
     lines = delimited.file_lines(t.spark, f"{root}/*/*.csv")
-    return delimited.sniff_delimiters(lines).select(
-        F.regexp_extract("file", "dialect=([a-z]+)", 1).alias("dialect"), "delimiter", "hits"
-    )
+    dialect = F.regexp_extract("file", "dialect=([a-z]+)", 1).alias("dialect")
+    return delimited.sniff_delimiters(lines).select(dialect, "delimiter").distinct()
 
 
-@query("s3_encoding_sniff")
+@query(
+    "s3_encoding_sniff",
+    """select 'UTF-8' as written, 'UTF-8' as encoding, count(*) as lines from documents union all
+       select 'ISO-8859-1', case when bool_or(regexp_matches(text, '[\u0080-\u00FF]')) then 'ISO-8859-1' else 'UTF-8' end,
+         count(*) from documents""",
+)
 def s3(t: Tables) -> DataFrame:
-    """Documents written as UTF-8 and as ISO-8859-1."""
+    """Documents written as UTF-8 and as ISO-8859-1, whose files are plain ASCII if no character is beyond it.
+
+    How many files there are depends on the partitions, so the first encoding in the alphabet stands for a folder.
+    """
     root = work_path(t.spark, "s3")
     for encoding in ("UTF-8", "ISO-8859-1"):
         (
@@ -75,12 +87,13 @@ def s3(t: Tables) -> DataFrame:
             .option("encoding", encoding)
             .csv(f"{root}/written={encoding}")
         )
-    return delimited.sniff_encodings(delimited.file_lines(t.spark, f"{root}/*/*.csv")).select(
-        F.regexp_extract("file", "written=([A-Za-z0-9-]+)", 1).alias("written"), "encoding", "lines"
+    found = delimited.sniff_encodings(delimited.file_lines(t.spark, f"{root}/*/*.csv"))
+    return found.groupBy(F.regexp_extract("file", "written=([A-Za-z0-9-]+)", 1).alias("written")).agg(
+        F.min("encoding").alias("encoding"), F.sum("lines").alias("lines")
     )
 
 
-def _titled_files(t: Tables) -> DataFrame:
+def _titled_files(t: Tables, name: str) -> DataFrame:
     """Customer files whose header stands below two title lines and has merged cells."""
 
     def titled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,20 +105,30 @@ def _titled_files(t: Tables) -> DataFrame:
             ";", F.col("c_custkey"), F.col("c_name"), F.col("c_nationkey"), F.col("c_mktsegment"), F.col("c_acctbal")
         ).alias("value")
     )
-    path = work_path(t.spark, "s4")
+    path = work_path(t.spark, name)
     rows.mapInPandas(titled, "value string").write.mode("overwrite").text(path)
     return delimited.file_lines(t.spark, path)
 
 
-@query("s4_header_row")
+@query(
+    "s4_header_row",
+    "select 2::bigint as header_row, 5::bigint as columns, count(*) as rows from customer having count(*) > 0",
+)
 def s4(t: Tables) -> DataFrame:
-    return delimited.header_rows(_titled_files(t), ";").select("header_row", "columns", "lines")
+    """Every file has its header below two lines; the rows of all files are those below the headers."""
+    below = F.col("lines") - F.col("header_row") - 1
+    found = delimited.header_rows(_titled_files(t, "s4"), ";")
+    return found.groupBy(F.col("header_row").cast("long").alias("header_row"), "columns").agg(F.sum(below).alias("rows"))
 
 
-@query("s5_header_fill")
+@query(
+    "s5_header_fill",
+    """select position, name from (values (0, 'Customer'), (1, 'Customer_2'), (2, 'Place'), (3, 'Place_2'), (4, 'Balance'))
+         as v(position, name) where exists (select 1 from customer)""",
+)
 def s5(t: Tables) -> DataFrame:
-    headers = delimited.header_rows(_titled_files(t), ";")
-    return delimited.filled_headers(headers, ";").select("position", "name")
+    headers = delimited.header_rows(_titled_files(t, "s5"), ";")
+    return delimited.filled_headers(headers, ";").select("position", "name").distinct()
 
 
 @query(

@@ -361,3 +361,13 @@ def test_doubled_quotes_stay_in_one_cell(spark, tmp_path):
     (tmp_path / "t.csv").write_text('a,b,c\n1,"say ""hi"", ok",z\n')
     row = delimited.read_text_table(spark, str(tmp_path / "t.csv")).first()
     assert tuple(row) == ("1", 'say "hi", ok', "z")
+
+
+def test_only_undeclared_amounts_are_searched_for_mixed_currencies(spark):
+    rows = [("a note of $5", "$5", "$7"), ("and €7 in prose", "€6", "€8")]
+    df = spark.createDataFrame(rows, "note string, price string, paid string")
+    found = lambda **k: sorted(r["column"] for r in quality.quality_issues(df, **k).where("severity = 'error'").collect())
+    assert found() == ["paid", "price"]
+    declared = [("note", "other", None), ("price", "measure", None), ("paid", "measure", "$")]
+    known = spark.createDataFrame(declared, "column string, role string, currency_symbol string")
+    assert found(dictionary=known) == ["price"]
