@@ -217,10 +217,11 @@ def daily_values(
 
 def anomaly_stats(daily: DataFrame) -> DataFrame:
     """A5: one row of spread statistics over a daily series (``period_date, value, rows_used``)."""
-    return _spread(daily).drop("rows_used")
+    return series_spread(daily).drop("rows_used")
 
 
-def _spread(daily: DataFrame) -> DataFrame:
+def series_spread(daily: DataFrame) -> DataFrame:
+    """One row: periods, rows, mean, deviation, quartiles and the bounds drawn from them."""
     quartiles = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
     reach = F.lit(fixed.IQR_FACTOR) * F.col("iqr")
     return (
@@ -250,7 +251,7 @@ def anomalies(daily: DataFrame) -> DataFrame:
     The z rule is off where the deviation is unknown or 0 (one day, constant series). Statistics
     and days come from the same columns of the series, hence from one scan.
     """
-    s = one_row(_spread(daily))
+    s = one_row(series_spread(daily))
     value = F.col("value")
     far = (s["std"] > 0) & (F.abs((value - s["mean"]) / s["std"]) > fixed.Z_THRESHOLD)
     return daily.where(

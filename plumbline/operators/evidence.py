@@ -34,10 +34,13 @@ def linked_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
 
 
-def run_specs(df: DataFrame, specs: Sequence[AnalysisSpec], definitions: analysis.Definitions = None) -> DataFrame:
+def run_specs(
+    df: DataFrame, specs: Sequence[AnalysisSpec], definitions: analysis.Definitions = None, spread: bool = False
+) -> DataFrame:
     """Evidence for every request, long form: ``(item, field, value)`` under each evidence id.
 
-    Requests for plain metrics over the same rows share one aggregate, and so do comparisons of
+    With ``spread``, anomaly requests also have the spread of their series and the number of its anomalies,
+    so that one that finds nothing has evidence, too. Requests for plain metrics over the same rows share one aggregate, and so do comparisons of
     the same two windows; unknown types are plain metrics.
     """
     plain, compared, rest = defaultdict(list), defaultdict(list), []
@@ -51,7 +54,7 @@ def run_specs(df: DataFrame, specs: Sequence[AnalysisSpec], definitions: analysi
             plain[s.date_col, s.current, filters].append(s)
     parts = [_plain(df, group, definitions) for group in plain.values()]
     parts += [_compared(df, group, definitions) for group in compared.values()]
-    parts += [_single(df, s, definitions) for s in rest]
+    parts += [_single(df, s, definitions, spread) for s in rest]
     return union_all(parts)
 
 
@@ -110,15 +113,27 @@ def _compared(df: DataFrame, specs: Sequence[AnalysisSpec], definitions: analysi
     return _long(wide, out)
 
 
-def _single(df: DataFrame, s: AnalysisSpec, definitions: analysis.Definitions) -> DataFrame:
+def _single(df: DataFrame, s: AnalysisSpec, definitions: analysis.Definitions, spread: bool) -> DataFrame:
+    whole = F.lit(None).cast("string")
     if s.analysis_type == "anomaly_detection":
-        found = analysis.anomalies(analysis.daily_values(df, s.metric, s.date_col, definitions, s.filters))
-        row = _rows(found, s, F.col("period_date"), {"value": F.col("value")}, F.col("rows_used"))
-        return _long(found, [row])
+        inside = matching_rows(df, s.filters, s.date_col, s.current)
+        daily = analysis.daily_values(inside, s.metric, s.date_col, definitions)
+        found = analysis.anomalies(daily)
+        days = _long(found, [_rows(found, s, F.col("period_date"), {"value": F.col("value")}, F.col("rows_used"))])
+        if not spread:
+            return days
+        count = one_row(found.agg(F.count(F.lit(1)).alias("n")))["n"]
+        stats = analysis.series_spread(daily).withColumn("anomaly_count", count)
+        fields = {c: F.col(c) for c in stats.columns if c != "rows_used"}
+        return days.unionByName(_long(stats, [_rows(stats, s, whole, fields, F.col("rows_used"))]))
     if s.analysis_type == "volume_price_decomp":
         split = analysis.volume_price(df, s.date_col, s.current, s.baseline, definitions, s.filters)
+        tagged = tag_windows(df, s.date_col, s.current, s.baseline, s.filters)
+        counts = one_row(pivot_windows(tagged, {"rows": F.count(F.lit(1))}))
+        rows = F.coalesce(counts["rows_current"], F.lit(0)) + F.coalesce(counts["rows_baseline"], F.lit(0))
         fields = {c: F.col(c) for c in split.columns}
-        return _long(split, [_rows(split, s, F.lit(None).cast("string"), fields, F.lit(None))])
+        counted = split.withColumn("rows", rows)
+        return _long(counted, [_rows(counted, s, whole, fields, F.col("rows"))])
     segments = analysis.contribution(
         df, s.metric, s.date_col, s.current, s.baseline, s.dimensions[0], definitions, s.filters
     )

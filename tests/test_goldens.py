@@ -371,3 +371,19 @@ def test_only_undeclared_amounts_are_searched_for_mixed_currencies(spark):
     declared = [("note", "other", None), ("price", "measure", None), ("paid", "measure", "$")]
     known = spark.createDataFrame(declared, "column string, role string, currency_symbol string")
     assert found(dictionary=known) == ["price"]
+
+
+def test_anomaly_and_split_evidence_is_complete(spark):
+    days = [(dt.date(2024, 1, d), "s", 10.0, 1.0) for d in range(1, 31)] + [(dt.date(2024, 2, 1), "s", 900.0, 1.0)]
+    df = spark.createDataFrame(days, "day date, seg string, revenue double, units double")
+    january, february = TimeWindow("2024-01-01", "2024-01-31"), TimeWindow("2024-02-01", "2024-02-29")
+    specs = [
+        AnalysisSpec("none", "anomaly_detection", "revenue", "day", january),
+        AnalysisSpec("one", "anomaly_detection", "revenue", "day"),
+        AnalysisSpec("split", "volume_price_decomp", "revenue", "day", february, january),
+    ]
+    rows = evidence.run_specs(df, specs, spread=True).collect()
+    got = {(r["spec_id"], r["item"], r["field"]): (r["value"], r["rows_used"]) for r in rows}
+    assert got["none", None, "anomaly_count"] == (0.0, 30) and got["none", None, "mean"] == (10.0, 30)
+    assert got["one", None, "anomaly_count"] == (1.0, 31) and got["one", "2024-02-01", "value"] == (900.0, 1)
+    assert got["split", None, "total_delta"] == (600.0, 31)
