@@ -70,7 +70,7 @@ def _missing(check: _Check, df: DataFrame) -> None:
 
 def _outliers(check: _Check, df: DataFrame, measures: Sequence[str]) -> None:
     wanted = [(f"{c}__{q}", c, p) for c in measures for q, p in (("q1", 0.25), ("q3", 0.75))]
-    found = exact_quantiles(df, wanted)
+    found = exact_quantiles(df, wanted) if wanted else {}
     for c in measures:
         q1, q3 = found[f"{c}__q1"], found[f"{c}__q3"]
         if q1 is None or q3 is None:
