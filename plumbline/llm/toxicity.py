@@ -6,34 +6,39 @@ Kneser-Ney model over the counts of all documents, whose lower orders count how
 characters come before an expression. An expression that a class has hardly seen thus takes the shared
 value, and its ratio between the classes nears one; one seen in neither class says nothing.
 
-Counting, discounting and backing off are aggregates and joins over the table of expressions, which
-grows with the corpus. What scoring needs is the log ratio of the expressions that either class uses in
-at least one of ``MODEL_SHARE`` of its characters: at most twice ``MODEL_SHARE`` rows, so it is sent to
-every task. Scores come from the log ratio per character of a document and of its worst words, calibrated
-by logistic regression on learning rows, each scored by a model that was learned from the other half.
+Texts are counted by distinct word. Counting, discounting and backing off are aggregates and joins over
+the table of expressions, which grows with the corpus; all of them keep their log ratio, and a join and an
+aggregate reduce it to one row per distinct word. Words that make up at least one of ``BROADCAST_WORDS``
+of all words are sent to every task, the others of a document are joined to the table of words; either
+way every word counts with its value. Scores come from the log ratio per character of a document and of
+its worst words, calibrated by logistic regression on learning rows, each scored by a model that was
+learned from the other half.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
-from typing import Iterator
+from typing import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.llm.texts import small_side, stored, with_columns
+from plumbline.llm.texts import small_side, stored
 
 ORDER = 5
 DISCOUNT = 0.75
-MODEL_SHARE = 150_000
-MIN_COUNT = 3
-MIN_RATIO = 0.05
+#: Log ratios are whole numbers of this part, so that their sums do not depend on the order.
+UNIT = 1e-9
+MODELS = ["a", "b", "all"]
+#: At most so many words, of at most so many characters, are sent to every task.
+BROADCAST_WORDS, WORD_CHARS = 200_000, 64
 CALIBRATION_ROWS = 20_000
 FLUSH = 400_000
+PART_ROWS, PART_CHARS = 100_000, 1 << 23
 WORST = 3
 THRESHOLD = 0.7
-CACHE = 300_000
 #: Class and half of the learning rows, as the column of counts that a row adds to; 0 is neither.
 TAGS = ["neither", "toxic_a", "plain_a", "toxic_b", "plain_b"]
 FEATURES = ["per_char", "worst", "worst_few", "log_chars"]
@@ -45,26 +50,33 @@ def expressions(word: str, order: int = ORDER) -> list[str]:
     return [marked[max(0, i - order + 1) : i + 1] for i in range(1, len(marked))]
 
 
-def _counts(tagged: DataFrame) -> DataFrame:
-    """``g`` and a count per tag, folded by word and by task before the shuffle."""
+def _parts(keys: Iterable[str]) -> Iterator[list[str]]:
+    """``keys`` in lists of bounded rows and characters."""
+    part, size = [], 0
+    for key in keys:
+        part.append(key)
+        size += len(key)
+        if len(part) >= PART_ROWS or size >= PART_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _words(tagged: DataFrame) -> DataFrame:
+    """``word``, its digest ``w``, a count per tag and their sum ``c``, folded by task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [Counter() for _ in TAGS]
 
         def flushed():
             for tag, counter in enumerate(words):
-                found: Counter = Counter()
-                for word, n in counter.items():
-                    for g in expressions(word):
-                        found[g] += n
-                counter.clear()
-                keys = list(found)
-                for at in range(0, len(keys), 100_000):
-                    part = keys[at : at + 100_000]
+                for part in _parts(counter):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(part), pa.array([tag] * len(part), pa.int32()), pa.array([found[k] for k in part], pa.int64())],
-                        names=["g", "tag", "n"],
+                        [pa.array(part), pa.array([tag] * len(part), pa.int32()), pa.array([counter[k] for k in part], pa.int64())],
+                        names=["word", "tag", "n"],
                     )
+                counter.clear()
 
         for batch in batches:
             for text, tag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -74,11 +86,44 @@ def _counts(tagged: DataFrame) -> DataFrame:
                         yield from flushed()
         yield from flushed()
 
-    counted = tagged.select("text", "tag").mapInArrow(run, "g string, tag int, n long")
-    return counted.groupBy("g").agg(
+    counted = tagged.select("text", "tag").mapInArrow(run, "word string, tag int, n long")
+    found = counted.groupBy("word").agg(
         *[F.coalesce(F.sum(F.when(F.col("tag") == i, F.col("n"))), F.lit(0)).alias(t) for i, t in enumerate(TAGS)],
         F.sum("n").alias("c"),
     )
+    return found.withColumn("w", F.unhex(F.md5("word")))
+
+
+def _counts(words: DataFrame) -> DataFrame:
+    """``g``, a count per tag and their sum ``c``, folded by task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list[int]] = {}
+
+        def flushed():
+            for part in _parts(found):
+                columns = zip(*(found[g] for g in part))
+                yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array(c, pa.int64()) for c in columns]], names=["g", *TAGS])
+            found.clear()
+
+        for batch in batches:
+            for word, *counts in zip(*(c.to_pylist() for c in batch.columns)):
+                for g in expressions(word):
+                    have = found.get(g)
+                    if have is None:
+                        found[g] = counts[:]
+                    else:
+                        for i, n in enumerate(counts):
+                            if n:
+                                have[i] += n
+                    if len(found) > FLUSH:
+                        yield from flushed()
+        yield from flushed()
+
+    schema = ", ".join(["g string", *[f"{t} long" for t in TAGS]])
+    counted = words.select("word", *TAGS).mapInArrow(run, schema)
+    summed = counted.groupBy("g").agg(*[F.sum(t).alias(t) for t in TAGS])
+    return summed.withColumn("c", sum((F.col(t) for t in TAGS[1:]), F.col(TAGS[0])))
 
 
 def _context() -> Column:
@@ -121,88 +166,147 @@ def _class_probability(count: Column, context: Column, types: Column, shared: Co
     return F.when(context > 0, seen).otherwise(shared)
 
 
-def learn(tagged: DataFrame) -> tuple[dict[str, np.ndarray], list[str]]:
-    """Log ratios by model (``a``, ``b``: learned from that half; ``all``) and the expressions they belong to."""
-    grams = stored(_counts(tagged), "expressions")
+def log_ratios(words: DataFrame) -> DataFrame:
+    """``g`` and its log ratio by model (``a``, ``b``: learned from that half; ``all``), for every expression."""
+    grams = stored(_counts(words), "expressions")
     with_p = grams.join(_shared(grams), "g").withColumn("h", _context())
-    columns = {
-        "toxic_all": F.col("toxic_a") + F.col("toxic_b"),
-        "plain_all": F.col("plain_a") + F.col("plain_b"),
-    }
-    with_p = with_p.withColumns(columns)
-    names = [f"{c}_{m}" for m in ("a", "b", "all") for c in ("toxic", "plain")]
+    with_p = with_p.withColumns(
+        {"toxic_all": F.col("toxic_a") + F.col("toxic_b"), "plain_all": F.col("plain_a") + F.col("plain_b")}
+    )
+    names = [f"{c}_{m}" for m in MODELS for c in ("toxic", "plain")]
     contexts = with_p.groupBy("h").agg(
         *[F.sum(n).alias(f"{n}_ch") for n in names], *[F.count_if(F.col(n) > 0).alias(f"{n}_th") for n in names]
     )
-    totals = grams.agg(F.sum(columns["toxic_all"]).alias("toxic"), F.sum(columns["plain_all"]).alias("plain")).first()
 
     def ratio(model: str) -> Column:
         p = {
             c: _class_probability(F.col(f"{c}_{model}"), F.col(f"{c}_{model}_ch"), F.col(f"{c}_{model}_th"), F.col("p"))
             for c in ("toxic", "plain")
         }
-        count = F.col(f"toxic_{model}") + F.col(f"plain_{model}")
-        return F.when(count >= MIN_COUNT, F.log(p["toxic"]) - F.log(p["plain"])).otherwise(0.0).alias(model)
+        return (F.log(p["toxic"]) - F.log(p["plain"])).alias(model)
 
-    frequent = (F.col("toxic_all") >= (totals["toxic"] or 1) / MODEL_SHARE) | (
-        F.col("plain_all") >= (totals["plain"] or 1) / MODEL_SHARE
-    )
-    rows = (
-        with_p.where(frequent)
-        .join(contexts, "h")
-        .select("g", ratio("a"), ratio("b"), ratio("all"))
-        .where(F.greatest(F.abs("a"), F.abs("b"), F.abs("all")) >= MIN_RATIO)
-        .collect()
+    return with_p.join(contexts, "h").select("g", *[ratio(m) for m in MODELS])
+
+
+def word_values(words: DataFrame) -> DataFrame:
+    """Every row of ``words`` with the sum of its log ratios by model, in units, and its number of expressions ``size``."""
+    ratios = stored(log_ratios(words).select("g", *[F.round(F.col(m) / UNIT).cast("long").alias(m) for m in MODELS]), "log-ratios")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, grams, times = [], [], []
+
+        def flushed():
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.binary()), pa.array(grams, pa.string()), pa.array(times, pa.int64())], names=["w", "g", "m"]
+            )
+            for column in (ids, grams, times):
+                column.clear()
+            return batch
+
+        for batch in batches:
+            for w, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for g, m in Counter(expressions(word)).items():
+                    ids.append(w)
+                    grams.append(g)
+                    times.append(m)
+                    if len(ids) >= PART_ROWS:
+                        yield flushed()
+        yield flushed()
+
+    spread = words.select("w", "word").mapInArrow(run, "w binary, g string, m long")
+    values = spread.join(ratios, "g").groupBy("w").agg(
+        *[F.sum(F.col("m") * F.col(m)).alias(m) for m in MODELS], F.sum("m").alias("size")
     )
-    rows.sort()
-    return {m: np.array([r[m] for r in rows]) for m in ("a", "b", "all")}, [r["g"] for r in rows]
+    return words.select("w", "word", "c").join(values, "w")
 
 
-def _features(docs: DataFrame, column: str, shared, calibration=None) -> DataFrame:
-    """With ``calibration`` the ``score`` of the texts in ``column``, from the models of all learning rows.
+def frequent_words(values: DataFrame, limit: int = BROADCAST_WORDS) -> tuple[list[str], dict[str, list[int]], bool]:
+    """At most ``limit`` words with the columns of their values, and whether these are all words."""
+    short = values.where(F.length("word") <= WORD_CHARS)
+    seen = values.agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).first()
+    if seen["n"] > limit:
+        short = short.where(F.col("c") >= seen["c"] / limit)
+    rows = short.select("word", *MODELS, "size").collect()
+    return [r["word"] for r in rows], {m: [r[m] for r in rows] for m in [*MODELS, "size"]}, len(rows) == seen["n"]
 
-    Without, ``column`` holds structs of ``text`` and ``use``, the model to take, and the result has the
-    features.
-    """
 
-    def make():
-        ratios, names = shared.value
-        known = {m: dict(zip(names, ratios[m].tolist())) for m in (["a", "b"] if calibration is None else ["all"])}
-        caches: dict[str, dict[str, tuple[float, int]]] = {m: {} for m in known}
-
-        def measured(text: str | None, use: str):
-            values, cache, table = [], caches[use], known[use]
-            size = 0
-            for word, n in Counter((text or "").lower().split()).items():
-                got = cache.get(word)
-                if got is None:
-                    found = expressions(word)
-                    got = (sum(table.get(g, 0.0) for g in found), len(found))
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[word] = got
-                size += n * got[1]
-                values.append((got[0], n, got[1]))
-            total = sum(v * n for v, n, _ in values)
-            worst = sorted((v for v, n, _ in values for _ in range(min(n, WORST))), reverse=True)[:WORST]
-            worst += [0.0] * (WORST - len(worst))
-            return [total / max(size, 1), worst[0], sum(worst) / WORST, float(np.log1p(size))]
-
-        def compute(values):
-            rows = [measured(v["text"], v["use"]) if calibration is None else measured(v, "all") for v in values]
-            x = np.array(rows, dtype=float).reshape(-1, len(FEATURES))
-            return list(x.T) if calibration is None else [probability(x, calibration)]
-
-        return compute
-
-    names = FEATURES if calibration is None else ["score"]
-    return with_columns(docs, column, make, [(n, "double") for n in names])
-
-
-def probability(x: np.ndarray, calibration) -> np.ndarray:
-    centre, scale, weights = calibration
-    z = np.column_stack([np.ones(len(x)), (x - centre) / scale]) @ weights
-    return np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
+def _features(texts: DataFrame, values: DataFrame, frequent, every_word: bool) -> DataFrame:
+    """``id`` and the features of each distinct one of ``texts`` (``id``, which determines the others; ``text``;
+    ``use``, the model to take). ``frequent`` is the broadcast of some words and their values, of all with ``every_word``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, columns = frequent.value
+        place = {word: i for i, word in enumerate(names)}
+        sizes = columns["size"]
+        for batch in batches:
+            ids, totals, chars, worsts, rests = [], [], [], [], []
+            for i, text, use in zip(*(c.to_pylist() for c in batch.columns)):
+                ratios, total, size, found, rest = columns[use], 0, 0, [], []
+                for word, n in Counter(text.lower().split()).items():
+                    at = place.get(word)
+                    if at is None:
+                        rest.append({"w": hashlib.md5(word.encode()).digest(), "n": n})
+                        continue
+                    total += n * ratios[at]
+                    size += n * sizes[at]
+                    found.append((ratios[at], n))
+                ids.append(i)
+                totals.append(total)
+                chars.append(size)
+                found.sort(reverse=True)
+                worsts.append([v for v, n in found[:WORST] for _ in range(min(n, WORST))][:WORST])
+                rests.append(rest)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.binary()),
+                    batch.column(2),
+                    pa.array(totals, pa.int64()),
+                    pa.array(chars, pa.int64()),
+                    pa.array(worsts, pa.list_(pa.int64())),
+                    pa.array(rests, pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))),
+                ],
+                names=["id", "use", "total", "size", "worst", "rest"],
+            )
+
+    schema = "id binary, use string, total long, size long, worst array<long>, rest array<struct<w: binary, n: long>>"
+    parts = texts.select("id", "text", "use").mapInArrow(run, schema)
+    if not every_word:
+        parts = stored(parts.dropDuplicates(["id"]), "word-parts")
+        # A word that is not sent to every task has its value from the table of all words.
+        rare = parts.select("id", "use", F.explode("rest").alias("r")).select("id", "use", "r.w", "r.n")
+        value = F.coalesce(*[F.when(F.col("use") == m, F.col(m)) for m in MODELS])
+        rare = rare.join(values.select("w", *MODELS, F.col("size").alias("chars")), "w").select("id", "n", "chars", value.alias("v"))
+        rare = rare.groupBy("id").agg(
+            F.sum(F.col("n") * F.col("v")).alias("rare_total"),
+            F.sum(F.col("n") * F.col("chars")).alias("rare_size"),
+            F.flatten(F.collect_list(F.expr(f"array_repeat(v, cast(least(n, {WORST}) AS int))"))).alias("rare_worst"),
+        )
+        parts = parts.join(rare, "id", "left").select(
+            "id",
+            (F.col("total") + F.coalesce("rare_total", F.lit(0))).alias("total"),
+            (F.col("size") + F.coalesce("rare_size", F.lit(0))).alias("size"),
+            F.concat("worst", F.coalesce("rare_worst", F.expr("array()").cast("array<long>"))).alias("worst"),
+        )
+    first = F.slice(F.sort_array("worst", asc=False), 1, WORST)
+    parts = parts.select("id", "total", "size", first.alias("worst"))
+    found = parts.select(
+        "id",
+        (F.col("total") * UNIT / F.greatest("size", F.lit(1))).alias("per_char"),
+        (F.coalesce(F.get("worst", F.lit(0)), F.lit(0)) * UNIT).alias("worst"),
+        (F.aggregate("worst", F.lit(0).cast("long"), lambda total, v: total + v) * UNIT / WORST).alias("worst_few"),
+        F.log1p(F.col("size").cast("double")).alias("log_chars"),
+    )
+    return stored(found.dropDuplicates(["id"]) if every_word else found, "features")
+
+
+def _score(calibration) -> Column:
+    """The calibrated probability from the features."""
+    centre, scale, weights = ([float(v) for v in part] for part in calibration)
+    z = F.lit(weights[0])
+    for name, c, s, w in zip(FEATURES, centre, scale, weights[1:]):
+        z = z + (F.col(name) - c) / s * w
+    e = F.exp(-F.abs(z))
+    return F.when(z >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50):
@@ -229,6 +333,7 @@ def toxicity_scores(
     label: str = "toxic",
     threshold: float = THRESHOLD,
     calibration_rows: int = CALIBRATION_ROWS,
+    broadcast_words: int = BROADCAST_WORDS,
 ) -> DataFrame:
     """``docs`` with ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
 
@@ -266,18 +371,30 @@ def toxicity_scores(
     if not shares["n"] or shares["toxic"] in (0, shares["n"]):
         return finish(rest.withColumn("score", F.lit(shares["toxic"] / shares["n"] if shares["n"] else 0.0)))
 
+    words = stored(_words(labelled.select("text", tag.cast("int").alias("tag"))), "words")
+    values = stored(word_values(words), "word-values")
+    names, columns, every_word = frequent_words(values, broadcast_words)
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(learn(labelled.select("text", tag.cast("int").alias("tag"))))
+
+    def features(texts: DataFrame, models: list[str]) -> DataFrame:
+        sent = context.broadcast((names, {m: columns[m] for m in [*models, "size"]}))
+        return _features(texts, values, sent, every_word)
+
     part = min(1.0, calibration_rows / shares["n"])
     sample = plain.join(
         small_side(known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < part * 1_000_000)), "__id"
     ).withColumn("use", F.when(F.crc32(F.col("__id").cast("string").cast("binary")) % 3 == 2, "a").otherwise("b"))
-    packed = sample.select("__id", "__y", F.struct("text", "use").alias("text"))
-    rows = _features(packed, "text", shared).select("__id", "__y", *FEATURES).collect()
+    sample = sample.withColumn("text", F.coalesce("text", F.lit("")))
+    sample = sample.withColumn("id", F.concat(F.col("use").cast("binary"), F.unhex(F.md5("text"))))
+    measured = features(sample, ["a", "b"])
+    rows = sample.select("id", "__id", "__y").join(measured, "id").select("__id", "__y", *FEATURES).collect()
     if len({r["__y"] for r in rows}) < 2:
         return finish(rest.withColumn("score", F.lit(shares["toxic"] / shares["n"])))
     rows.sort()
     x = np.array([[r[f] for f in FEATURES] for r in rows])
     calibration = fit_logistic(x, np.array([float(r["__y"]) for r in rows]))
-    texts = rest.withColumn("__text", F.col(f"`{text}`").cast("string"))
-    return finish(_features(texts, "__text", shared, calibration).drop("__text"))
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    texts = docs.select(whole.alias("text")).select(F.unhex(F.md5("text")).alias("id"), "text", F.lit("all").alias("use"))
+    scores = features(texts, ["all"]).select(F.col("id").alias("__text"), _score(calibration).alias("score"))
+    with_id = rest.withColumn("__text", F.unhex(F.md5(whole)))
+    return finish(with_id.join(small_side(scores), "__text", "left").drop("__text"))

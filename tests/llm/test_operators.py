@@ -215,6 +215,69 @@ def test_toxicity_learns_held_out_rows(spark):
     assert none == 0.0
 
 
+def slow_log_ratios(rows):
+    """Log ratios of all expressions, from (text, class or None): plain loops over every one of them."""
+    grams = [(g, y) for text, y in rows for w in text.lower().split() for g in toxicity.expressions(w)]
+    order, off = toxicity.ORDER, toxicity.DISCOUNT
+    levels = {order: Counter(g for g, _ in grams)}
+    for k in range(order - 1, 0, -1):
+        longer = {g for g in levels[k + 1] if len(g) == k + 1} | {g for g in levels[order] if g[0] == "\x02" and len(g) == k + 1}
+        levels[k] = Counter(g[1:] for g in longer)
+    shared = {g: n / sum(levels[1].values()) for g, n in levels[1].items()}
+    for k in range(2, order + 1):
+        mass, kinds = Counter(), Counter()
+        for g, n in levels[k].items():
+            mass[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        found = {g: (max(n - off, 0) + off * kinds[g[:-1]] * shared[g[1:]]) / mass[g[:-1]] for g, n in levels[k].items()}
+        shared = found if k == order else shared | found
+    logs = []
+    for y in (1, 0):
+        counts, mass, kinds = Counter(g for g, c in grams if c == y), Counter(), Counter()
+        for g, n in counts.items():
+            mass[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        logs.append({
+            g: np.log((max(counts[g] - off, 0) + off * kinds[g[:-1]] * p) / mass[g[:-1]] if mass[g[:-1]] else p)
+            for g, p in shared.items()
+        })
+    return {g: logs[0][g] - logs[1][g] for g in shared}
+
+
+def test_every_expression_keeps_its_log_ratio(spark):
+    rng = random.Random(4)
+    rows = [("".join(rng.choice("abcde ") for _ in range(60)) + f" once{i}", [None, 1, 0][i % 3]) for i in range(60)]
+    tagged = spark.createDataFrame([(t, {None: 0, 1: 1, 0: 2}[y]) for t, y in rows], "text string, tag int")
+    words = toxicity._words(tagged)
+    want, got = slow_log_ratios(rows), {r.g: r["all"] for r in toxicity.log_ratios(words).collect()}
+    assert set(got) == set(want) and all(abs(got[g] - want[g]) < 1e-9 for g in want)
+    values = {r.word: r for r in toxicity.word_values(words).collect()}
+    assert set(values) == {w for t, _ in rows for w in t.split()}
+    for word, r in values.items():
+        assert abs(r["all"] * toxicity.UNIT - sum(want[g] for g in toxicity.expressions(word))) < 1e-6
+
+
+def test_rare_expressions_count_whatever_the_words_sent(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(600):
+        text = words(rng, 40, ["tion", "the", "ever", "then", "ring"]).split()
+        if i % 5 == 0:
+            text[rng.randrange(40)] = rng.choice(["scumzz", "scumly"])
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(i % 5 == 0)))
+    learns = [i for i in range(1000, 1020) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    plain = "the ring then ever tion " * 7 + "the ring then ever "
+    # One learning row has the word, one time.
+    rows += [(learns[0], plain + "qjqjq"), (2000, plain + "qjqjq"), (2001, plain + "ring"), (2002, plain + "qjqjq"), (2003, None)]
+    labels.append((learns[0], 1))
+    docs, known = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, known).collect()}
+    assert got[2000] == got[2002] > got[2001] + 0.05
+    few = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, known, broadcast_words=3).collect()}
+    assert few.keys() == got.keys() and all(abs(few[i] - got[i]) < 1e-9 for i in got)
+
+
 def test_pipeline_takes_out_what_it_should(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.keep_one_of_each(spark, docs.union(docs.limit(3)), SF)
