@@ -28,7 +28,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near-duplicates the row with the smallest doc_id stays, of repeated rows one.
 
     The ids that go are joined, not the ones that stay. Only ids on several rows, and NULL, need their
-    fingerprint to tell which row is meant.
+    fingerprint to tell which row is meant; groups are told apart by their root, as such ids can be the
+    smallest of several groups.
     """
     found = stored(simhash.near_duplicates(docs), "near-duplicates")
     kept = found.groupBy("doc_id").agg(
@@ -43,7 +44,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     chosen = (
         found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .join(small_side(several), same, "left_semi")
-        .groupBy("doc_id", F.col("component_id"))
+        .groupBy("doc_id", "root")
         .agg(F.min("bits").alias("bits"))
     )
     wrapped = docs.join(small_side(several), same, "left_semi").select(

@@ -171,8 +171,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``bits`` and ``component_id``, the smallest doc_id that
-    links of at most ``radius`` differing bits reach.
+    """One row per row of ``docs``: ``doc_id``, ``bits``, ``component_id``, the smallest doc_id that links of
+    at most ``radius`` differing bits reach, and ``root``, the smallest fingerprint that they reach. Components
+    can share a component_id, if ids are NULL or repeated, but never a root.
 
     Texts without words, NULL ones included, have fingerprint 0 and are linked like any other.
     Repeated rows stay rows and share a component. A NULL doc_id is never a component's id unless no
@@ -186,8 +187,8 @@ def near_duplicates(
         "root", F.coalesce("root", "bits")
     )
     smallest = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_bits = roots.select("bits", "root").join(smallest, "root").select("bits", "component_id")
-    return marked.join(of_bits, "bits").select("doc_id", "bits", "component_id")
+    of_bits = roots.select("bits", "root").join(smallest, "root").select("bits", "component_id", "root")
+    return marked.join(of_bits, "bits").select("doc_id", "bits", "component_id", "root")
 
 
 def hexadecimal(bits: str = "bits"):

@@ -290,6 +290,16 @@ def test_pipeline_takes_out_what_it_should(spark):
         assert stage(spark, empty, SF).count() == 0, name
 
 
+def test_unrelated_texts_with_one_id_or_none_all_stay(spark):
+    rng = random.Random(6)
+    lone = [words(rng, 60, [f"w{i}" for i in range(300)]) for _ in range(8)]
+    rows = [(-1, t) for t in lone[:3] * 2] + [(5, t) for t in lone[3:6]] + [(7, lone[6]), (-1, lone[6])]
+    docs = documents(spark, rows + [(6, lone[3]), (4, lone[7]), (4, lone[7])]).withColumn("doc_id", F.expr("nullif(doc_id, -1)"))
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()
+    want = [(None, t) for t in lone[:3]] + [(5, t) for t in lone[3:6]] + [(7, lone[6]), (4, lone[7])]
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(want)
+
+
 # Columns that bear the names of what the operators add or use inside.
 CLASHES = [
     "score", "predicted", "held_out", "spans", "n_words", "n_hit", "hit_words", "kept_text", "size", "target", "taken",
