@@ -4,8 +4,9 @@ Texts are packed into encoder calls of about equal bytes. A text longer than a p
 boundaries, places that no token can span, so that the encoder's working memory is bounded by the
 piece and not by the text. For a ``.model`` file a safe boundary is one space after a character that
 is neither a space nor the space mark, provided that no entry of the vocabulary has a space mark
-after another character; the encoder puts that space back before the next piece. A vocabulary
-without that property, and ``.json`` files, get no cuts.
+after another character; the encoder puts that space back before the next piece, which must not be
+empty, so a space that ends the text is no boundary. A vocabulary without that property, and
+``.json`` files, get no cuts.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def _tokenizers(model: bytes) -> tuple[Callable[[list[str]], list[int]], bool]:
 
 def pieces_of(text: str, size: int = PIECE_CHARS) -> list[str]:
     """``text`` cut at the first safe boundary after every ``size`` characters, without that space."""
-    safe = re.compile(f"(?<=[^ {MARK}]) ")
+    safe = re.compile(f"(?<=[^ {MARK}]) (?=.)", re.DOTALL)
     cut, start = [], 0
     while len(text) - start > size and (m := safe.search(text, start + size)):
         cut.append(text[start : m.start()])

@@ -107,6 +107,17 @@ def test_tokens_are_those_of_whole_texts(spark):
         assert got[i] == (n, len((t or "").encode()), n > 100)
 
 
+def test_tokens_of_long_texts_that_end_in_a_space(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path(queries.TOKENIZER)
+    encoder = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["word " * 3277, "x" * 16_390 + " ", "x" * 16_390 + "  ", "x" * 16_390 + " \n", "x" * 16_390 + " y "]
+    found = tokens.token_counts(documents(spark, enumerate(texts)), path)
+    assert {r.doc_id: r.n_tokens for r in found.collect()} == {i: len(encoder.encode(t)) for i, t in enumerate(texts)}
+
+
 def test_benchmark_parts_find_what_one_automaton_finds(spark):
     rng = random.Random(4)
     items = spark.createDataFrame([(i, words(rng, n)) for i, n in enumerate([0, 1, 3, 12, 15])] + [(None, None)], "item_id long, text string")
