@@ -147,6 +147,20 @@ def test_strict_personal_data_and_redaction(spark):
     assert rows[3].redacted_text == "call [PHONE] or [EMAIL]"
 
 
+def test_longer_protocol_and_spelled_addresses_go(spark):
+    rng = random.Random(12)
+    names = [f"word{chr(97 + i)}" for i in range(20)]
+    texts = [f"{words(rng, 12, names)} mail jo{chr(97 + i % 26)}@site{i}.example.org or 10.0.{i % 200}.7 {words(rng, 12, names)}" for i in range(400)]
+    texts = [f"{t} version 2.{i % 30}.4 of 2021-0{i % 9 + 1}-1{i % 9}" for i, t in enumerate(texts)]
+    hidden = ["2001:db8:85a3:0:0:8a2e:370:7334", "anna.berg (at) mailhost (dot) org", "tom @ homepage.net", "ida[at]inbox.example[dot]com"]
+    harmless = ["12:30:45:10", "00:1b:44:11:3a:b7", "3.50 per unit", "version 2.10.4", "us @ 10.30"]
+    texts += [f"{words(rng, 9, names)} {h} {words(rng, 9, names)}" for h in hidden + harmless]
+    got = [r.redacted_text for r in pii.find_pii(documents(spark, enumerate(texts)), redact=True).orderBy("doc_id").collect()][400:]
+    for h, text in zip(hidden + harmless, got):
+        assert (h in text) == (h in harmless), (h, text)
+    assert "[IP_LIKE]" in got[0] and all("[EMAIL_LIKE]" in t for t in got[1:4])
+
+
 def test_boosted_trees_learn_and_thresholds_hold():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 5, (2000, 4)).astype(float)
