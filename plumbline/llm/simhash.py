@@ -118,8 +118,9 @@ def spanning_links(bits: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray,
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """``a``, ``b``: links that connect what pairs within ``radius`` bits connect.
 
-    ``distinct`` has one row per fingerprint in ``bits``. An odd radius takes the next even one for
-    the points of large buckets and checks the links.
+    ``distinct`` has one row per fingerprint in ``bits``. Two are within an odd radius if and only if some
+    point lies within its smaller half of one and its larger half of the other; all that list a point are
+    then linked to the smallest within the smaller half.
     """
     masks = F.array(*[F.lit(m).cast("long") for m in covering_masks(radius)])
     tables = distinct.select("bits", F.posexplode(masks).alias("t", "mask")).select(
@@ -155,16 +156,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     compared = by_bucket.mapInArrow(compare, "a long, b long").distinct()
 
     around = F.array(*[F.lit(p).cast("long") for p in ball((radius + 1) // 2)])
+    inner = F.when(F.bit_count(F.col("bits").bitwiseXOR(F.col("point"))) <= radius // 2, F.col("bits"))
     crowded = members.where(F.col("n") > bucket).select("bits").distinct()
     if not crowded.take(1):
         return compared
     points = crowded.select("bits", F.explode(around).alias("step")).select(
         "bits", F.col("bits").bitwiseXOR(F.col("step")).alias("point")
     )
-    centres = points.groupBy("point").agg(F.min("bits").alias("a"))
+    centres = points.groupBy("point").agg(F.min(inner).alias("a"))
     shared = points.join(centres, "point").select("a", F.col("bits").alias("b"))
-    if radius % 2:
-        shared = shared.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     return compared.union(shared.where("a <> b").distinct())
 
 

@@ -74,6 +74,21 @@ def test_near_duplicates_are_those_of_all_pairs(spark, bucket):
     assert {(r.doc_id, r.bits & (2**64 - 1), r.component_id) for r in found} == {(i, bits[i], group[i]) for i in bits}
 
 
+@pytest.mark.parametrize("radius", [1, 3])
+def test_large_buckets_link_what_an_odd_radius_links(spark, radius):
+    rng = random.Random(radius)
+    # b and c are within the radius, both one bit more from the smallest.
+    bits = {0, (1 << (radius + 1)) - 1, (1 << (radius + 1)) - 1 ^ 1 ^ 1 << 20}
+    bits |= {sum(1 << i for i in rng.sample(range(12), rng.randrange(12))) << 24 for _ in range(40)}
+    found = simhash.links(spark.createDataFrame([(b,) for b in bits], "bits long"), radius, 2).collect()
+    assert all((r.a ^ r.b).bit_count() <= radius for r in found)
+    want, group = hamming_components({b: b for b in bits}, radius), {b: b for b in bits}
+    for _ in bits:
+        for r in found:
+            group[r.a] = group[r.b] = min(group[r.a], group[r.b])
+    assert group == want
+
+
 def test_repeats_are_those_of_a_count(spark):
     rng = random.Random(2)
     passage = words(rng, 30, [f"w{i}" for i in range(50)])
