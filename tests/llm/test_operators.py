@@ -154,6 +154,16 @@ def test_checked_secrets_need_their_checksum(spark):
     assert got == {0: "", 1: "", 2: "checked:0:40", 3: "", 4: "assign:2:16"}
 
 
+def test_key_blocks_may_have_header_lines(spark):
+    body = "\n".join(["MIIEabcd+/01" * 5] * 3)
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0123ABCD\n\n"
+    block = "-----BEGIN RSA PRIVATE KEY-----\n{}" + body + "\n-----END RSA PRIVATE KEY-----"
+    texts = [block.format(""), block.format(headers), block.format(headers.replace("\n", "\r\n")), block.format("not a key.\n")]
+    got = [r.spans for r in secrets.find_secrets(documents(spark, enumerate(texts))).orderBy("doc_id").collect()]
+    for text, spans in zip(texts, got):
+        assert (f"key_block:0:{len(text)}" in spans) == ("not a key" not in text)
+
+
 def test_strict_personal_data_and_redaction(spark):
     texts = [None, "", "a@b.c@d.e 1.2.3.4 256.1.1.1 4111 1111 1111 1112", "call +1 (555) 555-0100 or x@y.zz"]
     rows = {r.doc_id: r for r in pii.find_pii(documents(spark, enumerate(texts)), redact=True).collect()}
