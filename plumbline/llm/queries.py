@@ -7,7 +7,7 @@ from typing import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import ann, decontaminate, mixing, pii, secrets, simhash, substring, tokens, toxicity, urls
+from plumbline.llm import ann, audit, decontaminate, fim, mixing, pii, secrets, simhash, substring, tokens, topk, toxicity, urls
 from plumbline.llm.texts import literal_rows, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,24 @@ def op10_pii(spark, folder):
     return found.select("doc_id", *[n for n, _ in pii.FIELDS])
 
 
+@query
+def op11_fill_in_middle(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = fim.restored(fim.rearranged(docs))
+    hashed = [F.sha2(c, 256).alias(n) for c, n in (("output", "output_sha256"), ("restored", "restored_sha256"))]
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashed)
+
+
+@query
+def op12_filter_audit(spark, folder):
+    return audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op13_top_scores(spark, folder):
+    return topk.top_scores(table(spark, folder, "embeddings"))
+
+
 ORACLES["op1_mix_sources"] = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -244,3 +262,83 @@ FROM judged j LEFT JOIN ranks r ON j.host = r.host
 
 
 ORACLES["op5_url_verdicts"] = _url_sql()
+
+ORACLES["op11_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents
+), h AS (
+  SELECT doc_id, t, u, len(u) AS n, [('0x' || substr(x, 1 + 8 * i, 8))::BIGINT FOR i IN [0, 1, 2, 3]] AS r FROM d
+), c AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain'
+              WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (
+  SELECT *, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle,
+         array_to_string(u[b + 1 :], '') AS suffix FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+ORACLES["op12_filter_audit"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), f AS (
+  SELECT doc_id, part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x
+           WHEN 'A' THEN len(ws) < 200
+           WHEN 'B' THEN 100 * len(list_distinct(ws)) < 50 * len(ws)
+           WHEN 'C' THEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text)
+           WHEN 'D' THEN regexp_matches(text, '[#$%&*|]')
+           ELSE doc_id > min_id END) AS fails
+  FROM (SELECT *, min(doc_id) OVER (PARTITION BY text) AS min_id FROM t)
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), g AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) a, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) b,
+       (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) c, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) d,
+       (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT filter_order, unnest(range(1, 6)) AS step FROM o
+), r AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, fails, n, good, toxic,
+         list_contains(fails, substr(filter_order, step, 1)) AS hit,
+         len(list_filter(fails, lambda x: contains(substr(filter_order, 1, step - 1), x))) > 0 AS gone,
+         len(list_filter(fails, lambda x: contains(substr(filter_order, 1, step), x))) > 0 AS gone_now
+  FROM g, s
+), c AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (NOT gone_now), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (hit AND len(fails) = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (hit AND NOT gone), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (hit AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM c
+"""
+
+ORACLES["op13_top_scores"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(64 * x)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON c.row <> q.row WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
