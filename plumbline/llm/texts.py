@@ -15,16 +15,22 @@ from plumbline.plans.storage import work_path
 BROADCAST_ROWS = 200_000
 
 
-def with_columns(df: DataFrame, column: str, make: Callable[[], Callable], fields: Sequence[tuple[str, str]]) -> DataFrame:
+def with_columns(
+    df: DataFrame,
+    column: str | Sequence[str],
+    make: Callable[[], Callable],
+    fields: Sequence[tuple[str, str]],
+    raw: bool = False,
+) -> DataFrame:
     """``df`` with ``fields`` (name, type) computed from ``column``, one Arrow batch at a time.
 
-    ``make()`` runs once per task and returns a function from a list of values to a list of one
-    sequence per field. Batches are bounded in rows and bytes by the session. Columns of ``df``
-    that carry a name of ``fields`` are replaced.
+    ``make()`` runs once per task and returns a function from a list of values per column (with ``raw``, from
+    Arrow arrays) to a list of one sequence per field. Batches are bounded in rows and bytes by the session.
+    Columns of ``df`` that carry a name of ``fields`` are replaced.
     """
-    names = [n for n, _ in fields]
+    names, given = [n for n, _ in fields], [column] if isinstance(column, str) else list(column)
     kept = df.select([F.col(f"`{c}`") for c in df.columns if c not in names])
-    place = kept.columns.index(column)
+    places = [kept.columns.index(c) for c in given]
     added = [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields]
     schema = T.StructType(kept.schema.fields + added)
     types = list(to_arrow_schema(T.StructType(added)).types)
@@ -33,7 +39,7 @@ def with_columns(df: DataFrame, column: str, make: Callable[[], Callable], field
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            found = compute(batch.column(place).to_pylist())
+            found = compute(*[batch.column(p) if raw else batch.column(p).to_pylist() for p in places])
             arrays = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(found, types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=all_names)
 
