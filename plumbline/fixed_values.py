@@ -23,18 +23,42 @@ EU_NUMBER_PATTERN = r"^-?\d{1,3}(\.\d{3})*(,\d+)?%?$"
 PLAIN_NUMBER_PATTERN = r"^-?\d+(\.\d+)?%?$"
 NUMBER_MATCH_RATE = 0.8
 DATE_PARSE_RATE = 0.7
-AMBIGUOUS_DATE_PATTERN = r"^\d{1,2}/\d{1,2}/\d{4}$"
 AMBIGUOUS_DATE_RATE = 0.5
-# Date format -> shape of the texts it can parse; other texts are not tried.
+# Date format -> shapes of the texts it can parse, with 9 for a digit and a for a letter; other texts are not
+# tried. Where several formats parse as much, the first one counts.
 DATE_FORMATS = {
-    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
-    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
-    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$",
-    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
-    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
-    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
-    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+    "yyyy-MM-dd": ["9999-99-99"],
+    "yyyy-MM-dd HH:mm:ss": ["9999-99-99 99:99:99"],
+    "yyyy-MM-dd'T'HH:mm:ss": ["9999-99-99a99:99:99"],
+    "M/d/yyyy": ["9/9/9999", "9/99/9999", "99/9/9999", "99/99/9999"],
+    "yyyy/M/d": ["9999/9/9", "9999/9/99", "9999/99/9", "9999/99/99"],
+    "d-MMM-yyyy": ["9-aaa-9999", "99-aaa-9999"],
+    "MMM d, yyyy": ["aaa 9, 9999", "aaa 99, 9999"],
+    "d/M/yyyy": ["9/9/9999", "9/99/9999", "99/9/9999", "99/99/9999"],
+    "d.M.yyyy": ["9.9.9999", "9.99.9999", "99.9.9999", "99.99.9999"],
+    "M-d-yyyy": ["9-9-9999", "9-99-9999", "99-9-9999", "99-99-9999"],
+    "d-M-yyyy": ["9-9-9999", "9-99-9999", "99-9-9999", "99-99-9999"],
+    "yyyy.M.d": ["9999.9.9", "9999.9.99", "9999.99.9", "9999.99.99"],
+    "yyyyMMdd": ["99999999"],
+    "yyyy-MM-dd HH:mm": ["9999-99-99 99:99"],
+    "M/d/yyyy H:mm": [f"{d} {t}" for d in ("9/9/9999", "9/99/9999", "99/9/9999", "99/99/9999") for t in ("9:99", "99:99")],
+    "d/M/yyyy H:mm": [f"{d} {t}" for d in ("9/9/9999", "9/99/9999", "99/9/9999", "99/99/9999") for t in ("9:99", "99:99")],
+    "d.M.yyyy H:mm": [f"{d} {t}" for d in ("9.9.9999", "9.99.9999", "99.9.9999", "99.99.9999") for t in ("9:99", "99:99")],
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]": ["9999-99-99 99:99:99." + "9" * n for n in range(1, 7)],
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S][XXX]": [
+        "9999-99-99a99:99:99" + fraction + zone
+        for fraction in ("", *("." + "9" * n for n in range(1, 7)))
+        for zone in ("", "a", "+99:99", "-99:99")
+        if fraction or zone
+    ],
+    "yyyy-MM-dd HH:mm:ssXXX": ["9999-99-99 99:99:99+99:99", "9999-99-99 99:99:99-99:99"],
 }
+AMBIGUOUS_DATE_FORMAT = "M/d/yyyy"
+
+# Sentences of the cleaning log.
+ENCODING_STEP = "Detected encoding: {}"
+DELIMITER_STEP = "Detected delimiter: {}"
+HEADER_STEP = "Skipped {} title row(s) above data header."
 
 # --- data dictionary ----------------------------------------------------------
 DATE_NAME_WORDS = ["date", "time", "year", "month", "day", "period"]
@@ -54,6 +78,7 @@ PHONE_PATTERN = r"(\+?\d[\d\s\-().]{7,}\d)"
 PII_RATE = 0.3
 TOP_CATEGORIES = 10
 SAMPLE_VALUES = 5
+TABLE_SAMPLE_ROWS = 200
 
 # --- quality ------------------------------------------------------------------
 MISSING_ERROR_PCT = 20
@@ -187,3 +212,28 @@ MAX_SERIES = 10
 
 # What reads as a number once symbols and separators are gone.
 PLAIN_DOUBLE = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+# Numbers with at most three leading digits unless grouped, nothing alphabetic around them.
+NARROW_NUMBER = (
+    r"(?i)(?<![a-z])[-+]?"
+    r"(?:\d{1,3}(?:,\d{3})*(?:\.\d+)?|\d{1,3}(?:\.\d{3})*(?:,\d+)?|\d+(?:\.\d+)?)"
+    r"(?:%|\s*(?:million|billion|thousand|k|m|bn))?(?![a-z])"
+)
+
+# --- sentences ----------------------------------------------------------------
+CAUSAL_VIOLATION = "Causal language detected: '%s' — use associational language instead."
+COVERAGE_CAVEAT = "%.1f%% of left keys have no match in the right dataset. Rows will be dropped in an inner join."
+MEASURE_CHANGED = "SUM(%s) changed by %.1f%% after join"
+EMPTY_ROWS_STEP = "Removed {} fully empty rows."
+TOTAL_ROWS_STEP = "Detected {} total/subtotal rows. Remove them to avoid double-counting."
+WIDE_STEP = "Dataset appears to be in wide/pivot format. Consider unpivoting for analysis."
+NUMBER_STYLES = {
+    "us": "US-locale number",
+    "eu": "EU-locale number (period as thousands, comma as decimal)",
+    "plain": "plain number",
+}
+NUMBER_STEP = "Column '{}': parsed as {}."
+DATE_STEP = "Column '{}': parsed as date."
+AMBIGUOUS_DATE_NOTE = " ⚠ Ambiguous MM/DD vs DD/MM format — assumed MM/DD. Verify with data owner."
+DUPLICATES_STEP = "{} duplicate rows detected."
+EVIDENCE_LINE = "Evidence [%s]: %s"

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from typing import Callable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import fixed_values as fixed
+from plumbline.plans.scalars import one_row
 
 # A word that starts with a letter is consumed whole, so its digits are never taken for a number.
 NUMBER_TOKEN = (
@@ -14,14 +15,6 @@ NUMBER_TOKEN = (
     r"|([-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
     r"(?:%|\s*(?:million|billion|thousand|bn|k|m)\b|\b))"
 )
-# The narrow pattern: at most three leading digits unless grouped, nothing alphabetic around it.
-NARROW_NUMBER = (
-    r"(?i)(?<![a-z])[-+]?"
-    r"(?:\d{1,3}(?:,\d{3})*(?:\.\d+)?|\d{1,3}(?:\.\d{3})*(?:,\d+)?|\d+(?:\.\d+)?)"
-    r"(?:%|\s*(?:million|billion|thousand|k|m|bn))?(?![a-z])"
-)
-
-
 def causal_phrases(text: Column) -> Column:
     """V1: the causal phrases a text contains, in the order of the list.
 
@@ -35,14 +28,22 @@ def causal_phrases(text: Column) -> Column:
     return F.transform(F.array(F.lower(text)), found)[0]
 
 
-def causal_violations(phrases: Column) -> Column:
-    """V1: one sentence per phrase found."""
-    return F.transform(
-        phrases,
-        lambda p: F.concat(
-            F.lit("Causal language detected: '"), p, F.lit("' — use associational language instead.")
-        ),
-    )
+def causal_texts(text: Column) -> Column:
+    """V1: for each causal phrase in the order of the list, the text that first matches it, as written."""
+
+    def found(t: Column) -> Column:
+        hits = [
+            F.when(t["low"].contains(p) & t["low"].rlike(rf"\b{p}\b"), F.regexp_extract(t["text"], rf"(?i)\b{p}\b", 0))
+            for p in fixed.CAUSAL_REWRITES
+        ]
+        return F.array_compact(F.array(*hits))
+
+    return F.transform(F.array(F.struct(text.alias("text"), F.lower(text).alias("low"))), found)[0]
+
+
+def causal_violations(found: Column) -> Column:
+    """V1: one sentence per causal text found."""
+    return F.transform(found, lambda t: F.format_string(fixed.CAUSAL_VIOLATION, t))
 
 
 def associational(text: Column) -> Column:
@@ -75,7 +76,7 @@ def _word(pattern: str) -> str:
 def number_tokens(text: Column, variant: str = "whole") -> Column:
     """V3: the number texts of a string, left to right."""
     if variant == "narrow":
-        return F.regexp_extract_all(text, F.lit(NARROW_NUMBER), F.lit(0))
+        return F.regexp_extract_all(text, F.lit(fixed.NARROW_NUMBER), F.lit(0))
     return F.filter(F.regexp_extract_all(text, F.lit(NUMBER_TOKEN), F.lit(1)), lambda t: t != "")
 
 
@@ -135,6 +136,27 @@ def mentioned(question: Column, columns: Sequence[str]) -> Column:
     return F.filter(F.array(*hits), lambda c: c.isNotNull())
 
 
+def mentions(questions: DataFrame, dictionary: DataFrame, question_id: str, question: str, name: str) -> DataFrame:
+    """R2 against a dictionary of any size: ``question_id`` and the rows of ``dictionary`` whose ``name`` the question
+    contains, in any case.
+
+    A question becomes its different substrings of the lengths that names have, and these meet the names by
+    equality: the plan does not grow with the dictionary, and no question is compared with every name. Empty and
+    NULL names are not mentioned.
+    """
+    names = dictionary.where(F.length(F.col(f"`{name}`")) > 0).withColumn("__name", F.lower(F.col(f"`{name}`")))
+    lengths = one_row(names.agg(F.sort_array(F.collect_set(F.length("__name"))).alias("n")))["n"]
+    asked = questions.select(F.col(f"`{question_id}`").alias(question_id), F.lower(F.col(f"`{question}`")).alias("__text"), lengths.alias("__lengths"))
+
+    def of_length(n: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length("__text") - n + 1)
+        parts = F.transform(starts, lambda i: F.substring("__text", i, n))
+        return F.when(n <= F.length("__text"), parts).otherwise(F.array().cast("array<string>"))
+
+    parts = F.array_distinct(F.flatten(F.transform("__lengths", of_length)))
+    return asked.select(question_id, F.explode(parts).alias("__name")).join(names, "__name").drop("__name")
+
+
 def claim_for_change(
     metric: Column, current: Column, baseline: Column, pct: Column, now: Column, then: Column
 ) -> Column:

@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from plumbline import fixed_values as fixed
 from plumbline.operators.profile import stacked, string_columns
@@ -123,44 +123,82 @@ def parsed_number(column: str, number_format: str, percent_as_fraction: bool = F
     return F.when(text.contains("%"), value / 100).otherwise(value) if percent_as_fraction else value
 
 
-def _date_rates(columns: Sequence[str]) -> list[Column]:
-    def parses(c: str, date_format: str, shape: str) -> Column:
-        value = F.col(f"`{c}`")
-        ok = F.when(value.rlike(shape), F.try_to_timestamp(value, F.lit(date_format)).isNotNull())
-        return F.when(value.isNotNull(), F.coalesce(ok, F.lit(False)).cast("int"))
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_SHAPED = ("0123456789" + _LETTERS + _LETTERS.upper(), "9" * 10 + "a" * 52)
 
-    rates = [
-        F.avg(parses(c, f, shape)).alias(f"{c}__f{i}")
+
+def _shapes(columns: Sequence[str]) -> list[Column]:
+    """The texts with 9 for every digit and a for every letter, found once for all formats; NULL if too long for any."""
+    longest = max(len(x) for shapes in fixed.DATE_FORMATS.values() for x in shapes)
+    return [
+        F.when(F.length(F.col(f"`{c}`")) <= longest, F.translate(F.col(f"`{c}`"), *_SHAPED)).alias(f"{c}__shape")
         for c in columns
-        for i, (f, shape) in enumerate(fixed.DATE_FORMATS.items())
     ]
-    slashed = [
-        F.avg(F.col(f"`{c}`").rlike(fixed.AMBIGUOUS_DATE_PATTERN).cast("int")).alias(f"{c}__slashed")
+
+
+def _shape_rates(columns: Sequence[str]) -> list[Column]:
+    """Per column the share of values that have a shape of each format, which no format can parse more than."""
+    return [
+        F.avg(F.when(F.col(f"`{c}`").isNotNull(), F.coalesce(F.col(f"`{c}__shape`").isin(*shapes), F.lit(False)).cast("int"))).alias(f"{c}__s{i}")
         for c in columns
+        for i, shapes in enumerate(fixed.DATE_FORMATS.values())
     ]
-    return rates + slashed
+
+
+def _parses(c: str, date_format: str) -> Column:
+    """Whether a value of the right shape is a date; a month above 12 is told without a failing parse."""
+    value = F.col(f"`{c}`")
+    separator = date_format[1]
+    possible = F.lit(True)
+    if separator in "/.-" and date_format[0] in "Md":
+        month = F.split_part(value, F.lit(separator), F.lit(1 if date_format[0] == "M" else 2))
+        possible = F.coalesce(month.try_cast("int") <= 12, F.lit(True))
+    return F.when(possible, F.try_to_timestamp(value, F.lit(date_format)).isNotNull())
+
+
+def _date_rates(shaped: DataFrame, columns: Sequence[str], seen: Row, least: float) -> DataFrame:
+    """One row: per column the share that each format parses. Only formats that more than ``least`` of a column's
+    values have the shape of are tried; the others count as 0."""
+    tried, rates = [], []
+    for c in columns:
+        for i, (f, shapes) in enumerate(fixed.DATE_FORMATS.items()):
+            name = f"{c}__f{i}"
+            if (seen[f"{c}__s{i}"] or 0.0) > least:
+                ok = F.when(F.col(f"`{c}__shape`").isin(*shapes), _parses(c, f))
+                tried.append(F.avg(F.when(F.col(f"`{c}`").isNotNull(), F.coalesce(ok, F.lit(False)).cast("int"))).alias(name))
+                rates.append(F.col(f"`{name}`"))
+            else:
+                rates.append(F.lit(None if seen[f"{c}__s{i}"] is None else 0.0).cast("double").alias(name))
+    return shaped.agg(F.count(F.lit(1)).alias("__rows"), *tried).select(*rates)
 
 
 def _chosen_dates(rates: DataFrame, columns: Sequence[str]) -> DataFrame:
-    fields = {f"f{i}": "double" for i in range(len(fixed.DATE_FORMATS))}
-    rows = stacked(rates, columns, {**fields, "slashed": "double"}).drop("position")
+    """The format that parses most, the first of equals. A field above 12 rules out one order of month and day, so
+    the other order parses more; else month comes first, which is reported as a choice to be verified."""
+    names = list(fixed.DATE_FORMATS)
+    fields = {f"f{i}": "double" for i in range(len(names))}
+    rows = stacked(rates, columns, fields).drop("position")
     best = F.greatest(*[F.col(r) for r in fields])
-    chosen = F.coalesce(*[F.when(F.col(r) == best, F.lit(f)) for r, f in zip(fields, fixed.DATE_FORMATS)])
+    chosen = F.coalesce(*[F.when(F.col(r) == best, F.lit(f)) for r, f in zip(fields, names)])
+    month_first = F.col(f"f{names.index(fixed.AMBIGUOUS_DATE_FORMAT)}")
+    unclear = (chosen == fixed.AMBIGUOUS_DATE_FORMAT) & (month_first > fixed.AMBIGUOUS_DATE_RATE)
     return rows.select(
         "column",
         best.alias("parse_rate"),
         F.when(best > fixed.DATE_PARSE_RATE, chosen).alias("date_format"),
-        F.coalesce(F.col("slashed") > fixed.AMBIGUOUS_DATE_RATE, F.lit(False)).alias("ambiguous"),
+        F.coalesce(unclear, F.lit(False)).alias("ambiguous"),
     )
 
 
 def date_formats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The format that parses most of each text column, and whether day and month are unclear.
 
-    All formats of all columns are tried in one aggregate. Rates are over all rows.
+    One aggregate finds the shapes of all columns, another tries the formats that have these shapes. Rates are over
+    all rows. Texts with a zone become the session's time.
     """
     names = list(columns or string_columns(df))
-    return _chosen_dates(df.agg(*_date_rates(names)), names)
+    shaped = df.select(*[F.col(f"`{c}`") for c in names], *_shapes(names))
+    return _chosen_dates(_date_rates(shaped, names, shaped.agg(*_shape_rates(names)).first(), 0.0), names)
 
 
 def parsed_date(column: str, date_format: str) -> Column:
@@ -177,10 +215,11 @@ class Cleaned:
 def clean(
     df: DataFrame, remove_totals: bool = True, percent_as_fraction: bool = False
 ) -> Cleaned:
-    """C1-C8 in order, in two passes over the rows.
+    """C1-C8 in order, in three passes over the rows.
 
-    Column types depend on the values, so the first pass brings one row of counts and format rates
-    to the driver and the second one row of counts for the log. Table rows never leave Spark.
+    Column types depend on the values, so the first pass brings one row of counts, number rates and date shapes
+    to the driver, the second one row of the rates of possible date formats, and the third one row of counts for the
+    log. Table rows never leave Spark.
     """
     raw = trimmed_names(df)
     texts = string_columns(raw)
@@ -193,19 +232,22 @@ def clean(
         *[F.col(f"`{c}`").isNotNull().alias(f"{c}__set") for c in raw.columns],
         *[F.when(~dropped, F.col(f"`{c}`")).alias(c) for c in texts],
     )
-    first = shown.select("*", *_bare(texts)).agg(
+    shaped = shown.select("*", *_bare(texts), *_shapes(texts))
+    first = shaped.agg(
         F.count_if("__empty").alias("empty"),
         F.count_if(~F.col("__empty") & F.col("__total")).alias("totals"),
         *[F.count_if(F.col(f"`{c}__set`")).alias(f"{c}__n") for c in raw.columns],
         *_number_rates(texts),
-        *_date_rates(texts),
+        *_shape_rates(texts),
     )
     seen = first.first()
     rates = df.sparkSession.createDataFrame([seen], first.schema)
     kept = [c for c in raw.columns if seen[f"{c}__n"] > 0]
     found = _chosen_numbers(rates, texts).collect() if texts else []
     numbers = {r["column"]: r["number_format"] for r in found if r["number_format"]}
-    found = _chosen_dates(rates, texts).collect() if texts else []
+    # A format that too few values have the shape of cannot be chosen.
+    open_texts = [c for c in texts if c not in numbers]
+    found = _chosen_dates(_date_rates(shaped, open_texts, seen, fixed.DATE_PARSE_RATE), open_texts).collect() if open_texts else []
     dates = {r["column"]: r for r in found if r["date_format"] and r["column"] not in numbers}
 
     def typed_column(c: str) -> Column:
@@ -228,26 +270,19 @@ def clean(
 
     log = []
     if seen["empty"]:
-        log.append(("empty_rows_removed", f"Removed {seen['empty']} fully empty rows.", seen["empty"], False))
+        log.append(("empty_rows_removed", fixed.EMPTY_ROWS_STEP.format(seen["empty"]), seen["empty"], False))
     if seen["totals"]:
-        advice = "total/subtotal rows. Remove them to avoid double-counting."
-        log.append(("total_rows_detected", f"Detected {seen['totals']} {advice}", seen["totals"], True))
+        log.append(("total_rows_detected", fixed.TOTAL_ROWS_STEP.format(seen["totals"]), seen["totals"], True))
     if period_headers(kept):
-        advice = "Dataset appears to be in wide/pivot format. Consider unpivoting for analysis."
-        log.append(("wide_format_detected", advice, 0, False))
-    styles = {
-        "us": "US-locale number",
-        "eu": "EU-locale number (period as thousands, comma as decimal)",
-        "plain": "plain number",
-    }
+        log.append(("wide_format_detected", fixed.WIDE_STEP, 0, False))
     for c in (c for c in changed if c in numbers):
-        log.append(("numeric_parsed", f"Column '{c}': parsed as {styles[numbers[c]]}.", second[c], False))
+        log.append(("numeric_parsed", fixed.NUMBER_STEP.format(c, fixed.NUMBER_STYLES[numbers[c]]), second[c], False))
     for c in (c for c in changed if c in dates):
         unclear = dates[c]["ambiguous"]
-        note = " ⚠ Ambiguous MM/DD vs DD/MM format — assumed MM/DD. Verify with data owner." if unclear else ""
-        log.append(("date_parsed", f"Column '{c}': parsed as date.{note}", second[c], bool(unclear)))
+        note = fixed.AMBIGUOUS_DATE_NOTE if unclear else ""
+        log.append(("date_parsed", fixed.DATE_STEP.format(c) + note, second[c], bool(unclear)))
     if second["__duplicates"]:
         n = second["__duplicates"]
-        log.append(("duplicate_rows_detected", f"{n} duplicate rows detected.", n, True))
+        log.append(("duplicate_rows_detected", fixed.DUPLICATES_STEP.format(n), n, True))
     steps = [(i + 1, *entry) for i, entry in enumerate(log)]
     return Cleaned(typed, df.sparkSession.createDataFrame(steps, LOG_SCHEMA))

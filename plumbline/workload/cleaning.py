@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.operators import clean, quality, userfn
 from plumbline.operators.profile import union_all
 from plumbline.plans.storage import work_path
-from plumbline.sources import delimited
+from plumbline.sources import delimited, heads, ingest, tables, versions
 from plumbline.workload.inputs import (
     AMOUNTS,
     WITH_BLANKS,
@@ -310,3 +311,154 @@ def u1_map(t: Tables) -> DataFrame:
 
     columns = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
     return userfn.map_function(columns, with_net, "l_orderkey long, l_linenumber int, net double")
+
+
+_MIXED = """(select o_orderkey, o_custkey, o_orderdate, o_totalprice, o_orderstatus,
+    'status "' || o_orderstatus || '"' || chr(10) || chr(10) || 'priority, ' || o_orderpriority as note from orders)"""
+
+
+def _mixed_folder(t: Tables) -> str:
+    """Orders written as comma, semicolon and bar files, the second with its columns in another order; notes hold
+    quotes, delimiters and blank lines."""
+    root = work_path(t.spark, "mixed-orders")
+    note = F.concat(F.lit('status "'), "o_orderstatus", F.lit('"\n\npriority, '), "o_orderpriority")
+    rows = t.orders.select(
+        "o_orderkey", "o_custkey", F.date_format("o_orderdate", "dd.MM.yyyy").alias("o_orderdate"),
+        F.format_number("o_totalprice", 2).alias("o_totalprice"), "o_orderstatus", note.alias("note"),
+    )
+    for i, (name, sep) in enumerate({"comma": ",", "semicolon": ";", "bar": "|"}.items()):
+        part = rows.where(F.col("o_orderkey") % 3 == i)
+        part = part.select(*reversed(part.columns)) if i == 1 else part
+        writer = part.write.mode("overwrite").option("header", True).option("sep", sep).option("quoteAll", True)
+        writer.option("escape", '"').csv(f"{root}/{name}")
+    return root
+
+
+@query(
+    "s1_ingest_mixed",
+    f"""select o_orderkey::double as o_orderkey, o_custkey::double as o_custkey, o_orderdate::date as o_orderdate,
+          cast(o_totalprice as decimal(18,2))::double as o_totalprice, o_orderstatus, note from {_MIXED}""",
+)
+def s1_ingest(t: Tables) -> DataFrame:
+    """From files of three dialects to a stored version."""
+    done = _ingested(t)
+    return done.table.select(
+        "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_totalprice", "o_orderstatus", "note"
+    )
+
+
+def _ingested(t: Tables) -> ingest.Ingested:
+    version = f"v{time.time_ns()}"
+    return ingest.ingest(t.spark, _mixed_folder(t), work_path(t.spark, "versions"), "orders", version)
+
+
+@query(
+    "s1_ingest_log",
+    """select 'encoding_detected' as step_type, 'Detected encoding: UTF-8' as description, 0::bigint as rows_affected from orders limit 1""",
+)
+def s1_log(t: Tables) -> DataFrame:
+    log = _ingested(t).log
+    return log.where("step_type = 'encoding_detected'").select("step_type", "description", "rows_affected")
+
+
+@query(
+    "s1_ingest_dictionary",
+    """select * from (values ('note', 'dimension'), ('o_custkey', 'measure'), ('o_orderdate', 'date'), ('o_orderkey', 'identifier'),
+       ('o_orderstatus', 'dimension'), ('o_totalprice', 'measure')) v("column", role)""",
+)
+def s1_dictionary(t: Tables) -> DataFrame:
+    return _ingested(t).dictionary.select("column", "role")
+
+
+@query("s2_file_heads", "select n as files, true as one_delimiter_each from (select count(distinct o_orderkey % 3) as n from orders)")
+def s2_heads(t: Tables) -> DataFrame:
+    """Delimiters from the first bytes of every file; counted by the folder that says which one it has."""
+    found = ingest.file_dialects(t.spark, _mixed_folder(t))
+    kind = F.regexp_extract("file", "/(comma|semicolon|bar)/[^/]*$", 1)
+    named = F.create_map(*[F.lit(v) for pair in {"comma": ",", "semicolon": ";", "bar": "|"}.items() for v in pair])
+    right = found.select(kind.alias("kind"), (named[kind] == F.col("delimiter")).alias("right"))
+    return right.agg(F.count_distinct("kind").alias("files"), F.min("right").alias("one_delimiter_each"))
+
+
+@query(
+    "s7_changed_rows",
+    """select o_orderkey, case when o_orderkey % 97 = 0 then 'removed' else 'changed' end as change, 1::bigint as rows_before,
+         case when o_orderkey % 97 = 0 then 0 else 1 end::bigint as rows_after
+       from orders where o_orderkey % 97 = 0 or o_orderkey % 101 = 5
+       union all select -o_orderkey, 'added', 0, 1 from orders where o_orderkey % 211 = 3""",
+)
+def s7_changed(t: Tables) -> DataFrame:
+    """Two stored versions of the orders: some removed, some with another price, some new."""
+    root, stamp = work_path(t.spark, "versions"), time.time_ns()
+    price = F.when(F.col("o_orderkey") % 101 == 5, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    kept = t.orders.where("o_orderkey % 97 <> 0").withColumn("o_totalprice", price)
+    more = t.orders.where("o_orderkey % 211 = 3").withColumn("o_orderkey", -F.col("o_orderkey"))
+    written = []
+    for i, df in enumerate((t.orders, kept.unionByName(more))):
+        manifest = tables.write_version(df, root, "changing", f"v{stamp}-{i}", i + 1, "orders").first()
+        written.append(t.spark.read.parquet(manifest["path"]))
+    return versions.changed_rows(*written, ["o_orderkey"])
+
+
+@query(
+    "s7_version_manifest",
+    "select 'orders' as dataset_id, 7::bigint as version_number, count(*) as row_count, 6::bigint as column_count, true as same_content from orders",
+)
+def s7_manifest(t: Tables) -> DataFrame:
+    found = tables.write_version(t.orders, work_path(t.spark, "versions"), "orders", f"v{time.time_ns()}", 7, "orders")
+    same = tables.fingerprint(t.orders).select(F.struct("hash_xor", "hash_sum").alias("h")).scalar()
+    return found.select(
+        "dataset_id", "version_number", "row_count", "column_count", (F.struct("hash_xor", "hash_sum") == same).alias("same_content")
+    )
+
+
+_WRITTEN = """(select o_orderkey as k, o_orderdate as d, strftime(o_orderdate, '%d/%m/%Y') as day_first, strftime(o_orderdate, '%d.%m.%Y') as dotted,
+    strftime(o_orderdate, '%Y%m%d') as compact, strftime(o_orderdate, '%Y-%m-%d 08:15:30.250') as fraction,
+    strftime(o_orderdate, '%Y-%m-%dT08:15:30+02:00') as zone from orders)"""
+DATE_SHAPES = {
+    "day_first": "d/M/yyyy",
+    "dotted": "d.M.yyyy",
+    "compact": "yyyyMMdd",
+    "fraction": "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",
+    "zone": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S][XXX]",
+}
+
+
+def _written_dates(t: Tables) -> DataFrame:
+    day = F.col("o_orderdate")
+    return t.orders.select(
+        "o_orderkey",
+        F.date_format(day, "dd/MM/yyyy").alias("day_first"),
+        F.date_format(day, "dd.MM.yyyy").alias("dotted"),
+        F.date_format(day, "yyyyMMdd").alias("compact"),
+        F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" 08:15:30.250")).alias("fraction"),
+        F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T08:15:30+02:00")).alias("zone"),
+    )
+
+
+@query(
+    "c6_date_shapes",
+    " union all ".join(
+        f"""select '{c}' as "column", count({c})::double / count(*) as parse_rate, '{f.replace("'", "''")}' as date_format, false as ambiguous from {_WRITTEN}"""
+        for c, f in DATE_SHAPES.items()
+    ),
+)
+def c6_shapes(t: Tables) -> DataFrame:
+    return clean.date_formats(_written_dates(t).drop("o_orderkey"))
+
+
+@query(
+    "c6_dates_as_inferred",
+    f"""select k as o_orderkey, d::date as day_first, d::date as dotted, d::date as compact, strftime(d, '%Y-%m-%d') || ' 08:15:30.25' as fraction,
+          strftime(d, '%Y-%m-%d') || ' 06:15:30' as zone from {_WRITTEN}""",
+)
+def c6_inferred(t: Tables) -> DataFrame:
+    """Every column parsed with the format that was found for it; a zone becomes the session's time."""
+    rows = _written_dates(t)
+    found = {r["column"]: r["date_format"] for r in clean.date_formats(rows.drop("o_orderkey")).collect()}
+    parsed = {c: clean.parsed_date(c, f) for c, f in found.items()}
+    return rows.select(
+        "o_orderkey",
+        *[parsed[c].cast("date").alias(c) for c in ("day_first", "dotted", "compact")],
+        *[parsed[c].cast("string").alias(c) for c in ("fraction", "zone")],
+    )

@@ -13,21 +13,29 @@ from plumbline.workload.inputs import CLAIMS, QUESTIONS, claims, questions
 from plumbline.workload.registry import Tables, query
 
 
+_SHOUTED = f"(select finding_id, case when finding_id % 3 = 0 then upper(claim) else claim end as claim from {CLAIMS})"
+
+
+def _violations_sql(text: str) -> str:
+    found = [f"regexp_extract({text}, '(?i)\\b(?:{p})\\b')" for p in fixed.CAUSAL_REWRITES]
+    sentence = fixed.CAUSAL_VIOLATION.replace("'", "''").split("%s")
+    return "concat_ws(' ', " + ", ".join(f"case when {f} <> '' then '{sentence[0]}' || {f} || '{sentence[1]}' end" for f in found) + ")"
+
+
 @query(
     "v1_causal_lint",
-    f"""select finding_id, phrases = '' as passed, phrases,
-          case when phrases = '' then '' else 'Causal language detected: ''' || replace(phrases, ', ',
-            ''' — use associational language instead. Causal language detected: ''')
-            || ''' — use associational language instead.' end as violations
-        from (select finding_id, {phrases_sql('claim')} as phrases from {CLAIMS})""",
+    f"""select finding_id, phrases = '' as passed, phrases, violations
+        from (select finding_id, {phrases_sql('claim')} as phrases, {_violations_sql('claim')} as violations from {_SHOUTED})""",
 )
 def v1(t: Tables) -> DataFrame:
-    found = claims(t.orders).withColumn("found", texts.causal_phrases(F.col("claim")))
+    """Every third claim is in capitals, which its violations quote."""
+    claim = F.when(F.col("finding_id") % 3 == 0, F.upper("claim")).otherwise(F.col("claim"))
+    found = claims(t.orders).withColumns({"found": texts.causal_phrases(claim), "written": texts.causal_texts(claim)})
     return found.select(
         "finding_id",
         (F.size("found") == 0).alias("passed"),
         F.concat_ws(", ", "found").alias("phrases"),
-        F.concat_ws(" ", texts.causal_violations(F.col("found"))).alias("violations"),
+        F.concat_ws(" ", texts.causal_violations(F.col("written"))).alias("violations"),
     )
 
 
@@ -156,3 +164,20 @@ def r2(t: Tables) -> DataFrame:
         F.concat_ws(", ", texts.mentioned(question, MEASURE_NAMES)).alias("measures"),
         F.concat_ws(", ", texts.mentioned(question, DIMENSION_NAMES)).alias("dimensions"),
     )
+
+
+@query(
+    "r2_mentions",
+    f"""select question_id, name, kind from (
+          select question_id, lower(question) as q from {QUESTIONS}) a
+        join (select c_name as name, 'customer' as kind from customer union all select distinct c_mktsegment, 'segment' from customer
+              union all select n_name, 'nation' from nation) d on contains(a.q, lower(d.name))""",
+)
+def r2_mentions(t: Tables) -> DataFrame:
+    """Every customer, segment and nation is an entry of the dictionary."""
+    names = [
+        t.customer.select(F.col("c_name").alias("name"), F.lit("customer").alias("kind")),
+        t.customer.select(F.col("c_mktsegment").alias("name"), F.lit("segment").alias("kind")).distinct(),
+        t.nation.select(F.col("n_name").alias("name"), F.lit("nation").alias("kind")),
+    ]
+    return texts.mentions(questions(t.customer), union_all(names), "question_id", "question", "name")
