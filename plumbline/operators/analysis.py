@@ -326,3 +326,66 @@ def insight_tree(
 def _level(dims: Sequence[str], kept: Sequence[str]) -> int:
     """The grouping_id of a set: a bit for every dimension that is rolled up, the last one lowest."""
     return sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in kept)
+
+
+def insight_levels(
+    df: DataFrame,
+    metric: str,
+    date_col: str,
+    current: TimeWindow,
+    baseline: TimeWindow,
+    dimensions: Sequence[str],
+    definitions: Definitions = None,
+    filters: Filters = None,
+    top: int = 2,
+    depth: int = 2,
+) -> DataFrame:
+    """A7, level by level: the ``top`` segments of every dimension, then only those that moved the metric most are
+    opened and split by the other dimensions, and so on.
+
+    ``depth``, ``path`` (the opened segments, ``''`` at first), ``dimension``, ``segment``, ``place``, ``current``,
+    ``baseline``, ``delta``, ``contribution_pct`` (of the whole change). Each level is one scan: a row is copied once
+    for each opened segment it lies in and dimension left, at most ``top`` times the number of dimensions. Only the
+    rows of the answer come to the driver.
+    """
+    dims = list(dimensions)
+    tagged = tag_windows(df, date_col, current, baseline, filters)
+    measured = metric_column(metric, definitions).cast("double")
+    total = pivot_windows(tagged, {"value": measured}).select(
+        F.coalesce("value_current", F.lit(0.0)) - F.coalesce("value_baseline", F.lit(0.0))
+    ).first()
+    moved = (total[0] if total else 0.0) or 0.0
+    schema = (
+        "depth int, path string, dimension string, segment string, place int, current double, baseline double, "
+        "delta double, contribution_pct double"
+    )
+    found: list[tuple] = []
+    opened: list[tuple[tuple[str, str | None], ...]] = [()]
+    for level in range(1, depth + 1):
+        entries = []
+        for i, path in enumerate(opened):
+            inside = F.lit(True)
+            for d, segment in path:
+                inside = inside & F.col(f"`{d}`").cast("string").eqNullSafe(F.lit(segment).cast("string"))
+            left = [d for d in dims if d not in dict(path)]
+            entries += [
+                F.when(inside, F.struct(F.lit(i).alias("path"), F.lit(d).alias("dimension"), F.col(f"`{d}`").cast("string").alias("segment")))
+                for d in left
+            ]
+        if not entries:
+            break
+        spread = tagged.withColumn("__e", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+        by = [F.col(f"__e.{c}").alias(c) for c in ("path", "dimension", "segment")]
+        sums = pivot_windows(spread, {"value": measured}, by).select(
+            "path", "dimension", "segment",
+            *[F.coalesce(f"value_{w}", F.lit(0.0)).alias(w) for w in ("current", "baseline")],
+        ).withColumn("delta", F.col("current") - F.col("baseline"))
+        order = W.partitionBy("path", "dimension").orderBy(F.abs("delta").desc(), F.col("segment").asc_nulls_first())
+        rows = sums.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).collect()
+        rows.sort(key=lambda r: (-abs(r["delta"]), r["path"], dims.index(r["dimension"]), r["place"]))
+        for r in rows:
+            path = " / ".join(f"{d}={'' if v is None else v}" for d, v in opened[r["path"]])
+            share = r["delta"] / abs(moved) * 100 if moved else 0.0
+            found.append((level, path, r["dimension"], r["segment"], r["place"], r["current"], r["baseline"], r["delta"], share))
+        opened = [(*opened[r["path"]], (r["dimension"], r["segment"])) for r in rows[:top]]
+    return df.sparkSession.createDataFrame(found, schema)

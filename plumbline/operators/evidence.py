@@ -7,7 +7,7 @@ import json
 from collections import defaultdict
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline import fixed_values as fixed
 from plumbline.functions import text as texts
@@ -16,17 +16,42 @@ from plumbline.operators.profile import union_all
 from plumbline.plans.predicates import matching_rows, metric_column
 from plumbline.plans.scalars import one_row
 from plumbline.plans.selection import lookup
-from plumbline.plans.spec import AnalysisSpec
+from plumbline.plans.spec import AnalysisSpec, TimeWindow
 from plumbline.plans.tagged import pivot_windows, tag_windows
 
 
+def request_text(spec: AnalysisSpec) -> str:
+    """A10: what a request asks, in one canonical form; names and assumptions are not part of it."""
+    asked = {
+        "analysis_type": spec.analysis_type,
+        "baseline": [spec.baseline.start, spec.baseline.end],
+        "current": [spec.current.start, spec.current.end],
+        "date_col": spec.date_col,
+        "dimensions": list(spec.dimensions),
+        "filters": dict(sorted(spec.filters.items())),
+        "metric": spec.metric,
+    }
+    return json.dumps(asked, sort_keys=True, separators=(",", ":"), default=str)
+
+
+def request_of(text: str, spec_id: str = "") -> AnalysisSpec:
+    """The request that ``request_text`` wrote."""
+    asked = json.loads(text)
+    return AnalysisSpec(
+        spec_id,
+        asked["analysis_type"],
+        asked["metric"],
+        asked["date_col"],
+        TimeWindow(*asked["current"]),
+        TimeWindow(*asked["baseline"]),
+        tuple(asked["dimensions"]),
+        asked["filters"],
+    )
+
+
 def evidence_id(spec: AnalysisSpec) -> str:
     """The same request always has the same id, so both sides of a link can compute it."""
-    parts = [
-        spec.analysis_type, spec.metric, spec.date_col, spec.current.start, spec.current.end,
-        spec.baseline.start, spec.baseline.end, list(spec.dimensions), sorted(spec.filters.items()),
-    ]
-    return hashlib.sha256(json.dumps(parts, default=str).encode()).hexdigest()
+    return hashlib.sha256(request_text(spec).encode()).hexdigest()
 
 
 def linked_id(*parts: Column) -> Column:
@@ -216,16 +241,22 @@ def stale_by_version(findings: DataFrame, latest: DataFrame) -> DataFrame:
 def recompute(stored: DataFrame, fresh: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """V5: compare stored evidence rows with a fresh run, row by row, within 0.1 %.
 
-    A row missing on either side does not match. NULL keys pair with NULL keys.
+    Values that are not numbers on both sides match if their texts are equal, and so do two missing values. A row
+    missing on either side does not match. NULL keys pair with NULL keys.
     """
-    a, b = stored.alias("a"), fresh.alias("b")
+    a, b = stored.withColumn("__a", F.lit(True)).alias("a"), fresh.withColumn("__b", F.lit(True)).alias("b")
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     both = a.join(b, on, "full").select(
         *[F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in keys],
         F.col(f"a.{value}").alias("original"),
         F.col(f"b.{value}").alias("recomputed"),
+        F.col("__a").isNotNull().alias("__a"),
+        F.col("__b").isNotNull().alias("__b"),
     )
-    return both.withColumn("matched", same_value(F.col("original"), F.col("recomputed")))
+    texts_too = any(isinstance(d.schema[value].dataType, T.StringType) for d in (stored, fresh))
+    same = (same_text if texts_too else same_value)(F.col("original"), F.col("recomputed"))
+    both_missing = F.col("original").isNull() & F.col("recomputed").isNull()
+    return both.withColumn("matched", F.col("__a") & F.col("__b") & (same | both_missing)).drop("__a", "__b")
 
 
 def same_value(original: Column, recomputed: Column) -> Column:
@@ -233,6 +264,13 @@ def same_value(original: Column, recomputed: Column) -> Column:
     return F.coalesce(F.abs(original - recomputed) <= room, F.lit(False))
 
 
+def same_text(original: Column, recomputed: Column) -> Column:
+    """V5 for texts: numbers within the tolerance, anything else by its text."""
+    numbers = [c.cast("string").try_cast("double") for c in (original, recomputed)]
+    equal = F.coalesce(original.cast("string") == recomputed.cast("string"), F.lit(False))
+    return F.when(numbers[0].isNotNull() & numbers[1].isNotNull(), same_value(*numbers)).otherwise(equal)
+
+
 def issue_list(issues: DataFrame) -> Column:
     """The (column, severity) pairs of an issue table as one array; a few per table column."""
     pairs = F.collect_set(F.struct("column", "severity"))
@@ -258,14 +296,21 @@ def evidence_status(
     metric: Column,
     calculation: Column,
     coverage: Column,
+    columns: Column | None = None,
 ) -> Column:
-    """V6: the first rule that applies decides."""
+    """V6: the first rule that applies decides.
+
+    With ``columns``, the columns that the evidence reads, an issue counts only for exactly those; else for those
+    whose name occurs in its texts.
+    """
+
+    def used(column: Column) -> Column:
+        if columns is None:
+            return column_used(column, query, metric, calculation)
+        return F.coalesce(F.array_contains(columns, column), F.lit(False))
 
     def touched(severity: str) -> Column:
-        return F.exists(
-            issues,
-            lambda i: (i["severity"] == severity) & column_used(i["column"], query, metric, calculation),
-        )
+        return F.exists(issues, lambda i: (i["severity"] == severity) & used(i["column"]))
 
     return (
         F.when(claim_type.isin(fixed.NON_EMPIRICAL_CLAIMS), "not_applicable")
@@ -283,14 +328,17 @@ def validate_findings(findings: DataFrame, evidence: DataFrame, fresh: DataFrame
     """V8: rewrite causal claims, re-check the evidence value and set the status of each finding.
 
     ``evidence`` and ``fresh`` have ``evidence_id`` and ``value``; evidence also carries
-    ``rows_used, query, metric, calculation``.
+    ``rows_used, query, metric, calculation``, and may have ``coverage`` (else 1) and ``columns``, the
+    columns it reads (else their names are looked for in its texts). Other columns of the findings are kept.
     """
-    checked = evidence.join(
-        fresh.select("evidence_id", F.col("value").alias("fresh_value")), "evidence_id", "left"
-    ).withColumns(
-        {"recomputed": same_value(F.col("value"), F.col("fresh_value")), "has_evidence": F.lit(True)}
-    )
-    joined = with_evidence(findings.drop("metric"), checked).withColumn("issues", issue_list(issues))
+    again = fresh.select("evidence_id", F.col("value").alias("fresh_value"), F.lit(True).alias("was_run"))
+    checked = evidence.join(again, "evidence_id", "left")
+    both_missing = F.col("was_run") & F.col("value").isNull() & F.col("fresh_value").isNull()
+    matched = same_value(F.col("value"), F.col("fresh_value")) | F.coalesce(both_missing, F.lit(False))
+    checked = checked.withColumns({"recomputed": matched, "has_evidence": F.lit(True)}).drop("fresh_value", "was_run")
+    kept = [c for c in findings.columns if c not in ("finding_id", "evidence_id", "claim", *checked.columns)]
+    joined = with_evidence(findings.select("finding_id", "evidence_id", "claim", *kept), checked)
+    joined = joined.withColumn("issues", issue_list(issues))
     phrases = texts.causal_phrases(F.col("claim"))
     status = evidence_status(
         F.col("claim_type"),
@@ -301,7 +349,8 @@ def validate_findings(findings: DataFrame, evidence: DataFrame, fresh: DataFrame
         F.col("query"),
         F.col("metric"),
         F.col("calculation"),
-        F.lit(1.0),
+        F.coalesce("coverage", F.lit(1.0)) if "coverage" in evidence.columns else F.lit(1.0),
+        F.col("columns") if "columns" in evidence.columns else None,
     )
     return joined.select(
         "finding_id",
@@ -310,4 +359,5 @@ def validate_findings(findings: DataFrame, evidence: DataFrame, fresh: DataFrame
         F.concat_ws(", ", phrases).alias("causal_phrases"),
         F.coalesce("recomputed", F.lit(False)).alias("recompute_matched"),
         status.alias("evidence_status"),
+        *kept,
     )

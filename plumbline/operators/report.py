@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline import fixed_values as fixed
+
 ANOMALY_WORD = "anomal"
 KEY_FINDINGS = 10
 
@@ -26,11 +28,13 @@ def report_lines(
     assumptions: DataFrame,
     transformations: DataFrame,
     key_findings: int = KEY_FINDINGS,
+    evidence: DataFrame | None = None,
 ) -> DataFrame:
     """``(section, line)``: the texts of a report, section by section.
 
     The summary counts all findings; the key findings are the first ``key_findings`` by id; anomalies,
-    datasets, assumptions and transformations are listed in full.
+    datasets, assumptions and transformations are listed in full. With ``evidence`` the detailed analysis
+    names the metrics of the first ``key_findings`` evidence records.
     """
     summary = findings.agg(F.count(F.lit(1)).alias("n")).select(
         F.format_string("Analysis complete. %d findings identified.", "n").alias("line")
@@ -50,6 +54,9 @@ def report_lines(
         "assumptions_definitions": assumptions.select(F.col("text").alias("line")),
         "transformations": steps,
     }
+    if evidence is not None:
+        first = evidence.orderBy("evidence_id").limit(key_findings)
+        sections["detailed_analysis"] = first.select(F.format_string(fixed.EVIDENCE_LINE, F.substring(F.col("evidence_id").cast("string"), 1, 8), "metric").alias("line"))
     rows = [df.select(F.lit(name).alias("section"), "line") for name, df in sections.items()]
     lines = rows[0]
     for more in rows[1:]:

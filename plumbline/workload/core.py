@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline import fixed_values as fixed
 from plumbline.functions.timewindows import relative_window
-from plumbline.operators import analysis, evidence, semantic, stats
+from plumbline.operators import analysis, evidence, requests, semantic, stats
 from plumbline.plans.predicates import matching_rows
 from plumbline.plans.scalars import one_row
 from plumbline.plans.spec import AnalysisSpec, TimeWindow
@@ -300,6 +302,90 @@ def a7_pairs(t: Tables) -> DataFrame:
     return rounded(tree, 6, "contribution_pct")
 
 
+def _level_sql(dimension: str, where: str = "true") -> str:
+    return f"""select '{dimension}' as dimension, {dimension}::varchar as segment,
+        coalesce(sum(l_quantity) filter ({IN_1997}), 0) as c, coalesce(sum(l_quantity) filter ({IN_1996}), 0) as b
+        from w where {where} group by 2"""
+
+
+@query(
+    "a7_insight_levels",
+    f"""
+      with w as (select * from lineitem where {IN_1996} or {IN_1997}),
+      m as (select abs(sum(case when {IN_1997} then l_quantity else -l_quantity end)) as moved from w),
+      g as ({" union all ".join(_level_sql(d) for d in TREE_DIMS)}),
+      r as (select *, row_number() over (partition by dimension order by abs(c - b) desc, segment asc nulls first) as place from g),
+      o as (select dimension as d, segment as s, row_number() over (order by abs(c - b) desc,
+              list_position({TREE_DIMS!r}, dimension), place) as i from r where place <= 2 qualify i <= 2),
+      n as (select o.d || '=' || o.s as path, x.* from o, lateral (
+              {" union all ".join(_level_sql(d, f"o.d <> '{d}' and (case o.d when 'l_returnflag' then l_returnflag when 'l_linestatus' then l_linestatus else l_linenumber::varchar end) = o.s") for d in TREE_DIMS)}) x),
+      q as (select *, row_number() over (partition by path, dimension order by abs(c - b) desc, segment asc nulls first) as place from n)
+      select 1 as depth, '' as path, dimension, segment, place::int as place, c as current, b as baseline, c - b as delta,
+        round((c - b) / moved * 100, 6) as contribution_pct from r, m where place <= 2
+      union all select 2, path, dimension, segment, place::int, c, b, c - b, round((c - b) / moved * 100, 6) from q, m where place <= 2""",
+)
+def a7_levels(t: Tables) -> DataFrame:
+    """The two segments that moved the units most, opened and split by the other dimensions."""
+    found = analysis.insight_levels(t.lineitem, "units", "l_shipdate", Y1997, Y1996, TREE_DIMS, LINE_METRICS)
+    return rounded(found, 6, "contribution_pct")
+
+
+def _month(i: int) -> TimeWindow:
+    first = dt.date(1993 + i // 12, i % 12 + 1, 1)
+    after = dt.date(first.year + first.month // 12, first.month % 12 + 1, 1)
+    return TimeWindow(first.isoformat(), (after - dt.timedelta(days=1)).isoformat())
+
+
+def _request_specs() -> list[AnalysisSpec]:
+    """Each of 60 months against the one before, three years against the year before by two dimensions, and a
+    plain sum per flag."""
+    months = [
+        AnalysisSpec(f"month {i}", "compare_periods", "revenue", "l_shipdate", _month(i), _month(i - 1)) for i in range(1, 61)
+    ]
+    years = [
+        AnalysisSpec(
+            f"year {y}", "contribution", "units", "l_shipdate", TimeWindow(f"{y}-01-01", f"{y}-12-31"),
+            TimeWindow(f"{y - 1}-01-01", f"{y - 1}-12-31"), ("l_returnflag", "l_linenumber"),
+        )
+        for y in (1995, 1996, 1997)
+    ]
+    flags = [AnalysisSpec(f"flag {f}", "generic", "units", filters={"l_returnflag": f}) for f in ("A", "N", "R", "none")]
+    return [*months, *years, *flags]
+
+
+@query(
+    "a6_request_table",
+    """
+      with d as (select date_trunc('month', l_shipdate)::date as m, sum(cast(l_extendedprice * (1 - l_discount) as decimal(18,4)))::double as v,
+              count(*) as n from lineitem group by 1),
+      p as (select unnest(range(1, 61)) as i, (date '1993-01-01' + to_months(i::int))::date as m),
+      c as (select 'month ' || i as spec_id, 'compare_periods' as analysis_type, 'revenue' as metric, null::varchar as dimension,
+              null::varchar as item, a.v as now, b.v as old, coalesce(a.n, 0) + coalesce(b.n, 0) as n
+            from p left join d a on a.m = p.m left join d b on b.m = (p.m - to_months(1))::date),
+      y as (select unnest([1995, 1996, 1997]) as y),
+      s as (select y, 'l_returnflag' as dimension, l_returnflag as item, l_quantity as q, year(l_shipdate) = y as is_now from lineitem, y
+              where year(l_shipdate) in (y, y - 1)
+            union all select y, 'l_linenumber', l_linenumber::varchar, l_quantity, year(l_shipdate) = y from lineitem, y
+              where year(l_shipdate) in (y, y - 1)),
+      k as (select y, dimension, item, coalesce(sum(q) filter (is_now), 0) as now, coalesce(sum(q) filter (not is_now), 0) as old, count(*) as n
+            from s group by all),
+      t as (select *, sum(now) over (partition by y, dimension) as all_now, sum(old) over (partition by y, dimension) as all_old from k),
+      f as (select 'flag ' || flag as spec_id, sum(l_quantity) as v, count(l_quantity) as n
+            from (select unnest(['A', 'N', 'R', 'none']) as flag) left join lineitem on l_returnflag = flag group by 1)
+      select spec_id, analysis_type, metric, dimension, item, field, round(value, 4) as value, n::bigint as rows_used from (
+        select *, unnest(['current', 'baseline', 'change', 'change_pct']) as field,
+          unnest([now, old, now - old, case when old <> 0 then (now - old) / abs(old) * 100 end]) as value from c)
+      union all select 'year ' || y, 'contribution', 'units', dimension, item, field, round(value, 4), n from (
+        select *, unnest(['current', 'baseline', 'delta', 'baseline_share_pct', 'contribution_pct']) as field,
+          unnest([now, old, now - old, case when all_old <> 0 then old / all_old * 100 else 0 end,
+                  case when all_now <> all_old then (now - old) / abs(all_now - all_old) * 100 else 0 end]) as value from t)
+      union all select spec_id, 'generic', 'units', null, null, 'value', v, n from f""",
+)
+def a6_requests(t: Tables) -> DataFrame:
+    found = requests.run_requests(t.lineitem, _request_specs(), LINE_METRICS)
+    return rounded(found.drop("evidence_id"), 4, "value")
+
+
 ORDER_LINE_PACK = {
     "revenue": ['SUM("net_sales")', 'SUM(CAST("O_TOTALPRICE" AS DECIMAL(18,2)))'],
     "orders": ['COUNT(DISTINCT "order_id")', 'COUNT(DISTINCT "o_orderkey")', "COUNT(*)"],

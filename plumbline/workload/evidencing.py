@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.operators import analysis, evidence, quality, report
+from plumbline.operators import analysis, chain, evidence, quality, report
 from plumbline.operators.profile import union_all
 from plumbline.sources import tables
 from plumbline.workload.inputs import (
@@ -12,12 +12,15 @@ from plumbline.workload.inputs import (
     CUSTOMER_EVIDENCE,
     EVENT_METRICS,
     LINE_METRICS,
+    MESSY_LINEITEM,
     REVENUE_SQL,
     Y1996,
     Y1997,
     claims,
     customer_evidence,
+    messy_lineitem,
 )
+from plumbline.plans.spec import AnalysisSpec, TimeWindow
 from plumbline.workload.core import IN_1996, IN_1997
 from plumbline.workload.registry import Tables, query, rounded
 
@@ -299,8 +302,7 @@ def phrases_sql(text: str) -> str:
         from (select {STATUS_SQL} as evidence_status, f.claim_type {_JOINED}) group by all""",
 )
 def v6(t: Tables) -> DataFrame:
-    checked = _validated(t).join(claims(t.orders).select("finding_id", "claim_type"), "finding_id")
-    return checked.groupBy("evidence_status", "claim_type").agg(F.count(F.lit(1)).alias("findings"))
+    return _validated(t).groupBy("evidence_status", "claim_type").agg(F.count(F.lit(1)).alias("findings"))
 
 
 @query(
@@ -309,7 +311,7 @@ def v6(t: Tables) -> DataFrame:
           coalesce(matched, false) as recompute_matched, {STATUS_SQL} as evidence_status {_JOINED}""",
 )
 def v8(t: Tables) -> DataFrame:
-    return _validated(t)
+    return _validated(t).select("finding_id", "evidence_id", "claim", "causal_phrases", "recompute_matched", "evidence_status")
 
 
 @query(
@@ -319,11 +321,7 @@ def v8(t: Tables) -> DataFrame:
         from (select f.claim_type, f.strength, f.claim, {STATUS_SQL} as evidence_status {_JOINED}) group by 1, 2, 3""",
 )
 def h1(t: Tables) -> DataFrame:
-    made = claims(t.orders)
-    checked = _validated(t).select("finding_id", "evidence_status")
-    return report.findings_rollup(made.join(checked, "finding_id"))
-
-
+    return report.findings_rollup(_validated(t))
 
 
 @query(
@@ -342,7 +340,11 @@ def h1(t: Tables) -> DataFrame:
       union all select 'assumptions_definitions', 'Priority ' || o_orderpriority || ' is final.' from orders group by
         o_orderpriority
       union all select 'transformations', 'empty_rows_removed: status ' || o_orderstatus || ', ' || count(*) || ' rows'
-        from orders group by o_orderstatus""",
+        from orders group by o_orderstatus
+      union all select 'detailed_analysis', 'Evidence [' || substr(evidence_id::varchar, 1, 8) || ']: ' || metric
+        from (select * from """
+    + CUSTOMER_EVIDENCE
+    + """ order by evidence_id limit 10)""",
 )
 def h1_lines(t: Tables) -> DataFrame:
     returned = t.lineitem.where("l_returnflag = 'R'").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
@@ -377,4 +379,101 @@ def h1_lines(t: Tables) -> DataFrame:
             F.format_string("status %s, %d rows", "o_orderstatus", "n").alias("description"),
         )
     )
-    return report.report_lines(findings, manifest, assumptions, steps)
+    return report.report_lines(findings, manifest, assumptions, steps, evidence=customer_evidence(t.orders))
+
+
+CHAIN_METRICS = LINE_METRICS | {"tax": 'SUM(CAST("l_tax" AS DECIMAL(18,2)))'}
+CHAIN = [
+    AnalysisSpec("revenue", "compare_periods", "revenue", "l_shipdate", Y1997, Y1996, filters={"l_returnflag": ["A", "N"]}),
+    AnalysisSpec("units by status", "contribution", "units", "l_shipdate", Y1997, Y1996, ("l_linestatus",)),
+    AnalysisSpec("returned orders", "generic", "orders", "l_shipdate", Y1997, filters={"l_returnflag": "R"}),
+    AnalysisSpec("tax", "generic", "tax", "l_shipdate", Y1996),
+    AnalysisSpec("all orders", "generic", "orders"),
+]
+
+_CHAIN_SQL = f"""
+  m as (select * from {MESSY_LINEITEM}),
+  r as (select coalesce(sum(cast(l_extendedprice * (1 - l_discount) as decimal(18,4))) filter ({IN_1997}), 0)::double as c,
+          coalesce(sum(cast(l_extendedprice * (1 - l_discount) as decimal(18,4))) filter ({IN_1996}), 0)::double as b,
+          count(*) as n from m where l_returnflag in ('A', 'N') and ({IN_1996} or {IN_1997})),
+  u as (select l_linestatus as seg, coalesce(sum(l_quantity) filter ({IN_1997}), 0) - coalesce(sum(l_quantity) filter ({IN_1996}), 0)
+          as delta, count(*) as n, count(l_quantity) as known from m where {IN_1996} or {IN_1997} group by 1),
+  e as (
+    select '{{"analysis_type":"compare_periods","baseline":["1996-01-01","1996-12-31"],"current":["1997-01-01","1997-12-31"],"date_col":"l_shipdate","dimensions":[],"filters":{{"l_returnflag":["A","N"]}},"metric":"revenue"}}' as request,
+      c as value, printf('revenue %s by %.1f%% from 1996 to 1997 (%.2f → %.2f).', case when c > b then 'increased' else 'decreased' end,
+        round(abs((c - b) / abs(b) * 100), 1), round(b, 2), round(c, 2)) as claim,
+      'comparative' as claim_type, n as rows_used, 1.0::double as coverage, 'l_extendedprice,l_discount' as columns from r
+    union all select '{{"analysis_type":"contribution","baseline":["1996-01-01","1996-12-31"],"current":["1997-01-01","1997-12-31"],"date_col":"l_shipdate","dimensions":["l_linestatus"],"filters":{{}},"metric":"units"}}',
+      (select delta from u order by delta desc, seg limit 1), (select printf('%s is the largest contributor to change in units (Δ%+.2f).', seg, round(delta, 2))
+        from u order by delta desc, seg limit 1), 'factual', (select sum(n) from u), (select sum(known)::double / sum(n) from u), 'l_quantity'
+    union all select '{{"analysis_type":"generic","baseline":[null,null],"current":["1997-01-01","1997-12-31"],"date_col":"l_shipdate","dimensions":[],"filters":{{"l_returnflag":"R"}},"metric":"orders"}}',
+      count(distinct l_orderkey), 'orders is ' || format('{{:,.2f}}', count(distinct l_orderkey)::double) || '.', 'factual', count(*), 1.0, 'l_orderkey'
+      from m where l_returnflag = 'R' and {IN_1997}
+    union all select '{{"analysis_type":"generic","baseline":[null,null],"current":["1996-01-01","1996-12-31"],"date_col":"l_shipdate","dimensions":[],"filters":{{}},"metric":"tax"}}',
+      sum(cast(l_tax as decimal(18,2)))::double, 'tax is ' || format('{{:,.2f}}', sum(cast(l_tax as decimal(18,2)))::double) || '.', 'factual', count(*),
+      count(l_tax)::double / count(*), 'l_tax' from m where {IN_1996}
+    union all select '{{"analysis_type":"generic","baseline":[null,null],"current":[null,null],"date_col":null,"dimensions":[],"filters":{{}},"metric":"orders"}}',
+      count(distinct l_orderkey), 'orders is ' || format('{{:,.2f}}', count(distinct l_orderkey)::double) || '.', 'factual', count(*), 1.0, 'l_orderkey' from m
+  ),
+  i as (select count(*) - count(l_quantity) as missing, count(*) as n from m)"""
+
+
+def _chain(t: Tables):
+    """Requests over the messy lines, their stored evidence (one output of which is off), and the findings."""
+    rows = messy_lineitem(t.lineitem)
+    outputs = chain.outputs_of(rows, CHAIN, CHAIN_METRICS)
+    off = (F.col("spec_id") == "all orders") & (F.col("field") == "value")
+    kept = outputs.withColumn("value", F.when(off, F.col("value") * 1.01).otherwise(F.col("value")))
+    requests = chain.request_table(rows, CHAIN, CHAIN_METRICS, "lineitem", "v1")
+    records = chain.evidence_records(requests, kept, chain.coverage(rows, CHAIN, CHAIN_METRICS))
+    return rows, kept, records, chain.findings_of(records)
+
+
+@query(
+    "a10_evidence_chain",
+    f"""with {_CHAIN_SQL}
+        select sha256('finding|' || sha256(request)) as finding_id, sha256(request) as evidence_id,
+          case when contains(request, '"current":[null') then 'orders is ' || format('{{:,.2f}}', round(value * 1.01, 2)) || '.' else claim end as claim,
+          claim_type, not contains(request, '"current":[null') as recompute_matched, rows_used::bigint as rows_used,
+          round(coverage, 6) as coverage, columns,
+          case when contains(request, '"current":[null') then 'insufficient_evidence'
+               when coverage < 0.8 then 'partially_supported'
+               when columns = 'l_quantity' and (select missing > 0 and missing * 100.0 / n <= 20 from i) then 'partially_supported'
+               else 'supported' end as evidence_status
+        from e""",
+)
+def a10(t: Tables) -> DataFrame:
+    """From requests to validated findings: ids, a value that does not come out again, and a coverage below 0.8."""
+    rows, _, records, findings = _chain(t)
+    fresh = chain.run_again(rows, records, CHAIN_METRICS)
+    issues = quality.missing_issues(rows.select("l_quantity", "l_extendedprice"))
+    checked = chain.validated(findings, records, fresh, issues)
+    known = records.select("evidence_id", "rows_used", F.round("coverage", 6).alias("coverage"), F.array_join("columns", ",").alias("columns"))
+    return checked.join(known, "evidence_id").select(
+        "finding_id", "evidence_id", "claim", "claim_type", "recompute_matched", "rows_used", "coverage", "columns", "evidence_status"
+    )
+
+
+@query(
+    "v5_proofs",
+    f"""with {_CHAIN_SQL}
+        select sha256(request) as evidence_id,
+          case when contains(request, 'compare_periods') then 4 when contains(request, 'contribution') then 5 * (select count(*) from u)
+            else 1 end::bigint as compared,
+          contains(request, '"current":[null')::bigint as mismatched, not contains(request, '"current":[null') as proven from e""",
+)
+def v5_proofs(t: Tables) -> DataFrame:
+    rows, kept, records, _ = _chain(t)
+    return chain.proofs(kept, chain.run_again(rows, records, CHAIN_METRICS))
+
+
+@query(
+    "s10_rows_of_finding",
+    f"""select l_orderkey, l_linenumber, l_returnflag from {MESSY_LINEITEM} where l_returnflag = 'R'
+        order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice limit 100""",
+)
+def s10_finding(t: Tables) -> DataFrame:
+    rows, _, records, findings = _chain(t)
+    wanted = findings.join(records.where("spec_id = 'returned orders'"), "evidence_id").select("finding_id").first()[0]
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return chain.rows_behind(rows, findings, records, wanted, order).select("l_orderkey", "l_linenumber", "l_returnflag")
