@@ -54,13 +54,12 @@ def join_safety(
     )
     mismatch = left.schema[left_key].dataType != right.schema[right_key].dataType
     rate = F.when(F.col("left_keys") > 0, F.col("matched_keys") / F.col("left_keys")).otherwise(0.0)
-    many_to_one = ~F.col("left_unique") & F.col("right_unique")
     shifts = [measure_shift(F.col(f"before_{i}"), F.col(f"after_{i}")) for i in range(len(measures))]
     moved = [F.coalesce(s > fixed.JOIN_INVARIANCE_PCT, F.lit(False)) for s in shifts]
     texts = [
         F.when(
-            many_to_one & m,
-            F.format_string(f"SUM({name}) changed by %.1f%% after join", F.round(s, 1)),
+            m,
+            F.format_string(fixed.MEASURE_CHANGED, F.lit(name), F.round(s, 1)),
         )
         for name, m, s in zip(measures, moved, shifts)
     ]
@@ -106,7 +105,7 @@ def coverage_caveat(rate: Column) -> Column:
     return F.when(
         rate < 1.0,
         F.format_string(
-            "%.1f%% of left keys have no match in the right dataset. Rows will be dropped in an inner join.",
+            fixed.COVERAGE_CAVEAT,
             F.round((1 - rate) * 100, 1),
         ),
     ).otherwise("")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
-from typing import Mapping, Sequence
+from typing import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline import fixed_values as fixed
+from plumbline.plans.scalars import one_row
 from plumbline.plans.selection import exact_quantiles
 
 
@@ -120,31 +124,58 @@ def pii_columns(df: DataFrame) -> DataFrame:
     return stacked(filled, df.columns, fields).drop("position")
 
 
+def _key_parts(df: DataFrame, name: str) -> list[Column]:
+    """128 bits that tell the values of a column apart; equal numbers have equal bits, nested values go by their text."""
+    value, dtype = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
+        value = value_text(df, name)
+    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+        # Both zeros are one value.
+        value = value + F.lit(0.0).cast(dtype)
+    return [F.xxhash64(value), F.xxhash64(F.lit(1), value)]
+
+
+def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row: ``rows``, and per column its present values and its distinct ones.
+
+    One scan and one exchange for all columns: every value becomes its column's number and a 128-bit key, which fold
+    in the tasks before the shuffle, so a value holding most rows is one row. What is shuffled grows with the
+    distinct values.
+    """
+    packed = [
+        F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.lit(i).alias("c"), *[k.alias(n) for k, n in zip(_key_parts(df, c), "ab")]))
+        for i, c in enumerate(names)
+    ]
+    # One more entry per row counts the rows.
+    packed.append(F.struct(F.lit(len(names)).alias("c"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
+    values = df.select(F.explode(F.filter(F.array(*packed), lambda e: e.isNotNull())).alias("e")).select("e.*")
+    folded = values.groupBy("c", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+    def of(i: int, value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("c") == i, value)), F.lit(0).cast("long"))
+
+    return folded.agg(
+        of(len(names), F.col("n")).alias("rows"),
+        *[of(i, F.col("n")).alias(f"{c}__present") for i, c in enumerate(names)],
+        *[of(i, F.lit(1).cast("long")).alias(f"{c}__unique_count") for i, c in enumerate(names)],
+    )
+
+
 def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Rows, missing values and distinct values of every column.
+    """Rows, missing values and distinct values of every column, nested ones included.
 
-    Counts take one pass. Exact distinct counts are one narrow group-by per column, each reading
-    only that column: the grouped bytes are those of the table, in native types, and a value
-    holding most rows is folded before the shuffle. ``exact=False`` uses sketches instead.
+    ``exact=False`` uses sketches, without a shuffle of values.
     """
-    names = sortable_columns(df)
-    counted = [F.count(F.lit(1)).alias("rows")] + [F.count(F.col(f"`{c}`")).alias(f"{c}__present") for c in names]
+    names = df.columns
     if not exact:
-        counted += [F.approx_count_distinct(F.col(f"`{c}`")).alias(f"{c}__unique_count") for c in names]
+        key = {c: F.when(F.col(f"`{c}`").isNotNull(), _key_parts(df, c)[0]) for c in names}
+        counted = [F.count(F.lit(1)).alias("rows")] + [F.count(F.col(f"`{c}`")).alias(f"{c}__present") for c in names]
+        counted += [F.approx_count_distinct(key[c]).alias(f"{c}__unique_count") for c in names]
         wide = df.agg(*counted).select("*", *[F.col("rows").alias(f"{c}__total_rows") for c in names])
-        fields = {"total_rows": "long", "present": "long", "unique_count": "long"}
-        return _with_missing(stacked(wide, names, fields).drop("position"))
-    return _with_missing(union_all([_distincts(df, c) for c in names]))
-
-
-def _distincts(df: DataFrame, column: str) -> DataFrame:
-    values = df.groupBy(F.col(f"`{column}`").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return values.agg(
-        F.lit(column).alias("column"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("present"),
-        F.count("value").alias("unique_count"),
-    )
+    else:
+        wide = value_counts(df, names).select("*", *[F.col("rows").alias(f"{c}__total_rows") for c in names])
+    fields = {"total_rows": "long", "present": "long", "unique_count": "long"}
+    return _with_missing(stacked(wide, names, fields).drop("position"))
 
 
 def _with_missing(rows: DataFrame) -> DataFrame:
@@ -160,10 +191,11 @@ def _with_missing(rows: DataFrame) -> DataFrame:
     )
 
 
-def measure_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Range, mean, exact median and spread of numeric columns.
+def measure_profile(df: DataFrame, columns: Sequence[str] | None = None, samples: int = 0) -> DataFrame:
+    """Range, mean, exact median and spread of numeric columns; with ``samples`` also that many
+    ``sample_values``, the smallest different ones.
 
-    Everything but the median is one pass; the medians come from exact rank selection.
+    Everything but the median and the samples is one pass; the medians come from exact rank selection.
     """
     names = list(columns or numeric_columns(df))
     medians = exact_quantiles(df, [(c, c, 0.5) for c in names])
@@ -172,6 +204,12 @@ def measure_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     wide = df.agg(*[f(value[c]).alias(f"{c}__{s}") for c in names for s, f in stats.items()])
     wide = wide.select("*", *[F.lit(medians[c]).cast("double").alias(f"{c}__median") for c in names])
     fields = {s: "double" for s in ("min", "max", "mean", "median", "std")}
+    if samples:
+        lists = [F.sort_array(F.collect_list(F.when(F.col(f"`{c}`").isNotNull(), F.struct("__place", F.col(f"`{c}`").alias("v"))))) for c in names]
+        texts = [F.transform(x, lambda e: e["v"].cast("string")).alias(f"{c}__sample_values") for c, x in zip(names, lists)]
+        found = one_row(_lowest(df, names, samples).agg(*texts))
+        wide = wide.select("*", *[found[f"{c}__sample_values"].alias(f"{c}__sample_values") for c in names])
+        fields["sample_values"] = "array<string>"
     return stacked(wide, names, fields).drop("position")
 
 
@@ -201,16 +239,47 @@ def date_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return stacked(wide, list(columns), {"min": "timestamp_ntz", "max": "timestamp_ntz"}).drop("position")
 
 
+def _lowest_values(schema: T.StructType, top: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per column the ``top`` smallest distinct values of all batches, as rows padded with NULL."""
+    names, types = schema.names, list(to_arrow_schema(schema).types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [pa.array([], t) for t in types]
+        for batch in batches:
+            for i, have in enumerate(held):
+                found = batch.column(i).drop_null()
+                if len(have) == top and have[-1].as_py() == have[-1].as_py():
+                    found = found.filter(pc.less(found, have[-1]))
+                if len(found):
+                    both = pc.unique(pa.concat_arrays([have, pc.unique(found)]))
+                    held[i] = both.take(pc.array_sort_indices(both)[:top])
+        padded = [pa.concat_arrays([h, pa.nulls(top - len(h), t)]) for h, t in zip(held, types)]
+        yield pa.RecordBatch.from_arrays(padded, names=names)
+
+    return run
+
+
+def _lowest(df: DataFrame, columns: Sequence[str], top: int) -> DataFrame:
+    """``top`` rows, the i-th of which has the i-th smallest distinct value of every column, and its ``__place``."""
+    chosen = df.select(*[F.col(f"`{c}`") for c in columns])
+    lowest = _lowest_values(chosen.schema, top)
+    few = chosen.mapInArrow(lowest, chosen.schema).repartition(1).mapInArrow(lowest, chosen.schema)
+    return few.withColumn("__place", F.monotonically_increasing_id())
+
+
 def sample_values(df: DataFrame, columns: Sequence[str], top: int = fixed.SAMPLE_VALUES) -> DataFrame:
-    """The smallest distinct non-null values of each column, so that samples never change."""
-    parts = []
-    for c in columns:
-        values = (
-            df.where(F.col(f"`{c}`").isNotNull())
-            .select(F.col(f"`{c}`").alias("v"))
-            .distinct()
-            .orderBy("v")
-            .limit(top)
-        )
-        parts.append(values.select(F.lit(c).alias("column"), F.col("v").cast("string").alias("value")))
-    return union_all(parts)
+    """The smallest distinct non-null values of each column, so that samples never change.
+
+    One scan for all columns: every task keeps ``top`` values per column, and only those are brought together.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    return _lowest(df, columns, top).select(F.explode(pairs).alias("p")).select("p.*").where("value IS NOT NULL")
+
+
+def table_sample(df: DataFrame, rows: int = fixed.TABLE_SAMPLE_ROWS) -> DataFrame:
+    """Rows of the table in the order of a hash of the whole row, so that the sample is spread and never changes.
+
+    Every task keeps that many rows; nothing is sorted whole.
+    """
+    texts = [F.coalesce(value_text(df, c), F.lit("\x00")) for c in df.columns]
+    return df.withColumn("__order", F.xxhash64(*texts)).orderBy("__order", *texts).limit(rows).drop("__order")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,13 +20,24 @@ class Requirements:
 
 
 def requirement_checks(df: DataFrame, dictionary: DataFrame, needs: Requirements) -> DataFrame:
-    """``(position, check_type, role_needed, satisfied, message)``, one row per requirement.
+    """``(position, check_type, role_needed, satisfied, message)``, one row per requirement."""
+    return request_checks(df, dictionary, {"": needs}).drop("request")
 
-    The dictionary has one row per column, so it folds to one row of role and name lists.
+
+def request_checks(df: DataFrame, dictionary: DataFrame, requests: Mapping[str, Requirements]) -> DataFrame:
+    """F1-F5 for any number of requests, each under its name ``request``.
+
+    The dictionary has one row per column, so it folds to one row of role and name lists; with the number of rows it
+    is found once for all requests.
     """
     known = dictionary.agg(
         F.collect_set("role").alias("roles"), F.collect_list("column").alias("names")
     ).withColumn("rows", df.agg(F.count(F.lit(1)).alias("n")).scalar())
+    checks = [c for name, needs in requests.items() for c in _checks(name, needs)]
+    return known.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
+
+
+def _checks(request: str, needs: Requirements) -> list[Column]:
     rows = F.col("rows")
 
     def has_role(role: str) -> Column:
@@ -43,6 +55,7 @@ def requirement_checks(df: DataFrame, dictionary: DataFrame, needs: Requirements
         text = F.when(ok, _text(good)).otherwise(_text(bad))
         checks.append(
             F.struct(
+                F.lit(request).alias("request"),
                 F.lit(len(checks)).alias("position"),
                 F.lit(kind).alias("check_type"),
                 F.lit(needed).alias("role_needed"),
@@ -63,11 +76,12 @@ def requirement_checks(df: DataFrame, dictionary: DataFrame, needs: Requirements
             "time_span", "date", has_role("date"), "Date column present.",
             "No date column found for time-based analysis.",
         )
-    return known.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
+    return checks
 
 
-def sufficiency(checks: DataFrame) -> DataFrame:
-    """the verdict with what is missing, what to beware of and what can still be answered."""
+def sufficiency(checks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """the verdict with what is missing, what to beware of and what can still be answered; one row, or one per
+    ``by`` value."""
     failed = ~F.col("satisfied")
     presence = F.col("check_type") == "presence"
 
@@ -78,12 +92,13 @@ def sufficiency(checks: DataFrame) -> DataFrame:
     verdict = (
         F.when(F.max(failed & presence), "insufficient").when(F.max(failed), "partial").otherwise("sufficient")
     )
-    return checks.agg(
+    return checks.groupBy(*by).agg(
         verdict.alias("verdict"),
         listed(failed & presence, "message").alias("missing"),
         listed(failed & ~presence, "message").alias("caveats"),
         listed(F.col("satisfied"), "role_needed").alias("passed"),
     ).select(
+        *by,
         "verdict",
         "missing",
         "caveats",

@@ -10,8 +10,8 @@ the sketch said, and at most ``SMALL_BRACKET`` rows are ordered in the end.
 
 ``cumulative_counts`` gives every distinct value of a family its exact rank. Values are grouped
 first, so a value holding a third of all rows is one row. The values of all families are cut at
-common quantiles into buckets of equal size, and each family is ordered bucket by bucket: no group
-is larger than a bucket, however many of the values belong to one family.
+common quantiles into buckets of equal size, whose number grows with the rows, and each family is ordered bucket
+by bucket: no group is larger than a bucket, however many of the values belong to one family.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ SMALL_BRACKET = 200_000
 SAMPLE = 2_000
 # Grid steps that the rank of a sampled point may be off, by about three deviations.
 SAMPLE_MARGIN = 15
-BUCKETS = 256
+#: The fewest buckets for ranks, and the values that a bucket has at most on average.
+BUCKETS, BUCKET_ROWS = 256, 1_000_000
 # Types without a quantile sketch; their bounds come from a random sample.
 UNSKETCHED = (T.StringType, T.BinaryType, T.BooleanType)
 EXACT_AS_DOUBLE = 1 << 53
@@ -291,13 +292,16 @@ def _between(low: Any, high: Any, share: float) -> float:
 
 
 def cumulative_counts(
-    df: DataFrame, family: Sequence[str], value: str, buckets: int = BUCKETS
+    df: DataFrame, family: Sequence[str], value: str, buckets: int | None = None
 ) -> DataFrame:
     """Per family and distinct value: ``rows``, ``rows_before``, ``rows_through``, ``family_rows``.
 
-    NULL values are left out; NULL is a family like any other. ``buckets`` is a power of two.
+    NULL values are left out; NULL is a family like any other. ``buckets`` is a power of two; unless it is given it
+    grows with the rows, so that no bucket outgrows a task.
     """
     keys = list(family)
+    if buckets is None:
+        buckets = max(BUCKETS, 1 << math.ceil(df.count() / BUCKET_ROWS - 1).bit_length())
     counted = df.where(F.col(value).isNotNull())
     distinct = counted.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("rows"))
     # The sketch reads the counts too, so that it uses the shuffle that made them.

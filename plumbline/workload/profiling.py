@@ -56,6 +56,43 @@ def p3(t: Tables) -> DataFrame:
     return rounded(found, 6, "mean", "median", "std")
 
 
+@query(
+    "p3_measure_samples",
+    " union all ".join(
+        f"""select '{c}' as "column", array_to_string(list(v::integer order by v), ',') as samples
+              from (select distinct {c} as v from {MESSY_LINEITEM} where {c} is not null order by v limit 5)"""
+        for c in ("l_orderkey", "l_quantity", "l_linenumber")
+    ),
+)
+def p3_samples(t: Tables) -> DataFrame:
+    found = profile.measure_profile(messy_lineitem(t.lineitem), ["l_orderkey", "l_quantity", "l_linenumber"], samples=5)
+    whole = F.transform("sample_values", lambda v: v.cast("double").cast("int").cast("string"))
+    return found.select("column", F.array_join(whole, ",").alias("samples"))
+
+
+@query(
+    "s11_table_sample",
+    "select count(*) as rows, true as all_from_table from (select * from orders limit 200)",
+)
+def s11_table(t: Tables) -> DataFrame:
+    sample = profile.table_sample(t.orders)
+    missing = sample.join(t.orders, sample.columns, "left_anti").agg(F.count(F.lit(1)).alias("n")).scalar()
+    return sample.agg(F.count(F.lit(1)).alias("rows")).withColumn("all_from_table", missing == 0)
+
+
+@query(
+    "p2_nested_columns",
+    """select 'words' as "column", count(*) as total_rows, 0::bigint as missing_count, 0.0::double as missing_pct,
+         count(distinct list_slice(string_split(text, ' '), 1, 2)) as unique_count from documents
+       union all select 'origin', count(*), count(*) filter (lang = 'en'), round(count(*) filter (lang = 'en')::double / count(*) * 100, 2),
+         count(distinct (lang, source)) filter (lang <> 'en') from documents""",
+)
+def p2_nested(t: Tables) -> DataFrame:
+    """The first words of a text as an array, and its origin as a structure that English texts lack."""
+    origin = F.when(F.col("lang") != "en", F.struct("lang", "source"))
+    return profile.column_profile(t.documents.select(F.slice(F.split("text", " "), 1, 2).alias("words"), origin.alias("origin")))
+
+
 @query(
     "p4_top_categories",
     """(select 'l_partkey' as "column", l_partkey::varchar as value, count(*) as count from lineitem group by 2
