@@ -19,9 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go."""
-    wrapped = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    scored = toxicity.toxicity_scores(wrapped, _table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select("__row.*")
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("__row")
+    scored = toxicity.toxicity_scores(docs.select("doc_id", "text", others), _table(spark, sf_dir, "labels"))
+    kept = scored.where("predicted = 0")
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"__row.`{c}`") for c in docs.columns])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
