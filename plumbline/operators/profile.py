@@ -262,8 +262,10 @@ def _lowest_values(schema: T.StructType, top: int) -> Callable[[Iterator[pa.Reco
 def _lowest(df: DataFrame, columns: Sequence[str], top: int) -> DataFrame:
     """``top`` rows, the i-th of which has the i-th smallest distinct value of every column, and its ``__place``."""
     chosen = df.select(*[F.col(f"`{c}`") for c in columns])
-    lowest = _lowest_values(chosen.schema, top)
-    few = chosen.mapInArrow(lowest, chosen.schema).repartition(1).mapInArrow(lowest, chosen.schema)
+    # Short columns are filled with NULL, whatever the table allows.
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in chosen.schema.fields])
+    lowest = _lowest_values(schema, top)
+    few = chosen.mapInArrow(lowest, schema).repartition(1).mapInArrow(lowest, schema)
     return few.withColumn("__place", F.monotonically_increasing_id())
 
 

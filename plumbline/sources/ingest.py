@@ -38,51 +38,60 @@ class Ingested:
     files: DataFrame
 
 
-def head_dialect(head: bytes, complete: bool):
-    """``(encoding, marked, delimiter, titles, skipped, names)`` from the first bytes of a file.
+def dialect_reader():
+    """A function from the first bytes of a file, and whether these are all, to ``(encoding, marked, delimiter, titles,
+    skipped, names)``; ``titles`` are the records above the header, ``skipped`` the lines up to and including it.
 
-    ``titles`` are the records above the header, ``skipped`` the lines up to and including it.
+    It is made of local values only, so that it travels to tasks without the library.
     """
-    mark = next((name for prefix, name in BYTE_ORDER_MARKS.items() if head.startswith(bytes.fromhex(prefix))), None)
-    encoding = mark or "UTF-8"
-    if not mark:
-        try:
-            codecs.getincrementaldecoder("utf-8")().decode(head, final=complete)
-        except UnicodeDecodeError:
-            encoding = "ISO-8859-1"
-    text = head.decode(encoding, errors="replace").lstrip("﻿")
-    counts = {d: sum(line.count(d) for line in text.splitlines()[: fixed.SNIFF_LINES]) for d in fixed.DELIMITERS}
-    delimiter = max(counts, key=counts.get)
-    reader, rows, ends = csv.reader(io.StringIO(text), delimiter=delimiter), [], []
-    for row in reader:
-        rows.append(row)
-        ends.append(reader.line_num)
-    if not complete and len(rows) > 1:
-        rows.pop()
-    width = max(map(len, rows), default=0)
-    filled = [sum(c.strip() != "" for c in row) for row in rows]
-    titles = next((i for i, n in enumerate(filled) if n > width * fixed.HEADER_MIN_FILLED), 0)
-    names: list[str] = []
-    for cell in rows[titles] if rows else []:
-        names.append(cell.strip() or (names[-1] if names else ""))
-    nth: dict[str, int] = defaultdict(int)
-    for i, name in enumerate(names):
-        nth[name] += 1
-        names[i] = f"{name}_{nth[name]}" if nth[name] > 1 else name
-    return encoding, mark is not None, delimiter, titles, ends[titles] if rows else 0, names
+    marks = {bytes.fromhex(prefix): name for prefix, name in BYTE_ORDER_MARKS.items()}
+    delimiters, sniffed, least = list(fixed.DELIMITERS), fixed.SNIFF_LINES, fixed.HEADER_MIN_FILLED
+
+    def dialect(head: bytes, complete: bool):
+        mark = next((name for prefix, name in marks.items() if head.startswith(prefix)), None)
+        encoding = mark or "UTF-8"
+        if not mark:
+            try:
+                codecs.getincrementaldecoder("utf-8")().decode(head, final=complete)
+            except UnicodeDecodeError:
+                encoding = "ISO-8859-1"
+        text = head.decode(encoding, errors="replace").lstrip("\ufeff")
+        counts = {d: sum(line.count(d) for line in text.splitlines()[:sniffed]) for d in delimiters}
+        delimiter = max(counts, key=counts.get)
+        reader, rows, ends = csv.reader(io.StringIO(text), delimiter=delimiter), [], []
+        for row in reader:
+            rows.append(row)
+            ends.append(reader.line_num)
+        if not complete and len(rows) > 1:
+            rows.pop()
+        width = max(map(len, rows), default=0)
+        filled = [sum(c.strip() != "" for c in row) for row in rows]
+        titles = next((i for i, n in enumerate(filled) if n > width * least), 0)
+        names: list[str] = []
+        for cell in rows[titles] if rows else []:
+            names.append(cell.strip() or (names[-1] if names else ""))
+        nth: dict[str, int] = defaultdict(int)
+        for i, name in enumerate(names):
+            nth[name] += 1
+            names[i] = f"{name}_{nth[name]}" if nth[name] > 1 else name
+        return encoding, mark is not None, delimiter, titles, ends[titles] if rows else 0, names
+
+    return dialect
 
 
 def file_dialects(spark: SparkSession, path: str | Sequence[str], head_bytes: int = heads.HEAD_BYTES) -> DataFrame:
     """One row per file: encoding by its mark (else UTF-8 if they are valid), delimiter, title records, lines up to the header
     and column names, from its first bytes alone."""
 
+    dialect, fields = dialect_reader(), [f.split()[0] for f in DIALECT.split(", ")]
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()))
         for batch in batches:
-            found = [head_dialect(h, n <= len(h)) for n, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            found = [dialect(h, n <= len(h)) for n, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             columns = zip(*found) if found else [[]] * len(types)
             arrays = [pa.array(list(c), t) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], names=[f.split()[0] for f in DIALECT.split(", ")])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], names=fields)
 
     return heads.file_heads(spark, path, head_bytes).mapInArrow(judge, DIALECT)
 

@@ -3,7 +3,11 @@
 import csv
 import hashlib
 import io
+import os
+import pickle
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +92,27 @@ def test_heads_and_hashes_read_by_offset(spark, tmp_path):
     blocks = heads.raw_hashes(spark, str(tmp_path), block=100_000).where("length > 3").first()
     parts = b"".join(hashlib.sha256(data[a : a + 100_000]).digest() for a in range(0, 300_004, 100_000))
     assert (blocks["blocks"], blocks["content_hash"]) == (4, hashlib.sha256(parts).hexdigest())
+
+
+def test_functions_sent_to_tasks_do_not_need_the_library(spark, tmp_path, monkeypatch):
+    from pyspark import cloudpickle
+
+    from plumbline.operators import profile
+
+    (tmp_path / "a.csv").write_text("a,b\n1,\"x\ny\"\n")
+    sent, apply = [], type(spark.range(1)).mapInArrow
+
+    def recorded(df, func, *args, **kwargs):
+        sent.append(cloudpickle.dumps(func))
+        return apply(df, func, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", recorded)
+    assert ingest.read_mixed(spark, str(tmp_path))[0].count() == 1
+    heads.raw_hashes(spark, str(tmp_path)).count()
+    profile.sample_values(spark.range(3), ["id"]).count()
+    assert len(sent) >= 5
+    (tmp_path / "sent").write_bytes(pickle.dumps(sent))
+    load = "import pickle, sys; [pickle.loads(s) for s in pickle.load(open(sys.argv[1], 'rb'))]; print('plumbline' in sys.modules)"
+    alone = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", load, str(tmp_path / "sent")], cwd=tmp_path, env=alone, capture_output=True, text=True)
+    assert done.stdout.strip() == "False", done.stderr
