@@ -110,19 +110,20 @@ def rearranged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     like an empty one; repeated rows come out alike. Texts of any length are handled whole. Other columns
     are kept, those that carry one of these names are replaced; an empty table gives an empty result.
     """
-    rest = docs.drop(*[n for n, _ in FIELDS])
-    source = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
-    names = ["first", "second", "third", "fourth"]
-    given = F.struct(source.alias("text"), *[d.alias(n) for d, n in zip(draws(F.col(f"`{doc_id}`")), names)])
+    numbers = [f"__draw_{i}" for i in range(4)]
+    rest = docs.drop(*[n for n, _ in FIELDS]).withColumns(dict(zip(numbers, draws(F.col(f"`{doc_id}`")))))
 
     def make():
-        def compute(values):
-            rows = [rearranged_text(v["text"], *[v[n] for n in names]) for v in values]
+        def compute(texts, *drawn):
+            rows = [
+                rearranged_text(t or b"", *numbers)
+                for t, *numbers in zip(texts.view(pa.binary()).to_pylist(), *(d.to_pylist() for d in drawn))
+            ]
             return list(zip(*rows)) if rows else [[] for _ in FIELDS]
 
         return compute
 
-    return with_columns(rest.withColumn("__given", given), "__given", make, FIELDS).drop("__given")
+    return with_columns(rest, [text, *numbers], make, FIELDS, raw=True).drop(*numbers)
 
 
 def restored(found: DataFrame, output: str = "output", form: str = "form") -> DataFrame:
@@ -130,17 +131,11 @@ def restored(found: DataFrame, output: str = "output", form: str = "form") -> Da
 
     A NULL output stays NULL. A column named ``restored`` is replaced, the others are kept.
     """
-    given = F.struct(F.col(f"`{output}`").alias("output"), F.col(f"`{form}`").alias("form"))
 
     def make():
-        def compute(values):
-            return [
-                pa.array(
-                    [v["output"] if v["output"] is None else restored_text(v["output"], v["form"]) for v in values],
-                    pa.binary(),
-                )
-            ]
+        def compute(outputs, forms):
+            return [[o if o is None else restored_text(o, f) for o, f in zip(outputs, forms)]]
 
         return compute
 
-    return with_columns(found.withColumn("__given", given), "__given", make, [("restored", "binary")]).drop("__given")
+    return with_columns(found, [output, form], make, [("restored", "binary")])

@@ -89,7 +89,7 @@ def op10_pii(spark, folder):
 @query
 def op11_fill_in_middle(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    found = fim.restored(fim.rearranged(docs))
+    found = fim.restored(fim.rearranged(docs).drop("text"))
     hashed = [F.sha2(c, 256).alias(n) for c, n in (("output", "output_sha256"), ("restored", "restored_sha256"))]
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashed)
 
