@@ -156,7 +156,8 @@ class Blocks:
         return table.astype(kind), [w.astype(kind) for w in self.weights], kind
 
     def search(self, queries: list[np.ndarray], floors: list, own: list, k: int):
-        """``(ids, scores)`` per query: its best ``k`` of those that reach its floor (None: of all)."""
+        """``(ids, scores)`` per query: its best ``k`` of those that come before its floor, the score and id of a
+        k-th elsewhere (None: of all)."""
         table, weights, kind = self.prepared(queries)
         low, high = self.low.astype(kind), self.high.astype(kind)
         for at in range(0, len(queries), QUERIES_AT_ONCE):
@@ -167,12 +168,12 @@ class Blocks:
 
     def _one(self, query, floor, own, bounds, weights, k):
         ids, scores = np.zeros(0, np.int64), np.zeros(0, query.dtype)
-        least = -np.inf if floor is None else floor
+        least, last = (-np.inf, NO_ID) if floor is None else floor
         for b in np.argsort(-bounds, kind="stable"):
             if bounds[b] < least:
                 break
             found = weights[b] @ query
-            reach = found >= least
+            reach = (found > least) | ((found == least) & (self.ids[b] < last))
             if own is not None and own[0] == b:
                 reach[own[1]] = False
             if not reach.any():
@@ -181,7 +182,7 @@ class Blocks:
             order = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[order], scores[order]
             if len(ids) == k:
-                least = max(least, scores[-1])
+                least, last = scores[-1], ids[-1]
         return ids, scores.astype(np.int64)
 
 
@@ -189,7 +190,7 @@ def _ids(values: np.ndarray) -> pa.Array:
     return pa.array(values, pa.int64(), mask=values == NO_ID)
 
 
-HOME = "q long, query_id long, home int, weights binary, floor long, ids array<long>, scores array<long>"
+HOME = "q long, query_id long, home int, weights binary, floor long, last long, ids array<long>, scores array<long>"
 
 
 def top_scores(
@@ -240,6 +241,7 @@ def top_scores(
                 "home": pa.array([shard] * len(places), pa.int32()),
                 "weights": pa.array([q.astype(np.int32).tobytes() for q in queries], pa.binary()),
                 "floor": pa.array([int(s[-1]) if len(s) == k else None for _, s in found], pa.int64()),
+                "last": pa.array([int(i[-1]) if len(i) == k else None for i, _ in found], pa.int64()),
                 "ids": pa.array([_ids(i).to_pylist() for i, _ in found], pa.list_(pa.int64())),
                 "scores": pa.array([s.tolist() for _, s in found], pa.list_(pa.int64())),
             }
@@ -255,7 +257,8 @@ def top_scores(
         parts = [], [], [], []
         if len(left) and len(right):
             queries = [np.frombuffer(w, np.int32) for w in left.column("weights").to_pylist()]
-            floors = left.column("floor").to_pylist()
+            pairs = zip(left.column("floor").to_pylist(), left.column("last").to_pylist())
+            floors = [None if score is None else (score, last) for score, last in pairs]
             found = Blocks(right).search(queries, floors, [None] * len(queries), k)
             for q, query_id, (ids, scores) in zip(left.column("q").to_pylist(), left.column("query_id").to_pylist(), found):
                 for column, v in zip(parts, (np.full(len(ids), q), np.full(len(ids), query_id), ids, scores)):
@@ -274,7 +277,7 @@ def top_scores(
 
 def _visits(asked: DataFrame, index: DataFrame, shards: int, summary_bytes: int) -> DataFrame:
     """``shard`` and a query for every other shard whose maxima reach the query's k-th score."""
-    columns = ["q", "query_id", "weights", "floor"]
+    columns = ["q", "query_id", "weights", "floor", "last"]
     width = index.agg(F.max("width")).first()[0]
     if shards * width * 8 > summary_bytes:
         spread = asked.select(*columns, "home", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
@@ -299,14 +302,14 @@ def _visits(asked: DataFrame, index: DataFrame, shards: int, summary_bytes: int)
             table = table.astype(kind)
             bounds = np.maximum(table, 0) @ high.astype(kind).T + np.minimum(table, 0) @ low.astype(kind).T
             floors = batch.column(3).fill_null(np.iinfo(np.int64).min).to_numpy()
-            far = names != batch.column(4).to_numpy()[:, None]
+            far = names != batch.column(5).to_numpy()[:, None]
             query, shard = np.nonzero(far & (bounds >= floors[:, None]))
             for at in range(0, len(query), 16_384):
                 some = pa.array(query[at : at + 16_384])
-                chosen = [batch.column(i).take(some) for i in range(4)]
+                chosen = [batch.column(i).take(some) for i in range(5)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names[shard[at : at + 16_384]], pa.int32()), *chosen], names=["shard", *columns]
                 )
 
     given = asked.select(*columns, "home")
-    return given.mapInArrow(choose, "shard int, q long, query_id long, weights binary, floor long")
+    return given.mapInArrow(choose, "shard int, q long, query_id long, weights binary, floor long, last long")
