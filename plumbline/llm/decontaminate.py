@@ -4,24 +4,27 @@ Texts and items are normalised alike, to ASCII-lowered words joined by one space
 items go into one Aho-Corasick automaton; a normalised text is scanned once, and where a window ends
 its words are looked up by offset, which also gives their place in the original text.
 
-The windows are sent to every task, so their size is checked first. Beyond ``PART_BYTES`` the items
-are dealt out in parts by a hash of their id, and the texts pass one automaton after the other.
+The windows are sent to every task, so their size is checked first. Beyond ``PART_BYTES`` they are dealt out
+in parts by a hash, and the texts pass one automaton after the other, stored in between, so that a task
+never holds two of them.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import defaultdict
+from typing import Iterator
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.texts import stored, with_columns
+from plumbline.llm.texts import release, stored, with_columns
 
 WINDOW = 10
-PART_BYTES = 32 << 20
+#: Bytes of windows in one automaton, which takes some 35 times as much.
+PART_BYTES = 8 << 20
 # Fixed value: a word, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -40,15 +43,30 @@ def windows_of(words: list[str], size: int = WINDOW) -> list[str]:
     return [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
 
 
-def automaton_of(items: list[tuple[str, str | None]], size: int = WINDOW) -> ahocorasick.Automaton:
+def windows_table(items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``window``, ``n`` (its words) and ``ids`` (of the items that have it, sorted) from ``id`` and ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (window, window.count(" ") + 1, item_id)
+                for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                for window in dict.fromkeys(windows_of(words_of(text), size))
+            ]
+            for at in range(0, len(rows), 10_000):
+                columns = zip(*rows[at : at + 10_000])
+                arrays = [pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["window", "n", "id"])
+
+    found = items.select("id", "text").mapInArrow(run, "window string, n int, id string")
+    return found.groupBy("window", "n").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+
+
+def automaton_of(windows: list[tuple[str, int, list[str]]]) -> ahocorasick.Automaton:
     """Windows to ``(number of words, ids of their items)``; a border of spaces keeps words whole."""
-    owners: dict[str, set[str]] = defaultdict(set)
-    for item_id, text in items:
-        for window in windows_of(words_of(text), size):
-            owners[window].add(item_id)
     automaton = ahocorasick.Automaton()
-    for window, ids in owners.items():
-        automaton.add_word(f" {window} ", (window.count(" ") + 1, sorted(ids)))
+    for window, n, ids in windows:
+        automaton.add_word(f" {window} ", (n, ids))
     automaton.make_automaton()
     return automaton
 
@@ -76,31 +94,35 @@ def contamination(
     code points of the original text) and ``hit_items`` (sorted ids as strings).
 
     NULL texts and texts without words have no hits, items without words no windows; items that share
-    an id are one item, one whose id is NULL has the id ``''``. Repeated rows are each scanned. An
-    empty benchmark hits nothing, an empty table gives an empty result.
+    an id are one item, one whose id is NULL has the id ``''``. Texts of any length are scanned whole. Repeated
+    rows are each scanned; other columns are kept, those named like a result are replaced. An empty benchmark hits
+    nothing, an empty table gives an empty result.
     """
-    items = stored(
-        benchmark.select(
-            F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("id"),
-            F.col(f"`{item_text}`").alias("text"),
-        ).distinct(),
-        "items",
+    items = benchmark.select(
+        F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("id"), F.col(f"`{item_text}`").alias("text")
     )
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    windows = stored(windows_table(items, window), "windows")
+    bytes_of = F.octet_length("window") + F.aggregate("ids", F.lit(0), lambda total, i: total + F.octet_length(i))
+    size = windows.agg(F.sum(bytes_of)).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
-    found = docs
+    found, before = docs, None
     for part in range(parts):
-        chosen = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part) if parts > 1 else items
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in chosen.collect()])
-        found = _scan(found, text, shared, window, first=part == 0)
+        chosen = windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part)
+        shared = docs.sparkSession.sparkContext.broadcast([(r["window"], r["n"], r["ids"]) for r in chosen.collect()])
+        found = _scan(found, text, shared, first=part == 0)
+        if part < parts - 1:
+            found = stored(found, "hits")
+            if before is not None:
+                release(before)
+            before = found
     return found
 
 
-def _scan(docs: DataFrame, text: str, shared, window: int, first: bool) -> DataFrame:
+def _scan(docs: DataFrame, text: str, shared, first: bool) -> DataFrame:
     """Add the occurrences of one part's windows; every part but the first sees what others found."""
 
     def make():
-        automaton = automaton_of(shared.value, window)
+        automaton = automaton_of(shared.value)
 
         def compute(values):
             columns = [[], [], [], []]
