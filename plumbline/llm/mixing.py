@@ -23,6 +23,8 @@ from plumbline.llm.texts import small_side, stored
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BIN_ROWS = 2_000
+#: Parts into which rows that are alike are dealt to be numbered.
+SHARDS = 64
 # Fixed value: a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -82,8 +84,9 @@ def mix(
 
     ``size`` is a column of counts. All sizes together are shared by weight; a target stops at ``cap``
     times its source's size and the excess is shared among the rest. Documents of size 0 get the whole
-    copies and take nothing. Rows that repeat id, source and size share their fate. A NULL id counts as
-    one id, a NULL source as one source. Other columns are kept, an empty table gives an empty result.
+    copies and take nothing. Rows that repeat id, source and size are interchangeable: of those at the cut as many
+    are taken as the words allow, by their place in the table. A NULL id counts as one id, a NULL source as one
+    source. Other columns are kept, those named like a result are replaced; an empty table gives an empty result.
     Pass a stored table or one whose sizes are cheap: it is read several times.
     """
     taken_names = ["source_size", "target", "copies", "taken"]
@@ -114,20 +117,25 @@ def mix(
         .select("key", "bin", "before")
     )
     crossed = stored(crossed, "crossed")
-    # Rows that are alike in all three are one step of the sum.
-    through = F.col("before") + F.sum("size").over(W.partitionBy("key").orderBy("p", F.col("id").asc_nulls_first(), "size"))
-    place = F.struct("p", "id", "size")
-    inside = ranked.join(small_side(crossed), ["key", "bin"]).withColumn("through", through)
+    # Rows that are alike in all three are interchangeable and one step of the sum, of which a part may be taken.
+    place = F.struct(*place_columns())
+    steps = ranked.join(small_side(crossed), ["key", "bin"]).groupBy("key", "p", "id", "size", "words", "before").agg(F.count(F.lit(1)).alias("n"))
+    upward = W.partitionBy("key").orderBy("p", F.col("id").asc_nulls_first(), "size")
+    inside = steps.withColumn("through", F.col("before") + F.sum(F.col("size") * F.col("n")).over(upward))
     reached = F.col("through") <= F.col("words")
+    left = F.col("words") - (F.col("through") - F.col("size") * F.col("n"))
+    partly = F.struct(*place_columns(), F.floor(left / F.col("size")).cast("long").alias("k"))
     cut = inside.groupBy("key").agg(
         F.max(F.when(reached, place)).alias("last"),
         F.max(F.when(reached, F.col("through"))).alias("filled"),
+        F.min(F.when(~reached & (left >= F.col("size")), partly)).alias("split"),
         F.first("words").alias("words"),
         F.first("before").alias("before"),
         F.min("p").alias("first_p"),
     )
-    # Without a last one inside, the cut lies before the bin.
-    cut = stored(cut.withColumn("gap", F.col("words") - F.coalesce("filled", "before")), "cut")
+    # Without a last one inside, the cut lies before the bin. Only the first step that is not reached can hold more.
+    of_split = F.coalesce(F.col("split.k") * F.col("split.size"), F.lit(0))
+    cut = stored(cut.withColumn("gap", F.col("words") - F.coalesce("filled", "before") - of_split), "cut")
     edges = small_side(cut.select("key", "gap", "last", "first_p"))
     after = F.when(F.col("last").isNull(), F.col("p") >= F.col("first_p")).otherwise(place > F.col("last"))
     closing = (
@@ -143,24 +151,50 @@ def mix(
     alone = alone.groupBy("key", "closing").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
     decided = (
-        shares.join(cut.select("key", "last", "first_p", F.lit(True).alias("is_cut")), "key", "left")
+        shares.join(cut.select("key", "last", "first_p", "split", F.lit(True).alias("is_cut")), "key", "left")
         .join(alone, "key", "left")
         .select(
             F.col("key").alias("__key"),
-            F.struct("source_size", "target", "whole", "words", share.alias("share"), mean.alias("mean"), "last", "first_p", "is_cut", "closing").alias("__m"),
+            F.struct("source_size", "target", "whole", "words", share.alias("share"), mean.alias("mean"), "last", "first_p", "split", "is_cut", "closing").alias("__m"),
         )
     )
     decided = stored(decided, "decided")
-    joined = rest.withColumn("__key", source_key(F.col(f"`{source}`"))).join(small_side(decided), "__key")
+    rows = rest.withColumns({"__key": source_key(F.col(f"`{source}`")), "__row": F.monotonically_increasing_id()})
+    joined = rows.join(small_side(decided), "__key")
     m = F.col("__m")
     p = rank(F.col(f"`{doc_id}`"), F.col(size), m["share"], m["mean"])
     mine = F.struct(p.alias("p"), F.col(f"`{doc_id}`").alias("id"), F.col(size).alias("size"))
     within = F.when(m["last"].isNull(), p < m["first_p"]).otherwise(mine <= m["last"])
     # Without a cut the sample takes every document.
     chosen = F.when(m["is_cut"].isNull(), True).otherwise(within | mine.eqNullSafe(m["closing"]))
+    if cut.where("split IS NOT NULL").take(1):
+        is_split = m["split"].isNotNull() & mine.eqNullSafe(F.struct("__m.split.p", "__m.split.id", "__m.split.size"))
+        joined = joined.withColumn("__split", F.coalesce(is_split, F.lit(False)))
+        joined = joined.where("NOT __split").withColumn("__taken", F.lit(False)).unionByName(_some_of_each(joined.where("__split")))
+        chosen = chosen | F.col("__taken")
     extra = F.when((m["words"] > 0) & (F.col(size) > 0) & F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
     return (
         joined.withColumns({"source_size": m["source_size"], "target": m["target"], "copies": m["whole"] + extra})
         .withColumn("taken", F.col("copies") * F.col(size))
-        .drop("__key", "__m")
+        .drop("__key", "__m", "__row", "__split", "__taken")
     )
+
+
+def place_columns() -> list[Column]:
+    return [F.col(c) for c in ("p", "id", "size")]
+
+
+def _some_of_each(rows: DataFrame) -> DataFrame:
+    """Rows that are alike, with ``__taken`` for as many per source as its split says.
+
+    They are dealt into ``SHARDS`` by their place in the table and numbered within these, so that a source whose
+    rows are all alike is not numbered in one task.
+    """
+    dealt = rows.withColumn("__shard", F.pmod(F.xxhash64("__row"), F.lit(SHARDS)).cast("int"))
+    counts = stored(dealt.groupBy("__key", "__shard").agg(F.count(F.lit(1)).alias("__n")), "alike")
+    before = F.sum("__n").over(W.partitionBy("__key").orderBy("__shard")) - F.col("__n")
+    offsets = stored(counts.select("__key", "__shard", before.alias("__before")), "alike-offsets")
+    number = F.row_number().over(W.partitionBy("__key", "__shard").orderBy("__row"))
+    numbered = dealt.withColumn("__number", number).join(small_side(offsets), ["__key", "__shard"])
+    taken = F.col("__before") + F.col("__number") <= F.col("__m.split.k")
+    return numbered.withColumn("__taken", taken).drop("__shard", "__number", "__before")
