@@ -26,6 +26,8 @@ EPSILON = 2.5
 PLANES = 6
 AT_ONCE = 16
 SEED = 7
+#: Stands for a NULL id inside tasks; it sorts last.
+NO_ID = np.iinfo(np.int64).max
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -82,8 +84,8 @@ def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.add.accumulate(vectors * query, axis=1)[:, -1]
 
 
-def search_block(q_ids, queries, v_ids, vectors, centre, turn, k: int):
-    """``(query id, vector id, score)`` arrays: the ``k`` nearest in the block for each query."""
+def search_block(q_rows, queries, v_rows, v_ids, vectors, centre, turn, k: int):
+    """``(query row, vector id, score)`` arrays: the ``k`` nearest in the block for each query, its own row left out."""
     codes = Codes(vectors, centre, turn)
     found = ([], [], [])
     norms, dims = np.linalg.norm(queries, axis=1), vectors.shape[1]
@@ -91,8 +93,8 @@ def search_block(q_ids, queries, v_ids, vectors, centre, turn, k: int):
     for at in range(0, len(queries), AT_ONCE):
         part = queries[at : at + AT_ONCE]
         estimate, error = codes.estimate(part)
-        for i, (q_id, query) in enumerate(zip(q_ids[at : at + AT_ONCE], part)):
-            own = v_ids != q_id
+        for i, (q_row, query) in enumerate(zip(q_rows[at : at + AT_ONCE], part)):
+            own = v_rows != q_row
             score = np.where(own, estimate[i], -np.inf)
             reach = min(k, int(own.sum()))
             if not reach:
@@ -108,10 +110,11 @@ def search_block(q_ids, queries, v_ids, vectors, centre, turn, k: int):
             chosen = chosen[close >= np.partition(close, len(close) - reach)[len(close) - reach] - slack]
             values = exact(query, vectors[chosen])
             order = np.lexsort((v_ids[chosen], -values))[:k]
-            found[0].append(np.full(len(order), q_id))
+            found[0].append(np.full(len(order), q_row))
             found[1].append(v_ids[chosen][order])
             found[2].append(values[order])
-    return [np.concatenate(f) if f else np.zeros(0) for f in found]
+    types = (np.int64, np.int64, np.float64)
+    return [np.concatenate(f) if f else np.zeros(0, t) for f, t in zip(found, types)]
 
 
 def nearest(
@@ -125,21 +128,22 @@ def nearest(
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the ``k`` nearest by largest inner product.
 
-    Queries are the rows whose ``vec_id`` is divisible by ``every``, candidates all rows with another
-    ``vec_id``; ties go to the smaller. Vectors that are NULL, empty, zero or hold a NULL or non-finite
-    component take no part, nor do rows without an id or whose length is not the commonest (of equally
-    common ones the greater). Rows repeating id and vector are one. With fewer candidates than ``k``, all
-    are returned. An empty table gives an empty result.
+    Queries are the rows whose ``vec_id`` is divisible by ``every``, candidates all rows but the query's own; ties
+    go to the smaller ``vec_id``, a NULL one last. Rows that repeat an id are rows of their own: each is a candidate
+    for the others, and each is a query with ranks of its own. Vectors that are NULL, empty, zero or hold a NULL or
+    non-finite component take no part, nor do those whose length is not the commonest (of equally common ones the
+    greater). With fewer candidates than ``k``, all are returned. Other columns are not read; an empty table gives an
+    empty result.
     """
     values = F.col(f"`{vector}`").cast("array<double>")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = rows.select(F.col(f"`{vec_id}`").cast("long").alias("id"), values.alias("v")).where(
-        F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
+        F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     )
-    usable = stored(usable.distinct(), "vectors")
+    usable = stored(usable.withColumn("row", F.monotonically_increasing_id()), "vectors")
     lengths = usable.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
     common = lengths.orderBy(F.desc("n"), F.desc("d")).first()
-    schema = "query_id long, vec_id long, score double"
+    schema = "row long, query_id long, vec_id long, score double"
     if common is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = common["d"], common["n"]
@@ -151,24 +155,29 @@ def nearest(
     v_blocks, q_blocks = -(-n // vector_rows), max(1, -(-queries.count() // query_rows))
 
     def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-        return df.select("id", "v", block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+        block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+        known = F.coalesce("id", F.lit(NO_ID)).alias("id")
+        return df.select("row", known, "v", block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = table.column("id").to_numpy()
+    def matrix(table: pa.Table) -> np.ndarray:
         flat = table.column("v").combine_chunks()
-        return ids, flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(table), dim)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [np.zeros(0)] * 3
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        q_rows, q_ids = left.column("row").to_numpy(), left.column("id").to_numpy()
         if len(left) and len(right):
-            found = search_block(*matrix(left), *matrix(right), centre, turn, k)
-        types = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(f.astype(t.to_pandas_dtype())) for f, t in zip(found, types)], names=["query_id", "vec_id", "score"])
+            rows, ids = right.column("row").to_numpy(), right.column("id").to_numpy()
+            found = search_block(q_rows, matrix(left), rows, ids, matrix(right), centre, turn, k)
+        row, vec_id, score = found
+        order = np.argsort(q_rows)
+        query_id = q_ids[order][np.searchsorted(q_rows, row, sorter=order)] if len(row) else row
+        columns = [pa.array(row), pa.array(query_id), pa.array(vec_id, mask=vec_id == NO_ID), pa.array(score)]
+        return pa.table(columns, names=["row", "query_id", "vec_id", "score"])
 
     left = dealt(queries, "qb", q_blocks, "vb", v_blocks).groupBy("qb", "vb")
     right = dealt(usable, "vb", v_blocks, "qb", q_blocks).groupBy("qb", "vb")
     pairs = left.cogroup(right).applyInArrow(search, schema)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = W.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
