@@ -26,7 +26,7 @@ HEX = r"[0-9a-f]{24,}"
 CHECKED_WORDS = ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"]
 CHECKED_REST = r"[0-9A-Za-z]{36}(?![0-9A-Za-z])"
 KEY_BLOCK_WORD = "-----begin "
-KEY_BLOCK = r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----(?:[\x20\t]*+\r?\n[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+)*+[A-Za-z0-9+/=\s]*-----END ([A-Z]+ )*PRIVATE KEY-----"
+KEY_BLOCK = r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----(?:[\x20\t]*+\r?\n[A-Za-z][A-Za-z0-9-]*+:(?:(?!-----)[^\r\n])*+)*+[A-Za-z0-9+/=\s]*+-----END ([A-Z]+ )*PRIVATE KEY-----"
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 
