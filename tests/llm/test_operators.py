@@ -214,6 +214,22 @@ def test_nearest_have_high_recall_and_exact_scores(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_take_repeated_rows_and_ids_as_rows(spark):
+    rng = np.random.default_rng(7)
+    vectors = rng.standard_normal((50, 6)).astype(np.float32).tolist()
+    rows = list(enumerate(vectors)) + [(0, vectors[0]), (0, vectors[1]), (None, vectors[0]), (20, vectors[20])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
+    found = ann.nearest(df, k=5, query_rows=2, vector_rows=9).collect()
+    wide = np.array([v for _, v in rows], float)
+    want = []
+    for q, (q_id, _) in enumerate(rows):
+        if q_id is None or q_id % 20:
+            continue
+        scored = sorted((-float(wide[c] @ wide[q]), i is None, i or 0) for c, (i, _) in enumerate(rows) if c != q)
+        want += [(q_id, n + 1, None if missing else i) for n, (_, missing, i) in enumerate(scored[:5])]
+    assert sorted(map(str, ((r.query_id, r.rank, r.vec_id) for r in found))) == sorted(map(str, want))
+
+
 def test_distrust_flows_back_and_rules_win(spark):
     link = '<a href="http://bad.net/es/x">'
     rows = [(0, None, None), (1, "no host", link), (2, "http://bad.net/es/1", ""), (3, "http://bad.net/other", ""),
@@ -298,13 +314,15 @@ def test_every_expression_keeps_its_log_ratio(spark):
     rng = random.Random(4)
     rows = [("".join(rng.choice("abcde ") for _ in range(60)) + f" once{i}", [None, 1, 0][i % 3]) for i in range(60)]
     tagged = spark.createDataFrame([(t, {None: 0, 1: 1, 0: 2}[y]) for t, y in rows], "text string, tag int")
-    words = toxicity._words(tagged)
-    want, got = slow_log_ratios(rows), {r.g: r["all"] for r in toxicity.log_ratios(words).collect()}
+    counts = toxicity.count_expressions(tagged)
+    ratios = toxicity.log_ratios(counts, toxicity.shared_model(counts))
+    want, got = slow_log_ratios(rows), {r.g: r["all"] for r in ratios.collect()}
     assert set(got) == set(want) and all(abs(got[g] - want[g]) < 1e-9 for g in want)
-    values = {r.word: r for r in toxicity.word_values(words).collect()}
-    assert set(values) == {w for t, _ in rows for w in t.split()}
-    for word, r in values.items():
-        assert abs(r["all"] * toxicity.UNIT - sum(want[g] for g in toxicity.expressions(word))) < 1e-6
+    table = sorted(((r["key"] % 2**64, r["all"]) for r in toxicity.value_table(ratios).collect()))
+    keys, values = np.array([k for k, _ in table], np.uint64), np.array([[v] for _, v in table])
+    words = sorted({w for t, _ in rows for w in t.split()})
+    for word, found in zip(words, toxicity.word_sums(words, keys, values)):
+        assert abs(found[0] * toxicity.UNIT - sum(want[g] for g in toxicity.expressions(word))) < 1e-6
 
 
 def test_rare_expressions_count_whatever_the_words_sent(spark):
@@ -324,10 +342,21 @@ def test_rare_expressions_count_whatever_the_words_sent(spark):
     docs, known = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
     got = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, known).collect()}
     assert got[2000] == got[2002] > got[2001] + 0.05
-    few = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, known, broadcast_words=3).collect()}
+    few = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, known, part_expressions=300).collect()}
     assert few.keys() == got.keys() and all(abs(few[i] - got[i]) < 1e-9 for i in got)
 
 
+@pytest.mark.parametrize("share", [3, 1])
+def test_rows_alike_are_taken_as_far_as_the_words_go(spark, share):
+    rows = [(None if i % share == 0 else i, f"s{i % 3}", 100) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    sums = mixing.mix(docs).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.count("*").alias("n"))
+    for r in sums.collect():
+        assert r["n"] == 1000 and abs(r["taken"] - r["target"]) <= 100
+    again = [sorted(r["copies"] for r in mixing.mix(docs).collect()) for _ in range(2)]
+    assert again[0] == again[1]
+
+
 def test_pipeline_takes_out_what_it_should(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.keep_one_of_each(spark, docs.union(docs.limit(3)), SF)
