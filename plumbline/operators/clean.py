@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from typing import Sequence
+from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import fixed_values as fixed
 from plumbline.operators.profile import stacked, string_columns
@@ -136,13 +136,25 @@ def _shapes(columns: Sequence[str]) -> list[Column]:
     ]
 
 
-def _shape_rates(columns: Sequence[str]) -> list[Column]:
-    """Per column the share of values that have a shape of each format, which no format can parse more than."""
-    return [
-        F.avg(F.when(F.col(f"`{c}`").isNotNull(), F.coalesce(F.col(f"`{c}__shape`").isin(*shapes), F.lit(False)).cast("int"))).alias(f"{c}__s{i}")
-        for c in columns
-        for i, shapes in enumerate(fixed.DATE_FORMATS.values())
+def _shape_rates(shaped: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Per column and format, as ``column__s0`` and so on, the share of values that have one of its shapes, which it
+    cannot parse more than; None without values. Shapes fold in the tasks, those of no format to one."""
+    known = sorted({x for shapes in fixed.DATE_FORMATS.values() for x in shapes})
+    pairs = [
+        F.when(
+            F.col(f"`{c}`").isNotNull(),
+            F.struct(F.lit(i).alias("c"), F.when(F.col(f"`{c}__shape`").isin(*known), F.col(f"`{c}__shape`")).alias("shape")),
+        )
+        for i, c in enumerate(columns)
     ]
+    each = shaped.select(F.explode(F.filter(F.array(*pairs), lambda p: p.isNotNull())).alias("p")) if pairs else None
+    counts = {(r["c"], r["shape"]): r["n"] for r in each.groupBy("p.c", "p.shape").agg(F.count(F.lit(1)).alias("n")).collect()} if pairs else {}
+    rates: dict[str, float | None] = {}
+    for i, c in enumerate(columns):
+        values = sum(n for (column, _), n in counts.items() if column == i)
+        for j, shapes in enumerate(fixed.DATE_FORMATS.values()):
+            rates[f"{c}__s{j}"] = sum(counts.get((i, x), 0) for x in shapes) / values if values else None
+    return rates
 
 
 def _parses(c: str, date_format: str) -> Column:
@@ -156,7 +168,7 @@ def _parses(c: str, date_format: str) -> Column:
     return F.when(possible, F.try_to_timestamp(value, F.lit(date_format)).isNotNull())
 
 
-def _date_rates(shaped: DataFrame, columns: Sequence[str], seen: Row, least: float) -> DataFrame:
+def _date_rates(shaped: DataFrame, columns: Sequence[str], seen: Mapping[str, float | None], least: float) -> DataFrame:
     """One row: per column the share that each format parses. Only formats that more than ``least`` of a column's
     values have the shape of are tried; the others count as 0."""
     tried, rates = [], []
@@ -164,7 +176,8 @@ def _date_rates(shaped: DataFrame, columns: Sequence[str], seen: Row, least: flo
         for i, (f, shapes) in enumerate(fixed.DATE_FORMATS.items()):
             name = f"{c}__f{i}"
             if (seen[f"{c}__s{i}"] or 0.0) > least:
-                ok = F.when(F.col(f"`{c}__shape`").isin(*shapes), _parses(c, f))
+                # Where all values have a shape of the format, none is looked at again.
+                ok = _parses(c, f) if seen[f"{c}__s{i}"] == 1.0 else F.when(F.col(f"`{c}__shape`").isin(*shapes), _parses(c, f))
                 tried.append(F.avg(F.when(F.col(f"`{c}`").isNotNull(), F.coalesce(ok, F.lit(False)).cast("int"))).alias(name))
                 rates.append(F.col(f"`{name}`"))
             else:
@@ -193,12 +206,12 @@ def _chosen_dates(rates: DataFrame, columns: Sequence[str]) -> DataFrame:
 def date_formats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The format that parses most of each text column, and whether day and month are unclear.
 
-    One aggregate finds the shapes of all columns, another tries the formats that have these shapes. Rates are over
+    One aggregate counts the shapes of all columns, another tries the formats that have these shapes. Rates are over
     all rows. Texts with a zone become the session's time.
     """
     names = list(columns or string_columns(df))
     shaped = df.select(*[F.col(f"`{c}`") for c in names], *_shapes(names))
-    return _chosen_dates(_date_rates(shaped, names, shaped.agg(*_shape_rates(names)).first(), 0.0), names)
+    return _chosen_dates(_date_rates(shaped, names, _shape_rates(shaped, names), 0.0), names)
 
 
 def parsed_date(column: str, date_format: str) -> Column:
@@ -215,11 +228,11 @@ class Cleaned:
 def clean(
     df: DataFrame, remove_totals: bool = True, percent_as_fraction: bool = False
 ) -> Cleaned:
-    """C1-C8 in order, in three passes over the rows.
+    """C1-C8 in order, in up to four passes over the rows.
 
-    Column types depend on the values, so the first pass brings one row of counts, number rates and date shapes
-    to the driver, the second one row of the rates of possible date formats, and the third one row of counts for the
-    log. Table rows never leave Spark.
+    Column types depend on the values, so the first pass brings one row of counts and number rates to the driver, the
+    second the counts of date shapes, the third, if there are any, one row of rates of the formats that have these
+    shapes, and the last one row of counts for the log. Table rows never leave Spark.
     """
     raw = trimmed_names(df)
     texts = string_columns(raw)
@@ -238,7 +251,6 @@ def clean(
         F.count_if(~F.col("__empty") & F.col("__total")).alias("totals"),
         *[F.count_if(F.col(f"`{c}__set`")).alias(f"{c}__n") for c in raw.columns],
         *_number_rates(texts),
-        *_shape_rates(texts),
     )
     seen = first.first()
     rates = df.sparkSession.createDataFrame([seen], first.schema)
@@ -247,7 +259,9 @@ def clean(
     numbers = {r["column"]: r["number_format"] for r in found if r["number_format"]}
     # A format that too few values have the shape of cannot be chosen.
     open_texts = [c for c in texts if c not in numbers]
-    found = _chosen_dates(_date_rates(shaped, open_texts, seen, fixed.DATE_PARSE_RATE), open_texts).collect() if open_texts else []
+    shapes = _shape_rates(shaped, open_texts)
+    open_texts = [c for c in open_texts if any((shapes[f"{c}__s{i}"] or 0.0) > fixed.DATE_PARSE_RATE for i in range(len(fixed.DATE_FORMATS)))]
+    found = _chosen_dates(_date_rates(shaped, open_texts, shapes, fixed.DATE_PARSE_RATE), open_texts).collect() if open_texts else []
     dates = {r["column"]: r for r in found if r["date_format"] and r["column"] not in numbers}
 
     def typed_column(c: str) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline import fixed_values as fixed
 from plumbline.operators.profile import contains_any, stacked, string_columns, value_counts
-from plumbline.plans.scalars import one_row
 
 # The sketch has 512 registers. Up to 50 distinct values fill at most 50 of them, and it then
 # reports 512 * ln(512 / 462), about 53, at most: more than that is more than 50 for certain.
@@ -21,7 +20,7 @@ def propose_dictionary(df: DataFrame, whole_words: bool = False) -> DataFrame:
     """``(position, column, role, currency_symbol)``; rows may be replaced by the user's own.
 
     One wide aggregate, whose single row comes back to the driver, settles most columns. Exact
-    distinct counts are taken only where they can decide, in one more scan: of columns named like keys, and of text
+    distinct counts are taken only where they can decide: of columns named like keys, and of text
     columns with few values. A sketch tells the others apart for certain (see ``SKETCH_LIMIT``),
     so long free text is never shuffled. Nested columns are ``other`` unless their name or values say more.
     """
@@ -40,8 +39,7 @@ def propose_dictionary(df: DataFrame, whole_words: bool = False) -> DataFrame:
     wide = df.sparkSession.createDataFrame([facts], first.schema)
     exact = [c for c in names if by_name[c] is None and _key_like(c, whole_words)]
     exact += [c for c in open_texts if facts[f"{c}__sketch"] <= SKETCH_LIMIT]
-    found = one_row(value_counts(df, exact)) if exact else None
-    counts = {f"{c}__distinct": found[f"{c}__unique_count"] for c in exact}
+    counts = {f"{c}__distinct": value_counts(df, c).agg(F.count("value").alias("n")).scalar() for c in exact}
     for c in open_texts:
         counts.setdefault(f"{c}__distinct", F.lit(None).cast("long"))
     wide = wide.withColumns(counts) if counts else wide

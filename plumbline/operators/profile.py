@@ -124,60 +124,44 @@ def pii_columns(df: DataFrame) -> DataFrame:
     return stacked(filled, df.columns, fields).drop("position")
 
 
-def _key_parts(df: DataFrame, name: str) -> list[Column]:
-    """128 bits that tell the values of a column apart; equal numbers have equal bits, nested values go by their text."""
-    value, dtype = F.col(f"`{name}`"), df.schema[name].dataType
-    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        value = value_text(df, name)
-    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
-        # Both zeros are one value.
-        value = value + F.lit(0.0).cast(dtype)
-    return [F.xxhash64(value), F.xxhash64(F.lit(1), value)]
-
-
-def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row: ``rows``, and per column its present values and its distinct ones.
-
-    One scan and one exchange for all columns: every value becomes its column's number and a 128-bit key, which fold
-    in the tasks before the shuffle, so a value holding most rows is one row. What is shuffled grows with the
-    distinct values.
-    """
-    packed = [
-        F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.lit(i).alias("c"), *[k.alias(n) for k, n in zip(_key_parts(df, c), "ab")]))
-        for i, c in enumerate(names)
-    ]
-    # One more entry per row counts the rows.
-    packed.append(F.struct(F.lit(len(names)).alias("c"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
-    values = df.select(F.explode(F.filter(F.array(*packed), lambda e: e.isNotNull())).alias("e")).select("e.*")
-    folded = values.groupBy("c", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-
-    def of(i: int, value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("c") == i, value)), F.lit(0).cast("long"))
-
-    return folded.agg(
-        of(len(names), F.col("n")).alias("rows"),
-        *[of(i, F.col("n")).alias(f"{c}__present") for i, c in enumerate(names)],
-        *[of(i, F.lit(1).cast("long")).alias(f"{c}__unique_count") for i, c in enumerate(names)],
-    )
+def _value(df: DataFrame, name: str) -> Column:
+    """A column by which equal values group; nested ones go by their text."""
+    nested = isinstance(df.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType))
+    value = F.col(f"`{name}`")
+    return F.when(value.isNotNull(), value_text(df, name)) if nested else value
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """One row per different value of a column with its number of rows ``n``, NULL among them. The table is read for
+    that column only, values keep their type, and one holding most rows is folded before the shuffle."""
+    return df.groupBy(_value(df, column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """Rows, missing values and distinct values of every column, nested ones included.
 
-    ``exact=False`` uses sketches, without a shuffle of values.
+    Exact distinct counts are one narrow group-by per column, each reading only that column, so the bytes read and
+    grouped are those of the table. ``exact=False`` uses sketches in one pass, without a shuffle of values.
     """
     names = df.columns
-    if not exact:
-        key = {c: F.when(F.col(f"`{c}`").isNotNull(), _key_parts(df, c)[0]) for c in names}
-        counted = [F.count(F.lit(1)).alias("rows")] + [F.count(F.col(f"`{c}`")).alias(f"{c}__present") for c in names]
-        counted += [F.approx_count_distinct(key[c]).alias(f"{c}__unique_count") for c in names]
-        wide = df.agg(*counted).select("*", *[F.col("rows").alias(f"{c}__total_rows") for c in names])
-    else:
-        wide = value_counts(df, names).select("*", *[F.col("rows").alias(f"{c}__total_rows") for c in names])
+    if exact:
+        return _with_missing(union_all([_distincts(df, c) for c in names]))
+    counted = [F.count(F.lit(1)).alias("rows")] + [F.count(F.col(f"`{c}`")).alias(f"{c}__present") for c in names]
+    counted += [F.approx_count_distinct(_value(df, c)).alias(f"{c}__unique_count") for c in names]
+    wide = df.agg(*counted).select("*", *[F.col("rows").alias(f"{c}__total_rows") for c in names])
     fields = {"total_rows": "long", "present": "long", "unique_count": "long"}
     return _with_missing(stacked(wide, names, fields).drop("position"))
 
 
+def _distincts(df: DataFrame, column: str) -> DataFrame:
+    return value_counts(df, column).agg(
+        F.lit(column).alias("column"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("present"),
+        F.count("value").alias("unique_count"),
+    )
+
+
 def _with_missing(rows: DataFrame) -> DataFrame:
     missing = F.col("total_rows") - F.col("present")
     return rows.select(

@@ -128,8 +128,6 @@ def test_nested_columns_are_counted(spark):
         assert {r["column"]: (r["total_rows"], r["missing_count"], r["unique_count"]) for r in got} == want
     assert {r["column"]: r["role"] for r in dictionary.propose_dictionary(df).collect()} == {"l": "other", "s": "other", "m": "other", "d": "measure"}
     assert [r["unique_count"] for r in profile.column_profile(df.limit(0)).collect()] == [0] * 4
-    plan = profile.column_profile(df)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("LogicalRDD") == 1
 
 
 def test_samples_take_one_scan(spark):
