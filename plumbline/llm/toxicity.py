@@ -37,7 +37,9 @@ MODELS = ["a", "b", "all"]
 PART_EXPRESSIONS = 2_000_000
 CALIBRATION_ROWS = 20_000
 #: A task folds so many different words, of so many characters, at once, and hands on so many expressions.
-FOLD_WORDS, FOLD_CHARS, HELD = 150_000, 1_500_000, 1_000_000
+FOLD_WORDS, FOLD_CHARS, HELD = 80_000, 600_000, 500_000
+#: A task splits so many bytes of texts into words at once; a longer text is split alone.
+PIECE_BYTES = 4 << 20
 WORST = 3
 THRESHOLD = 0.7
 #: Class and half of the learning rows, as the column of counts that a row adds to; 0 is neither.
@@ -104,6 +106,17 @@ def _chunks(words: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(words)
 
 
+def pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` of bounded bytes, so that what a task holds does not grow with the batches it is sent."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + PIECE_BYTES, side="right")))
+        yield start, end
+        start = end
+
+
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The different words of lower-cased texts, and for every word of every text its place among them and its text."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
@@ -162,12 +175,13 @@ def count_expressions(tagged: DataFrame) -> DataFrame:
             folded.__init__()
 
         for batch in batches:
-            words, place, owner = words_of(batch.column(0))
-            tags = batch.column(1).to_numpy().astype(np.int64)[owner]
-            counts = np.bincount(place * len(TAGS) + tags, minlength=len(words) * len(TAGS))
-            folded.add(words, counts.reshape(-1, len(TAGS)))
-            if len(folded.grams) > HELD:
-                yield from handed_on()
+            for start, end in pieces(batch.column(0)):
+                words, place, owner = words_of(batch.column(0)[start:end])
+                tags = batch.column(1)[start:end].to_numpy().astype(np.int64)[owner]
+                counts = np.bincount(place * len(TAGS) + tags, minlength=len(words) * len(TAGS))
+                folded.add(words, counts.reshape(-1, len(TAGS)))
+                if len(folded.grams) > HELD:
+                    yield from handed_on()
         yield from handed_on()
 
     schema = ", ".join(["g string", *[f"{t} long" for t in TAGS]])
@@ -314,6 +328,10 @@ def _measuring(sent, models: list[str], last: bool):
         keys, values = sent.value
 
         def compute(texts, uses, earlier):
+            found = [measured(texts[a:b], uses[a:b], earlier[a:b]) for a, b in pieces(texts)]
+            return [pa.concat_arrays(found)] if found else [pa.array([], pa.list_(pa.float64() if last else pa.int64()))]
+
+        def measured(texts, uses, earlier):
             words, place, owner = words_of(texts)
             # The different words of each text, in the order in which they first occur.
             pairs, first, times = np.unique(owner * max(len(words), 1) + place, return_index=True, return_counts=True)
@@ -326,7 +344,7 @@ def _measuring(sent, models: list[str], last: bool):
                 own = own + earlier.flatten().to_numpy()
             ends = np.searchsorted(row, np.arange(len(texts)), side="right")
             if not last:
-                return [pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(own))]
+                return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(own))
             sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
             sums = [np.append(0, np.cumsum(v))[ends] for v in (own * times, (sizes[word] if len(words) else times) * times)]
             total, size = (np.diff(v, prepend=0) for v in sums)
@@ -334,7 +352,7 @@ def _measuring(sent, models: list[str], last: bool):
             size = size.astype(float)
             table = np.column_stack([total * UNIT / np.maximum(size, 1), most * UNIT, worst * UNIT / WORST, np.log1p(size)])
             offsets = np.arange(0, table.size + 1, len(FEATURES)).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(table.ravel()))]
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(table.ravel()))
 
         return compute
 
