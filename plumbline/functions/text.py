@@ -15,6 +15,11 @@ NUMBER_TOKEN = (
     r"|([-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
     r"(?:%|\s*(?:million|billion|thousand|bn|k|m)\b|\b))"
 )
+#: About so many different beginnings of names are sent to the tasks at most; lengths of beginnings that are tried, and
+#: letters that they are taken to have; questions of a task.
+MENTION_HEADS, HEAD_CHARS, HEAD_LETTERS, TASK_QUESTIONS = 20_000, (3, 4, 6, 8, 12, 16, 24), 26, 20_000
+
+
 def causal_phrases(text: Column) -> Column:
     """V1: the causal phrases a text contains, in the order of the list.
 
@@ -136,25 +141,41 @@ def mentioned(question: Column, columns: Sequence[str]) -> Column:
     return F.filter(F.array(*hits), lambda c: c.isNotNull())
 
 
-def mentions(questions: DataFrame, dictionary: DataFrame, question_id: str, question: str, name: str) -> DataFrame:
+def mentions(
+    questions: DataFrame, dictionary: DataFrame, question_id: str, question: str, name: str, heads_sent: int = MENTION_HEADS
+) -> DataFrame:
     """R2 against a dictionary of any size: ``question_id`` and the rows of ``dictionary`` whose ``name`` the question
     contains, in any case.
 
-    A question becomes its different substrings of the lengths that names have, and these meet the names by
-    equality: the plan does not grow with the dictionary, and no question is compared with every name. Empty and
-    NULL names are not mentioned.
+    Names fold to their first characters, as many as leave about ``heads_sent`` different heads at most, which are sent
+    to every task with the lengths of their names. Only where a question has a head is a part of it cut out, and these
+    parts meet the names by equality in a shuffle: the plan does not grow with the dictionary, no question is compared
+    with every name, and neither the names nor the parts are gathered in one place. Empty and NULL names are not
+    mentioned.
     """
     names = dictionary.where(F.length(F.col(f"`{name}`")) > 0).withColumn("__name", F.lower(F.col(f"`{name}`")))
-    lengths = one_row(names.agg(F.sort_array(F.collect_set(F.length("__name"))).alias("n")))["n"]
-    asked = questions.select(F.col(f"`{question_id}`").alias(question_id), F.lower(F.col(f"`{question}`")).alias("__text"), lengths.alias("__lengths"))
-
-    def of_length(n: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length("__text") - n + 1)
-        parts = F.transform(starts, lambda i: F.substring("__text", i, n))
-        return F.when(n <= F.length("__text"), parts).otherwise(F.array().cast("array<string>"))
-
-    parts = F.array_distinct(F.flatten(F.transform("__lengths", of_length)))
-    return asked.select(question_id, F.explode(parts).alias("__name")).join(names, "__name").drop("__name")
+    sizes = names.agg(*[F.approx_count_distinct(F.substring("__name", 1, k)).alias(f"k{k}") for k in HEAD_CHARS]).first()
+    # Short heads need few looks at a question, but so many of them that any text has some tell nothing.
+    told = [k for k in HEAD_CHARS if sizes[f"k{k}"] < min(heads_sent, HEAD_LETTERS**k / 100)]
+    chars = told[0] if told else max((k for k in HEAD_CHARS if sizes[f"k{k}"] < heads_sent), default=HEAD_CHARS[0])
+    heads = names.groupBy(F.substring("__name", 1, chars).alias("__head")).agg(F.collect_set(F.length("__name")).alias("__lengths"))
+    heads = F.broadcast(heads) if heads.limit(2 * heads_sent + 1).count() <= 2 * heads_sent else heads
+    # Heads of one length are looked for at every start of a question, those of shorter names by their own length.
+    cuts = one_row(names.agg(F.collect_set(F.least(F.length("__name"), F.lit(chars))).alias("n")))["n"]
+    # Questions are few bytes and much work, so that their files make too few tasks.
+    tasks = max(1, -(-questions.count() // TASK_QUESTIONS))
+    asked = questions.select(F.col(f"`{question_id}`").alias(question_id), F.lower(F.col(f"`{question}`")).alias("__text"))
+    asked = asked.repartition(tasks, question_id, "__text").where(F.length("__text") > 0).withColumn("__cut", F.explode(cuts))
+    starts = asked.where(F.col("__cut") <= F.length("__text")).withColumn(
+        "__start", F.explode(F.sequence(F.lit(1), F.length("__text") - F.col("__cut") + 1))
+    )
+    met = starts.withColumn("__head", F.expr("substring(__text, __start, __cut)")).join(heads, "__head")
+    parts = met.withColumn("__length", F.explode("__lengths"))
+    parts = parts.withColumn("__name", F.expr("substring(__text, __start, __length)"))
+    # A part that a question has several times counts where it stands first.
+    first = (F.length("__name") == F.col("__length")) & (F.expr("locate(__name, __text)") == F.col("__start"))
+    # Left to its estimates Spark would gather the parts at the driver, as it knows nothing of their number.
+    return parts.where(first).select(question_id, "__name").hint("merge").join(names, "__name").drop("__name")
 
 
 def claim_for_change(
