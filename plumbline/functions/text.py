@@ -186,7 +186,7 @@ def claim_for_change(
         "%s %s by %.1f%% from %s to %s (%.2f → %.2f).",
         metric,
         F.when(pct > 0, "increased").otherwise("decreased"),
-        F.round(F.abs(pct), 1),
+        _one(F.abs(pct)),
         then,
         now,
         F.round(baseline, 2),
@@ -214,5 +214,10 @@ def claim_for_value(metric: Column, value: Column, unit: Column) -> Column:
     return F.concat(F.trim(F.concat_ws(" ", metric, F.lit("is"), number, unit)), F.lit("."))
 
 
+def _one(value: Column) -> Column:
+    """One decimal, half up. A quotient like 30.35 comes out a last bit lower, which its tenfold no longer shows."""
+    return F.round(value * 10) / 10
+
+
 def _two(value: Column) -> Column:
     return F.coalesce(F.format_string("%.2f", F.round(value, 2)), F.lit("unknown"))
