@@ -3,16 +3,19 @@
 Four kinds have strict rules; their spans are always taken. Generators with loose rules propose further,
 overlapping spans: addresses with spelled-out signs, groups of digits with any separators, addresses of
 the longer protocol. Gradient boosted trees rate a proposal by its format and by what stands around it.
-They learn from proposals of a bounded sample. Right are those that a strict span meets, and those that
-read as an address when they are parsed (``reads_as_address``), which strict spans have no part in. So
-that both are known whatever the sample holds, some of its texts are learned again with a strict span
-rewritten into another form of address, and with made-up addresses and look-alikes (times, device
-numbers, prices) between their words. What the strict rules test for (check digits, the plus sign,
-ranges) is kept from the features, so that the trees learn what such data looks like and where it stands.
-The texts of one half teach the trees, those of the other set, per generator of addresses, the threshold from
-which proposals are right in at least ``PRECISION`` of the cases; only proposals that no strict span meets count
-there, as only these are selected, and those of rewritten texts together weigh as much as those of real ones. For
-numbers nothing but the strict rules tells right from wrong, so their generator only teaches and selects nothing.
+They learn from all proposals of all different texts. Right are those that a strict span meets, and those that
+read as an address or number when they are parsed (``reads_as_right``), which strict spans have no part in. So
+that both are known whatever the texts hold, texts are learned again with a strict span rewritten into another
+form, and with made-up addresses and look-alikes (times, device numbers, prices, dates) between their words. What
+the strict rules test for (check digits, the plus sign, ranges) is kept from the features, so that the trees learn
+what such data looks like and where it stands. The texts of one half teach the trees, those of the other set, per
+generator, the threshold from which proposals are right in at least ``PRECISION`` of the cases; only proposals that
+no strict span meets count there, as only these are selected, and those of rewritten texts together weigh as much as
+those of real ones.
+
+Features are whole numbers up to ``TOP``, so that proposals fold to different vectors with their number; these stay
+on the cluster. A level of a tree is one job, in which tasks add up whole parts of the gradients by node, feature and
+value; sums do not depend on the order of rows. Only they, and the numbers of proposals by rate, come to the driver.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ import re
 import zlib
 from bisect import bisect_right
 from dataclasses import dataclass
+from typing import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.texts import with_columns
+from plumbline.llm.texts import release, stored, with_columns
 
 # Kinds in the order in which they are listed, and the rules of the strict ones.
 STRICT = ["email", "ip", "card", "phone"]
@@ -49,9 +54,10 @@ CUES = ("call", "tel", "phone", "fax", "mobile", "mail", "contact", "write", "ca
 #: Characters on each side of a rewritten or made-up span that are learned with it.
 AROUND = 120
 
-SAMPLE_DOCS, SAMPLE_SPANS = 20_000, 20_000
 ROUNDS, DEPTH, RATE, LEAF = 30, 3, 0.2, 20
 PRECISION = 0.98
+#: The largest value of a feature; gradients are whole numbers of this part, and rates of that one.
+TOP, PART, RATES = 255, 1 << 20, 10_000
 FIELDS = [(f"n_{k}", "long") for k in STRICT] + [("base_sha256", "string"), ("spans", "string")]
 
 
@@ -143,11 +149,16 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(span.count("[")),
         float(previous == ":" or following == ":"),
         float(span[-1].isalpha()),
+        float(span.lstrip("(").startswith("00")),
     ]
 
 
-def reads_as_address(text: str, kind: str, start: int, end: int) -> bool:
-    """Whether a proposal is a whole address of the longer protocol, or an email address with other signs."""
+N_FEATURES = 21
+
+
+def reads_as_right(text: str, kind: str, start: int, end: int) -> bool:
+    """Whether a proposal is a whole address of the longer protocol, an email address with other signs, a card number
+    in groups with points, or an international phone number that begins with two zeros."""
     span, near = text[start:end], text[start - 1 : start] + text[end : end + 1]
     if any(c.isalnum() or c == ":" for c in near):
         return False
@@ -156,6 +167,12 @@ def reads_as_address(text: str, kind: str, start: int, end: int) -> bool:
             return ipaddress.ip_address(span).version == 6
         except ValueError:
             return False
+    if kind == "number_like":
+        if re.fullmatch(r"[0-9]{3,6}(\.[0-9]{3,7}){2,4}", span):
+            digits = span.replace(".", "")
+            return CARD_DIGITS[0] <= len(digits) <= CARD_DIGITS[1] and luhn(digits)
+        digits = re.sub("[^0-9]", "", span)
+        return bool(re.match(r"\(?00[1-9]", span)) and PHONE_DIGITS[0] <= len(digits) - 2 <= PHONE_DIGITS[1]
     if kind == "email_like":
         plain = re.sub(r"\x20?(?:\(dot\)|\[dot\])\x20?", ".", re.sub(r"\x20?(?:@|\(at\)|\[at\])\x20?", "@", span))
         return bool(re.fullmatch(rf"[A-Za-z0-9._%+-]*[A-Za-z][A-Za-z0-9._%+-]*@{DOMAIN}", plain) and re.search(r"\.[A-Za-z]{2,24}$", plain))
@@ -170,6 +187,13 @@ def spelled(email: str, rng: random.Random) -> str:
     return name + at + host.replace(".", dot)
 
 
+def pointed(card: str) -> str:
+    """A card number in groups of four with points."""
+    digits = re.sub("[^0-9]", "", card)
+    cuts = [0, 4, 8, 12, len(digits)]
+    return ".".join(digits[a:b] for a, b in zip(cuts, cuts[1:]))
+
+
 def long_address(rng: random.Random) -> str:
     return ":".join(f"{rng.randrange(16 ** rng.choice([1, 2, 3, 4, 4, 4])):x}" for _ in range(8))
 
@@ -181,7 +205,8 @@ def variants(text: str, strict: list[tuple[str, int, int]]) -> list[str]:
     def put(start: int, end: int, what: str) -> None:
         out.append(text[max(0, start - AROUND) : start] + what + text[end : end + AROUND])
 
-    for kind, form in (("email", lambda s: spelled(s, rng)), ("ip", lambda s: long_address(rng))):
+    forms = {"email": lambda s: spelled(s, rng), "ip": lambda s: long_address(rng), "card": pointed, "phone": lambda s: "00" + s[1:].lstrip()}
+    for kind, form in forms.items():
         mine = [s for s in strict if s[0] == kind]
         if mine:
             _, a, b = rng.choice(mine)
@@ -198,6 +223,7 @@ def variants(text: str, strict: list[tuple[str, int, int]]) -> list[str]:
             long_address(rng),
             spelled(email, rng),
             rng.choice([device, f"{two(24)}:{two(60)}:{two(60)}:{two(60)}"]),
+            rng.choice([f"{two(24)}.{two(12)}.20{two(30)}", f"20{two(30)}/{two(12)}/{two(28)} {two(24)}", f"{rng.randrange(1000)}.{rng.randrange(10**9):09d}", f"00{rng.randrange(10**6)}-{two(100)}"]),
             rng.choice([price, f"{word()} @ {word()}. {word().title()}", f"{word()} @ {rng.randrange(9)}.{rng.randrange(30)}.{rng.randrange(9)}"]),
         ]
         for what in made:
@@ -227,49 +253,72 @@ class Trees:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
+    def rate(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities in whole steps, of which there are few enough to count."""
+        return np.floor(self.probability(x) * RATES) / RATES
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Trees:
-    """Second-order boosting of the logistic loss with exact splits over the distinct values."""
-    rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+
+def place(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+    """The node of each row among those of ``depth`` in the tree that is being grown."""
+    node = np.zeros(len(x), dtype=np.int64)
+    for _ in range(depth):
+        node = 2 * node + 1 + (x[np.arange(len(x)), feature[node]] > cut[node])
+    return node - (2**depth - 1)
+
+
+def histograms(x: np.ndarray, y: np.ndarray, n: np.ndarray, model: Trees, feature, cut, depth: int, bins: int) -> np.ndarray:
+    """Numbers of rows, gradients and weights by node of ``depth``, feature and value, the latter two in parts."""
+    p = model.probability(x)
+    node, sums = place(x, feature, cut, depth), np.zeros((2**depth, 3, x.shape[1], bins), np.int64)
+    parts = n, np.round((y - p) * PART).astype(np.int64) * n, np.round(p * (1 - p) * PART).astype(np.int64) * n
+    for f in range(x.shape[1]):
+        slot = node * bins + x[:, f].astype(np.int64)
+        for i, part in enumerate(parts):
+            # Doubles hold whole numbers up to 2**53, far more than a batch adds up to.
+            sums[:, i, f] = np.bincount(slot, part, 2**depth * bins).astype(np.int64).reshape(2**depth, bins)
+    return sums
+
+
+def grow(base_rate: float, summed: Callable, rounds: int = ROUNDS) -> Trees:
+    """Second-order boosting of the logistic loss with splits between whole values; ``summed(model, feature, cut, depth)``
+    gives the histograms of all rows."""
+    rate = min(max(base_rate, 1e-3), 1 - 1e-3)
     model = Trees(float(np.log(rate / (1 - rate))), *[np.zeros((0, n)) for n in (2**DEPTH - 1, 2**DEPTH - 1, 2**DEPTH)])
     model.feature = model.feature.astype(np.int64)
-    margin = np.full(len(x), model.base)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-margin))
-        gradient, weight = y - p, p * (1 - p)
         feature, cut = np.zeros(2**DEPTH - 1, np.int64), np.full(2**DEPTH - 1, np.inf)
-        node = np.zeros(len(x), dtype=np.int64)
-        for at in range(2**DEPTH - 1):
-            mine = np.flatnonzero(node == at)
-            feature[at], cut[at] = _best_split(x[mine], gradient[mine], weight[mine])
-            node[mine] = 2 * at + 1 + (x[mine, feature[at]] > cut[at])
-        leaf = node - (2**DEPTH - 1)
-        sums = np.bincount(leaf, gradient, 2**DEPTH), np.bincount(leaf, weight, 2**DEPTH)
-        value = RATE * sums[0] / (sums[1] + 1.0)
-        margin = margin + value[leaf]
+        value = np.zeros(2**DEPTH)
+        for depth in range(DEPTH):
+            sums = summed(model, feature, cut, depth)
+            for i, node in enumerate(range(2**depth - 1, 2 ** (depth + 1) - 1)):
+                feature[node], cut[node] = _best_split(sums[i])
+                if depth == DEPTH - 1:
+                    of = sums[i, 1:, feature[node]] / PART
+                    right = np.arange(of.shape[1]) > cut[node]
+                    for side, mine in ((0, ~right), (1, right)):
+                        value[2 * i + side] = RATE * of[0, mine].sum() / (of[1, mine].sum() + 1.0)
         model.feature = np.vstack([model.feature, feature])
         model.cut = np.vstack([model.cut, cut])
         model.value = np.vstack([model.value, value])
     return model
 
 
-def _best_split(x: np.ndarray, gradient: np.ndarray, weight: np.ndarray) -> tuple[int, float]:
-    best = (1e-9, 0, np.inf)
-    whole = gradient.sum() ** 2 / (weight.sum() + 1.0)
-    for f in range(x.shape[1]):
-        if len(x) < 2 * LEAF:
-            break
-        order = np.argsort(x[:, f], kind="stable")
-        values, g, w = x[order, f], np.cumsum(gradient[order]), np.cumsum(weight[order])
-        places = np.flatnonzero(values[1:] > values[:-1])
-        places = places[(places + 1 >= LEAF) & (len(x) - places - 1 >= LEAF)]
-        if not len(places):
-            continue
-        gains = g[places] ** 2 / (w[places] + 1) + (g[-1] - g[places]) ** 2 / (w[-1] - w[places] + 1) - whole
-        i = int(gains.argmax())
-        if gains[i] > best[0]:
-            best = (float(gains[i]), f, float((values[places[i]] + values[places[i] + 1]) / 2))
-    return best[1], best[2]
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Trees:
+    """Trees from rows of whole numbers at hand."""
+    n = np.ones(len(x), np.int64)
+    return grow(y.mean(), lambda model, *tree: histograms(x, y, n, model, *tree, int(x.max()) + 1), rounds)
+
+
+def _best_split(sums: np.ndarray) -> tuple[int, float]:
+    """The feature and the cut that gain most, the first of equals; no cut where nothing is gained."""
+    n, gradient, weight = np.cumsum(sums, axis=2)
+    enough = (n >= LEAF) & (n[:, -1:] - n >= LEAF)
+    gradient, weight = gradient / PART, weight / PART
+    left = gradient**2 / (weight + 1.0)
+    right = (gradient[:, -1:] - gradient) ** 2 / (weight[:, -1:] - weight + 1.0)
+    gains = np.where(enough, left + right - left[:, -1:], 0.0)
+    f, value = np.unravel_index(int(gains.argmax()), gains.shape)
+    return (int(f), float(value) + 0.5) if gains[f, value] > 1e-9 else (0, np.inf)
 
 
 def thresholds(probability: np.ndarray, y: np.ndarray, kind: np.ndarray, precision: float, weight: np.ndarray | None = None) -> list[float]:
@@ -309,53 +358,96 @@ class Ranges:
         self.ends.insert(i, span[2])
 
 
-def train(docs: DataFrame, text: str, sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAMPLE_SPANS, precision: float = PRECISION):
-    """Trees and thresholds from the proposals of at most about ``sample_docs`` different texts, ``sample_spans`` at most."""
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    part = min(1.0, sample_docs / max(rows.count(), 1))
-    # A text that many rows repeat is learned once.
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < part * 1_000_000).distinct()
-    chosen = chosen.withColumn("half", F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(2)).cast("double"))
+def _vectors(text: str, half: int) -> bytes:
+    """A vector per proposal of a text and of its variants: features, right, met by a strict span, made up, half."""
+    out = bytearray()
+    spans = strict_spans(text)
+    for i, part in enumerate([text, *variants(text, spans)]):
+        strict = Ranges(strict_spans(part) if i else spans)
+        for span in proposals(part):
+            met = strict.meets(span)
+            out += bytes(min(int(v), TOP) for v in features(part, *span))
+            out += bytes((met or reads_as_right(part, *span), met, i > 0, half))
+    return bytes(out)
+
+
+def _rows_of(vectors: pa.Array, numbers: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, what follows them, and the number of every vector."""
+    table = np.frombuffer(b"".join(vectors.to_pylist()), np.uint8).reshape(len(vectors), N_FEATURES + 4).astype(float)
+    return table[:, :N_FEATURES], table[:, N_FEATURES:].T, numbers.to_numpy().astype(np.int64)
+
+
+def folded_proposals(docs: DataFrame, text: str) -> DataFrame:
+    """``v``, a vector, and ``n``, how many proposals of different texts have it. A text that many rows repeat is
+    learned once; its rows meet by 128 bits of hashes, as the texts themselves are not shuffled."""
+    t = F.col(f"`{text}`").cast("string")
+    rows = docs.select(t.alias("text")).where(F.length("text") > 0).select(
+        "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("i")
+    )
 
     def make():
-        def compute(texts):
-            out = []
-            for t in texts:
-                found = []
-                spans = strict_spans(t) if t else []
-                for i, part in enumerate([t, *variants(t, spans)] if t else []):
-                    strict = Ranges(strict_spans(part) if i else spans)
-                    for span in proposals(part):
-                        # Numbers are learned from the text itself only.
-                        if i and span[0] == "number_like":
-                            continue
-                        met = strict.meets(span)
-                        found.append([*features(part, *span), float(met or reads_as_address(part, *span)), float(met), float(i > 0)])
-                out.append(found)
-            return [out]
+        return lambda texts, seeds: [[_vectors(t, i % 2) for t, i in zip(texts, seeds)]]
 
-        return compute
+    found = with_columns(rows, ["text", "i"], make, [("rows", "binary")]).where(F.length("rows") > 0)
+    different = found.groupBy("h", "i").agg(F.min("rows").alias("rows"))
+    width = N_FEATURES + 4
 
-    spans = with_columns(chosen, "text", make, [("rows", "array<array<double>>")])
-    spans = spans.select(F.explode("rows").alias("r"), "half").select(F.concat("r", F.array("half")).alias("r"))
-    # Every value takes part in the order, so ties are between equal rows.
-    taken = spans.orderBy(F.xxhash64("r"), F.col("r")).limit(sample_spans).collect()
-    if not taken:
-        return None
-    table = np.array([r["r"] for r in taken])
-    x, (y, met, made, half) = table[:, :-4], table[:, -4:].T
-    teaches = half == 0
-    if len(set(y[teaches])) < 2 or teaches.all():
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), f"V{width}")
+            vectors, n = np.unique(all_rows, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(vectors.tolist(), pa.binary()), pa.array(n, pa.int64())], names=["v", "n"])
+
+    return different.select("rows").mapInArrow(fold, "v binary, n long").groupBy("v").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, text: str, precision: float = PRECISION):
+    """Trees and thresholds from the proposals of all different texts."""
+    table = stored(folded_proposals(docs, text), "proposals")
+    teaches = table.where(F.expr(f"substring(v, {N_FEATURES + 4}, 1) = X'00'"))
+    right = F.expr(f"substring(v, {N_FEATURES + 1}, 1) = X'01'")
+    seen = teaches.agg(F.sum("n").alias("n"), F.sum(F.when(right, F.col("n"))).alias("right")).first()
+    if not seen["n"] or not seen["right"] or seen["right"] == seen["n"]:
         return None
-    model = boost(x[teaches], y[teaches])
-    told = ~teaches & (met == 0) & (x[:, 0] != LOOSE.index("number_like"))
-    weight = np.ones(len(x))
+
+    def summed(model: Trees, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+        shape, packed = (2**depth, 3, N_FEATURES, TOP + 1), (model.base, model.feature, model.cut, model.value)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trees, total = Trees(*packed), np.zeros(shape, np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    x, (y, *_), n = _rows_of(batch.column(0), batch.column(1))
+                    total += histograms(x, y, n, trees, feature, cut, depth, TOP + 1)
+            places = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(total.ravel()[places])], names=["at", "s"])
+
+        sums, found = np.zeros(int(np.prod(shape)), np.int64), teaches.mapInArrow(run, "at long, s long").toArrow()
+        np.add.at(sums, found.column("at").to_numpy(), found.column("s").to_numpy())
+        return sums.reshape(shape)
+
+    model = grow(seen["right"] / seen["n"], summed)
+    packed = model.base, model.feature, model.cut, model.value
+
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = Trees(*packed)
+        for batch in batches:
+            if batch.num_rows:
+                x, (y, _, made, _), n = _rows_of(batch.column(0), batch.column(1))
+                columns = [x[:, 0], made, np.round(trees.rate(x) * RATES), y, n]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["k", "made", "step", "y", "n"])
+
+    told = table.where(F.expr(f"substring(v, {N_FEATURES + 4}, 1) = X'01' AND substring(v, {N_FEATURES + 2}, 1) = X'00'"))
+    counted = told.mapInArrow(rated, "k long, made long, step long, y long, n long").groupBy("k", "made", "step", "y").agg(F.sum("n").alias("n"))
+    rows = np.array(sorted(tuple(r) for r in counted.collect()), np.int64).reshape(-1, 5)
+    release(table)
+    kind, made, step, y, n = rows.T
+    weight = n.astype(float)
     for k in range(len(LOOSE)):
-        mine = told & (x[:, 0] == k)
-        real, rewritten = (mine & (made == 0)).sum(), (mine & (made == 1)).sum()
+        real, rewritten = (n[(kind == k) & (made == m)].sum() for m in (0, 1))
         if real and rewritten:
-            weight[mine & (made == 1)] = real / rewritten
-    return model, thresholds(model.probability(x[told]), y[told], x[told, 0], precision, weight[told])
+            weight[(kind == k) & (made == 1)] *= real / rewritten
+    return model, thresholds(step / RATES, y, kind, precision, weight)
 
 
 def select_spans(text: str, trained) -> tuple[list, list]:
@@ -365,7 +457,7 @@ def select_spans(text: str, trained) -> tuple[list, list]:
     proposed = [] if trained is None else [s for s in proposals(text) if not taken.meets(s)]
     if proposed:
         model, limits = trained
-        rates = model.probability(np.array([features(text, *s) for s in proposed]))
+        rates = model.rate(np.minimum(np.array([features(text, *s) for s in proposed]), TOP))
         passed = sorted((-r, s) for r, s in zip(rates.tolist(), proposed) if r >= limits[LOOSE.index(s[0])])
         for _, span in passed:
             if not taken.meets(span):
