@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from typing import Mapping, Sequence
+from functools import cached_property
+from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import fixed_values as fixed
-from plumbline.operators.profile import stacked, string_columns
+from plumbline.operators.profile import duplicate_count, stacked, string_columns
 
 LOG_SCHEMA = (
     "step int, step_type string, description string, rows_affected long, requires_approval boolean"
@@ -221,8 +222,14 @@ def parsed_date(column: str, date_format: str) -> Column:
 
 @dataclass
 class Cleaned:
+    """The typed table, and the log, whose counts are taken when it is first asked for."""
+
     table: DataFrame
-    log: DataFrame
+    make_log: Callable[[], DataFrame]
+
+    @cached_property
+    def log(self) -> DataFrame:
+        return self.make_log()
 
 
 def clean(
@@ -232,7 +239,7 @@ def clean(
 
     Column types depend on the values, so the first pass brings one row of counts and number rates to the driver, the
     second the counts of date shapes, the third, if there are any, one row of rates of the formats that have these
-    shapes, and the last one row of counts for the log. Table rows never leave Spark.
+    shapes, and the last, only if the log is asked for, its counts. Table rows never leave Spark.
     """
     raw = trimmed_names(df)
     texts = string_columns(raw)
@@ -273,14 +280,14 @@ def clean(
 
     typed = marked.where(~dropped).select(*[typed_column(c) for c in kept])
     changed = [c for c in kept if c in numbers or c in dates]
-    copies = typed.groupBy(*[F.col(f"`{c}`") for c in kept]).agg(F.count(F.lit(1)).alias("__copies"))
-    second = copies.agg(
-        F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("__duplicates"),
-        *[
-            F.coalesce(F.sum(F.when(F.col(f"`{c}`").isNotNull(), F.col("__copies"))), F.lit(0)).alias(c)
-            for c in changed
-        ],
-    ).first()
+    return Cleaned(typed, lambda: _log(typed, seen, kept, numbers, dates))
+
+
+def _log(typed: DataFrame, seen, kept: Sequence[str], numbers: Mapping[str, str], dates: Mapping) -> DataFrame:
+    """The steps taken, with the rows that each touched."""
+    changed = [c for c in kept if c in numbers or c in dates]
+    second = typed.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in changed]).first() if changed else {}
+    duplicates = duplicate_count(typed)
 
     log = []
     if seen["empty"]:
@@ -295,8 +302,7 @@ def clean(
         unclear = dates[c]["ambiguous"]
         note = fixed.AMBIGUOUS_DATE_NOTE if unclear else ""
         log.append(("date_parsed", fixed.DATE_STEP.format(c) + note, second[c], bool(unclear)))
-    if second["__duplicates"]:
-        n = second["__duplicates"]
-        log.append(("duplicate_rows_detected", fixed.DUPLICATES_STEP.format(n), n, True))
+    if duplicates:
+        log.append(("duplicate_rows_detected", fixed.DUPLICATES_STEP.format(duplicates), duplicates, True))
     steps = [(i + 1, *entry) for i, entry in enumerate(log)]
-    return Cleaned(typed, df.sparkSession.createDataFrame(steps, LOG_SCHEMA))
+    return typed.sparkSession.createDataFrame(steps, LOG_SCHEMA)

@@ -59,6 +59,33 @@ def value_text(df: DataFrame, name: str) -> Column:
     return F.to_json(column) if isinstance(dtype, (T.ArrayType, T.StructType)) else column.cast("string")
 
 
+def duplicate_count(df: DataFrame) -> int:
+    """Rows beyond the first of their kind, exactly.
+
+    Rows are counted by a 64-bit hash of their values, which folds in the tasks and shuffles 16 bytes per row at most.
+    A hash that one row has tells that row apart from all others; only rows that share one are compared by
+    their values.
+    """
+    plain = sortable_columns(df)
+    values = df.select(*[F.col(f"`{c}`") if c in plain else value_text(df, c).alias(c) for c in df.columns]) if df.columns else df
+    zeroed = [
+        F.when(F.col(f"`{f.name}`") == 0, F.lit(0).cast(f.dataType)).otherwise(F.col(f"`{f.name}`"))
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType))
+        else F.col(f"`{f.name}`")
+        for f in values.schema.fields
+    ]
+    # The place of a NULL counts, as the hash passes over it; both zeros are one value when rows are grouped.
+    null_at = F.concat(F.lit(""), *[F.when(F.col(f"`{c}`").isNull(), "n").otherwise("v") for c in values.columns])
+    hashed = values.withColumn("__hash", F.xxhash64(null_at, *zeroed))
+    shared = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1")
+    found = shared.agg(F.count(F.lit(1)).alias("hashes"), F.sum("__rows").alias("rows")).first()
+    if not found["hashes"]:
+        return 0
+    some = hashed.join(shared.select("__hash"), "__hash", "left_semi")
+    different = some.groupBy("__hash", *[F.col(f"`{c}`") for c in values.columns]).agg(F.count(F.lit(1)).alias("__n")).count()
+    return found["rows"] - different
+
+
 def contains_any(text: str, words: Sequence[str]) -> bool:
     return any(w in text for w in words)
 
