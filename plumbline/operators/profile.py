@@ -14,6 +14,9 @@ from plumbline import fixed_values as fixed
 from plumbline.plans.scalars import one_row
 from plumbline.plans.selection import exact_quantiles
 
+#: The most hashes that rows share for which these rows are picked out by a broadcast.
+SHARED_HASHES = 100_000
+
 
 def stacked(one: DataFrame, names: Sequence[str], fields: Mapping[str, str], key: str = "column") -> DataFrame:
     """Turn a one-row wide result into one row per name.
@@ -64,7 +67,7 @@ def duplicate_count(df: DataFrame) -> int:
 
     Rows are counted by a 64-bit hash of their values, which folds in the tasks and shuffles 16 bytes per row at most.
     A hash that one row has tells that row apart from all others; only rows that share one are compared by
-    their values.
+    their values. If many hashes are shared, all rows are grouped by their values, where copies fold in the tasks.
     """
     plain = sortable_columns(df)
     values = df.select(*[F.col(f"`{c}`") if c in plain else value_text(df, c).alias(c) for c in df.columns]) if df.columns else df
@@ -75,13 +78,16 @@ def duplicate_count(df: DataFrame) -> int:
         for f in values.schema.fields
     ]
     # The place of a NULL counts, as the hash passes over it; both zeros are one value when rows are grouped.
-    null_at = F.concat(F.lit(""), *[F.when(F.col(f"`{c}`").isNull(), "n").otherwise("v") for c in values.columns])
-    hashed = values.withColumn("__hash", F.xxhash64(null_at, *zeroed))
+    null_at = [F.col(f"`{c}`").isNull() for c in values.columns]
+    hashed = values.withColumn("__hash", F.xxhash64(F.lit(0), *null_at, *zeroed))
     shared = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1")
     found = shared.agg(F.count(F.lit(1)).alias("hashes"), F.sum("__rows").alias("rows")).first()
     if not found["hashes"]:
         return 0
-    some = hashed.join(shared.select("__hash"), "__hash", "left_semi")
+    if found["hashes"] > SHARED_HASHES:
+        copies = values.groupBy(*[F.col(f"`{c}`") for c in values.columns]).agg(F.count(F.lit(1)).alias("__n"))
+        return copies.agg(F.sum(F.col("__n") - 1)).first()[0]
+    some = hashed.join(F.broadcast(shared.select("__hash")), "__hash", "left_semi")
     different = some.groupBy("__hash", *[F.col(f"`{c}`") for c in values.columns]).agg(F.count(F.lit(1)).alias("__n")).count()
     return found["rows"] - different
 

@@ -29,6 +29,8 @@ from plumbline.plans.scalars import one_row
 
 GRID = 500
 SMALL_BRACKET = 200_000
+# Items that a sketch of numbers keeps at its top level; ranks are then off by about a quarter of a grid step.
+SKETCH_SIZE = 4_000
 SAMPLE = 2_000
 # Grid steps that the rank of a sampled point may be off, by about three deviations.
 SAMPLE_MARGIN = 15
@@ -162,7 +164,7 @@ def select_ranks(df: DataFrame, targets: Sequence[RankTarget]) -> dict[str, tupl
                 F.count(c).alias("numbers"),
                 F.min(c).alias("least"),
                 F.max(c).alias("most"),
-                *([] if isinstance(forms[v][1], UNSKETCHED) else [_sketch(c).alias("grid")]),
+                *([] if isinstance(forms[v][1], UNSKETCHED) else [_grid(c, forms[v][1]).alias("grid")]),
             ).alias(v)
             for v, c in numbers.items()
         ]
@@ -212,13 +214,26 @@ def _sketch(column: str | Column, points: int = GRID) -> Column:
     return F.percentile_approx(column, [i / points for i in range(points + 1)], 10 * points)
 
 
+def _grid(column: Column, dtype: T.DataType) -> Column:
+    """``GRID + 1`` values of ``column`` to propose bounds from. Numbers have a sketch that takes a fraction of the time;
+    its points are values too, and as the counts decide, not the sketch, the ranks found are the same."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        kind, fold, quantile = "double", F.kll_sketch_agg_double, F.kll_sketch_get_quantile_double
+    elif isinstance(dtype, T.IntegralType):
+        kind, fold, quantile = "long", F.kll_sketch_agg_bigint, F.kll_sketch_get_quantile_bigint
+    else:
+        return _sketch(column)
+    places = F.expr(f"array({', '.join(f'{i / GRID}D' for i in range(GRID + 1))})")
+    return F.when(F.count(column) > 0, quantile(fold(column.cast(kind), SKETCH_SIZE), places))
+
+
 def _grids(values: DataFrame, parts: Sequence[_Search]) -> list[Sequence[Any]]:
     """Per part ``GRID + 1`` of its values, about evenly spaced."""
     sketched = [i for i, s in enumerate(parts) if not isinstance(s.dtype, UNSKETCHED)]
     found: dict[int, Sequence[Any]] = {}
     if sketched:
         row = values.agg(
-            *[_sketch(F.when(parts[i].rows(), F.col(parts[i].column))).alias(f"g{i}") for i in sketched]
+            *[_grid(F.when(parts[i].rows(), F.col(parts[i].column)), parts[i].dtype).alias(f"g{i}") for i in sketched]
         ).first()
         found = {i: row[f"g{i}"] for i in sketched}
     for i, s in enumerate(parts):
@@ -230,7 +245,11 @@ def _grids(values: DataFrame, parts: Sequence[_Search]) -> list[Sequence[Any]]:
 
 
 def _pick(values: DataFrame, searches: dict[tuple[str, int], _Search]) -> dict[tuple[str, int], Any]:
-    """Order the distinct values of each remaining part, at most ``SMALL_BRACKET``, and read off the rank."""
+    """Order the distinct values of each remaining part, at most ``SMALL_BRACKET``, and read off the rank.
+
+    Entries are filtered after they are exploded. A filter before that would be moved below the projections, where the
+    expression of a column is computed anew for each of its many comparisons.
+    """
     answers = {}
     for dtype in {s.dtype for s in searches.values()}:
         same = {k: s for k, s in searches.items() if s.dtype == dtype}
@@ -241,8 +260,8 @@ def _pick(values: DataFrame, searches: dict[tuple[str, int], _Search]) -> dict[t
             for part, s in parts
         ]
         ranked = (
-            values.where(reduce(lambda a, b: a | b, [s.rows() for _, s in parts]))
-            .select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+            values.select(F.explode(F.array(*entries)).alias("e"))
+            .where(F.col("e").isNotNull())
             .groupBy(F.col("e.part").alias("part"), F.col("e.value").alias("value"))
             .agg(F.count(F.lit(1)).alias("rows"))
             .withColumn("through", F.sum("rows").over(W.partitionBy("part").orderBy("value")))
