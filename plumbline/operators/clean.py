@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,18 +23,19 @@ def trimmed_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def _texts(df: DataFrame) -> Column:
-    return F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+def _any_cell(df: DataFrame, test: Callable[[Column], Column]) -> Column:
+    """Whether some cell, as text, passes; a plain expression, which Spark compiles, unlike a function over an array."""
+    return reduce(or_, [F.coalesce(test(F.col(f"`{c}`").cast("string")), F.lit(False)) for c in df.columns], F.lit(False))
 
 
 def is_empty_row(df: DataFrame) -> Column:
     """Every cell is NULL or blank."""
-    return ~F.exists(_texts(df), lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
+    return ~_any_cell(df, lambda x: F.trim(x) != "")
 
 
 def is_total_row(df: DataFrame) -> Column:
     """Some cell says total, subtotal, grand total or sum."""
-    return F.exists(_texts(df), lambda x: F.coalesce(x.rlike(fixed.TOTAL_ROW_PATTERN), F.lit(False)))
+    return _any_cell(df, lambda x: x.rlike(fixed.TOTAL_ROW_PATTERN))
 
 
 def drop_empty(df: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def wide_to_long(df: DataFrame) -> DataFrame:
 
 
 def _stripped(column: str) -> Column:
-    bare = F.regexp_replace(F.trim(F.col(f"`{column}`")), fixed.CURRENCY_CLASS, "")
+    bare = F.translate(F.trim(F.col(f"`{column}`")), fixed.CURRENCY_CLASS[1:-1], "")
     return F.trim(bare)
 
 
@@ -115,10 +117,10 @@ def parsed_number(column: str, number_format: str, percent_as_fraction: bool = F
     """The column as a double; text that does not parse becomes NULL."""
     text = F.col(f"`{column}`")
     if number_format == "eu":
-        bare = F.regexp_replace(text, r"[$€£¥₹.%]", "")
+        bare = F.translate(text, "$€£¥₹.%", "")
         bare = F.replace(bare, F.lit(","), F.lit("."))
     else:
-        bare = F.regexp_replace(text, r"[$€£¥₹,%]" if number_format == "us" else r"[$€£¥₹%]", "")
+        bare = F.translate(text, "$€£¥₹,%" if number_format == "us" else "$€£¥₹%", "")
     # A cast would also read the suffixes of number literals.
     value = F.when(F.trim(bare).rlike(fixed.PLAIN_DOUBLE), F.trim(bare).try_cast("double"))
     return F.when(text.contains("%"), value / 100).otherwise(value) if percent_as_fraction else value
@@ -225,11 +227,12 @@ class Cleaned:
     """The typed table, and the log, whose counts are taken when it is first asked for."""
 
     table: DataFrame
-    make_log: Callable[[], DataFrame]
+    #: The log from the typed table or a stored copy of it.
+    make_log: Callable[[DataFrame], DataFrame]
 
     @cached_property
     def log(self) -> DataFrame:
-        return self.make_log()
+        return self.make_log(self.table)
 
 
 def clean(
@@ -264,6 +267,10 @@ def clean(
     kept = [c for c in raw.columns if seen[f"{c}__n"] > 0]
     found = _chosen_numbers(rates, texts).collect() if texts else []
     numbers = {r["column"]: r["number_format"] for r in found if r["number_format"]}
+    rows = marked.where(~dropped)
+    if not seen["empty"] and not (remove_totals and seen["totals"]):
+        # No row is dropped, so the later passes need not test every cell for it again.
+        rows, shaped = raw, raw.select(*[F.col(f"`{c}`") for c in texts], *_shapes(texts))
     # A format that too few values have the shape of cannot be chosen.
     open_texts = [c for c in texts if c not in numbers]
     shapes = _shape_rates(shaped, open_texts)
@@ -278,9 +285,8 @@ def clean(
             return parsed_date(c, dates[c]["date_format"]).alias(c)
         return F.col(f"`{c}`")
 
-    typed = marked.where(~dropped).select(*[typed_column(c) for c in kept])
-    changed = [c for c in kept if c in numbers or c in dates]
-    return Cleaned(typed, lambda: _log(typed, seen, kept, numbers, dates))
+    typed = rows.select(*[typed_column(c) for c in kept])
+    return Cleaned(typed, lambda table: _log(table, seen, kept, numbers, dates))
 
 
 def _log(typed: DataFrame, seen, kept: Sequence[str], numbers: Mapping[str, str], dates: Mapping) -> DataFrame:
