@@ -12,7 +12,8 @@ import csv
 import io
 from collections import defaultdict
 from dataclasses import dataclass
-from typing import Iterator, Sequence
+from functools import cached_property
+from typing import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -31,11 +32,20 @@ DIALECT = "file string, path string, length long, encoding string, marked boolea
 
 @dataclass
 class Ingested:
+    """A stored version; its log and dictionary are computed from it when they are first asked for."""
+
     table: DataFrame
     manifest: DataFrame
-    log: DataFrame
-    dictionary: DataFrame
     files: DataFrame
+    make_log: Callable[[], DataFrame]
+
+    @cached_property
+    def log(self) -> DataFrame:
+        return self.make_log()
+
+    @cached_property
+    def dictionary(self) -> DataFrame:
+        return dictionary.propose_dictionary(self.table)
 
 
 def dialect_reader():
@@ -172,10 +182,14 @@ def ingest(
         {"content_hash": F.lit(content["content_hash"]), "file_size_bytes": F.lit(content["file_size_bytes"]).cast("long")}
     )
     stored = spark.read.parquet(f"{root}/dataset_id={dataset_id}/version_id={version_id}")
-    steps = read_steps(dialects)
-    first = spark.createDataFrame([(i + 1, *s) for i, s in enumerate(steps)], cleaning.LOG_SCHEMA)
-    log = first.union(cleaned.log.withColumn("step", F.col("step") + len(steps)))
-    return Ingested(stored, manifest, log, dictionary.propose_dictionary(stored), spark.createDataFrame(dialects, DIALECT))
+
+    def log() -> DataFrame:
+        steps = read_steps(dialects)
+        first = spark.createDataFrame([(i + 1, *s) for i, s in enumerate(steps)], cleaning.LOG_SCHEMA)
+        # Counted in the stored version, whose texts need not be parsed again.
+        return first.union(cleaned.make_log(stored).withColumn("step", F.col("step") + len(steps)))
+
+    return Ingested(stored, manifest, spark.createDataFrame(dialects, DIALECT), log)
 
 
 def read_steps(dialects: Sequence[dict]) -> list[tuple]:
